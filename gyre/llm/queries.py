@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyre.llm import bpe, chat, neardup, quality, urlfilter
+from gyre.llm import bpe, chat, langid, neardup, quality, tokenbin, urlfilter
+from gyre.llm.common import new_folder
 from gyre.sources.tables import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -50,6 +51,21 @@ def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "chunk", "perspective", "text", F.array_join(spans, ",").alias("spans"), "n_turns", "n_target_turns")
 
 
+#: Documents with this remainder of crc32(doc_id) by 4 are held out from learning languages.
+HELD_OUT = "crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 2"
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(F.expr(HELD_OUT), F.lit(False)))
+    model = langid.fit(docs, ~F.col("held_out"))
+    return langid.predicted(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenbin.written_and_read(docs, new_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -123,6 +139,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": op6_quality_rules,
         "op7_minhash": op7_minhash,
         "op8_chat_perspectives": op8_chat_perspectives,
+        "op9_language_id": op9_language_id,
+        "op10_token_binary": op10_token_binary,
     }
 
 

@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyre.llm import bpe, chat, langid, neardup, quality, tokenbin, urlfilter
+from gyre.llm import bpe, chat, fingerprint, langid, neardup, quality, tokenbin, urlfilter
 from gyre.llm.common import new_folder
 from gyre.sources.tables import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.probed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.url_verdicts(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -134,6 +139,7 @@ FROM o GROUP BY conv_id, part, rest, perspective
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprint": op1_fingerprint,
         "op3_url_filter": op3_url_filter,
         "op5_bpe": op5_bpe,
         "op6_quality_rules": op6_quality_rules,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyre.llm import bpe, chat, fingerprint, langid, neardup, quality, tokenbin, urlfilter
+from gyre.llm import bpe, chat, fingerprint, langid, lmscore, mixing, neardup, quality, tokenbin, urlfilter
 from gyre.llm.common import new_folder
 from gyre.sources.tables import table
 
@@ -20,11 +20,21 @@ def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.url_verdicts(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    models = lmscore.fit(lmscore.with_target(docs, table(spark, sf_dir, "labels")))
+    return lmscore.scored(docs, models).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.with_ids(docs, BPE_RANKS, public_tokenizers.PATTERN, decoded="decoded")
@@ -140,7 +150,9 @@ FROM o GROUP BY conv_id, part, rest, perspective
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprint": op1_fingerprint,
+        "op2_mix": op2_mix,
         "op3_url_filter": op3_url_filter,
+        "op4_lm_score": op4_lm_score,
         "op5_bpe": op5_bpe,
         "op6_quality_rules": op6_quality_rules,
         "op7_minhash": op7_minhash,

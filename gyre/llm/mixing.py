@@ -64,7 +64,7 @@ def permuted(at: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     """The place of each `at` in a pseudorandom permutation of 0 to size - 1 that belongs to key.
 
     Four Feistel rounds over the next even number of bits; what falls outside goes through again until it
-    falls inside, which keeps it a permutation.
+    falls inside, which keeps it a permutation.  Every `at` must lie within its size.
     """
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(size, 2))).astype(np.uint64) + np.uint64(1)) // np.uint64(2))
     low = (np.uint64(1) << half) - np.uint64(1)
@@ -142,7 +142,8 @@ def slots(sources: DataFrame, mix: Mix) -> DataFrame:
     out = drawn.withColumn("slot", F.explode(F.sequence(F.col("from"), F.col("to") - 1)))
     out = out.withColumn("pass", F.expr("slot div each")).withColumn("at", F.expr("slot % each"))
     key = F.xxhash64(F.lit(mix.seed), "sid", "pass")
-    block = F.when(F.col("at") < F.col("full"), _permuted_column(F.col("at"), F.greatest(F.col("full"), F.lit(1)), key)).otherwise(F.col("full"))
+    inside = F.greatest(F.least("at", F.col("full") - 1), F.lit(0))  # the short last block is not permuted
+    block = F.when(F.col("at") < F.col("full"), _permuted_column(inside, F.greatest(F.col("full"), F.lit(1)), key)).otherwise(F.col("full"))
     # Words of a slot: a block, or what is left of the source, or, in the last pass, of its target.
     before = F.col("at") * mix.block
     left = F.when(F.col("pass") == F.expr("take div source_size"), F.col("rest")).otherwise(F.col("source_size")) - before

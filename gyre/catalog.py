@@ -1,15 +1,6 @@
-"""All queries of the library outside gyre.llm, and their SQL for comparison."""
+"""All queries of the library outside its optional parts, and their SQL for comparison."""
 
-from __future__ import annotations
+from gyre.plans.oracles import oracle_sql
+from gyre.plans.queries import queries
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]

@@ -1,6 +1,18 @@
 """All queries of the library outside its optional parts, and their SQL for comparison."""
 
-from gyre.plans.oracles import oracle_sql
-from gyre.plans.queries import queries
+from __future__ import annotations
 
-__all__ = ["oracle_sql", "queries"]
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gyre.plans import oracles, reports
+from gyre.plans import queries as plans
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return plans.queries() | reports.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.oracle_sql() | reports.oracle_sql()

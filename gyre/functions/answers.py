@@ -5,6 +5,8 @@ Patterns are written for Java with the rules of Unix lines, so that only a line
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 CANDIDATE = "array<struct<strategy:string,raw:string,token:string>>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: the bound of a lambda is not spelt out again in the plan."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """text without white space, in Unicode's sense, at its ends."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$(?!\n)", "")
@@ -47,7 +54,7 @@ def candidates(text: Column) -> Column:
 
     def all_of(strategy: str, pattern: str) -> Column:
         found = F.regexp_extract_all(text, F.lit("(?id)" + pattern if strategy != "boxed" else pattern), F.lit(1))
-        return F.transform(found, lambda x: F.struct(F.lit(strategy).alias("strategy"), clean(x).alias("raw"), numeric_token(clean(x)).alias("token")))
+        return F.transform(F.transform(found, clean), lambda x: F.struct(F.lit(strategy).alias("strategy"), x.alias("raw"), numeric_token(x).alias("token")))
 
     lines = F.filter(F.transform(F.split(text, LINE_ENDS), strip), lambda x: x != "")
     last = F.transform(F.slice(F.reverse(lines), 1, 1), lambda x: F.struct(F.lit("trailing_numeric").alias("strategy"), clean(x).alias("raw"), numeric_token(x).alias("token")))
@@ -60,18 +67,24 @@ def extract(text: Column) -> Column:
     No candidate fails, and so do candidates with different tokens (as text: 1 and 1.0 differ).  A null or blank
     response is `empty_output`.
     """
-    found = candidates(text)
-    tokens = F.size(F.array_distinct(F.transform(found, lambda c: c["token"])))
-    blank = F.coalesce(strip(text), F.lit("")) == ""
-    one = ~blank & (tokens == 1)
-    last = F.element_at(F.when(one, found), -1)
-    return F.struct(
-        last["raw"].alias("answer"),
-        last["token"].alias("token"),
-        F.coalesce(one, F.lit(False)).alias("ok"),
-        F.when(blank, "none").when(tokens == 0, "none").when(tokens > 1, "ambiguous").otherwise(last["strategy"]).alias("strategy"),
-        F.when(blank, "empty_output").when(tokens == 0, "no_numeric_candidate").when(tokens > 1, "multiple_candidate_answers").alias("failure"),
-    )
+
+    def read(state: Column) -> Column:
+        blank, found, tokens = state["blank"], state["found"], state["tokens"]
+        one = ~blank & (tokens == 1)
+        last = F.get(F.when(one, found), F.size(found) - 1)
+        return F.struct(
+            last["raw"].alias("answer"),
+            last["token"].alias("token"),
+            F.coalesce(one, F.lit(False)).alias("ok"),
+            F.when(blank | (tokens == 0), "none").when(tokens > 1, "ambiguous").otherwise(last["strategy"]).alias("strategy"),
+            F.when(blank, "empty_output").when(tokens == 0, "no_numeric_candidate").when(tokens > 1, "multiple_candidate_answers").alias("failure"),
+        )
+
+    def count(found: Column) -> Column:
+        blank = F.coalesce(strip(text), F.lit("")) == ""
+        return F.struct(found.alias("found"), F.size(F.array_distinct(F.transform(found, lambda c: c["token"]))).alias("tokens"), blank.alias("blank"))
+
+    return let(let(candidates(text), count), read)
 
 
 def gold_token(text: Column) -> Column:
@@ -105,8 +118,12 @@ def is_number(token: Column) -> Column:
 
 def same_value(a: Column, b: Column) -> Column:
     """Whether two tokens are the same exact number, by cross multiplication; long decimals are compared as text."""
-    x, y = rational(a), rational(b)
-    return F.coalesce(F.when(x.isNotNull() & y.isNotNull(), x["num"] * y["den"] == y["num"] * x["den"]).otherwise(_plain(a) == _plain(b)), F.lit(False))
+
+    def equal(both: Column) -> Column:
+        x, y = both["x"], both["y"]
+        return F.when(x.isNotNull() & y.isNotNull(), x["num"] * y["den"] == y["num"] * x["den"]).otherwise(_plain(a) == _plain(b))
+
+    return F.coalesce(let(F.struct(rational(a).alias("x"), rational(b).alias("y")), equal), F.lit(False))
 
 
 def label(token: Column, gold: Column) -> Column:

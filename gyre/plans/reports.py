@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gyre.functions import answers, hashing, quality, text_rules
 from gyre.operators import dbr, metrics, policies, sampling
+from gyre.plans import exports
 from gyre.plans import queries as q
 from gyre.sources import bindings
 from gyre.sources.tables import table
@@ -226,6 +227,33 @@ def m24_progress(spark, sf_dir):
     return out.withColumn("n_saved", F.col("n_total") - F.col("n_inputs"))
 
 
+def i06_pvf_stress(spark, sf_dir):
+    return exports.pvf_report(bindings.evaluated(spark, sf_dir), q._policy_rows(spark, sf_dir))["stress_summary"].select(*CTX, "sample_count", "accuracy_mean", "n_rows", "n_kept", "keep_rate")
+
+
+def i08_soft_stress(spark, sf_dir):
+    out = exports.soft_report(bindings.evaluated(spark, sf_dir), q._policy_rows(spark, sf_dir))["stress_summary"]
+    return out.select(*CTX, "sample_count", "keep_rate", F.round("mean_weight", 9).alias("mean_weight"))
+
+
+def i10_dbr_stress(spark, sf_dir):
+    return exports.dbr_report(bindings.evaluated(spark, sf_dir), q._policy_rows(spark, sf_dir))["stress_summary"].select(*CTX, "sample_count", "n_rows", "n_selected", "selection_rate")
+
+
+def i12_pvr_stress(spark, sf_dir):
+    return exports.repair_report(bindings.evaluated(spark, sf_dir), q._with_token(spark, sf_dir))["stress_summary"].select(*CTX, "sample_count", "n_attempted", "n_success", "success_rate")
+
+
+def i14_csr_reasons(spark, sf_dir):
+    return exports.csr_report(bindings.evaluated(spark, sf_dir), q._csr(spark, sf_dir), ["branch", "generation"])["no_pair_reasons"]
+
+
+def i05_anchoring_ratios(spark, sf_dir):
+    rows = bindings.evaluated(spark, sf_dir)
+    ratios = spark.sql("SELECT * FROM VALUES ('dbr_medium', 10, 'append'), ('anchor_20_append', 20, 'append') AS t(branch, anchor_ratio, mixing_mode)")
+    return exports.anchoring_ablation(rows, ratios)["ratio_deltas"].select("model_name", "generation", "seed", "mixing_mode", "low_anchor_ratio", "high_anchor_ratio", "delta_accuracy_mean")
+
+
 def queries():
     return {name: f for name, f in globals().items() if re.match(r"[a-m]\d\d_", name)}
 
@@ -270,6 +298,13 @@ SQL = {
     "i02_run_comparison": """, g AS (SELECT seed, model_name, branch, generation, count(*) AS n, avg(is_correct::INT) AS a, avg(overall_pedagogical_score) AS p, avg(is_silent_error::INT) AS s FROM ev GROUP BY ALL)
       SELECT o.model_name, o.branch, o.generation, w.n - o.n AS delta_sample_count, w.a - o.a AS delta_accuracy_mean, w.p - o.p AS delta_pedagogical_score_mean, w.s - o.s AS delta_silent_error_rate
       FROM g AS o JOIN g AS w ON (o.model_name, o.branch, o.generation) = (w.model_name, w.branch, w.generation) AND o.seed = 211 AND w.seed = 212 AND w.generation > 0""",
+    "i05_anchoring_ratios": """SELECT l.model_name, l.generation, l.seed, 'append' AS mixing_mode, 10 AS low_anchor_ratio, 20 AS high_anchor_ratio, r.accuracy_mean - l.accuracy_mean AS delta_accuracy_mean
+      FROM lvl AS l JOIN lvl AS r ON (l.model_name, l.generation, l.seed) = (r.model_name, r.generation, r.seed) AND l.branch = 'dbr_medium' AND r.branch = 'anchor_20_append'""",
+    "i06_pvf_stress": "SELECT lvl.model_name, lvl.branch, lvl.generation, lvl.seed, sample_count, accuracy_mean, n_rows, n_kept, keep_rate FROM lvl LEFT JOIN (SELECT model_name, branch, generation, seed, count(*) AS n_rows, count(*) FILTER (kept) AS n_kept, avg(kept::INT) AS keep_rate FROM pvf GROUP BY ALL) USING (model_name, branch, generation, seed)",
+    "i08_soft_stress": "SELECT model_name, branch, generation, seed, sample_count, keep_rate, round(mean_weight, 9) AS mean_weight FROM lvl LEFT JOIN (SELECT r.model_name, r.branch, r.generation, r.seed, avg(kept::INT) AS keep_rate, avg(assigned_weight) AS mean_weight FROM soft JOIN resp AS r USING (order_id) WHERE policy_name = 'soft_pvf_medium' GROUP BY ALL) USING (model_name, branch, generation, seed)",
+    "i10_dbr_stress": "SELECT model_name, branch, generation, seed, sample_count, n_rows, n_selected, n_selected / n_rows AS selection_rate FROM lvl LEFT JOIN (SELECT model_name, branch, generation, seed, count(*) AS n_rows, count(*) FILTER (NOT defect_parse_failure) AS n_selected FROM sev GROUP BY ALL) USING (model_name, branch, generation, seed)",
+    "i12_pvr_stress": "SELECT model_name, branch, generation, seed, sample_count, n_attempted, n_attempted AS n_success, CASE WHEN n_attempted > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS success_rate FROM lvl LEFT JOIN (SELECT model_name, branch, generation, seed, count(*) FILTER (state = 'weak') AS n_attempted FROM rep GROUP BY ALL) USING (model_name, branch, generation, seed)",
+    "i14_csr_reasons": "SELECT branch, generation, no_pair_reason, count(*) AS n FROM csr WHERE no_pair_reason IS NOT NULL GROUP BY ALL",
     "j01_hash_pairs": "SELECT sha256(question || chr(10) || answer_gold || chr(10) || raw_response) AS input_key, count(*) AS n FROM resp GROUP BY 1 HAVING count(*) > 1",
     "k03_failure_budget": "SELECT user_id, count(*) FILTER (event_type = 'error') AS n_failed, count(*) FILTER (event_type = 'error') > 5 AS over_budget FROM events GROUP BY 1",
     "m04_seed_of_name": "SELECT DISTINCT 'run_dbr_seed' || seed || '_x' AS run, seed FROM resp",

@@ -14,23 +14,24 @@ import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyre.llm.common import partitions, small, written
+from gyre.llm.common import partitions, small, store, written
 
 #: Documents of a shard and keys of an index part at most, about.
 SHARD_DOCS = 65_536
 PART_KEYS = 1_000_000
 #: Words whose ids a worker remembers, and their longest length.
 WORDS_KEPT, WORD_CHARS = 300_000, 48
+#: Characters that are encoded at a time.
+SLICE_CHARS = 2_000_000
 
 #: A space after which a word cache may not cut: white space or the end follows.
 UNSAFE = re.compile(r" (?:\s|\Z)")
@@ -82,6 +83,19 @@ class Encoder:
         return out
 
 
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of many texts, in slices of some characters at a time; a null text counts as empty."""
+        part: list[str] = []
+        size = 0
+        for text in texts:
+            part.append(text or "")
+            size += len(part[-1])
+            if size >= SLICE_CHARS:
+                yield from self.encode(part)
+                part, size = [], 0
+        yield from self.encode(part)
+
+
 def id_code(vocab: int) -> str:
     """The array code of an id: two bytes where the vocabulary allows it, else four."""
     return "H" if vocab <= 1 << 16 else "I"
@@ -92,14 +106,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-@cache
-def _store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
-
-
 def _new(folder: str, name: str):
     """An output stream, and what puts its file in place."""
-    fs, root = _store(folder)
+    fs, root = store(folder)
     fs.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
     temporary = f"{root}/{name}.{uuid.uuid4().hex}.tmp"
     return fs.open_output_stream(temporary), lambda: fs.move(temporary, f"{root}/{name}")
@@ -175,9 +184,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, doc:
                 continue
             if out is None:
                 out, place = _new(folder, f"shards/{shard:06d}.ids")
-            rows = own.encode([t or "" for t in batch["text"]])
             copies, firsts, sizes = [], [], []
-            for key, ids in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), rows):
+            for key, ids in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), own.encode_all(batch["text"])):
                 copy = copy + 1 if key == last else 0
                 last = key
                 out.write(ids + end)
@@ -232,7 +240,7 @@ def look_up(keys: DataFrame, folder: str, parts: int) -> DataFrame:
     """(doc_id, copy, shard, first, n_ids) of keys (doc_id, copy), from the index files; keys that are not there are left out."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fs, root = _store(folder)
+        fs, root = store(folder)
         with fs.open_input_stream(f"{root}/index/{pdf['part'].iat[0]:06d}.npz") as raw:
             part = np.load(io.BytesIO(raw.read()))
         sizes = part["sizes"]
@@ -251,7 +259,7 @@ def read_ids(found: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """found (doc_id, copy, shard, first, n_ids) with ids_crc32 of the ids in the shard files, as unsigned 32-bit integers."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fs, root = _store(folder)
+        fs, root = store(folder)
         code = np.dtype("<u2" if encoder(tokenizer).code == "H" else "<u4")
         sums = []
         with fs.open_input_file(f"{root}/shards/{pdf['shard'].iat[0]:06d}.ids") as raw:

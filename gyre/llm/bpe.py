@@ -45,19 +45,25 @@ def pieces(text: str, size: int = LONG) -> Iterator[str]:
     yield text[start:]
 
 
+def _encoded(texts: pa.Array, own: tiktoken.Encoding, size: int) -> pa.ListArray:
+    rows = []
+    for text in texts:
+        ids: list[int] = []
+        for piece in pieces(text.as_py() or "", size):
+            ids += own.encode_ordinary(piece)
+        rows.append(np.array(ids, np.int32))
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *rows]))
+
+
+def _decoded(rows: pa.ListArray, own: tiktoken.Encoding) -> pa.Array:
+    return pa.array((None if (ids := row.as_py()) is None else own.decode_bytes(ids) for row in rows), pa.binary())
+
+
 def _encoder(ranks_path: str, pattern: str, size: int):
     @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        own = encoding(ranks_path, pattern)
-        rows = []
-        for text in texts:
-            text = text.as_py() or ""
-            ids: list[int] = []
-            for piece in pieces(text, size):
-                ids += own.encode_ordinary(piece)
-            rows.append(np.array(ids, np.int32))
-        ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-        return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *rows]))
+        return _encoded(texts, encoding(ranks_path, pattern), size)
 
     return encode
 
@@ -65,12 +71,23 @@ def _encoder(ranks_path: str, pattern: str, size: int):
 def _decoder(ranks_path: str, pattern: str):
     @arrow_udf("binary")
     def decode(rows: pa.Array) -> pa.Array:
-        own = encoding(ranks_path, pattern)
-        return pa.array([None if ids is None else own.decode_bytes(ids) for ids in (row.as_py() for row in rows)], pa.binary())
+        return _decoded(rows, encoding(ranks_path, pattern))
 
     return decode
 
 
+def _round_trip(ranks_path: str, pattern: str, size: int = LONG):
+    """Ids and what they decode to from one worker, as two functions in a row would hold two workers a task."""
+
+    @arrow_udf("ids array<int>, decoded binary")
+    def both(texts: pa.Array) -> pa.Array:
+        own = encoding(ranks_path, pattern)
+        ids = _encoded(texts, own, size)
+        return pa.StructArray.from_arrays([ids, _decoded(ids, own)], ["ids", "decoded"])
+
+    return both
+
+
 def encode(text: Column, ranks_path: str, pattern: str, size: int = LONG) -> Column:
     """Ids of each text, as array<int>: each match of `pattern` is merged by itself, and no special token is known.
 
@@ -90,5 +107,7 @@ def with_ids(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
 
     Rows are never dropped or joined; columns of these names that df already has are replaced.
     """
-    out = df.withColumn(ids, encode(F.col(text), ranks_path, pattern))
-    return out if decoded is None else out.withColumn(decoded, decode(F.col(ids), ranks_path, pattern))
+    if decoded is None:
+        return df.withColumn(ids, encode(F.col(text), ranks_path, pattern))
+    out = df.withColumn("_coded", _round_trip(ranks_path, pattern)(F.col(text)))
+    return out.withColumns({ids: F.col("_coded.ids"), decoded: F.col("_coded.decoded")}).drop("_coded")

@@ -48,9 +48,11 @@ NEAR_80 = Settings(percent=80, bands=42, rows=6)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 STEP = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
-WORDS_KEPT = 500_000
+WORDS_KEPT = 100_000
 #: Elements whose permutations are held at a time.
-ELEMENTS = 100_000
+ELEMENTS = 50_000
+#: Rows that a worker turns into sets at a time.
+SLICE = 128
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -142,8 +144,8 @@ def sketches(docs: DataFrame, settings: Settings, doc: str = "doc_id", text: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at : at + SLICE]
                 words = [word_list(t) for t in part["text"]]
                 sets = [shingles(w, settings.words) for w in words]
                 keys = band_keys(super_minhash(sets, settings.bands * settings.rows), settings)
@@ -219,8 +221,9 @@ def verified_edges(docs: DataFrame, groups: DataFrame, settings: Settings, doc:
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [shingles(word_list(t), size).view(np.int64) for t in batch.pop("text")]
-            yield batch.assign(shingles=found)
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at : at + SLICE]
+                yield part.drop(columns="text").assign(shingles=[shingles(word_list(t), size).view(np.int64) for t in part["text"]])
 
     texts = docs.select(F.col(doc).cast("long").alias("node"), F.col(text).alias("text")).join(small(tasks), "node")
     whole = texts.mapInPandas(sets, "node long, candidate long, blocks long, own long, shingles array<long>")

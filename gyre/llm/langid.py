@@ -25,6 +25,8 @@ DOCS_PER_LANGUAGE = 1_500
 MAX_LANGUAGES = 512
 #: Grams whose code lengths a worker remembers.
 REMEMBERED = 1_000_000
+#: Characters that are scored at a time, about.
+SLICE_CHARS = 250_000
 
 
 def grams(text: str) -> np.ndarray:
@@ -155,7 +157,7 @@ def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> DataF
             at = 0
             while at < len(good):
                 part, size = [], 0
-                while at < len(good) and (not part or size + len(texts.iat[good[at]]) < 1_000_000):
+                while at < len(good) and (not part or size + len(texts.iat[good[at]]) < SLICE_CHARS):
                     part.append(good[at])
                     size += len(texts.iat[good[at]])
                     at += 1

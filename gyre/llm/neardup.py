@@ -257,7 +257,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = NEAR_85, doc: str = "d
     links = verified_edges(docs, groups, settings, doc, text)
     same_id = sketch.filter("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     by_id = sketch.join(small(same_id.select("doc_id")), "doc_id").join(copies.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    found = written(components(links.union(by_id), "links"), "components")
+    links = written(links.union(by_id), "confirmed")  # in a stage of its own, or a task would hold two workers
+    found = written(components(links, "links"), "components")
     repeated = copies.filter("n > 1").select("digest", "node")
     out = sketch.select("doc_id", "n_shingles", "digest").join(small(repeated, 500_000), "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")).join(small(found), "node", "left")

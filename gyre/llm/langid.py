@@ -169,4 +169,5 @@ def predicted(docs: DataFrame, model: Model | None, text: str = "text") -> DataF
                     out[i] = (own.languages[best], float(share), float(bits[best] / n))
         return pd.DataFrame(out, columns=["lang_pred", "score", "bits_per_byte"])
 
-    return docs.withColumn("_said", run(F.col(text))).withColumns({name: F.col(f"_said.{name}") for name in ("lang_pred", "score", "bits_per_byte")}).drop("_said")
+    # Not deterministic in name only: else a filter on the result is pushed below it, and every text is scored twice.
+    return docs.withColumn("_said", run.asNondeterministic()(F.col(text))).withColumns({name: F.col(f"_said.{name}") for name in ("lang_pred", "score", "bits_per_byte")}).drop("_said")

@@ -87,7 +87,8 @@ def _permuted_column(at: Column, size: Column, key: Column) -> Column:
     def run(at: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
         return pd.Series(permuted(at.to_numpy(), size.to_numpy(), key.to_numpy()))
 
-    return run(at, size, key)
+    # Not deterministic in name only: else the join's test for nulls is pushed below it, and each place is computed twice.
+    return run.asNondeterministic()(at, size, key)
 
 
 def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from gyre.llm.common import sliced
+
 #: Texts of more characters than this are cut into pieces of about this size.
 LONG = 65_536
 
@@ -62,16 +64,20 @@ def _decoded(rows: pa.ListArray, own: tiktoken.Encoding) -> pa.Array:
 
 def _encoder(ranks_path: str, pattern: str, size: int):
     @arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        return _encoded(texts, encoding(ranks_path, pattern), size)
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = encoding(ranks_path, pattern)
+        for texts in sliced(batches):
+            yield _encoded(texts, own, size)
 
     return encode
 
 
 def _decoder(ranks_path: str, pattern: str):
     @arrow_udf("binary")
-    def decode(rows: pa.Array) -> pa.Array:
-        return _decoded(rows, encoding(ranks_path, pattern))
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = encoding(ranks_path, pattern)
+        for rows in sliced(batches):
+            yield _decoded(rows, own)
 
     return decode
 
@@ -80,10 +86,11 @@ def _round_trip(ranks_path: str, pattern: str, size: int = LONG):
     """Ids and what they decode to from one worker, as two functions in a row would hold two workers a task."""
 
     @arrow_udf("ids array<int>, decoded binary")
-    def both(texts: pa.Array) -> pa.Array:
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoding(ranks_path, pattern)
-        ids = _encoded(texts, own, size)
-        return pa.StructArray.from_arrays([ids, _decoded(ids, own)], ["ids", "decoded"])
+        for texts in sliced(batches):
+            ids = _encoded(texts, own, size)
+            yield pa.StructArray.from_arrays([ids, _decoded(ids, own)], ["ids", "decoded"])
 
     return both
 

@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyre.llm.common import small, written
+from gyre.llm.common import sliced, small, written
 from gyre.llm.components import UnionFind, components
 
 
@@ -142,21 +143,19 @@ def band_keys(signature: np.ndarray, settings: Settings) -> np.ndarray:
 def sketches(docs: DataFrame, settings: Settings, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, digest, n_shingles, bands) of each row.  Without words: null digest and bands, 0 shingles."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.iloc[at : at + SLICE]
-                words = [word_list(t) for t in part["text"]]
-                sets = [shingles(w, settings.words) for w in words]
-                keys = band_keys(super_minhash(sets, settings.bands * settings.rows), settings)
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(),
-                    "digest": [hashlib.sha256(b" ".join(w)).digest() if w else None for w in words],
-                    "n_shingles": [len(s) for s in sets],
-                    "bands": [k if len(s) else None for k, s in zip(keys, sets)],
-                })
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, SLICE):
+            words = [word_list(t) for t in part["text"].to_pylist()]
+            sets = [shingles(w, settings.words) for w in words]
+            keys = band_keys(super_minhash(sets, settings.bands * settings.rows), settings)
+            yield pa.record_batch({
+                "doc_id": part["doc_id"],
+                "digest": pa.array([hashlib.sha256(b" ".join(w)).digest() if w else None for w in words], pa.binary()),
+                "n_shingles": pa.array(map(len, sets), pa.int64()),
+                "bands": pa.array([k if len(s) else None for k, s in zip(keys, sets)], pa.list_(pa.int64())),
+            })
 
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, digest binary, n_shingles long, bands array<long>")
+    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, digest binary, n_shingles long, bands array<long>")
 
 
 def candidate_edges(nodes: DataFrame) -> DataFrame:
@@ -219,14 +218,14 @@ def verified_edges(docs: DataFrame, groups: DataFrame, settings: Settings, doc:
     tasks = written(tasks, "tasks")
     size = settings.words
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                part = batch.iloc[at : at + SLICE]
-                yield part.drop(columns="text").assign(shingles=[shingles(word_list(t), size).view(np.int64) for t in part["text"]])
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, SLICE):
+            found = [shingles(word_list(t), size).view(np.int64) for t in part["text"].to_pylist()]
+            kept = {name: part[name] for name in ("node", "candidate", "blocks", "own")}
+            yield pa.record_batch(kept | {"shingles": pa.array(found, pa.list_(pa.int64()))})
 
     texts = docs.select(F.col(doc).cast("long").alias("node"), F.col(text).alias("text")).join(small(tasks), "node")
-    whole = texts.mapInPandas(sets, "node long, candidate long, blocks long, own long, shingles array<long>")
+    whole = texts.mapInArrow(sets, "node long, candidate long, blocks long, own long, shingles array<long>")
     alone = F.col("blocks") == 1
     whole = whole.withColumn("other", F.explode(F.when(alone, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
     whole = whole.select(

@@ -1,37 +1,43 @@
 """Documents scored by the difference of two language models: one of a target set, one of the background.
 
-Both are word bigram models with the same smoothing, over the same vocabulary: VOCABULARY classes of lower-cased
-words, by hash, so the tables are of one fixed size however much text is counted.  Counts cover every document.
+Both are word bigram models with the same smoothing, over the same vocabulary: every lower-cased word of the documents.
+Words and pairs of words are counted each for itself, under 64-bit keys, in a table that grows with the corpus and lies
+in buckets, by ranges of keys.  Scoring goes by blocks of documents: a block asks each bucket for the counts of the
+distinct keys it holds, so that no task has more than a bucket or a block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import pyarrow.parquet
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gyre.llm.common import new_folder, small, store
+from gyre.llm.common import new_folder, small, store, written
 
-#: Classes of words, and of pairs of them.
-VOCABULARY, PAIRS = 1 << 16, 1 << 20
+#: Words that a unigram leaves room for at least; a corpus with more has room for all of its own.  Also the key of the mark before a text.
+VOCABULARY = 1 << 16
 #: The weight of the unigram in a bigram's probability, in observations.
 PRIOR = 8.0
 WORDS_KEPT = 500_000
+#: Bytes of text of a block, and characters of the corpus for each bucket of the table.
+BLOCK, BUCKET = 8 << 20, 16 << 20
 
 
 class WordIds(dict):
-    """The class of each word; a bounded number of words is remembered."""
+    """The key of each word, an odd number; a bounded number of words is remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word) & (VOCABULARY - 1)
+        value = xxhash.xxh3_64_intdigest(word) | 1
         if len(self) < WORDS_KEPT:
             self[word] = value
         return value
@@ -41,77 +47,153 @@ _ids = WordIds()
 
 
 def tokens(text: str | None) -> np.ndarray:
-    """Classes of a text's words, A-Z lower-cased; a null text has none."""
+    """Keys of a text's words, A-Z lower-cased; a null text has none."""
     words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_ids.__getitem__, words), np.int64, len(words))
+    return np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words)).view(np.int64)
+
+
+def _stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
 def pairs(ids: np.ndarray) -> np.ndarray:
-    """The class of each word with the one before it; the first word stands after a mark of its own."""
-    before = np.concatenate([[VOCABULARY], ids[:-1]]).astype(np.uint64)
-    x = (before * np.uint64(0x9E3779B97F4A7C15) ^ ids.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - 20)).astype(np.int64)
+    """The key, an even number, of each word with the one before it; the first word stands after a mark of its own."""
+    ids = np.asarray(ids, np.int64)
+    before = np.concatenate([[VOCABULARY], ids[:-1]]).astype(np.int64).view(np.uint64)
+    x = _stirred(_stirred(before + np.uint64(0x9E3779B97F4A7C15)) ^ ids.view(np.uint64))
+    return (x & ~np.uint64(1)).view(np.int64)
 
 
-assert PAIRS == 1 << 20, "pairs() keeps 20 bits"
+def _keys(found: list[np.ndarray]) -> np.ndarray:
+    """All keys that the texts of these tokens count under: words, a mark for each text, pairs."""
+    found = [ids for ids in found if len(ids)]
+    return np.concatenate([np.empty(0, np.int64), *found, np.full(len(found), VOCABULARY), *map(pairs, found)]).view(np.uint64)
 
 
-def counts(docs: DataFrame, target: str = "target", text: str = "text") -> DataFrame:
-    """(slot, n_background, n_target) over all of docs: words first, then texts (slot VOCABULARY), then pairs.
+def _cuts(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the buckets that sorted keys fall in."""
+    at = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    found, start = np.unique(at, return_index=True)
+    return list(zip(found.tolist(), start.tolist(), [*start[1:].tolist(), len(keys)]))
 
-    Every row counts for the background, rows whose `target` is true for the target as well.  Each task adds up what it
-    reads and sends one row for each slot that it met.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = VOCABULARY + 1 + PAIRS
-        sums = np.zeros((2, size), np.int64)
-        for batch in batches:
-            for wanted in (False, True):
-                parts = [tokens(t) for t in batch["text"][batch["target"] == wanted]]
-                parts = [p for p in parts if len(p)]
-                if parts:
-                    slots = np.concatenate([*parts, np.full(len(parts), VOCABULARY), *[VOCABULARY + 1 + pairs(p) for p in parts]])
-                    sums[int(wanted)] += np.bincount(slots, minlength=size)
-        met = np.flatnonzero(sums.any(axis=0))
-        for part in np.array_split(met, max(1, len(met) // 100_000)):
-            yield pd.DataFrame({"slot": part, "n_background": sums[0][part] + sums[1][part], "n_target": sums[1][part]})
+def _packed(x: np.ndarray) -> bytes:
+    """x byte by byte of its numbers, all first bytes and so on, so that equal high bytes stand together for the codecs of Spark."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
-    rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target"))
-    rows = rows.mapInPandas(run, "slot int, n_background long, n_target long")
-    return rows.groupBy("slot").agg(F.sum("n_background").alias("n_background"), F.sum("n_target").alias("n_target"))
+
+def _unpacked(raw: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(raw, np.uint64), dtype=np.uint64)
 
 
-class Model:
-    """A bigram model with a Dirichlet prior of the unigram, which has one more observation of each class."""
+def counts(docs: DataFrame, buckets: int, target: str = "target", text: str = "text") -> DataFrame:
+    """(bucket, keys, n_background, n_target, n_words, background_words, target_words) over all of docs, one row a bucket.
 
-    def __init__(self, slots: np.ndarray, n: np.ndarray) -> None:
-        full = np.zeros(VOCABULARY + 1 + PAIRS, np.float32)
-        full[slots] = n
-        words = full[:VOCABULARY].astype(np.float64)
-        self.unigram = ((words + 1) / (words.sum() + VOCABULARY)).astype(np.float32)
-        self.before, self.pair = full[: VOCABULARY + 1], full[VOCABULARY + 1 :]
+    Every row counts for the background, rows whose `target` is true for the target as well.  keys are sorted; n_words
+    tells how many of them are words, the last two how often those stand.  Tasks add up BLOCK bytes at a time.
+    """
+
+    def summed(found: list[np.ndarray], wanted: list[bool]) -> Iterator[pd.DataFrame]:
+        keys, n = np.unique(_keys(found), return_counts=True)
+        some, m = np.unique(_keys([x for x, w in zip(found, wanted) if w]), return_counts=True)
+        inside = np.zeros(len(keys), np.uint32)
+        inside[np.searchsorted(keys, some)] = m
+        n = n.astype(np.uint32)
+        rows = [(b, _packed_keys(keys[i:j]), _packed(n[i:j]), _packed(inside[i:j])) for b, i, j in _cuts(keys, buckets)]
+        yield pd.DataFrame(rows, columns=["bucket", "keys", "n_background", "n_target"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, wanted, held = [], [], 0
+        for batch in batches:
+            for t, w in zip(batch["text"], batch["target"]):
+                ids = tokens(t)
+                found.append(ids)
+                wanted.append(bool(w))
+                held += len(t or "")
+                if held >= BLOCK:
+                    yield from summed(found, wanted)
+                    found, wanted, held = [], [], 0
+        if found:
+            yield from summed(found, wanted)
+
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        every, at = np.unique(np.concatenate([_unpacked_keys(x) for x in group["keys"]]), return_inverse=True)
+        n, m = (np.bincount(at, np.concatenate([_unpacked(x, np.uint32) for x in group[c]]), len(every)).astype(np.int64) for c in ("n_background", "n_target"))
+        word = (every & np.uint64(1)).astype(bool)
+        row = (group["bucket"].iloc[0], _packed_keys(every), _packed(n), _packed(m), int(word.sum()), int(n[word].sum()), int(m[word].sum()))
+        return pd.DataFrame([row], columns=["bucket", "keys", "n_background", "n_target", "n_words", "background_words", "target_words"])
 
-    def loss(self, ids: np.ndarray, pair: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Bits of each token after the one before it."""
-        return -np.log2((self.pair[pair] + PRIOR * self.unigram[ids]) / (self.before[before] + PRIOR))
+    rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target"))
+    rows = rows.mapInPandas(run, "bucket int, keys binary, n_background binary, n_target binary")
+    return rows.groupBy("bucket").applyInPandas(merged, "bucket int, keys binary, n_background binary, n_target binary, n_words long, background_words long, target_words long")
 
 
 def fit(docs: DataFrame, target: str = "target", text: str = "text") -> str:
-    """Counts docs and returns the folder of the counts: at most VOCABULARY + 1 + PAIRS rows, which no driver gathers."""
+    """Counts docs and returns the folder of the counts, which has a folder for each bucket."""
     folder = new_folder(docs.sparkSession, "language-models")
-    counts(docs, target, text).coalesce(4).write.parquet(folder)
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    buckets = max(8, chars // BUCKET)
+    table = counts(docs, buckets, target, text).withColumns({"buckets": F.lit(buckets), "part": F.col("bucket")})
+    table.write.partitionBy("part").parquet(folder)
     return folder
 
 
-@cache
-def models(folder: str) -> tuple[Model, Model]:
-    """The target's and the background's model of a folder of counts, once in each worker."""
+def _read(folder: str, columns: list[str]) -> pa.Table | None:
+    """The rows of a folder of Parquet files, read by a worker; None if there is no such folder."""
     fs, root = store(folder)
-    files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(root)) if f.path.endswith(".parquet")]
-    found = pa.concat_tables([pyarrow.parquet.read_table(f, filesystem=fs) for f in sorted(files)])
-    slots = found["slot"].to_numpy()
-    return Model(slots, found["n_target"].to_numpy()), Model(slots, found["n_background"].to_numpy())
+    found = fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
+    files = sorted(f.path for f in found if f.path.endswith(".parquet"))
+    if not files:
+        return None
+    parts = []
+    for f in files:
+        with fs.open_input_file(f) as source:
+            parts.append(pyarrow.parquet.ParquetFile(source).read(columns))
+    return pa.concat_tables(parts)
+
+
+def _blocks(docs: DataFrame, text: str) -> DataFrame:
+    """(block, rows): the rows of docs as Arrow streams, each with BLOCK bytes of text or a single row more."""
+    names, place = docs.columns, docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, parts = TaskContext.get().partitionId() << 33, 0, []
+
+        def full() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
+                for part in parts:
+                    stream.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
+
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = 0
+            while at < batch.num_rows:
+                take = int(np.searchsorted(np.cumsum(size[at:]), BLOCK - held)) + 1
+                part = batch.slice(at, take)
+                parts.append(part)
+                held += int(size[at : at + take].sum())
+                at += part.num_rows
+                if held >= BLOCK:
+                    yield full()
+                    block, held, parts = block + 1, 0, []
+        if parts:
+            yield full()
+
+    return written(docs.select(*names).mapInArrow(run, "block long, rows binary"), "blocks")
 
 
 def scored(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
@@ -120,23 +202,71 @@ def scored(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
     folder: what fit() returned.  Texts without words, and null texts, have 0 tokens and nulls.  No row is dropped; columns of
     these names are replaced.
     """
+    spark = docs.sparkSession
     names = ("n_tokens", "target_loss", "background_loss", "score")
-
-    @F.pandas_udf("n_tokens long, target_loss double, background_loss double, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        target, background = models(folder)
+    schema = "bucket int, n_words long, background_words long, target_words long, buckets long"
+    sums = spark.read.schema(schema).parquet(folder).agg(F.max("buckets"), F.sum("n_words"), F.sum("background_words"), F.sum("target_words")).first()
+    buckets, vocabulary, n_background, n_target = (x or 0 for x in sums)
+    buckets, vocabulary = max(1, buckets), max(VOCABULARY, vocabulary)
+    docs = docs.drop(*names)
+    blocks = _blocks(docs, text)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows in zip(batch.column(0), batch.column(1)):
+                keys = np.unique(_keys([tokens(t.as_py()) for t in pa.ipc.open_stream(rows.as_buffer()).read_all()[text]]))
+                rows = [(block.as_py(), b, _packed_keys(keys[i:j])) for b, i, j in _cuts(keys, buckets)]
+                yield pa.RecordBatch.from_pylist([dict(zip(("block", "bucket", "keys"), r)) for r in rows], pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary())]))
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        table = _read(f"{folder}/part={group['bucket'].iloc[0]}", ["keys", "n_background", "n_target"])
+        known = [np.empty(0, t) for t in (np.uint64, np.int64, np.int64)]
+        if table is not None:
+            known = [_unpacked_keys(table["keys"][0].as_py()), *[_unpacked(table[c][0].as_py(), np.int64) for c in ("n_background", "n_target")]]
         rows = []
-        for text in texts:
-            ids = tokens(text)
-            if not len(ids):
-                rows.append((0, None, None, None))
-                continue
-            pair, before = pairs(ids), np.concatenate([[VOCABULARY], ids[:-1]])
-            inside, outside = target.loss(ids, pair, before), background.loss(ids, pair, before)
-            rows.append((len(ids), float(inside.mean(dtype=np.float64)), float(outside.mean(dtype=np.float64)), float((inside - outside).mean(dtype=np.float64))))
-        return pd.DataFrame(rows, columns=list(names))
-
-    return docs.withColumn("_loss", run(F.col(text))).withColumns({name: F.col(f"_loss.{name}") for name in names}).drop("_loss")
+        for block, bucket, raw in zip(group["block"], group["bucket"], group["keys"]):
+            keys = _unpacked_keys(raw)
+            n = np.zeros((2, len(keys)), np.int64)
+            if len(known[0]):
+                at = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
+                n = np.where(known[0][at] == keys, np.stack([known[1][at], known[2][at]]), 0)
+            rows.append((block, bucket, _packed(n[0]), _packed(n[1])))
+        return pd.DataFrame(rows, columns=["block", "bucket", "n_background", "n_target"])
+
+    asked = blocks.mapInArrow(ask, "block long, bucket int, keys binary")
+    answers = new_folder(spark, "answers")
+    told = asked.groupBy("bucket").applyInPandas(answer, "block long, bucket int, n_background binary, n_target binary")
+    told.withColumn("part", F.col("block")).repartition("part").write.partitionBy("part").parquet(answers)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows in zip(batch.column(0), batch.column(1)):
+                rows = pa.ipc.open_stream(rows.as_buffer()).read_all().combine_chunks()
+                found = [tokens(t.as_py()) for t in rows[text]]
+                keys = np.unique(_keys(found))
+                counted = np.zeros((2, len(keys)), np.int64)
+                table = _read(f"{answers}/part={block.as_py()}", ["bucket", "n_background", "n_target"])
+                if table is not None:
+                    table = table.sort_by("bucket")
+                    counted = np.stack([np.concatenate([_unpacked(x, np.int64) for x in table[c].to_pylist()]) for c in ("n_background", "n_target")])
+                out = []
+                for ids in found:
+                    if not len(ids):
+                        out.append((0, None, None, None))
+                        continue
+                    this, last, pair = (np.searchsorted(keys, x.view(np.uint64)) for x in (ids, np.concatenate([[VOCABULARY], ids[:-1]]).astype(np.int64), pairs(ids)))
+                    loss = []
+                    for n, total in zip(counted, (n_background, n_target)):
+                        unigram = (n[this] + 1) / (total + vocabulary)
+                        loss.append(float(-np.log2((n[pair] + PRIOR * unigram) / (n[last] + PRIOR)).mean()))
+                    out.append((len(ids), loss[1], loss[0], loss[1] - loss[0]))
+                more = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), *[pa.float64()] * 3))]
+                for name, column in zip(names, more):
+                    rows = rows.append_column(name, column)
+                yield from rows.to_batches()
+
+    types = (T.LongType(), *[T.DoubleType()] * 3)
+    return blocks.mapInArrow(score, T.StructType([*docs.schema, *[T.StructField(n, t) for n, t in zip(names, types)]]))
 
 
 def with_target(docs: DataFrame, labels: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -233,3 +233,16 @@ def test_perspectives_of_odd_conversations(spark):
     for r in out:
         assert sum(r["text"][s["start"] : s["end"]].count("<|end|>") for s in r["spans"]) == r["n_target_turns"]
     assert chat.perspectives(turns.limit(0)).count() == 0
+
+
+def test_lm_counts_words_and_pairs_each_for_itself(spark):
+    """200,000 words, more than any fixed number of classes up to 2^16, and as many pairs: no text has another's counts."""
+    texts = [" ".join(f"w{i}" for i in range(at, at + 1_000)) for at in range(0, 200_000, 1_000)]
+    docs = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "doc_id long, text string, target boolean")
+    rows = lmscore.scored(docs, lmscore.fit(docs)).collect()
+    assert len(rows) == 200
+    for r in rows:
+        for total, loss, n in ((200_000, r["background_loss"], 1), (100_000, r["target_loss"], int(r["target"]))):
+            pair = n + lmscore.PRIOR * (n + 1) / (total + 200_000)
+            want = (-999 * math.log2(pair / (n + lmscore.PRIOR)) - math.log2(pair / (total / 1_000 + lmscore.PRIOR))) / 1_000
+            assert loss == pytest.approx(want, abs=1e-9)

@@ -165,6 +165,17 @@ def mixture(rows: DataFrame, sources: DataFrame, mix: Mix) -> DataFrame:
     return taken.select("shard", "slot", "sid", "block", "doc_id", "start", "from", F.least("to", "words").alias("to"))
 
 
+def _mixed(docs: DataFrame, mix: Mix, doc: str, text: str, source: str) -> DataFrame:
+    """What mixed() returns, with the number of the source, sid."""
+    sizes = written(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")), "sizes")
+    sources = written(targets(sizes, mix), "sources")
+    rows = written(laid_out(sizes, sources), "laid")
+    taken = mixture(rows, sources, mix).groupBy("sid", "start").agg(F.sum(F.col("to") - F.col("from")).alias("words"))
+    taken = taken.select(F.col("sid").alias("_sid"), F.col("start").alias("_start"), "words")
+    out = rows.join(taken, (F.col("sid") == F.col("_sid")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
+    return out.select("doc_id", "sid", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+
+
 def mixed(docs: DataFrame, mix: Mix = Mix(), doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of docs: how many of its words the mix takes.
 
@@ -172,22 +183,42 @@ def mixed(docs: DataFrame, mix: Mix = Mix(), doc: str = "doc_id", text: str = "t
     own and sorts last.  Rows that share a doc_id are documents of their own.  Reruns give the same rows.
     An empty table, and one without words, give targets and counts of 0.
     """
-    sizes = written(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size")), "sizes")
-    sources = written(targets(sizes, mix), "sources")
-    rows = written(laid_out(sizes, sources), "laid")
-    taken = mixture(rows, sources, mix).groupBy("sid", "start").agg(F.sum(F.col("to") - F.col("from")).alias("words"))
-    taken = taken.select(F.col("sid").alias("_sid"), F.col("start").alias("_start"), "words")
-    out = rows.join(taken, (F.col("sid") == F.col("_sid")) & (F.col("start") == F.col("_start")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+    return _mixed(docs, mix, doc, text, source).drop("sid")
+
+
+def _settled(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (doc_id, sid, size, taken, low, times) with the times of some documents one more or one less.
+
+    Times are rounded document by document, which long documents of a source do all alike.  A source whose words then
+    differ from those taken by more than its longest document is settled: of its documents rounded the other way,
+    so many are changed, by a hash of doc_id, that it differs by half a document at most.  Running sums are taken in
+    hash buckets of a source, then over its buckets.
+    """
+    gap = F.sum(F.col("taken") - F.col("times") * F.col("size"))
+    gaps = rows.groupBy("sid").agg(gap.alias("gap"), F.max("size").alias("longest")).filter("abs(gap) > longest").select("sid", "gap")
+    gaps = written(gaps, "gaps")
+    buckets = max(1, min(1 << 16, rows.count() // 2_000))
+    some = rows.join(small(gaps), "sid").filter("IF(gap > 0, times = low AND taken > low * size, times > low)")
+    some = some.withColumn("hash", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.pmod("hash", F.lit(buckets)))
+    place = Window.partitionBy("sid", "bucket").orderBy("hash", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    some = written(some.select("doc_id", "sid", "bucket", "size", "gap", (F.sum("size").over(place) - F.col("size")).alias("start")), "settling")
+    before = F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    sums = written(some.groupBy("sid", "bucket").agg(F.sum("size").alias("n")).select("sid", "bucket", before.alias("before")), "sums")
+    chosen = some.join(small(sums), ["sid", "bucket"]).filter("2 * (before + start) + size <= 2 * abs(gap)")
+    chosen = written(chosen.select("doc_id", F.signum("gap").cast("int").alias("change")), "changes")
+    return rows.join(small(chosen), "doc_id", "left").withColumn("times", F.col("times") + F.coalesce("change", F.lit(0))).drop("change")
 
 
 def resampled(docs: DataFrame, mix: Mix = Mix(), doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs as the mix takes them, in whole documents: each stands as often as the mix takes its words, rounded.
 
-    A row is left out where the mix takes under half of its words, and stands twice from one and a half times on.
-    Rows without a doc_id stand once.
+    A row is left out where the mix takes under half of its words, and stands twice from one and a half times on, but
+    for those that _settled() changes: the words of each source meet its target to its longest document.
+    Rows without a doc_id stand once.  Rows that share one stand alike, and count for the first of their sources.
     """
-    times = mixed(docs, mix, doc, text, source).filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_doc")).agg(F.floor(F.coalesce(F.try_divide(F.sum("taken"), F.sum("size")), F.lit(0.0)) + 0.5).cast("int").alias("_times"))
-    times = written(times, "times").filter("_times <> 1")
+    rows = _mixed(docs, mix, doc, text, source).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sid").alias("sid"), F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    share = F.coalesce(F.try_divide("taken", "size"), F.lit(0.0))
+    rows = written(rows.withColumns({"low": F.floor(share).cast("int"), "times": F.floor(share + 0.5).cast("int")}), "rounded")
+    times = written(_settled(rows, mix.seed).select(F.col("doc_id").alias("_doc"), F.col("times").alias("_times")), "times").filter("_times <> 1")
     out = docs.join(small(times), F.col(doc) == F.col("_doc"), "left")
     return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("_times", F.lit(1))))).drop("_doc", "_times", "_copy")

@@ -246,3 +246,15 @@ def test_lm_counts_words_and_pairs_each_for_itself(spark):
             pair = n + lmscore.PRIOR * (n + 1) / (total + 200_000)
             want = (-999 * math.log2(pair / (n + lmscore.PRIOR)) - math.log2(pair / (total / 1_000 + lmscore.PRIOR))) / 1_000
             assert loss == pytest.approx(want, abs=1e-9)
+
+
+def test_resampled_long_documents_meet_their_targets(spark):
+    """Documents of about three blocks, whose shares all round alike."""
+    rows = [(i, f"s{i % 3}", "word " * (2_900 + i)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    size, words = Counter(), Counter()
+    for _, s, t in rows:
+        size[s] += t.count(" ")
+    for r in mixing.resampled(docs).collect():
+        words[r["source"]] += r["text"].count(" ")
+    assert all(abs(words[s] - n) <= 3_019 for s, n in water_fill(size).items())

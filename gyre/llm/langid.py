@@ -125,15 +125,17 @@ class Model:
 def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text", per_language: int = DOCS_PER_LANGUAGE) -> Model | None:
     """A model of the languages in the rows where `learn` holds; None if they name no language.
 
-    About `per_language` documents of each language are learnt, chosen by a hash of their texts: this bounds the
+    About `per_language` distinct texts of each language are learnt, chosen by their hash: this bounds the
     statistics, which the driver gathers, by that number times the length of a text.
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), learn.alias("learn")).filter("learn AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("docs"))
+    kinds = rows.select("lang", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).distinct()
+    sizes = kinds.groupBy("lang").agg(F.count("*").alias("docs"))
     if sizes.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; pass a cleaner column")
     unit = (F.shiftrightunsigned(F.xxhash64("text"), 11).cast("double")) / float(1 << 53)
-    counts = gram_counts(rows.join(small(sizes), "lang").filter(unit * F.col("docs") < per_language)).toPandas()
+    chosen = rows.join(small(sizes), "lang").filter(unit * F.col("docs") < per_language).dropDuplicates(["lang", "text"])
+    counts = gram_counts(chosen).toPandas()
     return Model(counts) if len(counts) else None
 
 

@@ -258,3 +258,12 @@ def test_resampled_long_documents_meet_their_targets(spark):
     for r in mixing.resampled(docs).collect():
         words[r["source"]] += r["text"].count(" ")
     assert all(abs(words[s] - n) <= 3_019 for s, n in water_fill(size).items())
+
+
+def test_a_language_of_copies_is_learnt(spark):
+    """The hash of the copied text is over a tenth of the range, so that it is not drawn as one of 50 rows for 5."""
+    found = spark.range(50).select(F.concat(F.lit("kopierter satz "), F.col("id").cast("string")).alias("text")).filter("shiftrightunsigned(xxhash64(text), 60) > 2").first()["text"]
+    rows = [(found, "xx")] * 50 + [(f"another sentence {i}", "yy") for i in range(4)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.fit(docs, F.lit(True), per_language=5)
+    assert {r["lang_pred"] for r in langid.predicted(docs.filter("lang = 'xx'"), model).collect()} == {"xx"}

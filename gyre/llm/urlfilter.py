@@ -60,10 +60,17 @@ def rule_for(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) ->
     return chain
 
 
+def grams_of(text: Column, n: int) -> Column:
+    """All character n-grams of a text, each led by n; none of a shorter text."""
+    places = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    found = F.transform(places, lambda at: F.concat(F.lit(str(n)), F.substring(text, at, F.lit(n))))
+    return F.when(F.length(text) >= n, found).otherwise(F.array().cast("array<string>"))
+
+
 def grams(text: Column, sizes: tuple[int, ...] = SIZES) -> Column:
-    """All character n-grams of a text between two marks, each led by its size."""
+    """The n-grams of these sizes of a text between two marks."""
     marked = F.concat(F.lit("^"), text, F.lit("$"))
-    return F.flatten(F.array(*[F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i, n=n: F.concat(F.lit(str(n)), F.substring(marked, i, F.lit(n))))).otherwise(F.array().cast("array<string>")) for n in sizes]))
+    return F.flatten(F.array(*[grams_of(marked, n) for n in sizes]))
 
 
 def labelled(urls: DataFrame, rules: tuple[UrlRule, ...] = RULES, rows: int = TRAIN_ROWS, url: str = "url") -> DataFrame:

@@ -97,6 +97,14 @@ def test_url_model_learns_its_labels(spark, sf_dir):
     assert len(rows) > 20 and sum(r["truth"] == r["verdict"] for r in rows) > 0.9 * len(rows)
 
 
+def test_grams_are_all_runs_of_characters(spark):
+    texts = ["abcdef", "", "a", "ab", "blog.example.net/en/1", "日本語/テ"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", urlfilter.grams(F.col("t")).alias("g")).collect()
+    for r in rows:
+        marked = f"^{r['t']}$"
+        assert r["g"] == [f"{n}{marked[i : i + n]}" for n in urlfilter.SIZES for i in range(len(marked) - n + 1)]
+
+
 def test_lm_scores_match_a_plain_count(spark, sf_dir):
     docs = lmscore.with_target(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     docs = docs.unionByName(odd_docs(spark).select("doc_id", "text").withColumn("target", F.lit(False)))

@@ -20,7 +20,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyre.llm.common import partitions, small, store, written
@@ -30,11 +30,17 @@ SHARD_DOCS = 65_536
 PART_KEYS = 1_000_000
 #: Words whose ids a worker remembers, and their longest length.
 WORDS_KEPT, WORD_CHARS = 300_000, 48
-#: Characters that are encoded at a time.
+#: Characters that are encoded at a time; longer texts are cut.
 SLICE_CHARS = 2_000_000
+#: Ids that are read at a time, at most.
+READ_IDS = 4_000_000
+#: New words that the library gets as one text.
+JOINED = 64
 
 #: A space after which a word cache may not cut: white space or the end follows.
 UNSAFE = re.compile(r" (?:\s|\Z)")
+#: A space between two letters: no match of a byte-level tokenizer goes on before it.
+SAFE = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 
 
 class Encoder:
@@ -42,7 +48,7 @@ class Encoder:
 
     A byte-level tokenizer without a normaliser splits every text between a non-space and ` x`, x no white space,
     so words keep their ids wherever they stand.  Their ids come from the library once and are then remembered.  Texts
-    with other white space after a space, and other tokenizers, go to the library whole.
+    with other white space after a space, texts that name an added token, and other tokenizers go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,47 +58,87 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
+        self.model = self.own.model
         config = json.loads(self.own.to_str())
-        split = config["pre_tokenizer"] or {}
-        self.by_word = config["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
+        split, added = config["pre_tokenizer"] or {}, config["added_tokens"]
+        self.added = [token["content"] for token in added]
+        simple = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
+        self.by_word = simple and config["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
         self.code = id_code(self.own.get_vocab_size())
         self.words: dict[str, bytes] = {}
+        #: Whether an id's token begins with a space, which a byte-level vocabulary writes as one letter.
+        self.begins = np.zeros(self.own.get_vocab_size(), bool)
+        self.begins[[i for token, i in self.own.get_vocab().items() if token.startswith("\u0120")]] = True
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def new_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each of some words after a space.
+
+        Plain letters after a space are one match of a byte-level tokenizer, so the library's model gets them alone.
+        Of the others, JOINED are one text, whose ids are cut where tokens begin with a space.
+        """
+        code, tokenize, width = self.code, self.model.tokenize, array(self.code).itemsize
+        found, others = {}, []
+        for word in words:
+            if word.isascii() and word.isalpha():
+                found[word] = array(code, [t.id for t in tokenize("\u0120" + word)]).tobytes()
+            else:
+                others.append(word)
+        groups = [others[at : at + JOINED] for at in range(0, len(others), JOINED)]
+        for group, raw in zip(groups, self.library([" " + " ".join(group) for group in groups])):
+            at = np.flatnonzero(self.begins[np.frombuffer(raw, f"u{width}")]) * width
+            found.update(zip(group, map(raw.__getitem__, map(slice, at.tolist(), [*at[1:].tolist(), len(raw)]))))
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        words, rows, whole = self.words, [], []
+        words, rows, whole, new = self.words, [], [], {}
         for at, text in enumerate(texts):
-            if self.by_word and not UNSAFE.search(text):
+            if self.by_word and not UNSAFE.search(text) and not any(token in text for token in self.added):
                 first, *rest = text.split(" ")
-                rows.append((at, first, rest))
+                ids = list(map(words.get, rest))
+                gaps = [] if all(ids) else [i for i, known in enumerate(ids) if known is None]
+                new.update((rest[i], None) for i in gaps)
+                rows.append((at, first, rest, ids, gaps))
             else:
                 whole.append(at)
-        new = list({w for _, _, rest in rows for w in rest} - words.keys())
-        found = dict(zip(new, self.library([" " + w for w in new])))
+        new = self.new_words(list(new))
         out: list[bytes] = [b""] * len(texts)
-        starts = self.library([first for _, first, _ in rows])
-        for (at, _, rest), start in zip(rows, starts):
-            out[at] = start + b"".join([words[w] if w in words else found[w] for w in rest])
+        starts = self.library([row[1] for row in rows])
+        for (at, _, rest, ids, gaps), start in zip(rows, starts):
+            for i in gaps:
+                ids[i] = new[rest[i]]
+            out[at] = start + b"".join(ids)
         for at, ids in zip(whole, self.library([texts[at] for at in whole])):
             out[at] = ids
         if len(words) < WORDS_KEPT:
-            words.update((w, ids) for w, ids in found.items() if len(w) <= WORD_CHARS)
+            words.update((word, ids) for word, ids in new.items() if len(word) <= WORD_CHARS)
         return out
 
+    def pieces(self, text: str, size: int = SLICE_CHARS) -> Iterator[str]:
+        """text in pieces of `size` characters or more, cut before spaces between two letters; whole if it has none, or may not be cut."""
+        start = 0
+        while self.by_word and len(text) - start > size and (cut := SAFE.search(text, start + size)):
+            yield text[start : cut.start()]
+            start = cut.start()
+        yield text[start:]
 
-    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterable[str | None], size: int = SLICE_CHARS) -> Iterator[bytes]:
         """The ids of many texts, in slices of some characters at a time; a null text counts as empty."""
         part: list[str] = []
-        size = 0
+        held = 0
         for text in texts:
+            if text is not None and len(text) > size:
+                yield from self.encode(part)
+                part, held = [], 0
+                yield b"".join([self.encode([piece])[0] for piece in self.pieces(text, size)])
+                continue
             part.append(text or "")
-            size += len(part[-1])
-            if size >= SLICE_CHARS:
+            held += len(part[-1])
+            if held >= size:
                 yield from self.encode(part)
-                part, size = [], 0
+                part, held = [], 0
         yield from self.encode(part)
 
 
@@ -215,9 +261,8 @@ def _part(parts: int):
     return F.pmod(F.xxhash64("doc_id", "copy"), F.lit(parts)).alias("part")
 
 
-def write_index(places: DataFrame, folder: str) -> int:
-    """Writes the index of places in parts and returns their number."""
-    parts = index_parts(places.count())
+def write_index(places: DataFrame, folder: str, parts: int) -> None:
+    """Writes the index of places in parts, one file each."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = _hashed(pdf)
@@ -233,7 +278,6 @@ def write_index(places: DataFrame, folder: str) -> int:
         return pd.DataFrame({"keys": [len(pdf)]})
 
     places.select("*", _part(parts)).groupBy("part").applyInPandas(run, "keys long").agg(F.sum("keys")).collect()
-    return parts
 
 
 def look_up(keys: DataFrame, folder: str, parts: int) -> DataFrame:
@@ -255,27 +299,42 @@ def look_up(keys: DataFrame, folder: str, parts: int) -> DataFrame:
     return keys.select("doc_id", "copy", _part(parts)).groupBy("part").applyInPandas(run, "doc_id long, copy long, shard long, first long, n_ids long")
 
 
+def _adjacent(first: np.ndarray, n: np.ndarray) -> Iterator[slice]:
+    """Runs of rows, sorted by first, that lie side by side in a shard, READ_IDS ids or a single row more each."""
+    at = 0
+    while at < len(first):
+        apart = np.flatnonzero(first[at + 1 :] != first[at:-1] + n[at:-1])
+        end = at + 1 + (int(apart[0]) if len(apart) else len(first) - at - 1)
+        end = max(at + 1, min(end, at + int(np.searchsorted(first[at:end] + n[at:end] - first[at], READ_IDS, "right"))))
+        yield slice(at, end)
+        at = end
+
+
 def read_ids(found: DataFrame, folder: str, tokenizer: str) -> DataFrame:
-    """found (doc_id, copy, shard, first, n_ids) with ids_crc32 of the ids in the shard files, as unsigned 32-bit integers."""
+    """found (doc_id, copy, shard, first, n_ids) with ids_crc32 of the ids in the shard files, as unsigned 32-bit integers.
+
+    Rows that lie side by side are read at once and told apart by their places.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fs, root = store(folder)
         code = np.dtype("<u2" if encoder(tokenizer).code == "H" else "<u4")
-        sums = []
+        pdf = pdf.sort_values("first", kind="stable")
+        first, n = pdf["first"].to_numpy(np.int64), pdf["n_ids"].to_numpy(np.int64)
+        sums: list[int] = []
         with fs.open_input_file(f"{root}/shards/{pdf['shard'].iat[0]:06d}.ids") as raw:
-            for first, n in zip(pdf["first"].tolist(), pdf["n_ids"].tolist()):
-                ids = np.frombuffer(raw.read_at(n * code.itemsize, first * code.itemsize), code)
-                sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+            for run in _adjacent(first, n):
+                start, size = first[run.start], int(n[run].sum())
+                ids = memoryview(np.frombuffer(raw.read_at(size * code.itemsize, int(start) * code.itemsize), code).astype("<u4")).cast("B")
+                places = ((first[run] - start) * 4).tolist()
+                sums += [zlib.crc32(ids[at : at + 4 * k]) for at, k in zip(places, n[run].tolist())]
         return pdf.astype({"doc_id": "Int64"}).assign(ids_crc32=sums)
 
     return found.groupBy("shard").applyInPandas(run, "doc_id long, copy long, shard long, first long, n_ids long, ids_crc32 long")
 
 
-def shard_starts(places: DataFrame) -> DataFrame:
-    """(shard, before): the ids of all earlier shards.  There is one row for each shard."""
-    from pyspark.sql import Window
-
-    totals = places.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+def shard_starts(totals: DataFrame) -> DataFrame:
+    """(shard, before): the ids of all earlier shards, from totals (shard, n), one row for each shard."""
     return totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
 
 
@@ -285,9 +344,9 @@ def written_and_read(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     start counts the ids of all rows before it, in rising doc_id order, null keys first.  An empty table writes no files.
     """
     places = write_shards(docs, folder, tokenizer, end_id, doc, text)
-    parts = write_index(places, folder)
-    keys = docs.groupBy(F.col(doc).cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
-    keys = keys.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
-    found = read_ids(look_up(keys, folder, parts), folder, tokenizer)
-    starts = written(shard_starts(places), "starts")
+    totals = written(places.groupBy("shard").agg(F.sum("n_ids").alias("n"), F.count("*").alias("docs")), "totals")
+    parts = index_parts(totals.agg(F.sum("docs")).first()[0] or 0)
+    write_index(places, folder, parts)
+    found = read_ids(look_up(places.select("doc_id", "copy"), folder, parts), folder, tokenizer)
+    starts = written(shard_starts(totals), "starts")
     return found.join(small(starts), "shard").select("doc_id", (F.col("before") + F.col("first")).alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32")

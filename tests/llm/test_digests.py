@@ -93,7 +93,6 @@ def test_bpe_query(spark, sf_dir):
 
 def brute_ids(rows):
     own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     want, start = [], 0
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*own.encode(text or "", add_special_tokens=False).ids, 2]
@@ -114,6 +113,22 @@ def test_token_shards_of_odd_texts(spark):
     assert tokenbin.written_and_read(docs.limit(0), new_folder(spark, "test"), P.path("byte_bpe_50k.json"), 2).count() == 0
 
 
+def test_encoder_gives_the_ids_of_the_bare_library():
+    own, got = Tokenizer.from_file(P.path("byte_bpe_50k.json")), tokenbin.Encoder(P.path("byte_bpe_50k.json"))
+    texts = [t or "" for t in ODD] + ["a <|endoftext|> b", "x<|endoftext|>", "one\ntwo three\n four\t five", " lead", "a  b", "wörter straße " * 9, "it's 12,5 % #tag", "x" * 60 + " y" * 90]
+    want = [np.array(e.ids, np.uint16).tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
+    for size in (2_000_000, 50, 7):
+        assert list(got.encode_all(texts, size)) == want
+    assert 50256 in np.frombuffer(want[len(ODD)], np.uint16) and len(list(got.pieces(ODD[11], 1_000))) > 9
+
+
+def test_adjacent_rows_are_read_together(monkeypatch):
+    first, n = np.array([0, 3, 5, 9, 12]), np.array([3, 2, 3, 3, 1])
+    assert list(tokenbin._adjacent(first, n)) == [slice(0, 3), slice(3, 5)]
+    monkeypatch.setattr(tokenbin, "READ_IDS", 5)
+    assert list(tokenbin._adjacent(first, n)) == [slice(0, 2), slice(2, 3), slice(3, 5)]
+
+
 def test_perfect_hash_is_minimal_and_perfect():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64))
     assert sorted(tokenbin.PerfectHash.build(keys)(keys)) == list(range(len(keys)))

@@ -24,6 +24,16 @@ LONG = 65_536
 SAFE = regex.compile(r"(?<=\p{L}) (?=\p{L})")
 
 
+#: A run of white space of this length is too long for the library's matcher.
+LONG_SPACE = 100_000
+LONG_RUN = regex.compile(rf"\s{{{LONG_SPACE}}}")
+
+
+@cache
+def matcher(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern)
+
+
 @cache
 def encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
     """The encoding of a rank file (a base64 token and its rank on each line), once in each worker."""
@@ -47,13 +57,25 @@ def pieces(text: str, size: int = LONG) -> Iterator[str]:
     yield text[start:]
 
 
+def ids_of(piece: str, own: tiktoken.Encoding) -> list[int]:
+    """The ids of a piece.
+
+    The library's matcher steps back through runs of white space and gives up on very long ones, so the matches of a
+    piece with such a run are found here, and each is merged by the library by itself, which is what it does anyway.
+    """
+    if len(piece) < LONG_SPACE or not LONG_RUN.search(piece):
+        return own.encode_ordinary(piece)
+    ids: list[int] = []
+    for match in matcher(own._pat_str).finditer(piece):
+        ids += own._core_bpe.encode_single_piece(match[0].encode())
+    return ids
+
+
 def _encoded(texts: pa.Array, own: tiktoken.Encoding, size: int) -> pa.ListArray:
     rows = []
     for text in texts:
-        ids: list[int] = []
-        for piece in pieces(text.as_py() or "", size):
-            ids += own.encode_ordinary(piece)
-        rows.append(np.array(ids, np.int32))
+        parts = [np.array(ids_of(piece, own), np.int32) for piece in pieces(text.as_py() or "", size)]
+        rows.append(np.concatenate(parts))
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
     return pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *rows]))
 
@@ -112,7 +134,10 @@ def decode(ids: Column, ranks_path: str, pattern: str) -> Column:
 def with_ids(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """df with a column of ids and, if named, a column of the bytes decoded from them.
 
-    Rows are never dropped or joined; columns of these names that df already has are replaced.
+    A null text counts as empty: no ids, and no bytes.  A text of any length is encoded whole: long ones go piece by
+    piece (see pieces), and runs of white space of any length are known (see ids_of).  Repeated rows and ties do not
+    matter; an empty table stays empty.  Rows are never dropped or joined; columns of these names that df already has
+    are replaced.
     """
     if decoded is None:
         return df.withColumn(ids, encode(F.col(text), ranks_path, pattern))

@@ -81,6 +81,19 @@ def test_bpe_round_trip(spark):
     assert sum((own.encode_ordinary(p) for p in bpe.pieces(text, 100)), []) == own.encode_ordinary(text)
 
 
+def test_bpe_of_very_long_white_space(spark):
+    """Runs of 2,000,000 against the bare library on runs that it can take, whose ids are merged alike."""
+    own = bpe.encoding(queries.BPE_RANKS, P.PATTERN)
+    for run in (" ", "\n", " \n", "\t\u3000\r\n"):
+        for before, after in (("", ""), ("", "end"), ("a start", ""), ("it's", "12 x"), ("a", "\u00e9")):
+            short = before + (run * 200_000)[:200_000] + after
+            assert bpe.ids_of(short, own) == own.encode_ordinary(short)
+    texts = [before + (run * 2_000_000)[:2_000_000] + after for run in (" ", "\n", " \n\t") for before, after in (("a b", ""), ("", "c"), ("a", "b c"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.with_ids(docs, queries.BPE_RANKS, P.PATTERN, decoded="raw").select("doc_id", "raw", F.size("ids").alias("n")).collect():
+        assert bytes(r["raw"]) == texts[r["doc_id"]].encode() and r["n"] > 0
+
+
 def test_bpe_query(spark, sf_dir):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.BPE_RANKS, "rb"))}
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -12,39 +12,71 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
-LETTERS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(rb"[^ \t-\r]+")
+#: Letters of all scripts, and those of ASCII.
+LETTERS, PLAIN = regex.compile(r"\p{L}+"), re.compile(r"[A-Za-z]+")
+#: Bytes from which a text's words are numbered instead of held.
+LONG = 1_000_000
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters")
 
 
+def repeated(words: list[bytes]) -> int:
+    """Words that lie in a window of three words which the list holds twice or more, each word counted once."""
+    windows = list(zip(words, words[1:], words[2:]))
+    if len(set(windows)) == len(windows):
+        return 0
+    seen = Counter(windows)
+    return _covered(np.fromiter((seen[w] > 1 for w in windows), bool, len(windows)))
+
+
+def _covered(again: np.ndarray) -> int:
+    covered = np.zeros(len(again) + 2, bool)
+    for shift in range(3):
+        covered[shift : shift + len(again)] |= again
+    return int(covered.sum())
+
+
+def _repeated_ids(ids: np.ndarray) -> int:
+    """What repeated() counts, of words by number: windows are numbered word by word, so that no two share a number."""
+    if len(ids) < 3:
+        return 0
+    pairs = np.unique(ids[:-1] * (ids.max() + 1) + ids[1:], return_inverse=True)[1]
+    _, which, n = np.unique(pairs[:-1] * (ids.max() + 1) + ids[2:], return_inverse=True, return_counts=True)
+    return _covered(n[which] > 1)
+
+
+def _words_of(raw: bytes) -> tuple[int, int, int]:
+    """Words, bytes in words and repeated words of a text."""
+    if len(raw) < LONG:
+        words = raw.split()  # on ASCII white space, which is what ends a word
+        return len(words), sum(map(len, words)), repeated(words)
+    numbers: dict[bytes, int] = {}
+    ids = np.fromiter((numbers.setdefault(m[0], len(numbers)) for m in WORDS.finditer(raw)), np.int64)
+    sizes = np.fromiter(map(len, numbers), np.int64, len(numbers))
+    return len(ids), int(np.bincount(ids, minlength=len(numbers)) @ sizes), _repeated_ids(ids)
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     """MEASURES of one text; a null text has no words and no lines.
 
     n_lines: lines with a word; n_dup_lines: those equal to an earlier one.  n_repeat_words: words that lie
-    in a window of three words which the text holds twice or more, each word counted once.
+    in a window of three words which the text holds twice or more, each word counted once.  n_letters: characters
+    that Unicode calls letters.  A text of LONG bytes or more is held once, and its words as numbers.
     """
     if not text:
         return (0,) * len(MEASURES)
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()  # on ASCII white space, which is what ends a word
-    n_words = len(words)
-    word_chars = len(text) - (len(raw) - sum(map(len, words)))
+    n_words, word_bytes, repeats = _words_of(raw)
+    word_chars = len(text) - (len(raw) - word_bytes)
     lines = [line for line in raw.split(b"\n") if line.strip()]
-    repeats = 0
-    windows = list(zip(words, words[1:], words[2:]))
-    if len(set(windows)) < len(windows):
-        seen = Counter(windows)
-        again = np.fromiter((seen[w] > 1 for w in windows), bool, len(windows))
-        covered = np.zeros(n_words, bool)
-        for shift in range(3):
-            covered[shift : shift + len(windows)] |= again
-        repeats = int(covered.sum())
-    letters = sum(map(len, LETTERS.findall(text)))
+    letters = sum(map(len, (PLAIN if len(raw) == len(text) else LETTERS).findall(text)))
     return n_words, word_chars, len(SYMBOLS.findall(raw)), len(lines) - len(set(lines)), repeats, len(lines), letters
 
 

@@ -84,10 +84,12 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-pos AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w),
-win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM pos),
+pos AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+win AS (
+  SELECT doc_id, i, word, lead(word) OVER p AS second, lead(word, 2) OVER p AS third FROM pos WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, word, second, third) AS n FROM win WHERE third IS NOT NULL),
 rep AS (
-  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM win WHERE n > 1) GROUP BY doc_id),
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM again WHERE n > 1) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
 dup AS (
   SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM lines
@@ -111,9 +113,11 @@ OP7_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x20\x09-\x0D]+') AS words FROM documents),
-s AS (
-  SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
-  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+pos AS (SELECT doc_id, len(words) AS n_words, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+win AS (
+  SELECT doc_id, n_words, i, concat_ws(' ', word, lead(word) OVER p, lead(word, 2) OVER p, lead(word, 3) OVER p, lead(word, 4) OVER p) AS shingle
+  FROM pos WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, shingle FROM win WHERE i <= greatest(n_words - 4, 1)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 link AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id

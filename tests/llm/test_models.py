@@ -13,7 +13,7 @@ from gyre.llm import chat, langid, lmscore, mixing, neardup, quality, queries, u
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ODD = [None, "", "  \n", "one", "One  two", "# | # | #", "x" * 5_000, "so " * 40_000, "日本語 テスト", "line\nline\nline\n\nother"]
+ODD = [None, "", "  \n", "one", "One  two", "# | # | #", "x" * 5_000, "so " * 40_000, "日本語 テスト", "line\nline\nline\n\nother", "a\u00b2\u00bd\u2167\u2460 \u00bd\u00bd \u01c5\u02b0\u0301"]
 
 
 def odd_docs(spark):
@@ -134,18 +134,29 @@ def test_lm_scores_match_a_plain_count(spark, sf_dir):
 def test_quality_and_near_duplicates_of_odd_texts(spark):
     docs = odd_docs(spark).select("doc_id", "text", "node", "digest")
     con = duckdb.connect()
-    documents = docs.filter("doc_id IS NOT NULL AND doc_id <> 3").toPandas()  # noqa: F841
-    for name, out in (("op6_quality_rules", quality.ledger(docs)), ("op7_minhash", neardup.near_duplicates(docs))):
+    keyed = docs.filter("doc_id IS NOT NULL AND doc_id <> 3")  # SQL takes doc_id for a key
+    documents = keyed.toPandas()  # noqa: F841
+    for name, out in (("op6_quality_rules", quality.ledger(keyed)), ("op7_minhash", neardup.near_duplicates(keyed))):
         want = con.execute(queries.oracle_sql()[name])
         columns = [c[0] for c in want.description]
         if name == "op6_quality_rules":
             out = out.withColumn("base_failed", ~quality.passes(quality.BASE)).withColumn("kept", quality.passes(quality.FULL))
-        got = out.filter("doc_id IS NOT NULL AND doc_id <> 3").select(*columns).collect()
-        assert out.count() == docs.count() and sorted(map(tuple, got)) == sorted(want.fetchall())
+        got = out.select(*columns).collect()
+        assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    near = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect() if r["doc_id"] is not None}
+    assert near[3] == near[14] == 3 and near[11] == 11
+    assert neardup.near_duplicates(docs).count() == quality.ledger(docs).count() == docs.count()
     assert neardup.near_duplicates(docs.limit(0)).count() == quality.ledger(docs.limit(0)).count() == 0
     assert neardup.deduplicated(docs).columns == docs.columns
 
 
+def test_words_of_long_texts_are_counted_alike(monkeypatch):
+    texts = ["so " * 40_000, "a b c a b c d", " \n x", "one two", "\u00e4 b \u00e4 b \u00e4\n\u00e4 b", "".join(f"{i % 7} {i % 11}\n" for i in range(900)), "a\x1cb\u3000c"]
+    want = [quality.measure(t) for t in texts]
+    monkeypatch.setattr(quality, "LONG", 1)
+    assert [quality.measure(t) for t in texts] == want
+
+
 def test_a_large_group_is_compared_in_blocks(spark):
     """Variants of a text, cut into blocks of 5, give the same groups as all pairs in DuckDB."""
     rng = np.random.default_rng(3)

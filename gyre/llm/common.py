@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but the ASCII space and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows that may be broadcast at most; larger sides are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows that may be broadcast at most: of some numbers each, under 100 MB.  Larger sides are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session within one machine gets a folder of its own; a cluster has none that all would see.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="gyre-")
         spark.sparkContext.setCheckpointDir(place)
     return place.rstrip("/")
@@ -52,12 +57,17 @@ def sliced(batches: Iterator[pa.Array] | Iterator[pa.RecordBatch], rows: int = 1
             yield batch.slice(at, rows)
 
 
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether df has at most `rows` rows; they are counted, so df should be written or cheap."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows (they are counted), else df as it is.
 
     The caller keeps df to a few fixed-width columns, so that the bound on rows bounds the bytes.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if few(df, rows) else df
 
 
 def partitions(df: DataFrame) -> int:

@@ -1,6 +1,6 @@
 """Canonical exact fingerprints of documents, in DataFrame expressions only.
 
-A text is brought to a canonical form (Unicode NFKC, lower case, runs of white space as one space, trimmed) and
+A text is brought to a canonical form (Unicode NFKC, case folding, runs of white space as one space, trimmed) and
 hashed by two seeded 64-bit xxhashes.  Texts in one 128-bit bucket are then compared byte by byte: a bucket that
 holds different canonical texts gives each its number, which is part of the fingerprint.
 """
@@ -10,23 +10,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyre.llm.common import small, written
+from gyre.llm.common import few, written
 
 SEEDS = (17, 40_961)
-#: Rows of an id range, about, and ranges at most.
+#: Rows of an id range, about, and ranges at most: beyond RANGES * RANGE_ROWS rows the ranges grow with the table, and are
+#: sorted by spilling; their bounds, one number a range, are all that the driver holds.
 RANGE_ROWS = 512
 RANGES = 1 << 16
+#: Ways in which the rows of a bucket are spread where buckets are joined by a shuffle.
+SALTS = 32
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, lower case, each run of Unicode white space as one space, none at the ends; null counts as empty.
+    """NFKC, case folding, NFKC again, each run of Unicode white space as one space, none at the ends; null counts as empty.
 
-    The normaliser is ICU's, which Spark ships; plain ASCII needs none.
+    Normaliser and folding are ICU's, which Spark ships; plain ASCII needs only lower case.  Folding makes equal what
+    differs in case alone, such as a sharp s and SS, or the two small sigmas.
     """
     text = F.coalesce(text, F.lit(""))
     ascii_only = F.length(text) == F.octet_length(text)
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(F.when(ascii_only, text).otherwise(composed)), r"[\s\x{85}\p{Z}]+", " "))
+    folded = _composed(F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), _composed(text), F.lit(True)))
+    return F.trim(F.regexp_replace(F.when(ascii_only, F.lower(text)).otherwise(folded), r"[\s\x{85}\p{Z}]+", " "))
+
+
+def _composed(text: Column) -> Column:
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
 
 
 def wide_hash(canon: Column, bits: int = 64) -> Column:
@@ -47,11 +55,17 @@ def collisions(docs: DataFrame, text: str = "text", bits: int = 64) -> DataFrame
     """(hash, canon, number) of canonical texts that share their bucket with another and are not its first, by byte order.
 
     Buckets are counted by hash; only texts of buckets with several rows are compared, each distinct text once in
-    each task before the shuffle.  As a rule the result is empty.
+    each task before the shuffle.  Where such buckets are too many to broadcast, rows meet them under SALTS salts, so
+    that a text with very many copies is spread.  As a rule the result is empty; so it is for an empty table.
     """
     hashed = docs.select(canonical(F.col(text)).alias("canon")).withColumn("hash", wide_hash(F.col("canon"), bits))
     several = written(hashed.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "several")
-    texts = hashed.join(small(several), "hash").select("hash", "canon").distinct()
+    if few(several):
+        texts = hashed.join(F.broadcast(several), "hash")
+    else:
+        spread = several.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        texts = hashed.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(spread, ["hash", "salt"])
+    texts = texts.select("hash", "canon").distinct()
     number = F.dense_rank().over(Window.partitionBy("hash").orderBy("canon")) - 1
     return texts.withColumn("number", number).filter("number > 0")
 
@@ -63,12 +77,17 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint",
     A null text counts as empty.  No row is dropped or joined; a column of this name is replaced.
     """
     clashes = written(collisions(docs, text, bits), "clashes") if clashes is None else clashes
-    out = docs.withColumn("_canon", canonical(F.col(text))).withColumn("_hash", wide_hash(F.col("_canon"), bits))
+    return _numbered(docs.withColumn("_canon", canonical(F.col(text))), "_canon", name, bits, clashes)
+
+
+def _numbered(rows: DataFrame, canon: str, name: str, bits: int, clashes: DataFrame) -> DataFrame:
+    """rows with the fingerprint of a canonical text, in place of that text."""
+    out = rows.withColumn("_hash", wide_hash(F.col(canon), bits))
     if clashes.isEmpty():
-        return out.withColumn(name, label(F.col("_hash"), F.lit(0))).drop("_canon", "_hash")
+        return out.withColumn(name, label(F.col("_hash"), F.lit(0))).drop(canon, "_hash")
     clashes = clashes.select(F.col("hash").alias("_h"), F.col("canon").alias("_c"), F.col("number").alias("_number"))
-    out = out.join(clashes, (F.col("_hash") == F.col("_h")) & (F.col("_canon") == F.col("_c")), "left")
-    return out.withColumn(name, label(F.col("_hash"), F.coalesce("_number", F.lit(0)))).drop("_canon", "_hash", "_h", "_c", "_number")
+    out = out.join(clashes, (F.col("_hash") == F.col("_h")) & (F.col(canon) == F.col("_c")), "left")
+    return out.withColumn(name, label(F.col("_hash"), F.coalesce("_number", F.lit(0)))).drop(canon, "_hash", "_h", "_c", "_number")
 
 
 def id_range(key: Column, bounds: list[int]) -> Column:
@@ -118,14 +137,17 @@ def probed(docs: DataFrame, doc: str = "doc_id", text: str = "text", bits: int =
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  The digest is
     exact, so a likeness is 1 where canonical texts are equal, byte by byte, and else 0.  An edited text that shares a
     bucket with texts of docs bears the number of that which it equals.
+
+    One row for each row of docs: a null text counts as empty, rows that share a doc_id follow each other by their
+    texts, rows without one come last.  Other columns are left out, so that none can clash; an empty table gives no rows.
     """
     clashes = written(collisions(docs, text, bits), "clashes")
     rows = with_next(docs, doc, text).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    for name in ("text", "edited", "next_text"):
-        rows = rows.withColumn(f"c_{name}", canonical(F.col(name)))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "text", "edited", *[(F.col("c_text") == F.col(f"c_{other}")).cast("double").alias(name) for name, other in (("near_edited", "edited"), ("near_next", "next_text"))])
-    rows = fingerprints(rows, "text", "fingerprint", bits, clashes)
-    return fingerprints(rows, "edited", "edited_fingerprint", bits, clashes).drop("text", "edited")
+    rows = rows.withColumns({f"c_{name}": canonical(F.col(name)) for name in ("text", "edited", "next_text")})
+    near = [(F.col("c_text") == F.col(f"c_{other}")).cast("double").alias(name) for name, other in (("near_edited", "edited"), ("near_next", "next_text"))]
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "c_text", "c_edited", *near)
+    rows = _numbered(rows, "c_text", "fingerprint", bits, clashes)
+    return _numbered(rows, "c_edited", "edited_fingerprint", bits, clashes)
 
 
 def edited(text: Column, next_text: Column) -> Column:

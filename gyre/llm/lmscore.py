@@ -1,43 +1,42 @@
 """Documents scored by the difference of two language models: one of a target set, one of the background.
 
-Both are word bigram models with the same smoothing, over the same vocabulary: every lower-cased word of the documents.
-Words and pairs of words are counted each for itself, under 64-bit keys, in a table that grows with the corpus and lies
-in buckets, by ranges of keys.  Scoring goes by blocks of documents: a block asks each bucket for the counts of the
-distinct keys it holds, so that no task has more than a bucket or a block.
+Both are word bigram models over one vocabulary, all lower-cased words of the documents, smoothed alike: the background's
+smoothing is scaled by how much larger it is, so that it trusts its pairs as far as the target model does.  What a document
+adds to the counts itself is left out when it is scored.
+
+Words and pairs are counted each for itself, under 64-bit keys, over all documents.  Documents are dealt into blocks; a
+block adds up its own keys and sends them to buckets, which are ranges of keys; a bucket adds up what the blocks sent and
+answers each block with the totals of its keys; then the block scores its documents.  So a frequent word is one key of each
+block, and no task has more than a block or a bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-import pyarrow.fs
-import pyarrow.parquet
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gyre.llm.common import new_folder, small, store, written
+from gyre.llm.common import small
 
-#: Words that a unigram leaves room for at least; a corpus with more has room for all of its own.  Also the key of the mark before a text.
-VOCABULARY = 1 << 16
-#: The weight of the unigram in a bigram's probability, in observations.
-PRIOR = 8.0
-WORDS_KEPT = 500_000
-#: Bytes of text of a block, and characters of the corpus for each bucket of the table.
-BLOCK, BUCKET = 8 << 20, 16 << 20
+#: The weight of the unigram in a bigram's probability, in observations, and of each word in a unigram's: for the target model.
+PRIOR, WORD_PRIOR = 8.0, 0.5
+#: Bytes of text of a block, and blocks whose keys a bucket holds at a time, both about.
+BLOCK, BLOCKS_A_BUCKET = 8 << 20, 2
+WORDS_KEPT = 200_000
+#: What stands before a text's first word.
+MARK = np.uint64(0x9E3779B97F4A7C15)
+NAMES = ("n_tokens", "target_loss", "background_loss", "score")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 class WordIds(dict):
-    """The key of each word, an odd number; a bounded number of words is remembered."""
+    """The key of each word; a bounded number of words is remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word) | 1
+        value = xxhash.xxh3_64_intdigest(word)
         if len(self) < WORDS_KEPT:
             self[word] = value
         return value
@@ -49,7 +48,7 @@ _ids = WordIds()
 def tokens(text: str | None) -> np.ndarray:
     """Keys of a text's words, A-Z lower-cased; a null text has none."""
     words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words)).view(np.int64)
+    return np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
 
 
 def _stirred(x: np.ndarray) -> np.ndarray:
@@ -58,218 +57,146 @@ def _stirred(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def pairs(ids: np.ndarray) -> np.ndarray:
-    """The key, an even number, of each word with the one before it; the first word stands after a mark of its own."""
-    ids = np.asarray(ids, np.int64)
-    before = np.concatenate([[VOCABULARY], ids[:-1]]).astype(np.int64).view(np.uint64)
-    x = _stirred(_stirred(before + np.uint64(0x9E3779B97F4A7C15)) ^ ids.view(np.uint64))
-    return (x & ~np.uint64(1)).view(np.int64)
+class Keyed:
+    """The words of some texts: of each, its text and its place in the sorted keys, and those of its pair and of the word before it."""
+
+    def __init__(self, texts: pa.ChunkedArray) -> None:
+        found = [tokens(text.as_py()) for text in texts]
+        self.sizes = np.array([len(x) for x in found], np.int64)
+        words = np.concatenate([np.empty(0, np.uint64), *found])
+        self.doc = np.repeat(np.arange(len(found)), self.sizes)
+        first = np.flatnonzero(np.diff(self.doc, prepend=-1))
+        before = np.roll(words, 1)
+        before[first] = MARK
+        pairs = _stirred(_stirred(before + np.uint64(1)) ^ words)
+        n = len(words)
+        self.keys, at = np.unique(np.concatenate([words, pairs, np.full(len(first), MARK)]), return_inverse=True)
+        self.word, self.pair, mark = at[:n], at[n : 2 * n], at[2 * n :]
+        self.last = np.roll(self.word, 1)
+        self.last[first] = mark
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """How often the chosen rows hold each key; the mark counts once a text."""
+        chosen = rows[self.doc].astype(np.float64)
+        out = np.bincount(self.word, chosen, len(self.keys)) + np.bincount(self.pair, chosen, len(self.keys))
+        first = np.flatnonzero(np.diff(self.doc, prepend=-1))
+        return (out + np.bincount(self.last[first], chosen[first], len(self.keys))).astype(np.int64)
+
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often the text of each word holds that word, its pair and the word before it (the mark: once)."""
+        kinds = len(self.keys)
+        tagged = [self.doc * kinds + at for at in (self.word, self.pair)]
+        words, at, n = np.unique(tagged[0], return_inverse=True, return_counts=True)
+        _, pair_at, pair_n = np.unique(tagged[1], return_inverse=True, return_counts=True)
+        own = n[at]
+        last = np.roll(own, 1)
+        last[np.flatnonzero(np.diff(self.doc, prepend=-1))] = 1
+        return own, pair_n[pair_at], last
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers, all first bytes, then all second bytes and so on: what is equal stands together for the codecs of Spark."""
+    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _keys(found: list[np.ndarray]) -> np.ndarray:
-    """All keys that the texts of these tokens count under: words, a mark for each text, pairs."""
-    found = [ids for ids in found if len(ids)]
-    return np.concatenate([np.empty(0, np.int64), *found, np.full(len(found), VOCABULARY), *map(pairs, found)]).view(np.uint64)
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of the buckets that sorted keys fall in."""
+    """(bucket, from, to) of the buckets that sorted keys fall in, by their upper halves."""
     at = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     found, start = np.unique(at, return_index=True)
     return list(zip(found.tolist(), start.tolist(), [*start[1:].tolist(), len(keys)]))
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """x byte by byte of its numbers, all first bytes and so on, so that equal high bytes stand together for the codecs of Spark."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def _unpacked(raw: bytes, dtype: type) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
-
-
-def _packed_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences."""
-    return _packed(np.diff(keys, prepend=np.uint64(0)))
-
-
-def _unpacked_keys(raw: bytes) -> np.ndarray:
-    return np.cumsum(_unpacked(raw, np.uint64), dtype=np.uint64)
-
+ASKED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("n_background", pa.binary()), ("n_target", pa.binary())])
+TOLD = pa.schema([("of", pa.int64()), ("bucket", pa.int64()), ("n_background", pa.binary()), ("n_target", pa.binary())])
+
+
+def _flags(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].to_numpy().astype(bool)
+
+
+def _ask(buckets: int):
+    def run(docs: pa.Table) -> pa.Table:
+        """A block's distinct keys with its counts of them, one row a bucket; keys as differences."""
+        own = Keyed(docs["_text"])
+        counted, target = _flags(docs, "_counted"), _flags(docs, "_target")
+        n, m = own.counts(counted), own.counts(counted & target)
+        rows = [(docs["_block"][0].as_py(), b, _packed(np.diff(own.keys[i:j], prepend=np.uint64(0))), _packed(n[i:j]), _packed(m[i:j])) for b, i, j in _cuts(own.keys, buckets)]
+        return pa.Table.from_pylist([dict(zip(ASKED.names, row)) for row in rows], ASKED)
+
+    return run
+
+
+def _tell(asked: pa.Table) -> pa.Table:
+    """A bucket's totals, for each block those of the keys that it sent."""
+    keys = [np.cumsum(_unpacked(raw), dtype=np.uint64) for raw in asked["keys"].to_pylist()]
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    out = {"of": asked["block"], "bucket": asked["bucket"]}
+    for name in ("n_background", "n_target"):
+        total = np.bincount(at, np.concatenate([_unpacked(raw) for raw in asked[name].to_pylist()]), len(every))
+        out[name] = pa.array([_packed(part) for part in np.split(total[at], ends)], pa.binary())
+    return pa.table(out).cast(TOLD)
+
+
+def _score(docs: pa.Table, told: pa.Table, sizes: tuple[int, int, int]) -> pa.Table:
+    """The rows of a block with NAMES."""
+    own, told = Keyed(docs["_text"]), told.sort_by("bucket")
+    *totals, vocabulary = sizes
+    counted, target = _flags(docs, "_counted"), _flags(docs, "_target")
+    own_word, own_pair, own_last = own.own()
+    out = {"n_tokens": pa.array(own.sizes)}
+    for name, total, rows in (("background_loss", totals[0], counted), ("target_loss", totals[1], counted & target)):
+        scale = total / totals[1] if totals[0] and totals[1] else 1.0
+        n = np.concatenate([np.empty(0, np.uint64), *map(_unpacked, told[f"n_{name[:-5]}"].to_pylist())]).astype(np.float64)
+        mine = rows[own.doc]
+        unigram = (n[own.word] - own_word * mine + WORD_PRIOR * scale) / (total - own.sizes[own.doc] * mine + WORD_PRIOR * scale * vocabulary)
+        chance = (n[own.pair] - own_pair * mine + PRIOR * scale * unigram) / (n[own.last] - own_last * mine + PRIOR * scale)
+        bits = np.bincount(own.doc, -np.log2(chance), len(own.sizes)) / np.maximum(own.sizes, 1)
+        out[name] = pa.array(bits, pa.float64(), mask=own.sizes == 0)
+    out["score"] = pa.compute.subtract(out["target_loss"], out["background_loss"])
+    docs = docs.drop_columns(["_block", "_text", "_target", "_counted"])
+    for name in NAMES:
+        docs = docs.append_column(name, out[name])
+    return docs
+
+
+def sizes_of(rows: DataFrame) -> tuple[int, int, int, int]:
+    """Of rows (_text, _target, _counted): counted words, those of the target, distinct words of all rows, and bytes in words.
+
+    Distinct words are counted by a sketch, to a hundredth: the number only scales the smoothing, of both models alike.
+    """
+    words = F.split(F.translate(F.coalesce("_text", F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+")
+    words = rows.select("_target", "_counted", F.explode(words).alias("word")).filter("word <> ''")
+    n = [F.count_if(F.col("_counted")), F.count_if(F.col("_counted") & F.col("_target")), F.approx_count_distinct("word", 0.01), F.sum(F.octet_length("word") + 1)]
+    return tuple(x or 0 for x in words.agg(*n).first())
 
-def counts(docs: DataFrame, buckets: int, target: str = "target", text: str = "text") -> DataFrame:
-    """(bucket, keys, n_background, n_target, n_words, background_words, target_words) over all of docs, one row a bucket.
 
-    Every row counts for the background, rows whose `target` is true for the target as well.  keys are sorted; n_words
-    tells how many of them are words, the last two how often those stand.  Tasks add up BLOCK bytes at a time.
-    """
+def scored(docs: DataFrame, target: str = "target", text: str = "text", counted: Column | None = None) -> DataFrame:
+    """docs with n_tokens, target_loss, background_loss (bits a word) and score, their difference: low is like the target.
 
-    def summed(found: list[np.ndarray], wanted: list[bool]) -> Iterator[pd.DataFrame]:
-        keys, n = np.unique(_keys(found), return_counts=True)
-        some, m = np.unique(_keys([x for x, w in zip(found, wanted) if w]), return_counts=True)
-        inside = np.zeros(len(keys), np.uint32)
-        inside[np.searchsorted(keys, some)] = m
-        n = n.astype(np.uint32)
-        rows = [(b, _packed_keys(keys[i:j]), _packed(n[i:j]), _packed(inside[i:j])) for b, i, j in _cuts(keys, buckets)]
-        yield pd.DataFrame(rows, columns=["bucket", "keys", "n_background", "n_target"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, wanted, held = [], [], 0
-        for batch in batches:
-            for t, w in zip(batch["text"], batch["target"]):
-                ids = tokens(t)
-                found.append(ids)
-                wanted.append(bool(w))
-                held += len(t or "")
-                if held >= BLOCK:
-                    yield from summed(found, wanted)
-                    found, wanted, held = [], [], 0
-        if found:
-            yield from summed(found, wanted)
-
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        every, at = np.unique(np.concatenate([_unpacked_keys(x) for x in group["keys"]]), return_inverse=True)
-        n, m = (np.bincount(at, np.concatenate([_unpacked(x, np.uint32) for x in group[c]]), len(every)).astype(np.int64) for c in ("n_background", "n_target"))
-        word = (every & np.uint64(1)).astype(bool)
-        row = (group["bucket"].iloc[0], _packed_keys(every), _packed(n), _packed(m), int(word.sum()), int(n[word].sum()), int(m[word].sum()))
-        return pd.DataFrame([row], columns=["bucket", "keys", "n_background", "n_target", "n_words", "background_words", "target_words"])
-
-    rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(target), F.lit(False)).alias("target"))
-    rows = rows.mapInPandas(run, "bucket int, keys binary, n_background binary, n_target binary")
-    return rows.groupBy("bucket").applyInPandas(merged, "bucket int, keys binary, n_background binary, n_target binary, n_words long, background_words long, target_words long")
-
-
-def fit(docs: DataFrame, target: str = "target", text: str = "text") -> str:
-    """Counts docs and returns the folder of the counts, which has a folder for each bucket."""
-    folder = new_folder(docs.sparkSession, "language-models")
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    buckets = max(8, chars // BUCKET)
-    table = counts(docs, buckets, target, text).withColumns({"buckets": F.lit(buckets), "part": F.col("bucket")})
-    table.write.partitionBy("part").parquet(folder)
-    return folder
-
-
-def _read(folder: str, columns: list[str]) -> pa.Table | None:
-    """The rows of a folder of Parquet files, read by a worker; None if there is no such folder."""
-    fs, root = store(folder)
-    found = fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True))
-    files = sorted(f.path for f in found if f.path.endswith(".parquet"))
-    if not files:
-        return None
-    parts = []
-    for f in files:
-        with fs.open_input_file(f) as source:
-            parts.append(pyarrow.parquet.ParquetFile(source).read(columns))
-    return pa.concat_tables(parts)
-
-
-def _blocks(docs: DataFrame, text: str) -> DataFrame:
-    """(block, rows): the rows of docs as Arrow streams, each with BLOCK bytes of text or a single row more."""
-    names, place = docs.columns, docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, parts = TaskContext.get().partitionId() << 33, 0, []
-
-        def full() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
-                for part in parts:
-                    stream.write_batch(part)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "rows"])
-
-        for batch in batches:
-            size = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            at = 0
-            while at < batch.num_rows:
-                take = int(np.searchsorted(np.cumsum(size[at:]), BLOCK - held)) + 1
-                part = batch.slice(at, take)
-                parts.append(part)
-                held += int(size[at : at + take].sum())
-                at += part.num_rows
-                if held >= BLOCK:
-                    yield full()
-                    block, held, parts = block + 1, 0, []
-        if parts:
-            yield full()
-
-    return written(docs.select(*names).mapInArrow(run, "block long, rows binary"), "blocks")
-
-
-def scored(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens, target_loss, background_loss (bits a token) and score, their difference: low is like the target.
-
-    folder: what fit() returned.  Texts without words, and null texts, have 0 tokens and nulls.  No row is dropped; columns of
-    these names are replaced.
+    Every row counts for the background, rows whose `target` is true for the target as well; rows where `counted` is not true
+    are scored only.  Texts without words, and null texts, have 0 tokens and nulls; a null target is false.  Repeated rows
+    each count.  Without a target, its model gives all words the same chance.  A very long text is a block of its own.  No
+    row is dropped; columns of these names are replaced; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    names = ("n_tokens", "target_loss", "background_loss", "score")
-    schema = "bucket int, n_words long, background_words long, target_words long, buckets long"
-    sums = spark.read.schema(schema).parquet(folder).agg(F.max("buckets"), F.sum("n_words"), F.sum("background_words"), F.sum("target_words")).first()
-    buckets, vocabulary, n_background, n_target = (x or 0 for x in sums)
-    buckets, vocabulary = max(1, buckets), max(VOCABULARY, vocabulary)
-    docs = docs.drop(*names)
-    blocks = _blocks(docs, text)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, rows in zip(batch.column(0), batch.column(1)):
-                keys = np.unique(_keys([tokens(t.as_py()) for t in pa.ipc.open_stream(rows.as_buffer()).read_all()[text]]))
-                rows = [(block.as_py(), b, _packed_keys(keys[i:j])) for b, i, j in _cuts(keys, buckets)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("block", "bucket", "keys"), r)) for r in rows], pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary())]))
-
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        table = _read(f"{folder}/part={group['bucket'].iloc[0]}", ["keys", "n_background", "n_target"])
-        known = [np.empty(0, t) for t in (np.uint64, np.int64, np.int64)]
-        if table is not None:
-            known = [_unpacked_keys(table["keys"][0].as_py()), *[_unpacked(table[c][0].as_py(), np.int64) for c in ("n_background", "n_target")]]
-        rows = []
-        for block, bucket, raw in zip(group["block"], group["bucket"], group["keys"]):
-            keys = _unpacked_keys(raw)
-            n = np.zeros((2, len(keys)), np.int64)
-            if len(known[0]):
-                at = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
-                n = np.where(known[0][at] == keys, np.stack([known[1][at], known[2][at]]), 0)
-            rows.append((block, bucket, _packed(n[0]), _packed(n[1])))
-        return pd.DataFrame(rows, columns=["block", "bucket", "n_background", "n_target"])
-
-    asked = blocks.mapInArrow(ask, "block long, bucket int, keys binary")
-    answers = new_folder(spark, "answers")
-    told = asked.groupBy("bucket").applyInPandas(answer, "block long, bucket int, n_background binary, n_target binary")
-    told.withColumn("part", F.col("block")).repartition("part").write.partitionBy("part").parquet(answers)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, rows in zip(batch.column(0), batch.column(1)):
-                rows = pa.ipc.open_stream(rows.as_buffer()).read_all().combine_chunks()
-                found = [tokens(t.as_py()) for t in rows[text]]
-                keys = np.unique(_keys(found))
-                counted = np.zeros((2, len(keys)), np.int64)
-                table = _read(f"{answers}/part={block.as_py()}", ["bucket", "n_background", "n_target"])
-                if table is not None:
-                    table = table.sort_by("bucket")
-                    counted = np.stack([np.concatenate([_unpacked(x, np.int64) for x in table[c].to_pylist()]) for c in ("n_background", "n_target")])
-                out = []
-                for ids in found:
-                    if not len(ids):
-                        out.append((0, None, None, None))
-                        continue
-                    this, last, pair = (np.searchsorted(keys, x.view(np.uint64)) for x in (ids, np.concatenate([[VOCABULARY], ids[:-1]]).astype(np.int64), pairs(ids)))
-                    loss = []
-                    for n, total in zip(counted, (n_background, n_target)):
-                        unigram = (n[this] + 1) / (total + vocabulary)
-                        loss.append(float(-np.log2((n[pair] + PRIOR * unigram) / (n[last] + PRIOR)).mean()))
-                    out.append((len(ids), loss[1], loss[0], loss[1] - loss[0]))
-                more = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), *[pa.float64()] * 3))]
-                for name, column in zip(names, more):
-                    rows = rows.append_column(name, column)
-                yield from rows.to_batches()
-
-    types = (T.LongType(), *[T.DoubleType()] * 3)
-    return blocks.mapInArrow(score, T.StructType([*docs.schema, *[T.StructField(n, t) for n, t in zip(names, types)]]))
+    kept = docs.drop(*NAMES)
+    flag = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
+    rows = kept.withColumns({"_text": F.col(text), "_target": F.coalesce(F.col(target), F.lit(False)), "_counted": flag})
+    *sizes, size = sizes_of(rows)
+    blocks = max(1, size // BLOCK)
+    spread = [c for c, kind in kept.dtypes if kind in ("string", "bigint", "int")]
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_text", *spread), F.lit(blocks)))
+    asked = rows.groupBy("_block").applyInArrow(_ask(max(1, blocks // BLOCKS_A_BUCKET)), "block long, bucket long, keys binary, n_background binary, n_target binary")
+    told = asked.groupBy("bucket").applyInArrow(_tell, "of long, bucket long, n_background binary, n_target binary")
+    schema = T.StructType([*kept.schema, *[T.StructField(name, T.LongType() if name == "n_tokens" else T.DoubleType()) for name in NAMES]])
+    return rows.groupBy("_block").cogroup(told.groupBy("of")).applyInArrow(lambda left, right: _score(left, right, tuple(sizes)), schema)
 
 
 def with_target(docs: DataFrame, labels: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """docs with `target`: whether a row of labels (doc_id, quality) calls the document good."""
+    """docs with `target`: whether a row of labels (doc_id, quality) calls the document good.  Null ids are not good."""
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_good")).distinct()
     return docs.join(small(good), F.col(doc) == F.col("_good"), "left").withColumn("target", F.col("_good").isNotNull()).drop("_good")

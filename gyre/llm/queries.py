@@ -31,8 +31,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    models = lmscore.fit(lmscore.with_target(docs, table(spark, sf_dir, "labels")))
-    return lmscore.scored(docs, models).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
+    docs = lmscore.with_target(docs, table(spark, sf_dir, "labels"))
+    return lmscore.scored(docs).select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

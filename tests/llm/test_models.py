@@ -105,30 +105,45 @@ def test_grams_are_all_runs_of_characters(spark):
         assert r["g"] == [f"{n}{marked[i : i + n]}" for n in urlfilter.SIZES for i in range(len(marked) - n + 1)]
 
 
-def test_lm_scores_match_a_plain_count(spark, sf_dir):
+def plain_losses(rows, vocabulary):
+    """(n_tokens, target_loss, background_loss) of rows (text, target): both models from counts of the words themselves."""
+    split = [[w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())] for text, _ in rows]
+    counted = [(words, list(zip([None, *words], words)), target) for words, (_, target) in zip(split, rows)]
+    models = []
+    for wanted in (False, True):
+        some = [c for c in counted if c[2] or not wanted]
+        models.append((Counter(w for c in some for w in [*c[0], *[None] * bool(c[0])]), Counter(p for c in some for p in c[1]), sum(len(c[0]) for c in some)))
+    for words, pairs, target in counted:
+        loss = []
+        own_words, own_pairs = Counter([*words, *[None] * bool(words)]), Counter(pairs)
+        for (n_word, n_pair, total), mine in zip(models, (1, int(target))):
+            scale = total / models[1][2] if models[1][2] else 1.0
+            bits = 0.0
+            for last, word in pairs:
+                p = (n_word[word] - mine * own_words[word] + lmscore.WORD_PRIOR * scale) / (total - mine * len(words) + lmscore.WORD_PRIOR * scale * vocabulary)
+                bits -= math.log2((n_pair[last, word] - mine * own_pairs[last, word] + lmscore.PRIOR * scale * p) / (n_word[last] - mine * own_words[last] + lmscore.PRIOR * scale))
+            loss.append(bits / len(words) if words else None)
+        yield len(words), loss[1], loss[0]
+
+
+@pytest.mark.parametrize("block", [8 << 20, 50_000])
+def test_lm_scores_match_a_plain_count(spark, sf_dir, block, monkeypatch):
+    monkeypatch.setattr(lmscore, "BLOCK", block)
     docs = lmscore.with_target(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    docs = docs.unionByName(odd_docs(spark).select("doc_id", "text").withColumn("target", F.lit(False)))
-    rows = lmscore.scored(docs, lmscore.fit(docs)).collect()
-    words, pairs, before = ([Counter(), Counter()] for _ in range(3))
-    for r in rows:
-        ids = lmscore.tokens(r["text"]).tolist()
-        for k in (0, 1) if r["target"] else (0,):
-            words[k].update(ids)
-            before[k].update([*ids, *[lmscore.VOCABULARY] * bool(ids)])
-            pairs[k].update(lmscore.pairs(np.array(ids)).tolist() if ids else [])
-    for r in rows:
-        ids = lmscore.tokens(r["text"]).tolist()
-        if not ids:
-            assert r["n_tokens"] == 0 and r["score"] is None
-            continue
-        loss = [0.0, 0.0]
-        for last, this, pair in zip([lmscore.VOCABULARY, *ids], ids, lmscore.pairs(np.array(ids)).tolist()):
-            for k in (0, 1):
-                p = (words[k][this] + 1) / (sum(words[k].values()) + lmscore.VOCABULARY)
-                loss[k] -= math.log2((pairs[k][pair] + lmscore.PRIOR * p) / (before[k][last] + lmscore.PRIOR)) / len(ids)
-        assert r["n_tokens"] == len(ids) and r["background_loss"] == pytest.approx(loss[0], abs=2e-4) and r["target_loss"] == pytest.approx(loss[1], abs=2e-4)
-        assert r["score"] == pytest.approx(loss[1] - loss[0], abs=2e-4)
-    assert lmscore.scored(docs.limit(0), lmscore.fit(docs.limit(0))).count() == 0
+    docs = docs.unionByName(odd_docs(spark).select("doc_id", "text").withColumn("target", F.lit(False))).withColumn("score", F.lit("clash"))
+    *sizes, vocabulary, _ = lmscore.sizes_of(docs.selectExpr("text AS _text", "target AS _target", "true AS _counted"))
+    rows = lmscore.scored(docs).collect()
+    words = [w.lower() for r in rows for w in re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode())]
+    assert abs(vocabulary - len(set(words))) < 0.03 * len(set(words)) and sizes[0] == len(words) and len(rows) == docs.count()
+    for r, (n, target, background) in zip(rows, plain_losses([(r["text"], r["target"]) for r in rows], vocabulary)):
+        assert r["n_tokens"] == n
+        if n:
+            assert (r["target_loss"], r["background_loss"], r["score"]) == pytest.approx((target, background, target - background), abs=1e-9)
+        else:
+            assert r["target_loss"] is None and r["background_loss"] is None and r["score"] is None
+    assert lmscore.scored(docs.limit(0)).count() == 0
+    alone = lmscore.scored(docs.withColumn("target", F.lit(False)), counted=F.col("doc_id") < 0).filter("n_tokens > 0")
+    assert alone.filter("abs(score) > 1e-9").count() == 0
 
 
 def test_quality_and_near_duplicates_of_odd_texts(spark):
@@ -254,17 +269,24 @@ def test_perspectives_of_odd_conversations(spark):
     assert chat.perspectives(turns.limit(0)).count() == 0
 
 
-def test_lm_counts_words_and_pairs_each_for_itself(spark):
-    """200,000 words, more than any fixed number of classes up to 2^16, and as many pairs: no text has another's counts."""
+def test_lm_counts_words_and_pairs_each_for_itself(spark, monkeypatch):
+    """200,000 words, more than any fixed number of classes up to 2^16, each in two texts of which one is the target's."""
+    monkeypatch.setattr(lmscore, "BLOCK", 100_000)
     texts = [" ".join(f"w{i}" for i in range(at, at + 1_000)) for at in range(0, 200_000, 1_000)]
-    docs = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "doc_id long, text string, target boolean")
-    rows = lmscore.scored(docs, lmscore.fit(docs)).collect()
-    assert len(rows) == 200
+    docs = spark.createDataFrame([(i, texts[i // 2], i % 2 == 0) for i in range(400)], "doc_id long, text string, target boolean")
+    rows = lmscore.scored(docs).collect()
+    vocabulary = lmscore.sizes_of(docs.selectExpr("text AS _text", "target AS _target", "true AS _counted"))[2]
+    assert len(rows) == 400
+    want = {}
+    for target in (True, False):
+        for name, total, others, scale in (("background_loss", 400_000, 1, 2), ("target_loss", 200_000, int(not target), 1)):
+            own = 1_000 * (name == "background_loss" or target)
+            p = (others + lmscore.WORD_PRIOR * scale) / (total - own + lmscore.WORD_PRIOR * scale * vocabulary)
+            pair = others + lmscore.PRIOR * scale * p
+            marks = total // 1_000 - (name == "background_loss" or target)
+            want[target, name] = (-999 * math.log2(pair / (others + lmscore.PRIOR * scale)) - math.log2(pair / (marks + lmscore.PRIOR * scale))) / 1_000
     for r in rows:
-        for total, loss, n in ((200_000, r["background_loss"], 1), (100_000, r["target_loss"], int(r["target"]))):
-            pair = n + lmscore.PRIOR * (n + 1) / (total + 200_000)
-            want = (-999 * math.log2(pair / (n + lmscore.PRIOR)) - math.log2(pair / (total / 1_000 + lmscore.PRIOR))) / 1_000
-            assert loss == pytest.approx(want, abs=1e-9)
+        assert all(r[name] == pytest.approx(want[r["target"], name], abs=1e-9) for name in ("background_loss", "target_loss"))
 
 
 def test_resampled_long_documents_meet_their_targets(spark):

@@ -15,12 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gyre.llm.common import small
+from gyre.llm.common import few, written
 
 #: Bytes of context.  With the byte itself they fill 32 bits.
 ORDER = 3
 #: Documents to learn a language from, about: each is taken by a hash of its text with the chance that gives so many.
 DOCS_PER_LANGUAGE = 1_500
+#: Characters of these documents, about: where texts are long, fewer are taken.
+CHARS_PER_LANGUAGE = 30_000_000
 #: Languages at most.  Each is a model that every worker holds.
 MAX_LANGUAGES = 512
 #: Grams whose code lengths a worker remembers.
@@ -29,13 +31,20 @@ REMEMBERED = 1_000_000
 SLICE_CHARS = 250_000
 
 
+def gram_slices(text: str, size: int = SLICE_CHARS) -> Iterator[np.ndarray]:
+    """Each byte of a text with the ORDER bytes before it, as 32 bits, for `size` bytes at a time; a text begins after line feeds."""
+    raw = b"\n" * ORDER + text.encode("utf-8", "surrogatepass")
+    for at in range(ORDER, max(len(raw), ORDER + 1), size):
+        part = np.frombuffer(raw, np.uint8, min(size, len(raw) - at) + ORDER, at - ORDER).astype(np.uint32)
+        out = part[ORDER:].copy()
+        for back in range(1, ORDER + 1):
+            out |= part[ORDER - back : len(part) - back] << np.uint32(8 * back)
+        yield out
+
+
 def grams(text: str) -> np.ndarray:
-    """Each byte of a text with the ORDER bytes before it, as 32 bits; a text begins after line feeds."""
-    raw = np.frombuffer(b"\n" * ORDER + text.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-    out = raw[ORDER:].copy()
-    for back in range(1, ORDER + 1):
-        out |= raw[ORDER - back : len(raw) - back] << np.uint32(8 * back)
-    return out
+    """gram_slices of a whole text."""
+    return np.concatenate(list(gram_slices(text)))
 
 
 def gram_counts(labelled: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -108,8 +117,12 @@ class Model:
         return self.costs[np.searchsorted(self.known, wanted)]
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Bits of each text under each language."""
-        parts = [grams(t) for t in texts]
+        """Bits of each text under each language; a text of more than SLICE_CHARS is scored slice by slice."""
+        if len(texts) == 1:
+            return sum(self._bits([part]) for part in gram_slices(texts[0]))
+        return self._bits([grams(t) for t in texts])
+
+    def _bits(self, parts: list[np.ndarray]) -> np.ndarray:
         sizes = np.array([len(p) for p in parts])
         tagged = np.sort(np.concatenate(parts).astype(np.uint64) | np.repeat(np.arange(len(parts), dtype=np.uint64) << np.uint64(32), sizes))
         starts = np.flatnonzero(np.concatenate([[True], tagged[1:] != tagged[:-1]]))
@@ -122,19 +135,22 @@ class Model:
         return np.add.reduceat(costs, first, axis=0)
 
 
-def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text", per_language: int = DOCS_PER_LANGUAGE) -> Model | None:
+def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text", per_language: int = DOCS_PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE) -> Model | None:
     """A model of the languages in the rows where `learn` holds; None if they name no language.
 
-    About `per_language` distinct texts of each language are learnt, chosen by their hash: this bounds the
-    statistics, which the driver gathers, by that number times the length of a text.
+    About `per_language` distinct texts of each language are learnt, of `chars` characters in all or four texts, chosen by
+    their hash: this bounds the statistics, which the driver gathers.  A text with many copies is one text, so a language
+    that consists of copies is learnt too.  More than MAX_LANGUAGES values of lang are refused: each is a model that
+    every worker holds, so such a column wants cleaning first.
     """
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), learn.alias("learn")).filter("learn AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    kinds = rows.select("lang", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).distinct()
-    sizes = kinds.groupBy("lang").agg(F.count("*").alias("docs"))
-    if sizes.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+    kinds = rows.groupBy("lang", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).agg(F.first(F.length("text")).alias("n"))
+    sizes = written(kinds.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("chars")), "sizes")
+    if not few(sizes, MAX_LANGUAGES):
         raise ValueError(f"more than {MAX_LANGUAGES} languages; pass a cleaner column")
     unit = (F.shiftrightunsigned(F.xxhash64("text"), 11).cast("double")) / float(1 << 53)
-    chosen = rows.join(small(sizes), "lang").filter(unit * F.col("docs") < per_language).dropDuplicates(["lang", "text"])
+    drawn = (unit * F.col("docs") < per_language) & ((unit * F.col("chars") < chars) | (unit * F.col("docs") < 4))
+    chosen = rows.join(F.broadcast(sizes), "lang").filter(drawn).dropDuplicates(["lang", "text"])
     counts = gram_counts(chosen).toPandas()
     return Model(counts) if len(counts) else None
 

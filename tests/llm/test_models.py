@@ -248,11 +248,26 @@ def test_ppm_code_lengths_are_exact():
             total -= math.log2(d / (n + d))
         return total + 8
 
+    for size in (1, 2, 3, 4, 100):
+        assert np.concatenate(list(langid.gram_slices(text, size))).tolist() == langid.grams(text).tolist()
+    assert langid.grams("").tolist() == []
     probe = b"\n\n\n" + b"abrazad cab"
     want = [bits(probe[i - 3 : i], probe[i]) for i in range(3, len(probe))]
     assert tree.bits(langid.grams("abrazad cab")) == pytest.approx(want, abs=1e-4)
 
 
+def test_a_very_long_text_is_scored_in_slices(spark):
+    text = "the cat sat on the mat " * 30_000
+    docs = spark.createDataFrame([(1, text, "en"), (2, "le chat est sur le tapis " * 40, "fr"), (3, text + "x", None)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    said = {r["doc_id"]: r for r in langid.predicted(docs, model).collect()}
+    assert said[1]["lang_pred"] == said[3]["lang_pred"] == "en" and said[2]["lang_pred"] == "fr"
+    one, whole = model.score([text])[0], model._bits([langid.grams(text)])[0]
+    assert one == pytest.approx(whole, rel=1e-9)
+    with pytest.raises(ValueError):
+        langid.fit(spark.range(600).selectExpr("'text' AS text", "cast(id AS string) AS lang"), F.lit(True))
+
+
 def test_perspectives_of_odd_conversations(spark):
     rows = [(1, 0, "system", "be good"), (1, 1, "a", "hi <|end|>"), (1, 2, "b b", None), (1, 2, "a", "tie"), (1, 2, "a", "tie"), (2, 0, "system", "alone"), (None, None, None, "x"), *[(3, i, "ab"[i % 2], str(i)) for i in range(130)]]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("chunk", "perspective", "turns", "spans")})

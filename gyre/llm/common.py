@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a run of anything but the ASCII space and the control characters tab to carriage return.
@@ -70,6 +70,28 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if few(df, rows) else df
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined to right on equal keys, where null equals null; the keys and columns of left, then those of right."""
+    right = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})
+    same = reduce(lambda x, y: x & y, (F.col(key).eqNullSafe(F.col(f"_r_{key}")) for key in keys))
+    return left.join(right, same, how).drop(*(f"_r_{key}" for key in keys))
+
+
+def running(df: DataFrame, by: list[str], at: str, value: str, width: int = 4_096) -> DataFrame:
+    """df with `before`: the sum of value over rows of the same `by` with a smaller `at`, a whole number and unique in `by`.
+
+    Sums are taken in ranges of `width` values of `at`, then over ranges, so that a large `by` is spread over tasks.
+    """
+    rows = df.withColumn("_range", F.expr(f"`{at}` div {width}"))
+    inside = Window.partitionBy(*by, "_range").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
+    sums = sums.select(*by, "_range", (F.sum("_sum").over(over) - F.col("_sum")).alias("_earlier"))
+    rows = rows.withColumn("_inside", F.sum(value).over(inside) - F.col(value))
+    out = null_safe_join(rows, sums, [*by, "_range"])
+    return out.withColumn("before", F.col("_earlier") + F.col("_inside")).drop("_range", "_inside", "_earlier")
+
+
 def partitions(df: DataFrame) -> int:
     """The number of partitions that the session gives a shuffle."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))

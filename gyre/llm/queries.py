@@ -132,22 +132,32 @@ FROM documents AS d JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) AS m ON m
 
 OP8_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
-    coalesce(floor(turn / 64), 0)::BIGINT AS part FROM conversations),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
+  SELECT conv_id, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), replace(coalesce(text, ''), '<|', '< |')) - 1 AS k,
+    count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+c AS (SELECT DISTINCT conv_id, k // 64 AS chunk FROM t),
+named AS (
+  SELECT *, k // 64 AS of, row_number() OVER (PARTITION BY conv_id, k // 64 ORDER BY k DESC) AS back FROM t WHERE role = 'system'),
+force AS (
+  SELECT c.conv_id, c.chunk, max(named.of) AS of FROM c JOIN named ON c.conv_id IS NOT DISTINCT FROM named.conv_id AND named.of < c.chunk
+  GROUP BY c.conv_id, c.chunk),
+shown AS (
+  SELECT conv_id, k // 64 AS chunk, k, role, text, true AS own FROM t
+  UNION ALL SELECT conv_id, k // 64 + 1, k, role, text, false FROM t WHERE k % 64 >= 56 AND (k // 64 + 1) * 64 < n
+  UNION ALL SELECT force.conv_id, force.chunk, k, role, text, false FROM force
+    JOIN named ON force.conv_id IS NOT DISTINCT FROM named.conv_id AND named.of = force.of AND back <= 8 AND k < chunk * 64 - 8),
 s AS (
-  SELECT r.conv_id, part, (k - 1) // 64 AS rest, perspective, k, r.role = perspective AS target,
-    CASE WHEN r.role = perspective THEN '<|assistant|>' WHEN r.role = 'system' THEN '<|system|>'
-      ELSE '<|user ' || regexp_replace(r.role, '[<|>\s]', '_', 'g') || '|>' END || chr(10) AS head,
+  SELECT shown.conv_id, chunk, perspective, k, own, own AND shown.role = perspective AS target,
+    CASE WHEN shown.role = perspective THEN '<|assistant|>' WHEN shown.role = 'system' THEN '<|system|>'
+      ELSE '<|user ' || regexp_replace(shown.role, '[<|>\s]', '_', 'g') || '|>' END || chr(10) AS head,
     text || '<|end|>' || chr(10) AS body
-  FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id),
-o AS (
-  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, rest, perspective ORDER BY k) AS stop FROM s)
-SELECT conv_id, part || '.' || rest AS chunk, perspective, string_agg(head || body, '' ORDER BY k) AS text,
+  FROM shown JOIN p ON shown.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, chunk, perspective ORDER BY k) AS stop FROM s)
+SELECT conv_id, chunk, perspective, string_agg(head || body, '' ORDER BY k) AS text,
   coalesce(string_agg((stop - length(body))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY k) FILTER (target), '') AS spans,
-  count(*) AS n_turns, count(*) FILTER (target) AS n_target_turns
-FROM o GROUP BY conv_id, part, rest, perspective
+  count(*) FILTER (own) AS n_turns, count(*) FILTER (target) AS n_target_turns
+FROM o GROUP BY conv_id, chunk, perspective
 """
 
 

@@ -270,17 +270,22 @@ def test_a_very_long_text_is_scored_in_slices(spark):
 
 def test_perspectives_of_odd_conversations(spark):
     rows = [(1, 0, "system", "be good"), (1, 1, "a", "hi <|end|>"), (1, 2, "b b", None), (1, 2, "a", "tie"), (1, 2, "a", "tie"), (2, 0, "system", "alone"), (None, None, None, "x"), *[(3, i, "ab"[i % 2], str(i)) for i in range(130)]]
+    rows += [(4, 64 * i, "system" if i in (0, 1, 70, 130) else "abc"[i % 3], str(i)) for i in range(300)] + [(None, i, "ab"[i % 2], "n") for i in range(100)] + [(5, None if i % 2 else 7, "a", str(i)) for i in range(150)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("chunk", "perspective", "turns", "spans")})
     out = chat.perspectives(turns).collect()
     documents = duckdb.connect()
     conversations = turns.toPandas()[["conv_id", "turn", "role", "text"]]  # noqa: F841
     documents.register("conversations", conversations.astype({"conv_id": "Int64", "turn": "Int64"}))
-    want = documents.execute(queries.OP8_SQL.replace("FROM o GROUP", "FROM o GROUP"))
+    want = documents.execute(queries.OP8_SQL)
     names = [c[0] for c in want.description]
     got = [tuple(",".join(f"{s['start']}-{s['end']}" for s in r["spans"]) if c == "spans" else r[c] for c in names) for r in out]
     assert sorted(got, key=str) == sorted(want.fetchall(), key=str)
     for r in out:
         assert sum(r["text"][s["start"] : s["end"]].count("<|end|>") for s in r["spans"]) == r["n_target_turns"]
+    later = next(r for r in out if (r["conv_id"], r["chunk"], r["perspective"]) == (4, 3, "a"))
+    assert later["text"].startswith("<|system|>\n130<|end|>\n<|user b|>\n184<|end|>\n")
+    assert later["text"][later["spans"][0]["start"] :].startswith("192<|end|>") and later["n_turns"] == 64
+    assert sum(r["n_turns"] for r in out if r["perspective"] == "a" and r["conv_id"] == 4) == 300
     assert chat.perspectives(turns.limit(0)).count() == 0
 
 

@@ -1,7 +1,7 @@
 """Mixing sources to target weights, by blocks of fixed length.
 
 Each source's words are laid end to end and cut into blocks.  Output shards draw multinomial counts of blocks from
-the sources; each source's slots run through pseudorandom permutations of its block numbers, one permutation a
+the sources (of very many sources: of groups, then of the sources in a group); each source's slots run through pseudorandom permutations of its block numbers, one permutation a
 pass; slots and blocks meet by number.  A source's target is met to the word: the last slot is cut short.
 """
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyre.llm.common import WORD, small, written
+from gyre.llm.common import WORD, null_safe_join, running, small, written
 
 
 @dataclass(frozen=True)
@@ -29,8 +29,8 @@ class Mix:
     block: int = 1_024
     shard: int = 1 << 20
     seed: int = 11
-    #: Sources at most: every draw holds a count for each.
-    sources: int = 100_000
+    #: Sources that are drawn from at once: with more than this, groups are drawn first, then sources in a group.
+    sources: int = 4_096
 
 
 def n_words(text: Column) -> Column:
@@ -38,13 +38,13 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
-    """(sid, source, source_size, weight, target) of sizes (source, size): one row a source, sid by code point, null last.
+    """(sid, source, source_size, docs, weight, target) of sizes (source, size): one row a source, sid by code point, null last.
 
     The total is shared by weight; a target stops at mix.passes times its source's size, and the excess is shared
     again.  With sources in the order of cap / weight, the capped ones come first, so running sums find where the
     capping ends: at the first source whose share of what is left is within its cap, which has the highest share.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     by_source = by_source.withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long") - 1)
     weights = F.array(*[F.lit(w) for w in mix.weights])
     by_source = by_source.withColumn("weight", F.get(weights, F.pmod("sid", F.lit(len(mix.weights))).cast("int")))
@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     by_source = by_source.withColumn("level", (total - before) / rest)
     stop = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
     target = F.least(F.col("cap").cast("double"), F.coalesce(stop * F.col("weight"), F.col("cap").cast("double")))
-    return by_source.select("sid", "source", "source_size", "weight", target.alias("target"))
+    return by_source.select("sid", "source", "source_size", "docs", "weight", target.alias("target"))
 
 
 def permuted(at: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -91,55 +91,86 @@ def _permuted_column(at: Column, size: Column, key: Column) -> Column:
     return run.asNondeterministic()(at, size, key)
 
 
+#: Rows of a bucket of a source, about.
+BUCKET_ROWS = 128
+
+
 def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """(doc_id, size, sid, source_size, target, start): where each document's words begin in its source.
 
-    Documents go by a hash of doc_id.  Running sums are taken in hash buckets of a source, then over its buckets,
-    so that a large source is spread over tasks.
+    Documents go by a hash of doc_id.  Running sums are taken in hash buckets of a source, as many as it has rows for,
+    then over its buckets, so that a large source is spread over tasks.
     """
-    buckets = max(1, min(1 << 16, sizes.count() // 2_000))
-    rows = sizes.join(F.broadcast(sources), sizes["source"].eqNullSafe(sources["source"]))  # at most Mix.sources rows
-    rows = rows.select("doc_id", "size", "sid", "source_size", "target", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
+    rows = null_safe_join(sizes, small(sources), ["source"])
+    bucket = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("docs") / BUCKET_ROWS)).alias("bucket")
+    rows = rows.select("doc_id", "size", "sid", "source_size", "target", bucket)
     place = Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = written(rows.withColumn("start", F.sum("size").over(place) - F.col("size")), "rows")
-    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
-    sums = sums.select("sid", "bucket", (F.sum("n").over(Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
-    sums = written(sums, "sums")
+    sums = running(rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n")), ["sid"], "bucket", "n")
+    sums = written(sums.select("sid", "bucket", "before"), "sums")
     return rows.join(small(sums), ["sid", "bucket"]).select("doc_id", "size", "sid", "source_size", "target", (F.col("before") + F.col("start")).alias("start"))
 
 
-def slots(sources: DataFrame, mix: Mix) -> DataFrame:
-    """(shard, slot, sid, block, words): the blocks that each output shard takes, and how many words of each.
-
-    A pass over a source takes its full blocks in a permuted order and then its short last block.
-    """
-    spark = sources.sparkSession
+def _plan(sources: DataFrame, mix: Mix) -> DataFrame:
+    """sources with words with the words to take, blocks, slots, and `each`, the slots of a pass."""
     plan = sources.filter("source_size > 0").select("sid", "source_size", F.round("target").cast("long").alias("take"))
     plan = plan.withColumn("full", F.expr(f"source_size div {mix.block}")).withColumn("each", F.col("full") + (F.col("source_size") % mix.block > 0).cast("int"))
     plan = plan.withColumn("rest", F.expr("take % source_size"))
     part = F.least(F.expr(f"(rest + {mix.block - 1}) div {mix.block}"), F.col("each"))
-    plan = plan.withColumn("slots", F.expr("take div source_size") * F.col("each") + part)
-    plan = written(plan, "plan")
-    rows = plan.select("sid", "slots", "take").filter("slots > 0").orderBy("sid").limit(mix.sources + 1).toPandas()
-    if len(rows) > mix.sources:
-        raise ValueError(f"more than {mix.sources} sources")
-    total, words = int(rows["slots"].sum()), int(rows["take"].sum())
-    shards = max(1, -(-words // mix.shard))
-    chances, names = rows["slots"].to_numpy(np.float64) / max(1, total), rows["sid"].to_numpy()
-    each, seed = -(-total // shards), mix.seed
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return plan.withColumn("slots", F.expr("take div source_size") * F.col("each") + part).filter("slots > 0")
+
+
+def draws(plan: DataFrame, mix: Mix) -> tuple[DataFrame, int]:
+    """(shard, sid, n): multinomial counts of slots of each source for each output shard, none of 0, and the number of shards.
+
+    The driver holds the number of slots of each group of sources.  A group is one source, as long as there are
+    mix.sources at most; with S sources, there are about as many groups as sources in a group, the root of S.
+    """
+    spark = plan.sparkSession
+    n, words = plan.agg(F.count("*"), F.coalesce(F.sum("take"), F.lit(0))).first()
+    width = 1 if n <= mix.sources else max(mix.sources, int(np.ceil(np.sqrt(n))))
+    groups = plan.groupBy(F.expr(f"sid div {width}").alias("group")).agg(F.sum("slots").alias("slots")).orderBy("group").toPandas()
+    total, shards, seed = int(groups["slots"].sum()), max(1, -(-words // mix.shard)), mix.seed
+    names, chances, each = groups["group"].to_numpy(np.int64), groups["slots"].to_numpy(np.float64) / max(1, total), -(-total // shards)
+
+    def some(counts: np.ndarray, of: np.ndarray, shard: int) -> pd.DataFrame:
+        drawn = np.flatnonzero(counts)
+        return pd.DataFrame({"shard": shard, "sid": of[drawn], "n": counts[drawn]})
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard in batch["id"].tolist():
-                counts = np.random.default_rng([seed, shard]).multinomial(each, chances) if len(chances) else np.empty(0, np.int64)
-                yield pd.DataFrame({"shard": shard, "sid": names, "n": counts})
-
-    drawn = spark.range(shards).mapInPandas(draw, "shard long, sid long, n long")
-    up_to = F.sum("n").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    drawn = drawn.withColumn("stop", up_to).join(F.broadcast(plan), "sid")
-    # Draws differ from the plan by chance; the last shard settles what is left, so that each source meets its target.
-    stop = F.when(F.col("shard") == shards - 1, F.col("slots")).otherwise(F.least("stop", "slots"))
-    drawn = drawn.withColumn("from", F.least(F.col("stop") - F.col("n"), F.col("slots"))).withColumn("to", stop).filter("`from` < `to`")
+                if len(chances):
+                    yield some(np.random.default_rng([seed, shard]).multinomial(each, chances), names, shard)
+
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, group, n, of, slots in batch[["shard", "group", "n", "of", "slots"]].itertuples(index=False):
+                odds = np.asarray(slots, np.float64)
+                yield some(np.random.default_rng([seed, shard, group]).multinomial(n, odds / odds.sum()), np.asarray(of), shard)
+
+    drawn = spark.range(shards).mapInPandas(first, "shard long, sid long, n long")
+    if width > 1:
+        listed = F.sort_array(F.collect_list(F.struct("sid", "slots")))
+        inside = plan.groupBy(F.expr(f"sid div {width}").alias("group")).agg(listed.alias("all"))
+        inside = inside.select("group", F.col("all.sid").alias("of"), F.col("all.slots").alias("slots"))
+        drawn = drawn.withColumnRenamed("sid", "group").join(inside, "group").mapInPandas(second, "shard long, sid long, n long")
+    return drawn, shards
+
+
+def slots(sources: DataFrame, mix: Mix) -> DataFrame:
+    """(shard, slot, sid, block, words): the blocks that each output shard takes, and how many words of each.
+
+    A pass over a source takes its full blocks in a permuted order and then its short last block.  Draws differ from the
+    plan by chance; the last shard settles what is left, so that each source meets its target.
+    """
+    plan = written(_plan(sources, mix), "plan")
+    drawn, shards = draws(plan, mix)
+    # A last row for each source, so that what is left finds a shard even where none was drawn for it.
+    drawn = drawn.unionByName(plan.select(F.lit(shards).cast("long").alias("shard"), "sid", F.lit(0).cast("long").alias("n")))
+    drawn = running(written(drawn, "draws"), ["sid"], "shard", "n").join(small(plan), "sid")
+    end = F.when(F.col("shard") == shards, F.col("slots")).otherwise(F.least(F.col("before") + F.col("n"), F.col("slots")))
+    drawn = drawn.withColumn("from", F.least("before", "slots")).withColumn("to", end).filter("`from` < `to`").withColumn("shard", F.least("shard", F.lit(shards - 1)))
     out = drawn.withColumn("slot", F.explode(F.sequence(F.col("from"), F.col("to") - 1)))
     out = out.withColumn("pass", F.expr("slot div each")).withColumn("at", F.expr("slot % each"))
     key = F.xxhash64(F.lit(mix.seed), "sid", "pass")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyre.llm.common import written
+from gyre.llm.common import few, written
 
 
 class UnionFind:
@@ -36,29 +36,44 @@ class UnionFind:
         return True
 
 
+#: Nodes that a task holds at a time.
+HELD = 1_000_000
+#: Ways in which the neighbours of one node are spread where a step joins by a shuffle.
+SALTS = 16
+
+
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The edges of a partition, replaced by a star around the smallest node of each of its components."""
+    """The edges of a partition, replaced by stars around the smallest nodes of their components, HELD nodes at a time."""
     sets = UnionFind()
+
+    def stars() -> pd.DataFrame:
+        return pd.DataFrame([(x, root) for x in list(sets.parent) if (root := sets.find(x)) != x], columns=["hi", "lo"], dtype="int64")
+
     for batch in batches:
         for x, y in zip(batch["hi"].tolist(), batch["lo"].tolist()):
             sets.union(x, y)
-    stars = [(x, root) for x in sets.parent if (root := sets.find(x)) != x]
-    if stars:
-        yield pd.DataFrame(stars, columns=["hi", "lo"])
+        if len(sets.parent) > HELD:
+            yield stars()
+            sets = UnionFind()
+    yield stars()
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on edges (hi, lo), hi > lo.
 
     Large: the larger neighbours of a node move to its smallest neighbour.  Small: a node and its smaller
-    neighbours do.  The smallest neighbour is found by a pre-aggregated minimum; the join may be split where
-    one node has very many neighbours.
+    neighbours do.  The smallest neighbour is found by a pre-aggregated minimum; it meets the edges by a broadcast if
+    there are few nodes, else under SALTS salts, so that a node with very many neighbours is spread.
     """
     ends = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
     if large:
         ends = ends.union(edges.select("lo", "hi"))
-    least = ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    moved = ends.join(least, "u")
+    least = written(ends.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+    if few(least):
+        moved = ends.join(F.broadcast(least), "u")
+    else:
+        spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        moved = ends.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(spread, ["u", "salt"])
     moved = moved.filter("v > u") if large else moved.select(F.explode(F.array("u", "v")).alias("v"), "m")
     return moved.filter("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
 

@@ -1,12 +1,15 @@
 """Near-duplicate documents: SuperMinHash signatures, banding, exact verification, union-find grouping.
 
 1. Each text becomes a digest of its words and a SuperMinHash signature of its set of word shingles.
-2. Texts with equal words are one node; bands of equal signature rows link nodes to the smallest node of
-   the bucket, which gives candidate groups without listing the pairs of a bucket.
-3. Within each candidate group all pairs are compared on their full sets by an inverted index.  Large
-   groups are cut into blocks, and each pair of blocks is one task's work, so no task holds a whole group.
-   A task returns a spanning forest of the links that it found, not the links.
-4. Components of those links are the groups of near-duplicates.
+2. Texts with equal words are one node; nodes with an equal band of signature rows share a bucket.
+3. Each node is compared with the smallest node of each of its buckets, on full sets.  A bucket whose nodes are
+   then linked with each other is settled, and its other pairs need no look.
+4. In a bucket that is not settled, the nodes outside its largest group of linked nodes are compared with a sample of
+   that group and with each other, and where that does not settle it, with all of the group.
+5. Components of the links are the groups of near-duplicates.
+
+Comparisons count through an inverted index.  Large buckets are cut into blocks, and blocks meet in a task, so no task holds a
+whole bucket; a task returns a spanning forest of the links that it found, not the links.  Sets hold 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyre.llm.common import sliced, small, written
+from gyre.llm.common import few, sliced, small, written
 from gyre.llm.components import UnionFind, components
 
 
@@ -41,6 +44,8 @@ class Settings:
     #: Nodes and shingles of a block at most, about.
     block_nodes: int = 512
     block_shingles: int = 1_000_000
+    #: Nodes of a bucket's largest group that others are compared with before all of it.
+    sample: int = 256
 
 
 NEAR_85 = Settings()
@@ -158,16 +163,41 @@ def sketches(docs: DataFrame, settings: Settings, doc: str = "doc_id", text: str
     return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, digest binary, n_shingles long, bands array<long>")
 
 
-def candidate_edges(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node of nodes (node, bands) and the smallest node of each of its buckets."""
-    exploded = nodes.select("node", F.explode("bands").alias("key"))
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """(key, node, n_shingles, lead) of nodes (node, n_shingles, bands) in buckets of several nodes; lead: the bucket's smallest."""
+    exploded = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
     buckets = exploded.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("key", "lead")
     buckets = written(buckets, "buckets")
-    return exploded.join(small(buckets), "key").filter("node > lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    return exploded.join(small(buckets), "key").select("key", "node", "n_shingles", "lead")
 
 
-def linked_pairs(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set, the later sets that it links with, by counting through an inverted index."""
+def stars(members: DataFrame) -> DataFrame:
+    """Comparisons (see verified_edges) of each node with the leads of its buckets: one group for each lead."""
+    leads = members.filter("node = lead").groupBy(F.col("lead").alias("group"), "node").agg(F.max("n_shingles").alias("n_shingles"))
+    others = members.filter("node > lead").groupBy(F.col("lead").alias("group"), "node").agg(F.max("n_shingles").alias("n_shingles"))
+    return leads.withColumn("minor", F.lit(True)).union(others.withColumn("minor", F.lit(False)))
+
+
+def unsettled(members: DataFrame, found: DataFrame, sample: int | None, more_than: int = 0) -> DataFrame:
+    """Comparisons (see verified_edges) in buckets whose nodes are in several components of found (node, component).
+
+    minor: nodes outside the largest component of the bucket.  sample: about so many nodes of that component are taken, by
+    a hash, or all for None; more_than: buckets with no more of them are left out.  Of buckets with equal nodes, one is taken.
+    """
+    placed = members.join(small(found), "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(seed), "node").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)])
+    largest = F.max(F.struct("n", (-F.col("component")).alias("c")))
+    keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"), largest.alias("top"))
+    keys = keys.filter((F.col("parts") > 1) & (F.col("top.n") > more_than)).groupBy("n", "h1", "h2").agg(F.min(F.struct("key", F.col("top.n").alias("most"), (-F.col("top.c")).alias("main"))).alias("one")).select("one.*")
+    keys = written(keys, "unsettled")
+    rows = placed.join(small(keys), "key").withColumn("minor", F.col("component") != F.col("main"))
+    if sample is not None:
+        rows = rows.filter(F.col("minor") | (F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("most") / sample)) == 0))
+    return rows.groupBy(F.col("key").alias("group"), "node", "minor").agg(F.max("n_shingles").alias("n_shingles")).select("group", "node", "n_shingles", "minor")
+
+
+def linked_pairs(sets: list[np.ndarray], percent: int, probes: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the first `probes` sets, the later sets that it links with, by counting through an inverted index."""
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int64)
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -176,7 +206,7 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np
     place = np.empty(len(ids), np.int64)
     place[order] = np.arange(len(ids))
     ends = np.cumsum(sizes)
-    for x in range(len(sets) - 1):
+    for x in range(min(probes, len(sets) - 1)):
         mine = slice(ends[x] - sizes[x], ends[x])
         lo, hi = place[mine] + 1, starts[ids[mine] + 1]
         n = hi - lo
@@ -191,50 +221,70 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, np
 def _verify(settings: Settings):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         links = []
-        for _, group in pdf.groupby("candidate", sort=True):
+        for _, group in pdf.groupby("group", sort=True):
             if len(group) < 2:
                 continue
+            group = group.sort_values("minor", ascending=False, kind="stable")
             nodes, sets = group["node"].tolist(), [np.asarray(s).view(np.uint64) for s in group["shingles"]]
             forest = UnionFind()
-            for x, others in linked_pairs(sets, settings.percent):
+            for x, others in linked_pairs(sets, settings.percent, int(group["minor"].sum())):
                 links += [(nodes[x], nodes[y]) for y in others.tolist() if forest.union(x, y)]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def comparisons(groups: DataFrame, settings: Settings) -> DataFrame:
+    """(node, tasks): where each node of groups is compared; a task is (group, minor, kind, left, right).
+
+    A group of a block or less is one task, and such groups are packed by their shingles.  In a larger one, each block of
+    minor nodes meets each block of the others (kind 1) and, if there are several minor nodes, each block of these (kind 0).
+    """
+    of = lambda minor, column: F.coalesce(F.sum(F.when(F.col("minor") == minor, column)), F.lit(0))
+    sizes = groups.groupBy("group").agg(*[of(minor, column).alias(name) for minor, column, name in ((True, F.lit(1), "n1"), (True, F.col("n_shingles"), "s1"), (False, F.lit(1), "n0"), (False, F.col("n_shingles"), "s0"))])
+    blocks = [F.greatest(F.ceil(F.col(f"n{k}") / settings.block_nodes), F.ceil(F.col(f"s{k}") / settings.block_shingles)).alias(f"b{k}") for k in (1, 0)]
+    alone = (F.col("n1") + F.col("n0") <= settings.block_nodes) & (F.col("s1") + F.col("s0") <= settings.block_shingles)
+    sizes = written(sizes.select("group", "n1", (F.col("n1") + F.col("n0")).alias("n"), (F.col("s1") + F.col("s0")).alias("s"), *blocks, alone.alias("alone")), "sizes")
+    n, s = sizes.filter("alone").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0))).first()
+    bins = max(1, -(-n // settings.block_nodes), -(-s // settings.block_shingles))
+    own = F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("minor"), F.col("b1")).otherwise(F.col("b0")), F.lit(1)))
+
+    def task(kind: int, left, right):
+        return F.struct(F.col("group"), F.col("minor"), F.lit(kind).alias("kind"), left.cast("long").alias("left"), right.cast("long").alias("right"))
+
+    def each(n, make):
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1), make)).otherwise(F.array().cast(kinds))
+
+    kinds = "array<struct<group:bigint,minor:boolean,kind:int,left:bigint,right:bigint>>"
+    packed = F.array(task(-1, F.pmod(F.xxhash64("group"), F.lit(bins)), F.lit(-1)))
+    among = each(F.when(F.col("n1") > 1, F.col("b1")).otherwise(F.lit(0)), lambda i: task(0, F.least(own, i), F.greatest(own, i)))
+    across = F.when(F.col("minor"), each(F.col("b0"), lambda j: task(1, own, j))).otherwise(each(F.col("b1"), lambda i: task(1, i, own)))
+    tasks = F.when(F.col("alone"), packed).when(F.col("minor"), F.concat(among, across)).otherwise(across)
+    rows = groups.join(small(sizes), "group").select("node", F.explode(tasks).alias("task"))
+    return rows.groupBy("node").agg(F.collect_list("task").alias("tasks"))
+
+
 def verified_edges(docs: DataFrame, groups: DataFrame, settings: Settings, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """A spanning forest (a, b) of the links within groups (node, candidate, n_shingles), confirmed on full sets.
+    """A spanning forest (a, b) of the links within groups (group, node, n_shingles, minor), confirmed on full sets.
 
-    Small groups are packed together; a large one is cut into blocks by hash, and each two blocks meet in one task.
+    Minor nodes are compared with all nodes of their group; the others are not compared with each other.  A node is
+    in one group for each of its bands at most, and its set is found once.
     """
-    sizes = groups.groupBy("candidate").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    sizes = written(sizes.select("candidate", F.greatest(F.ceil(F.col("n") / settings.block_nodes), F.ceil(F.col("s") / settings.block_shingles)).alias("blocks")), "sizes")
-    bins = max(1, -(-groups.count() // settings.block_nodes))
-    tasks = groups.join(small(sizes), "candidate").select(
-        "node", "candidate", "blocks",
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("candidate"), F.lit(bins))).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("own"),
-    )
-    tasks = written(tasks, "tasks")
+    tasks = written(comparisons(groups, settings), "tasks")
     size = settings.words
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, SLICE):
             found = [shingles(word_list(t), size).view(np.int64) for t in part["text"].to_pylist()]
-            kept = {name: part[name] for name in ("node", "candidate", "blocks", "own")}
-            yield pa.record_batch(kept | {"shingles": pa.array(found, pa.list_(pa.int64()))})
-
-    texts = docs.select(F.col(doc).cast("long").alias("node"), F.col(text).alias("text")).join(small(tasks), "node")
-    whole = texts.mapInArrow(sets, "node long, candidate long, blocks long, own long, shingles array<long>")
-    alone = F.col("blocks") == 1
-    whole = whole.withColumn("other", F.explode(F.when(alone, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
-    whole = whole.select(
-        "node", "candidate", "shingles",
-        F.when(alone, F.lit(None)).otherwise(F.col("candidate")).alias("large"),
-        F.when(alone, F.col("own")).otherwise(F.least("own", "other")).alias("left"),
-        F.when(alone, F.lit(-1)).otherwise(F.greatest("own", "other")).alias("right"),
-    )
-    return whole.groupBy("large", "left", "right").applyInPandas(_verify(settings), "a long, b long")
+            yield pa.record_batch({"node": part["node"], "tasks": part["tasks"], "shingles": pa.array(found, pa.list_(pa.int64()))})
+
+    known = F.broadcast(tasks) if few(tasks.select(F.explode("tasks"))) else tasks
+    texts = docs.select(F.col(doc).cast("long").alias("node"), F.col(text).alias("text")).join(known, "node")
+    whole = texts.mapInArrow(sets, f"node long, tasks {tasks.schema['tasks'].dataType.simpleString()}, shingles array<long>")
+    whole = whole.select("node", "shingles", F.explode("tasks").alias("task")).select("node", "shingles", "task.*")
+    # A group that is packed is told from others in its task; a large one has tasks of its own.
+    whole = whole.withColumn("large", F.when(F.col("kind") >= 0, F.col("group")))
+    return whole.groupBy("large", "kind", "left", "right").applyInPandas(_verify(settings), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = NEAR_85, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,14 +300,16 @@ def near_duplicates(docs: DataFrame, settings: Settings = NEAR_85, doc: str = "d
     sketch = written(sketches(docs, settings, doc, text), "sketches")
     copies = sketch.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
     copies = written(copies, "copies")
-    nodes = copies.filter("node IS NOT NULL")
-    groups = components(candidate_edges(nodes), "candidates").select("node", F.col("component").alias("candidate"))
-    groups = written(nodes.select("node", "n_shingles").join(small(groups), "node"), "groups")
-    links = verified_edges(docs, groups, settings, doc, text)
+    members = written(bucket_members(copies.filter("node IS NOT NULL")), "members")
+    links = written(verified_edges(docs, stars(members), settings, doc, text), "confirmed")  # in a stage of its own, or a task would hold two workers
+    for sample, more_than in ((settings.sample, 0), (None, settings.sample)):
+        groups = written(unsettled(members, written(components(links, "links"), "components"), sample, more_than), "groups")
+        if groups.isEmpty():
+            break
+        links = links.union(written(verified_edges(docs, groups, settings, doc, text), "confirmed"))
     same_id = sketch.filter("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     by_id = sketch.join(small(same_id.select("doc_id")), "doc_id").join(copies.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    links = written(links.union(by_id), "confirmed")  # in a stage of its own, or a task would hold two workers
-    found = written(components(links, "links"), "components")
+    found = written(components(links.union(by_id), "links"), "components")
     repeated = copies.filter("n > 1").select("digest", "node")
     out = sketch.select("doc_id", "n_shingles", "digest").join(small(repeated, 500_000), "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")).join(small(found), "node", "left")
@@ -268,14 +320,16 @@ def near_duplicates(docs: DataFrame, settings: Settings = NEAR_85, doc: str = "d
 def deduplicated(docs: DataFrame, settings: Settings = NEAR_80, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group of near-duplicates: that with the smallest doc_id, in one row.
 
-    All columns stay.  Rows without a doc_id go only if their text equals that of a document with one.
+    All columns stay.  Of rows that share a doc_id, the one with the smallest text stays, then with the smallest other
+    columns, as JSON.  Rows without a doc_id go only if their text equals that of a document with one.
     """
     found = near_duplicates(docs, settings, doc, text)
     found = written(found.select(F.col("doc_id").alias("_doc"), "kept"), "found")
     gone = found.filter("NOT kept AND _doc IS NOT NULL").select("_doc").distinct()
     docs = docs.join(small(gone), F.col(doc) == F.col("_doc"), "left_anti")
-    twice = found.filter("kept AND _doc IS NOT NULL").groupBy("_doc").agg(F.count("*").alias("n")).filter("n > 1").select("_doc")
+    twice = written(found.filter("kept AND _doc IS NOT NULL").groupBy("_doc").agg(F.count("*").alias("n")).filter("n > 1").select("_doc"), "twice")
     if twice.isEmpty():
         return docs
-    once = docs.join(twice, F.col(doc) == F.col("_doc"), "left_semi").dropDuplicates([doc])
-    return docs.join(twice, F.col(doc) == F.col("_doc"), "left_anti").unionByName(once)
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.col(text), F.to_json(F.struct(*docs.columns))))
+    once = docs.join(small(twice), F.col(doc) == F.col("_doc"), "left_semi").groupBy(doc).agg(first.alias("_row")).select("_row.*")
+    return docs.join(small(twice), F.col(doc) == F.col("_doc"), "left_anti").unionByName(once)

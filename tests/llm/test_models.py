@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from gyre.llm import chat, langid, lmscore, mixing, neardup, quality, queries, urlfilter
+from gyre.llm import chat, components, langid, lmscore, mixing, neardup, quality, queries, urlfilter
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -162,7 +162,8 @@ def test_quality_and_near_duplicates_of_odd_texts(spark):
     assert near[3] == near[14] == 3 and near[11] == 11
     assert neardup.near_duplicates(docs).count() == quality.ledger(docs).count() == docs.count()
     assert neardup.near_duplicates(docs.limit(0)).count() == quality.ledger(docs.limit(0)).count() == 0
-    assert neardup.deduplicated(docs).columns == docs.columns
+    once = neardup.deduplicated(docs)
+    assert once.columns == docs.columns and [r["text"] for r in once.filter("doc_id = 3").collect()] == ["again"]
 
 
 def test_words_of_long_texts_are_counted_alike(monkeypatch):
@@ -172,24 +173,50 @@ def test_words_of_long_texts_are_counted_alike(monkeypatch):
     assert [quality.measure(t) for t in texts] == want
 
 
-def test_a_large_group_is_compared_in_blocks(spark):
-    """Variants of a text, cut into blocks of 5, give the same groups as all pairs in DuckDB."""
-    rng = np.random.default_rng(3)
-    base = [f"w{i}" for i in range(120)]
+def variants(n, words=120, edits=7, seed=3):
+    rng = np.random.default_rng(seed)
     rows = []
-    for i in range(60):
-        words = list(base)
-        for at in rng.integers(0, 120, rng.integers(0, 7)):
-            words[at] = f"v{rng.integers(0, 9)}"
-        rows.append((i, " ".join(words)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = neardup.near_duplicates(docs, neardup.Settings(block_nodes=5)).collect()
+    for i in range(n):
+        text = [f"w{i}" for i in range(words)]
+        for at in rng.integers(0, words, rng.integers(0, edits)):
+            text[at] = f"v{rng.integers(0, 9)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("settings", [{"block_nodes": 5}, {"block_nodes": 5, "sample": 2}, {"block_shingles": 300, "sample": 1}, {}])
+def test_a_large_group_is_compared_in_blocks(spark, settings):
+    """Variants of a text, cut into blocks, give the same groups as all pairs in DuckDB."""
+    docs = spark.createDataFrame(variants(60), "doc_id long, text string")
+    out = neardup.near_duplicates(docs, neardup.Settings(**settings)).collect()
     documents = docs.toPandas()  # noqa: F841
     want = duckdb.sql(queries.OP7_SQL)
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in out) == sorted(want.fetchall())
     assert len({r["component_id"] for r in out}) > 1
 
 
+def test_comparisons_in_a_chain_grow_with_its_length(spark):
+    """Texts that each share most of their words with the next, so that buckets chain them all: work is linear in their number."""
+    rows = {}
+    for n in (2_000, 4_000):
+        docs = spark.range(n).selectExpr("id AS doc_id", "array_join(transform(sequence(id * 12, id * 12 + 79), x -> concat('w', x)), ' ') AS text")
+        sketch = neardup.sketches(docs, neardup.NEAR_80)
+        nodes = sketch.select(F.col("doc_id").alias("node"), "bands", "n_shingles")
+        members = neardup.written(neardup.bucket_members(nodes), "members")
+        alone = nodes.select("node", F.col("node").alias("component")).limit(0)
+        rows[n] = [neardup.comparisons(groups, neardup.NEAR_80).select(F.explode("tasks")).count() for groups in (neardup.stars(members), neardup.unsettled(members, alone, 256))]
+    assert all(0 < small_one and large < 2.2 * small_one for small_one, large in zip(rows[2_000], rows[4_000]))
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_components_of_stars_chains_and_loops(spark, limit, monkeypatch):
+    monkeypatch.setattr(components, "few", lambda df: limit > 0)
+    monkeypatch.setattr(components, "HELD", 20)
+    edges = [(i, i + 1) for i in range(50)] + [(1_000, i) for i in range(1_001, 1_100)] + [(5_000, 5_000), (None, 3), (7_000, 6_000), (6_000, 7_000)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == {i: 0 for i in range(51)} | {i: 1_000 for i in range(1_000, 1_100)} | {6_000: 6_000, 7_000: 6_000}
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(5)
     common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (600, 200, 200))

@@ -5,11 +5,11 @@ Patterns are written for Java with the rules of Unix lines, so that only a line
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gyre.functions.binding import let
+
 # The token and marker patterns that define an answer.
 TOKEN = r"[-+]?\d+(?:\.\d+)?(?:\s*/\s*[-+]?\d+)?"
 BOXED = r"\\boxed\s*\{([^{}]+)\}"
@@ -24,11 +24,6 @@ LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 CANDIDATE = "array<struct<strategy:string,raw:string,token:string>>"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once: the bound of a lambda is not spelt out again in the plan."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def strip(text: Column) -> Column:
     """text without white space, in Unicode's sense, at its ends."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$(?!\n)", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gyre.functions.binding import let
+
 
 def _digits(digest: Column, start: int, n: int) -> Column:
     return F.conv(F.substring(digest, start, n), 16, 10).cast("long")
@@ -30,14 +32,22 @@ def mock_judgement(question: Column, gold: Column, response: Column) -> Column:
     """Rubric scores taken from the digest of the input as a 256-bit number h: h, h >> 2, h >> 4 and h >> 6 modulo 3; silent if 7 divides h.
 
     The number is read as eight 32-bit digits: 2 ** 32 is 1 modulo 3 and 4 modulo 7, and a shift by an even number of bits
-    only takes off the bits shifted out, as 4 is 1 modulo 3.
+    only takes off the bits shifted out, as 4 is 1 modulo 3.  Digest, digits and sums are each bound once.
     """
-    digest = F.sha2(F.concat_ws("\n", question, gold, response), 256)
-    words = [_digits(digest, 1 + 8 * k, 8) for k in range(8)]
-    by3 = sum(words[1:], words[0]) % 3
-    by7 = sum([w * (4 ** (7 - k) % 7) for k, w in enumerate(words)][1:], words[0] * (4**7 % 7)) % 7
-    part = [F.pmod(by3 - words[7] % (1 << bits), F.lit(3)).cast("int") for bits in (0, 2, 4, 6)]
-    return F.struct(
-        part[0].alias("clarity"), part[1].alias("structure"), part[2].alias("terminology"), part[3].alias("reasoning_soundness"),
-        (part[0] + part[1] + part[2] + part[3]).alias("overall_pedagogical_score"), (by7 == 0).alias("is_silent_error"),
-    )
+
+    def digits(digest: Column) -> Column:
+        return F.array(*[_digits(digest, 1 + 8 * k, 8) for k in range(8)])
+
+    def sums(words: Column) -> Column:
+        word = [F.get(words, F.lit(k)) for k in range(8)]
+        by3 = sum(word[1:], word[0]) % 3
+        by7 = sum([w * (4 ** (7 - k) % 7) for k, w in enumerate(word)][1:], word[0] * (4**7 % 7)) % 7
+        part = [F.pmod(by3 - word[7] % (1 << bits), F.lit(3)).cast("int").alias(f"p{bits}") for bits in (0, 2, 4, 6)]
+        return F.struct(*part, (by7 == 0).alias("silent"))
+
+    def scores(x: Column) -> Column:
+        names = ("clarity", "structure", "terminology", "reasoning_soundness")
+        total = x["p0"] + x["p2"] + x["p4"] + x["p6"]
+        return F.struct(*[x[f"p{bits}"].alias(name) for bits, name in zip((0, 2, 4, 6), names)], total.alias("overall_pedagogical_score"), x["silent"].alias("is_silent_error"))
+
+    return let(let(let(F.sha2(F.concat_ws("\n", question, gold, response), 256), digits), sums), scores)

@@ -8,17 +8,27 @@ from pyspark.sql import functions as F
 METRICS = ["accuracy_mean", "pedagogical_score_mean", "silent_error_rate"]
 
 
-def metrics(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Row count, accuracy, mean score, and rates of silent errors and of failed parses, of each group with non-null keys."""
+def measures(when: Column | None = None, prefix: str = "") -> list[Column]:
+    """Row count, accuracy, mean score, and rates of silent errors and of failed parses, of the rows where `when` holds."""
+
+    def of(value: Column) -> Column:
+        return value if when is None else F.when(when, value)
+
+    failed = (~F.col("pred_parse_success")).cast("int")
+    return [
+        F.count(of(F.col("example_id"))).alias(f"{prefix}sample_count"),
+        F.avg(of(F.col("is_correct").cast("int"))).alias(f"{prefix}accuracy_mean"),
+        F.avg(of(F.col("overall_pedagogical_score"))).alias(f"{prefix}pedagogical_score_mean"),
+        F.avg(of(F.col("is_silent_error").cast("int"))).alias(f"{prefix}silent_error_rate"),
+        F.sum(of(failed)).alias(f"{prefix}parse_failure_pred_count"),
+        F.avg(of(failed)).alias(f"{prefix}parse_failure_pred_rate"),
+    ]
+
+
+def metrics(rows: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """measures() of each group with non-null keys, and more aggregates of the same pass."""
     rows = rows.dropna(subset=by) if by else rows
-    return rows.groupBy(*by).agg(
-        F.count("example_id").alias("sample_count"),
-        F.avg(F.col("is_correct").cast("int")).alias("accuracy_mean"),
-        F.avg("overall_pedagogical_score").alias("pedagogical_score_mean"),
-        F.avg(F.col("is_silent_error").cast("int")).alias("silent_error_rate"),
-        F.sum((~F.col("pred_parse_success")).cast("int")).alias("parse_failure_pred_count"),
-        F.avg((~F.col("pred_parse_success")).cast("int")).alias("parse_failure_pred_rate"),
-    )
+    return rows.groupBy(*by).agg(*measures(), *more)
 
 
 def long_form(df: DataFrame, by: list[str], values: list[str], name: str = "metric", value: str = "value") -> DataFrame:
@@ -31,9 +41,9 @@ def normal_interval(mean: Column, deviation: Column, n: Column) -> tuple[Column,
     return mean - half, mean + half
 
 
-def spread(values: DataFrame, by: list[str], value: str = "value", member: str = "seed") -> DataFrame:
+def spread(values: DataFrame, by: list[str], *more: Column, value: str = "value", member: str = "seed") -> DataFrame:
     """Mean, sample deviation (0 for one value), normal interval and number of seeds of each group; nulls do not count."""
-    out = values.groupBy(*by).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.count_distinct(F.when(F.col(value).isNotNull(), F.col(member))).alias("n_seeds"), F.count(value).alias("n_values"))
+    out = values.groupBy(*by).agg(*more, F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.count_distinct(F.when(F.col(value).isNotNull(), F.col(member))).alias("n_seeds"), F.count(value).alias("n_values"))
     low, high = normal_interval(F.col("mean"), F.col("std"), F.col("n_values"))
     return out.withColumn("ci_low", low).withColumn("ci_high", high)
 
@@ -61,12 +71,24 @@ def correlation(x: Column, y: Column) -> Column:
     return F.when(F.count(a) >= 3, F.try_divide(F.covar_samp(a, b), F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))))
 
 
+def pair_deltas(table: DataFrame, by: list[str], order: list[str], label: str, names: tuple[str, str], values: list[str], apart: bool) -> DataFrame:
+    """Later minus earlier row of each two rows of a group, in one pass over the table.
+
+    A group's rows, one a run and generation or ratio, are gathered in order; apart: only rows whose label rises.
+    """
+    rows = table.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, *[v for v in values if v not in order]))).alias("r"))
+
+    def two(a: Column, b: Column) -> Column:
+        return F.struct(a[label].alias(names[0]), b[label].alias(names[1]), *[(b[v] - a[v]).alias(f"delta_{v}") for v in values])
+
+    later = F.flatten(F.transform("r", lambda a, i: F.transform(F.slice("r", i + 2, F.size("r")), lambda b: two(a, b))))
+    out = rows.select(*by, F.inline(later))
+    return out.filter(F.col(names[0]) < F.col(names[1])) if apart else out
+
+
 def generation_deltas(table: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """Later minus earlier, for all pairs of generations of a group."""
-    left = table.select(*by, F.col("generation").alias("from_generation"), *[F.col(v).alias(f"_{v}") for v in values])
-    right = table.select(*by, F.col("generation").alias("to_generation"), *values)
-    both = left.join(right, by).filter("from_generation < to_generation")
-    return both.select(*by, "from_generation", "to_generation", *[(F.col(v) - F.col(f"_{v}")).alias(f"delta_{v}") for v in values])
+    return pair_deltas(table, by, ["generation"], "generation", ("from_generation", "to_generation"), values, True)
 
 
 def control_deltas(table: DataFrame, by: list[str], side: str, control: str, values: list[str]) -> DataFrame:
@@ -79,10 +101,7 @@ def control_deltas(table: DataFrame, by: list[str], side: str, control: str, val
 
 def ordered_pairs(table: DataFrame, by: list[str], order: list[str], label: str, values: list[str]) -> DataFrame:
     """Later minus earlier rows of a group for all pairs of positions; rows that tie stay apart."""
-    ranked = table.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    left = ranked.select(*by, F.col("_rn").alias("_l"), F.col(label).alias(f"low_{label}"), *[F.col(v).alias(f"_{v}") for v in values])
-    right = ranked.select(*by, F.col("_rn").alias("_r"), F.col(label).alias(f"high_{label}"), *values)
-    return left.join(right, by).filter("_l < _r").select(*by, f"low_{label}", f"high_{label}", *[(F.col(v) - F.col(f"_{v}")).alias(f"delta_{v}") for v in values])
+    return pair_deltas(table, by, order, label, (f"low_{label}", f"high_{label}"), values, False)
 
 
 def ranked(table: DataFrame, values: dict[str, bool], by: list[str] | None = None) -> DataFrame:

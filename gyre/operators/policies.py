@@ -21,6 +21,11 @@ def policy_input(synthetic: DataFrame, accuracy: DataFrame, judge: DataFrame, ke
     how = "left" if partial else "inner"
     rows = synthetic.join(accuracy.select(*keys, *ACCURACY, F.lit(True).alias("has_accuracy")), keys, how)
     rows = rows.join(judge.select(*keys, *JUDGEMENT, F.lit(True).alias("has_judge")), keys, how)
+    return with_states(rows)
+
+
+def with_states(rows: DataFrame) -> DataFrame:
+    """rows with accuracy and judgement columns, where nulls say missing, with what decisions read: flags, correct and silent."""
     rows = rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_accuracy", "has_judge", "pred_parse_success")})
     correct = quality.effectively_correct(F.col("is_correct"), F.col("accuracy_label"))
     return rows.withColumn("correct", correct).withColumn("silent", F.coalesce("is_silent_error", F.lit(True)))

@@ -28,7 +28,7 @@ def round_robin(rows: DataFrame, cells: list[str], bucket: str, order: list[str]
     """quota rows of each cell: the first of each bucket in the given order of buckets, then the second, and so on."""
     shuffled = hash_order(f"bucket-{seed}", *[F.col(c) for c in cells], F.col(key))
     rows = rows.withColumn("_b", F.array_position(F.array(*[F.lit(b) for b in order]), F.col(bucket)))
-    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*cells, bucket).orderBy(shuffled, key)))
+    rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*cells, bucket).orderBy(shuffled, key))).filter(F.col("_i") <= quota)  # in each task, before the shuffle
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*cells).orderBy("_i", "_b", key)))
     return rows.filter(F.col("_n") <= quota).withColumnRenamed("_n", "pick").drop("_b", "_i")
 
@@ -37,7 +37,7 @@ def balanced(rows: DataFrame, cell: str, total: int, key: str, seed: int = 0) ->
     """total rows in equal parts of each cell; the remainder goes to the cells that sort first."""
     cells = rows.select(cell).distinct().withColumn("_c", F.row_number().over(Window.orderBy(cell))).withColumn("_all", F.count("*").over(Window.partitionBy()))
     share = F.expr(f"{total} div _all") + (F.col("_c") <= F.lit(total) % F.col("_all")).cast("int")
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(cell).orderBy(hash_order(f"pair-{seed}", F.col(cell), F.col(key)), key)))
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(cell).orderBy(hash_order(f"pair-{seed}", F.col(cell), F.col(key)), key))).filter(F.col("_n") <= total)  # in each task, before the shuffle
     return ranked.join(F.broadcast(cells.withColumn("_q", share).select(cell, "_q")), cell).filter("_n <= _q").drop("_n", "_q")
 
 

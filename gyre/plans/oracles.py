@@ -132,8 +132,8 @@ longer AS (UNPIVOT (SELECT model_name, branch, generation, seed, accuracy_mean,
 bucketed AS (SELECT *, CASE WHEN is_silent_error THEN 'silent' WHEN overall_pedagogical_score <= 3 THEN 'low'
     WHEN overall_pedagogical_score >= 6 THEN 'high' ELSE 'ordinary' END AS bucket FROM ev),
 csrc AS (
-  SELECT * FROM (SELECT * REPLACE (customer AS example_id), row_number() OVER (PARTITION BY model_name, branch, generation, customer ORDER BY order_id) - 1
-    AS candidate_id FROM ev) WHERE candidate_id < 3),
+  SELECT * REPLACE (customer AS example_id), row_number() OVER (PARTITION BY model_name, branch, generation, customer ORDER BY order_id) - 1
+    AS candidate_id FROM ev),
 csro AS (
   SELECT *, row_number() OVER (g ORDER BY pred_parse_success DESC, is_correct DESC, is_silent_error, overall_pedagogical_score DESC,
       reasoning_soundness DESC, structure DESC, candidate_id) AS best_rank,
@@ -226,10 +226,10 @@ SQL = {
     "i01_run_level": "SELECT *, 'run_seed' || seed AS run_id, 'inference' AS evaluation_mode FROM lvl",
     "e05_seed_stats": _stats("longer", "model_name, branch, generation, metric"),
     "e06_bootstrap_ci": """, v AS (SELECT model_name, branch, generation, metric, list(value ORDER BY seed) AS v FROM longer GROUP BY ALL),
-      d AS (SELECT *, unnest(range(len(v))) AS pos FROM (SELECT *, unnest(range(200)) AS rep FROM v)),
+      d AS (SELECT *, unnest(range(len(v))) AS pos FROM (SELECT *, unnest(range(2000)) AS rep FROM v)),
       m AS (SELECT model_name, branch, generation, metric, rep, avg(v[(('0x' || substr(sha256(concat_ws('|', '7', model_name, branch, generation::VARCHAR, metric,
         rep::VARCHAR, pos::VARCHAR)), 1, 8))::BIGINT % len(v) + 1)::INT]) AS m FROM d GROUP BY ALL)
-      SELECT model_name, branch, generation, metric, round(list_sort(list(m))[5], 9) AS boot_low, round(list_sort(list(m))[195], 9) AS boot_high FROM m GROUP BY ALL""",
+      SELECT model_name, branch, generation, metric, round(list_sort(list(m))[50], 9) AS boot_low, round(list_sort(list(m))[1950], 9) AS boot_high FROM m GROUP BY ALL""",
     "e08_judge_correlation": "SELECT branch, generation, round(corr(overall_pedagogical_score, clarity), 9) AS correlation, count(*) AS n FROM ev GROUP BY ALL",
     "e10_branch_summary": """SELECT branch, generation, count(*) AS n, avg((clarity + structure) * 2 - overall_pedagogical_score) AS mean_delta,
       avg(abs((clarity + structure) * 2 - overall_pedagogical_score)) AS mean_abs_delta, avg(((terminology = 0) = is_silent_error)::INT) AS silent_agreement
@@ -317,7 +317,7 @@ SQL = {
     "k02_judge_dedupe_fanout": """, a AS (SELECT order_id, sha256(question || chr(10) || answer_gold || chr(10) || raw_response) AS h FROM resp),
       b AS (SELECT order_id, list_sum(list_transform(range(1, 65), lambda i: ('0x' || substr(h, i, 1))::INT)) AS d, ('0x' || substr(h, 63, 2))::INT AS low FROM a)
       SELECT order_id, (d % 3 + (d - low % 4 + 255) % 3 + (d - low % 16 + 255) % 3 + (d - low % 64 + 255) % 3)::INT AS score FROM b""",
-    "k04_unresolved_failures": "SELECT user_id, max(event_id) AS event_id, 'error' AS event_type FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0) GROUP BY user_id",
+    "k04_unresolved_failures": "SELECT user_id, max(event_id) AS event_id, 'error' AS event_type FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY user_id",
 }
 
 

@@ -126,23 +126,18 @@ def e29_severity_counts(spark, sf_dir):
 
 
 def h08_row_counts(spark, sf_dir):
-    """Rows of each artifact of each context, and whether they agree: one pass over the tagged rows."""
-    rows = bindings.responses(spark, sf_dir)
-    parts = rows.select(*CTX, F.lit("outputs").alias("artifact")).union(bindings.accuracy(rows).select(*CTX, F.lit("accuracy"))).union(bindings.evaluated(spark, sf_dir).select(*CTX, F.lit("judged")))
-    names = ["outputs", "accuracy", "judged"]
-    out = parts.groupBy(*CTX).agg(*[F.count(F.when(F.col("artifact") == n, 1)).alias(f"n_{n}") for n in names])
+    """Rows of each artifact of each context, and whether they agree: one pass."""
+    rows = bindings.evaluated(spark, sf_dir, keep_missing=True)
+    out = rows.groupBy(*CTX).agg(F.count("raw_response").alias("n_outputs"), F.count("accuracy_label").alias("n_accuracy"), F.count(F.when(F.col("has_judge"), 1)).alias("n_judged"))
     return out.withColumn("accuracy_mismatch", F.col("n_outputs") != F.col("n_accuracy")).withColumn("judged_mismatch", F.col("n_judged") != F.col("n_accuracy"))
 
 
 def h12_policy_recheck(spark, sf_dir):
     """Keep rates in a report against those of its decisions, and whether reasons add up to the rows."""
     decided = policies.soft_pvf(q._policy_rows(spark, sf_dir))
-    report = decided.groupBy("branch", "generation").agg(F.avg(F.col("kept").cast("int")).alias("keep_rate"))
-    report = report.withColumn("keep_rate", F.col("keep_rate") + F.when(F.col("generation") == 0, 0.5).otherwise(0.0))
-    again = decided.groupBy("branch", "generation").agg(F.avg(F.col("kept").cast("int")).alias("actual"), F.count("*").alias("n_rows"))
-    reasons = metrics.reason_counts(decided, ["branch", "generation"], "decision_reason").groupBy("branch", "generation").agg(F.sum("n").alias("n_reasons"))
-    out = report.join(again, ["branch", "generation"]).join(reasons, ["branch", "generation"])
-    return out.select("branch", "generation", F.when(F.abs(F.col("keep_rate") - F.col("actual")) <= 1e-6, "ok").otherwise("mismatch").alias("keep_rate_status"), (F.col("n_rows") == F.col("n_reasons")).alias("reasons_complete"))
+    again = decided.groupBy("branch", "generation").agg(F.avg(F.col("kept").cast("int")).alias("actual"), F.count("*").alias("n_rows"), F.count("decision_reason").alias("n_reasons"))
+    report = again.withColumn("keep_rate", F.col("actual") + F.when(F.col("generation") == 0, 0.5).otherwise(0.0))
+    return report.select("branch", "generation", F.when(F.abs(F.col("keep_rate") - F.col("actual")) <= 1e-6, "ok").otherwise("mismatch").alias("keep_rate_status"), (F.col("n_rows") == F.col("n_reasons")).alias("reasons_complete"))
 
 
 def f06_top_per_category(spark, sf_dir):
@@ -241,7 +236,7 @@ def i10_dbr_stress(spark, sf_dir):
 
 
 def i12_pvr_stress(spark, sf_dir):
-    return exports.repair_report(bindings.evaluated(spark, sf_dir), q._with_token(spark, sf_dir))["stress_summary"].select(*CTX, "sample_count", "n_attempted", "n_success", "success_rate")
+    return exports.repair_report(bindings.evaluated(spark, sf_dir), q._policy_rows(spark, sf_dir))["stress_summary"].select(*CTX, "sample_count", "n_attempted", "n_success", "success_rate")
 
 
 def i14_csr_reasons(spark, sf_dir):

@@ -40,6 +40,7 @@ def responses(spark: SparkSession, sf_dir: str, shared_ids: bool = False) -> Dat
     rows = orders.select(
         key.alias("order_id"),
         (F.concat(F.lit("cust_"), F.col("o_custkey")) if shared_ids else F.concat(F.lit("ord_"), key)).alias("example_id"),
+        F.concat(F.lit("cust_"), F.col("o_custkey")).alias("customer"),
         F.concat(F.lit("model_"), F.col("o_custkey") % 2).alias("model_name"),
         F.when(F.col("o_orderstatus") == "F", "pure_recycling").when(F.col("o_orderstatus") == "O", "dbr_medium").otherwise("anchor_20_append").alias("branch"),
         (F.expr("o_orderkey div 7") % 3).cast("int").alias("generation"),

@@ -33,6 +33,19 @@ def round_robin(rows: DataFrame, cells: list[str], bucket: str, order: list[str]
     return rows.filter(F.col("_n") <= quota).withColumnRenamed("_n", "pick").drop("_b", "_i")
 
 
+def balanced_cells(rows: DataFrame, cells: list[str], bucket: str, order: list[str], total: int, key: str, seed: int = 0) -> DataFrame:
+    """total rows in equal parts of each cell, buckets taking turns; the first cells get what is left over.
+
+    Where a cell has too few rows, others fill the gap, in hash order.  No task sees more than `total` rows of a cell.
+    """
+    picked = round_robin(rows, cells, bucket, order, total, key, seed)
+    cell = F.dense_rank().over(Window.orderBy(*cells))
+    picked = picked.withColumn("_cell", cell).withColumn("_cells", F.max("_cell").over(Window.partitionBy()))
+    quota = F.expr(f"{total} div _cells") + (F.col("_cell") <= F.lit(total) % F.col("_cells")).cast("int")
+    place = F.row_number().over(Window.orderBy((F.col("pick") > quota).cast("int"), hash_order(f"fill-{seed}", F.col(key)), key))
+    return picked.withColumn("_place", place).filter(F.col("_place") <= total).drop("_cell", "_cells", "_place", "pick")
+
+
 def balanced(rows: DataFrame, cell: str, total: int, key: str, seed: int = 0) -> DataFrame:
     """total rows in equal parts of each cell; the remainder goes to the cells that sort first."""
     cells = rows.select(cell).distinct().withColumn("_c", F.row_number().over(Window.orderBy(cell))).withColumn("_all", F.count("*").over(Window.partitionBy()))

@@ -31,10 +31,10 @@ def with_states(rows: DataFrame) -> DataFrame:
     return rows.withColumn("correct", correct).withColumn("silent", F.coalesce("is_silent_error", F.lit(True)))
 
 
-def pvf(rows: DataFrame, threshold: int = 5) -> DataFrame:
-    """rows with kept and reject_reasons: those that hold, in fixed order, joined by bars."""
+def pvf_reasons(threshold: int = 5) -> list[tuple[Column, str]]:
+    """Why a row may be rejected, in fixed order."""
     score = F.coalesce(F.col("overall_pedagogical_score") >= threshold, F.lit(False))
-    reasons = [
+    return [
         (~F.col("has_accuracy"), "missing_accuracy_row"),
         (~F.col("has_judge"), "missing_judge_row"),
         (~F.col("pred_parse_success"), "pred_parse_failure"),
@@ -42,10 +42,22 @@ def pvf(rows: DataFrame, threshold: int = 5) -> DataFrame:
         (~score, "pedagogical_below_threshold"),
         (F.col("silent"), "silent_error_true"),
     ]
-    text = F.concat_ws("|", *[F.when(failed, F.lit(reason)) for failed, reason in reasons])
+
+
+def pvf(rows: DataFrame, threshold: int = 5) -> DataFrame:
+    """rows with kept and reject_reasons: those that hold, joined by bars."""
+    text = F.concat_ws("|", *[F.when(failed, F.lit(reason)) for failed, reason in pvf_reasons(threshold)])
     return rows.withColumn("reject_reasons", text).withColumn("kept", F.col("reject_reasons") == "")
 
 
+def pvf_reason_counts(rows: DataFrame, by: list[str], threshold: int = 5) -> DataFrame:
+    """Rows that each reason rejects, counted side by side in one pass; reasons that reject none are left out."""
+    reasons = pvf_reasons(threshold)
+    counts = rows.groupBy(*by).agg(*[F.count(F.when(failed, 1)).alias(name) for failed, name in reasons])
+    out = F.array(*[F.struct(F.lit(name).alias("reason"), F.col(name).alias("n")) for _, name in reasons])
+    return counts.select(*by, F.inline(out)).filter("n > 0")
+
+
 def pvf_report(decided: DataFrame, by: list[str]) -> DataFrame:
     """Counts, the keep rate, and the mean score and accuracy of kept and rejected rows."""
 

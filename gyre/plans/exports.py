@@ -56,10 +56,9 @@ def anchoring_ablation(evaluated: DataFrame, ratios: DataFrame, control: str = "
 
 def pvf_report(evaluated: DataFrame, rows: DataFrame, threshold: int = 5) -> dict[str, DataFrame]:
     decided = policies.pvf(rows, threshold)
-    reasons = decided.filter("NOT kept").withColumn("reason", F.explode(F.split("reject_reasons", r"\|")))
     tables = series(evaluated)
     return tables | {
-        "reject_reasons": metrics.reason_counts(reasons, CONTEXT, "reason"),
+        "reject_reasons": policies.pvf_reason_counts(rows, CONTEXT, threshold),
         "keep_reject_quality": metrics.kept_and_rest(decided, CONTEXT, "kept", ["overall_pedagogical_score", "correct", "silent"]),
         "stress_summary": stress(tables["run_level"], policies.pvf_report(decided, CONTEXT)),
     }

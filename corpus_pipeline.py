@@ -1,7 +1,10 @@
 """The corpus pipeline: quality rules, language, near-duplicates, source mix, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  All but the last return the
-columns of their input.  run() writes each stage's result to the shared folder and reads it again.
+columns of their input.  run() writes each stage's result to the shared folder and reads it again; when its rows are
+used, gyre.llm.common.cleared(spark) removes what the run has written.
+
+Every stage takes nulls in any column, texts of any length and repeated rows, and gives no rows for an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ FOREIGN_BITS = 7.0
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the full policy rejects."""
+    """Documents that no rule of the full policy rejects.  Null and empty texts have too few words and go."""
     return quality.ledger(docs).filter(quality.passes(quality.FULL)).select(*docs.columns)
 
 
@@ -42,12 +45,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the source mix takes them: not at all, once or twice."""
+    """Documents as often as the source mix takes them: not at all, once or twice.
+
+    A null source is a source of its own.  Rows without a doc_id stand once; rows that share one stand alike.
+    """
     return mixing.resampled(docs).select(*docs.columns)
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang and the token ids of each document, with their number and whether they decode to the text."""
+    """doc_id, source, lang and the token ids of each document, with their number and whether they decode to the text.
+
+    A null text counts as empty and has no ids.  Documents that stand twice in docs stand twice in the result.
+    """
     out = bpe.with_ids(docs, BPE_RANKS, public_tokenizers.PATTERN, decoded="decoded")
     exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return out.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), exact.alias("round_trip"))

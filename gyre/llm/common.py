@@ -33,8 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; cleared() removes it."""
+    return f"{shared_dir(spark)}/gyre/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gyre/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cleared(spark: SparkSession) -> bool:
+    """Removes this application's intermediate tables, when no result that reads them is needed any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

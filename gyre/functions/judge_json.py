@@ -6,6 +6,8 @@ checked by column expressions.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ SUB_SCORES = ("clarity", "structure", "terminology", "reasoning_soundness")
 KEYS = (*SUB_SCORES, "overall_pedagogical_score", "is_silent_error", "comment")
 PAIR_KEYS = ("winner", "confidence", "reason")
 
+#: A string, with its end if it has one, or a brace.
+TOKEN = re.compile(r'"(?:[^"\\]|\\.)*("?)|[{}]', re.DOTALL)
+
 
 def balanced_object(text: str | None) -> tuple[str | None, str | None]:
     """The first balanced {...} of a text and how it was found: direct, embedded, truncated (closed here) or None.
@@ -25,21 +30,17 @@ def balanced_object(text: str | None) -> tuple[str | None, str | None]:
     start = body.find("{")
     if start < 0:
         return None, None
-    depth, quoted, escaped = 0, False, False
-    for at in range(start, len(body)):
-        mark = body[at]
-        if escaped:
-            escaped = False
-        elif quoted:
-            escaped, quoted = mark == "\\", mark != '"'
-        elif mark == '"':
-            quoted = True
-        elif mark == "{":
+    depth, quoted = 0, False
+    for token in TOKEN.finditer(body, start):
+        mark = token[0]
+        if mark == "{":
             depth += 1
         elif mark == "}":
             depth -= 1
             if not depth:
-                return body[start : at + 1], "direct" if (start, at + 1) == (0, len(body)) else "embedded"
+                return body[start : token.end()], "direct" if (start, token.end()) == (0, len(body)) else "embedded"
+        else:
+            quoted = not token[1]
     rest = body[start:]
     if all(f'"{key}"' in rest for key in KEYS):
         return rest + '"' * quoted + "}" * depth, "truncated"

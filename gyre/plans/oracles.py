@@ -199,7 +199,7 @@ SQL = {
     "b17_length_bin": "SELECT order_id, length_bin FROM pol",
     "b20_bucketize": "SELECT order_id, bucket FROM bucketed",
     "b33_rubric_ranges": "SELECT generation, count(*) AS n_rows, count(*) FILTER (overall_pedagogical_score BETWEEN 0 AND 8 AND least(clarity, structure, terminology, reasoning_soundness) >= 0 AND greatest(clarity, structure, terminology, reasoning_soundness) <= 2) AS n_valid FROM ev GROUP BY 1",
-    "b45_response_fingerprint": f"SELECT {CTX}, sha256(string_agg(raw_response, chr(10) ORDER BY order_id)) AS fingerprint FROM resp GROUP BY ALL",
+    "b45_response_fingerprint": f"SELECT {CTX}, sha256(string_agg(h, chr(10) ORDER BY b)) AS fingerprint FROM (SELECT {CTX}, order_id // 4096 AS b, sha256(string_agg(raw_response, chr(10) ORDER BY order_id)) AS h FROM resp GROUP BY ALL) GROUP BY {CTX}",
     "a20_mock_judge": "SELECT order_id, clarity, structure, terminology, reasoning_soundness, overall_pedagogical_score, is_silent_error FROM jud",
     "d03_eval_merged": f"SELECT order_id, example_id, {CTX}, is_correct, accuracy_label, overall_pedagogical_score, is_silent_error FROM ev",
     "d25_pending_rows": "SELECT order_id, example_id FROM resp WHERE order_id NOT IN (SELECT order_id FROM jud)",
@@ -264,6 +264,10 @@ SQL = {
       t AS (""" + _stats("s", "branch, metric") + """)
       SELECT t.branch, t.metric, n_positive, n_negative, mean, ci_low, ci_high FROM t JOIN (SELECT branch, metric, count(*) FILTER (value > 0) AS n_positive,
         count(*) FILTER (value < 0) AS n_negative FROM s GROUP BY ALL) AS u ON (t.branch, t.metric) = (u.branch, u.metric)""",
+    "b27_json_extract": """, b AS (SELECT *, '{"clarity":' || clarity || ',"structure":' || structure || ',"terminology":' || terminology || ',"reasoning_soundness":' || reasoning_soundness || ',"overall_pedagogical_score":' AS head FROM jud)
+      SELECT order_id, CASE order_id % 6 WHEN 0 THEN 'direct' WHEN 1 THEN 'embedded' WHEN 2 THEN 'embedded' WHEN 3 THEN 'direct' WHEN 4 THEN 'truncated' END AS found,
+        CASE order_id % 6 WHEN 3 THEN length(head || overall_pedagogical_score || ',"comment":"none"}') WHEN 5 THEN NULL
+          ELSE length(head || (overall_pedagogical_score + (order_id % 3 = 0)::INT) || ',"is_silent_error":' || is_silent_error || ',"comment":"ok {\\"so\\"}"}') END AS n_body FROM b""",
     "b32_judge_parse": """SELECT order_id, CASE order_id % 6 WHEN 0 THEN 'direct' WHEN 1 THEN 'embedded' WHEN 2 THEN 'embedded' WHEN 3 THEN 'direct' WHEN 4 THEN 'truncated' END AS found,
       CASE order_id % 6 WHEN 3 THEN 'missing_keys' WHEN 5 THEN 'no_json_object' END AS error,
       CASE WHEN order_id % 6 NOT IN (3, 5) THEN overall_pedagogical_score END AS overall_pedagogical_score, CASE WHEN order_id % 6 NOT IN (3, 5) THEN is_silent_error END AS is_silent_error,

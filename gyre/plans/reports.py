@@ -200,19 +200,6 @@ def k03_failure_budget(spark, sf_dir):
     return rows.withColumn("over_budget", F.col("n_failed") > 5)
 
 
-def m04_seed_of_name(spark, sf_dir):
-    names = bindings.responses(spark, sf_dir).select(F.concat(F.lit("run_dbr_seed"), "seed", F.lit("_x")).alias("run")).distinct()
-    return names.select("run", F.regexp_extract("run", r"seed(\d+)", 1).try_cast("int").alias("seed"))
-
-
-def m17_branch_specs(spark, sf_dir):
-    """Branch records of a JSON configuration, one row each."""
-    text = F.to_json(F.struct(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(r).alias("anchor_ratio"), F.lit(m).alias("mixing_mode")) for n, r, m in (("pure_recycling", 0.0, "none"), ("anchor_20_append", 0.2, "append"))]).alias("branches")))
-    seeds = bindings.responses(spark, sf_dir).select("seed").distinct().withColumn("config", text)
-    parsed = F.from_json("config", "struct<branches:array<struct<name:string,anchor_ratio:double,mixing_mode:string>>>")
-    return seeds.select("seed", F.inline(parsed["branches"]))
-
-
 def m24_progress(spark, sf_dir):
     """Counts of a judging loop: rows, done, left, distinct inputs and calls saved."""
     rows = bindings.responses(spark, sf_dir)
@@ -278,6 +265,14 @@ SQL = {
       SELECT branch, generation, metric, n AS n_seeds, round(m, 9) AS mean, round(s, 9) AS std, round(m - CASE WHEN n > 1 THEN 1.96 * s / sqrt(n) ELSE 0 END, 9) AS ci_low,
         round(m + CASE WHEN n > 1 THEN 1.96 * s / sqrt(n) ELSE 0 END, 9) AS ci_high FROM t""",
     "e26_csr_quality": "SELECT branch, generation, count(*) AS n, avg(best_score) AS best_mean, avg(worst_score) AS worst_mean, avg(quality_gap) AS gap_mean, avg(worst_is_silent_error::INT) AS worst_silent_rate FROM csr WHERE pair_status = 'paired' GROUP BY ALL",
+    "e27_anchor_quality": "{anchors}, u AS (SELECT s.branch, s.generation, s.question, s.raw_response AS answer, 'synthetic' AS source FROM resp AS s UNION ALL SELECT branch, generation, question, answer, 'human_anchor' FROM chosen) SELECT branch, generation, source, count(*) AS n, avg(length(question)) AS question_length, avg(length(answer)) AS answer_length, avg(contains(lower(answer), 'final answer:')::INT) AS marker_rate FROM u GROUP BY ALL",
+    "g10_qualitative": """, s AS (SELECT 'silent_error_candidate' AS category, model_name, seed, example_id, branch, generation, overall_pedagogical_score AS score FROM pev WHERE is_correct AND is_silent_error AND generation >= 1
+        ORDER BY generation DESC, score, branch, model_name, seed, example_id LIMIT 4),
+      w AS (SELECT model_name, branch, seed, example_id, max(overall_pedagogical_score) FILTER (generation = 0) AS s0, max(overall_pedagogical_score) FILTER (generation = 1) AS s1, max(overall_pedagogical_score) FILTER (generation = 2) AS s2 FROM pev GROUP BY ALL),
+      d AS (SELECT 'monotone_decline' AS category, model_name, seed, example_id, branch, 2 AS generation, s2 AS score FROM w WHERE s0 > s1 AND s1 > s2 ORDER BY s0 - s2 DESC, model_name, seed, example_id, branch LIMIT 3),
+      t AS (SELECT 'anchor_better' AS category, model_name, seed, example_id, 'pure_recycling' AS branch, generation, p AS score FROM (SELECT model_name, seed, example_id, generation, max(overall_pedagogical_score) FILTER (branch = 'pure_recycling') AS p,
+        max(overall_pedagogical_score) FILTER (branch = 'anchor_20_append') AS a FROM pev GROUP BY ALL) WHERE a > p ORDER BY a - p DESC, model_name, seed, example_id, generation LIMIT 3)
+      FROM s UNION ALL FROM d UNION ALL FROM t""",
     "e29_severity_counts": "{stages} SELECT s AS severity, count(severity) AS n FROM (SELECT unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW']) AS s) LEFT JOIN found ON severity = s GROUP BY s",
     "h06_run_completed": "{stages} SELECT seed, model_name, bool_and(status = 'completed') AS completed, count(*) FILTER (status <> 'completed') AS n_open FROM st GROUP BY ALL",
     "h07_manifest_findings": "{stages} SELECT model_name, branch, generation, seed, stage, status, severity FROM found",
@@ -302,8 +297,6 @@ SQL = {
     "i14_csr_reasons": "SELECT branch, generation, no_pair_reason, count(*) AS n FROM csr WHERE no_pair_reason IS NOT NULL GROUP BY ALL",
     "j01_hash_pairs": "SELECT sha256(question || chr(10) || answer_gold || chr(10) || raw_response) AS input_key, count(*) AS n FROM resp GROUP BY 1 HAVING count(*) > 1",
     "k03_failure_budget": "SELECT user_id, count(*) FILTER (event_type = 'error') AS n_failed, count(*) FILTER (event_type = 'error') > 5 AS over_budget FROM events GROUP BY 1",
-    "m04_seed_of_name": "SELECT DISTINCT 'run_dbr_seed' || seed || '_x' AS run, seed FROM resp",
-    "m17_branch_specs": "SELECT DISTINCT seed, unnest(['pure_recycling', 'anchor_20_append']) AS name, unnest([0.0::DOUBLE, 0.2::DOUBLE]) AS anchor_ratio, unnest(['none', 'append']) AS mixing_mode FROM resp",
     "m24_progress": "SELECT count(*) AS n_total, count(*) FILTER (order_id % 37 <> 0) AS n_done, count(*) FILTER (order_id % 37 = 0) AS n_left, count(DISTINCT (question, answer_gold, raw_response)) AS n_inputs, count(*) - count(DISTINCT (question, answer_gold, raw_response)) AS n_saved FROM resp",
 }
 
@@ -317,8 +310,13 @@ STAGES_SQL = """, c AS (SELECT model_name, branch, generation, seed, count(*) AS
 def oracle_sql():
     from gyre.plans import oracles
 
+    anchors = """, n AS (SELECT model_name, branch, generation, seed, round_even(count(*) * 0.05::DOUBLE, 0)::BIGINT AS need FROM resp GROUP BY ALL),
+      pool AS (SELECT 'model_' || (p_partkey % 2) AS model_name, ['pure_recycling', 'dbr_medium', 'anchor_20_append'][((p_partkey // 2) % 3 + 1)::INT] AS branch, ((p_partkey // 6) % 3)::INT AS generation,
+        ((p_partkey // 18) % 3 + 211)::INT AS seed, 'a_' || p_partkey AS example_id, 'part ' || p_partkey AS question, '#### ' || p_partkey AS answer FROM part),
+      chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name, branch, generation, seed ORDER BY sha256(concat_ws('|', 'anchor', model_name, branch, generation::VARCHAR, seed::VARCHAR, example_id)), example_id) AS k FROM pool)
+        JOIN n USING (model_name, branch, generation, seed) WHERE k <= need)"""
     quoted = {"strict": text_rules.PROMPT_STRICT, "plain": text_rules.PROMPT_PLAIN}
-    fill = {"clean": oracles._clean("raw_response"), "token": oracles._token("raw_response"), "h15": oracles.H15, "stages": STAGES_SQL} | {k: v.replace("'", "''") for k, v in quoted.items()}
+    fill = {"clean": oracles._clean("raw_response"), "token": oracles._token("raw_response"), "h15": oracles.H15, "stages": STAGES_SQL, "anchors": anchors} | {k: v.replace("'", "''") for k, v in quoted.items()}
     out = {}
     for name, sql in SQL.items():
         for key, text in fill.items():

@@ -11,7 +11,7 @@ from gyre.functions import answers, hashing
 from gyre.operators import dbr, metrics, policies
 from gyre.plans import exports
 from gyre.plans import queries as q
-from gyre.sources import bindings
+from gyre.sources import bindings, runs
 from gyre.sources.tables import table
 
 CTX = bindings.CONTEXT
@@ -352,6 +352,58 @@ def i14_pair_summary(spark, sf_dir):
     return exports.csr_report(bindings.evaluated(spark, sf_dir), q._csr(spark, sf_dir), ["branch", "generation"])["pair_summary"]
 
 
+def _written_summaries(spark, sf_dir):
+    """A tree of three runs: one with a corrected summary beside the plain one, one with a plain one, one with Parquet only."""
+    root = runs.new_tree(spark)
+    rows = metrics.metrics(bindings.evaluated(spark, sf_dir), CTX).drop("parse_failure_pred_count", "parse_failure_pred_rate")
+    for seed, names in ((211, ("summary_corrected.csv", "summary.csv")), (212, ("summary.csv",)), (213, ("summary.parquet",))):
+        one = rows.filter(F.col("seed") == seed).drop("seed").coalesce(1)
+        for name in names:
+            out = one.withColumn("accuracy_mean_corrected", F.col("accuracy_mean") + 0.25) if "corrected" in name else one
+            place = f"{root}/run_seed{seed}/tables/{name}"
+            out.write.parquet(place) if name.endswith("parquet") else out.write.option("header", True).csv(place)
+    return root
+
+
+def a13_summaries(spark, sf_dir):
+    out = runs.summaries(spark, _written_summaries(spark, sf_dir))
+    return out.select("run", "model_name", "branch", "generation", "sample_count", F.round("accuracy_mean_effective", 9).alias("accuracy_mean_effective"), "accuracy_source")
+
+
+def _written_snapshots(spark, sf_dir):
+    """Configurations of runs: the seed of one stands in its name only, and one says no mode."""
+    root = runs.new_tree(spark)
+    for seed in (211, 212, 213):
+        project = f"named_struct('seed', {seed})" if seed != 213 else "named_struct('name', 'x')"
+        mode = "'mode', 'training', " if seed == 212 else ""
+        config = spark.range(1).selectExpr(
+            f"{project} AS project", f"named_struct('base', 'm{seed % 2}') AS models",
+            f"named_struct({mode}'branches', array(named_struct('name', 'pure_recycling', 'anchor_ratio', 0.0D, 'mixing_mode', 'none'), named_struct('name', 'anchor_20_append', 'anchor_ratio', 0.2D, 'mixing_mode', 'append'))) AS experiment",
+        )
+        config.coalesce(1).write.json(f"{root}/run_x_seed{seed}/config.json")
+    return root
+
+
+def m03_snapshots(spark, sf_dir):
+    """Seed, mode and base model of each run's configuration, read from the written tree."""
+    return runs.snapshots(spark, _written_snapshots(spark, sf_dir)).select("run", "seed", "mode", "base_model")
+
+
+def m17_branch_specs(spark, sf_dir):
+    """Branches of each run's configuration, one row each, read from the written tree."""
+    return runs.snapshots(spark, _written_snapshots(spark, sf_dir)).select("seed", F.inline("branches"))
+
+
+def m26_contexts(spark, sf_dir):
+    """Rows of each context, from the paths of the artifacts."""
+    root = runs.new_tree(spark)
+    rows = bindings.responses(spark, sf_dir).filter("model_name = 'model_0' AND seed = 211").select("branch", "generation", "order_id")
+    for branch in (PURE, DBR):
+        for generation in (0, 2):
+            rows.filter((F.col("branch") == branch) & (F.col("generation") == generation)).coalesce(1).write.parquet(f"{root}/run_seed211/model_0/{branch}/gen_{generation}/outputs.parquet")
+    return runs.contexts(spark, root, "outputs.parquet")
+
+
 def queries():
     return {name: f for name, f in globals().items() if re.match(r"[a-m]\d\d_", name)}
 
@@ -430,6 +482,10 @@ SQL = {
     "i10_decision_reasons": f"SELECT {_C}, count(*) FILTER (NOT defect_parse_failure) AS n_selected, count(*) AS n FROM sev GROUP BY ALL",
     "i12_decision_reasons": f"SELECT {_C}, CASE state WHEN 'weak' THEN 'pedagogical_repair_needed' ELSE state END AS decision_reason, count(*) AS n FROM rep GROUP BY ALL",
     "i13_pair_lite_success": f"SELECT {_C}, count(*) FILTER (state = 'weak') AS n_attempted, count(*) FILTER (state = 'weak' AND length(rewritten) <= 40) AS n_success, coalesce(count(*) FILTER (state = 'weak' AND length(rewritten) <= 40) / nullif(count(*) FILTER (state = 'weak'), 0), 0) AS success_rate FROM rep GROUP BY {_C}",
+    "a13_summaries": "SELECT 'run_seed' || seed AS run, model_name, branch, generation, sample_count, round(accuracy_mean + CASE WHEN seed = 211 THEN 0.25 ELSE 0 END, 9) AS accuracy_mean_effective, CASE WHEN seed = 211 THEN 'corrected' ELSE 'raw_summary' END AS accuracy_source FROM lvl",
+    "m03_snapshots": "SELECT 'run_x_seed' || s AS run, s::INT AS seed, CASE WHEN s = 212 THEN 'training' ELSE 'inference' END AS mode, 'm' || s % 2 AS base_model FROM range(211, 214) AS t(s)",
+    "m17_branch_specs": "SELECT s::INT AS seed, unnest(['pure_recycling', 'anchor_20_append']) AS name, unnest([0.0::DOUBLE, 0.2::DOUBLE]) AS anchor_ratio, unnest(['none', 'append']) AS mixing_mode FROM range(211, 214) AS t(s)",
+    "m26_contexts": "SELECT 'run_seed211' AS run, model_name AS model_dir, branch, generation, count(*) AS n_rows FROM resp WHERE model_name = 'model_0' AND seed = 211 AND generation IN (0, 2) AND branch IN ('pure_recycling', 'dbr_medium') GROUP BY ALL",
     "i14_pair_summary": "SELECT branch, generation, count(*) AS n_examples, avg((pair_status = 'paired')::INT) AS pair_rate FROM csr GROUP BY ALL",
 }
 

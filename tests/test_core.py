@@ -13,8 +13,8 @@ import pandas as pd
 import pytest
 from gyre import catalog
 from gyre.functions import answers, judge_json, quality
-from gyre.operators import checks, dbr, metrics, policies
-from gyre.sources import sinks
+from gyre.operators import checks, dbr, judges, metrics, policies, sampling
+from gyre.sources import runs, sinks
 from gyre.streaming import resume
 from pyspark.sql import functions as F
 
@@ -202,3 +202,65 @@ def test_run_trees_and_sinks(spark, tmp_path):
     sinks.save_tabular(df, f"{tmp_path}/both")
     sinks.save_context(df, f"{tmp_path}/ctx", ["branch", "generation"])
     assert spark.read.parquet(f"{tmp_path}/both/parquet").count() == spark.read.option("header", True).csv(f"{tmp_path}/both/csv").count() == spark.read.parquet(f"{tmp_path}/ctx").count() == 12
+
+
+def test_two_judges_and_their_conclusions(spark):
+    rows = [(1, 1, "pure", 1, 4, True, 6, True), (2, 1, "pure", 1, 6, False, 4, True), (3, 1, "anchor", 1, 8, False, 3, False), (4, 2, "pure", 1, 2, False, 2, False), (5, 1, "anchor", 0, 0, True, 8, True)]
+    first = spark.createDataFrame([r[:6] for r in rows], "id int, seed int, branch string, generation int, score int, silent boolean")
+    second = spark.createDataFrame([(r[0], r[6], r[7]) for r in rows] + [(9, 1, True)], "id int, score int, silent boolean")
+    both = judges.compared_scores(first, second, ["id"], "score", "silent")
+    assert {r["id"]: (r["score_delta"], r["silent_agreement"]) for r in both.collect()} == {1: (2, True), 2: (-2, False), 3: (-5, True), 4: (0, True), 5: (8, True)}
+    out = judges.sensitivity_summary(both, "pure", "anchor").first()
+    assert (out["n_examples"], out["old_delta"], out["new_delta"], out["conclusion_changed"]) == (5, 4.0, -1.0, True)
+    (seed,) = judges.seed_summary(both, "pure", "anchor").collect()  # seed 2 has no anchor
+    assert (seed["seed"], seed["n"], seed["old_delta"], seed["conclusion_changed"]) == (1, 3, 3.0, True)
+    empty = judges.sensitivity_summary(both.filter("generation = 7"), "pure", "anchor").first()
+    assert empty["n_examples"] == 0 and empty["old_delta"] is None and empty["conclusion_changed"] is None
+    pairs = spark.createDataFrame([(1, 1, "A", "anchor"), (2, 1, "B", "anchor"), (3, 2, "A", "pure"), (4, 2, "Tie", "Tie")], "pair_id int, seed int, winner string, winner_branch string")
+    pairs = pairs.withColumns({f"{b}_win": F.col("winner_branch") == b for b in ("pure", "anchor")})
+    same = judges.pair_summary(judges.compared_pairs(pairs, pairs.filter("pair_id < 4"), ["pair_id", "seed"]), "pure", "anchor", []).first()
+    assert (same["n_pairs"], same["agree_raw_rate"], same["conclusion_changed"]) == (3, 1.0, False)
+    scores = spark.createDataFrame([(1, -0.5), (2, None)], "seed int, delta double")
+    out = {r["seed"]: (r["conclusion"], r["score_conclusion"], r["changed"]) for r in judges.margin_summary(pairs, scores, "pure", "anchor", ("pure", "anchor"), ["seed"]).collect()}
+    assert out == {1: ("anchor_preferred", "pure_preferred", True), 2: ("pure_preferred", "unknown", None)}
+
+
+def test_cells_fill_gaps_of_others(spark):
+    rows = spark.createDataFrame([(i, "a" if i < 2 else "b", "xyz"[i % 3]) for i in range(30)], "id int, cell string, bucket string")
+    out = sampling.balanced_cells(rows, ["cell"], "bucket", ["x", "y", "z"], 11, "id").collect()
+    assert len(out) == 11 and sum(r["cell"] == "a" for r in out) == 2
+    assert sampling.balanced_cells(rows, ["cell"], "bucket", ["x", "y", "z"], 99, "id").count() == 30
+    assert sampling.balanced_cells(rows.limit(0), ["cell"], "bucket", ["x"], 9, "id").count() == 0
+
+
+def test_deltas_of_all_pairs(spark):
+    rows = spark.createDataFrame([("r", 0, 1.0), ("r", 2, 4.0), ("r", 1, None), ("s", 0, 1.0)], "run string, generation int, m double")
+    got = {(r["from_generation"], r["to_generation"]): r["delta_m"] for r in metrics.generation_deltas(rows, ["run"], ["m"]).collect()}
+    assert got == {(0, 1): None, (0, 2): 3.0, (1, 2): None}
+    ties = spark.createDataFrame([("r", 10, "a", 1.0), ("r", 10, "b", 3.0)], "run string, ratio int, branch string, m double")
+    assert [tuple(r) for r in metrics.ordered_pairs(ties, ["run"], ["ratio", "branch"], "ratio", ["m"]).collect()] == [("r", 10, 10, 2.0)]
+
+
+def test_objects_are_cut_out_of_replies():
+    keys = "".join(f'"{k}": 1, ' for k in judge_json.KEYS)
+    for text, want in [
+        ('{"a": "}"}', ('{"a": "}"}', "direct")), ('x {"a": {"b": "\\"}"}} y', ('{"a": {"b": "\\"}"}}', "embedded")), ("no", (None, None)), (None, (None, None)),
+        ('{"a": 1', (None, None)), ("{" + keys + '"c": "open', ("{" + keys + '"c": "open"}', "truncated")), ("{" + keys + '"c": "es\\"', ("{" + keys + '"c": "es\\""}', "truncated")), ('"{" {}', ('{" {}', None)),
+    ]:
+        got = judge_json.balanced_object(text)
+        assert got == want or (want[1] is None and got == (None, None))
+
+
+def test_run_trees(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        runs.summaries(spark, str(tmp_path))
+    row = spark.createDataFrame([("m", "b", 0, 5, 0.5, 1.0, 0.0)], "model_name string, branch string, generation int, sample_count long, accuracy_mean double, pedagogical_score_mean double, silent_error_rate double")
+    row.write.option("header", True).csv(f"{tmp_path}/run_a_seed7/tables/summary.csv")
+    row.withColumn("accuracy_mean", F.lit(0.1)).write.parquet(f"{tmp_path}/run_a_seed7/tables/summary.parquet")
+    row.write.parquet(f"{tmp_path}/run_b/tables/summary.parquet")
+    got = {r["run"]: (r["accuracy_mean_effective"], r["accuracy_source"], r["sample_count"]) for r in runs.summaries(spark, str(tmp_path)).collect()}
+    assert got == {"run_a_seed7": (0.5, "raw_summary", 5), "run_b": (0.5, "raw_summary", 5)}
+    row.write.option("header", True).csv(f"{tmp_path}/run_c/tables/summary_corrected.csv")
+    with pytest.raises(ValueError):
+        runs.summaries(spark, str(tmp_path))
+    assert [r["s"] for r in spark.createDataFrame([("run_seed12_x",), ("none",)], "r string").select(runs.seed_of(F.col("r")).alias("s")).collect()] == [12, None]

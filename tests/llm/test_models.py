@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from gyre.llm import chat, components, langid, lmscore, mixing, neardup, quality, queries, urlfilter
+from gyre.llm import chat, common, components, langid, lmscore, mixing, neardup, quality, queries, urlfilter
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -355,3 +355,32 @@ def test_a_language_of_copies_is_learnt(spark):
     docs = spark.createDataFrame(rows, "text string, lang string")
     model = langid.fit(docs, F.lit(True), per_language=5)
     assert {r["lang_pred"] for r in langid.predicted(docs.filter("lang = 'xx'"), model).collect()} == {"xx"}
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    df = common.written(spark.range(3).toDF("n"), "test")
+    assert df.count() == 3 and common.run_folder(spark) in df.inputFiles()[0]
+    place = common.new_folder(spark, "other")
+    assert place.startswith(common.run_folder(spark)) and spark.sparkContext.applicationId in place
+
+
+def test_running_sums_and_null_safe_joins(spark):
+    rows = [(g, at, 1 + at % 3) for g in (None, 1, 2) for at in (-9_000, -1, 0, 1, 5_000, 5_001, 90_000)]
+    df = spark.createDataFrame(rows, "g int, at long, n long")
+    got = {(r["g"], r["at"]): r["before"] for r in common.running(df, ["g"], "at", "n").collect()}
+    assert got == {(g, at): sum(n for h, b, n in rows if h == g and b < at) for g, at, _ in rows}
+    other = spark.createDataFrame([(None, "x"), (2, "y")], "g int, s string")
+    assert sorted((str(r["g"]), r["s"]) for r in common.null_safe_join(df, other, ["g"]).select("g", "s").distinct().collect()) == [("2", "y"), ("None", "x")]
+
+
+def test_very_many_sources_are_drawn_by_groups(spark):
+    rows = [(i, f"s{i % 300}", "word " * (3 + i % 5)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for most in (7, 4_096):
+        out = mixing.mixed(docs, mixing.Mix(block=2, shard=200, sources=most))
+        check_mix(docs.collect(), out.collect(), 1)
+    plan = mixing._plan(spark.range(300).selectExpr("id AS sid", "id + 5 AS source_size", "1.5D * (id + 5) AS target"), mixing.Mix(block=2))
+    drawn, shards = mixing.draws(plan, mixing.Mix(block=2, shard=5_000, sources=7))
+    rows = drawn.collect()
+    slots, words = plan.selectExpr("sum(slots)", "sum(take)").first()
+    assert shards == -(-words // 5_000) and sum(r["n"] for r in rows) == shards * -(-slots // shards) and all(r["n"] > 0 for r in rows) and len({(r["shard"], r["sid"]) for r in rows}) == len(rows)

@@ -118,10 +118,10 @@ def _flags(table: pa.Table, name: str) -> np.ndarray:
     return table[name].to_numpy().astype(bool)
 
 
-def _ask(buckets: int):
+def _ask(buckets: int, text: str):
     def run(docs: pa.Table) -> pa.Table:
         """A block's distinct keys with its counts of them, one row a bucket; keys as differences."""
-        own = Keyed(docs["_text"])
+        own = Keyed(docs[text])
         counted, target = _flags(docs, "_counted"), _flags(docs, "_target")
         n, m = own.counts(counted), own.counts(counted & target)
         rows = [(docs["_block"][0].as_py(), b, _packed(np.diff(own.keys[i:j], prepend=np.uint64(0))), _packed(n[i:j]), _packed(m[i:j])) for b, i, j in _cuts(own.keys, buckets)]
@@ -142,9 +142,9 @@ def _tell(asked: pa.Table) -> pa.Table:
     return pa.table(out).cast(TOLD)
 
 
-def _score(docs: pa.Table, told: pa.Table, sizes: tuple[int, int, int]) -> pa.Table:
+def _score(docs: pa.Table, told: pa.Table, text: str, sizes: tuple[int, int, int]) -> pa.Table:
     """The rows of a block with NAMES."""
-    own, told = Keyed(docs["_text"]), told.sort_by("bucket")
+    own, told = Keyed(docs[text]), told.sort_by("bucket")
     *totals, vocabulary = sizes
     counted, target = _flags(docs, "_counted"), _flags(docs, "_target")
     own_word, own_pair, own_last = own.own()
@@ -158,18 +158,18 @@ def _score(docs: pa.Table, told: pa.Table, sizes: tuple[int, int, int]) -> pa.Ta
         bits = np.bincount(own.doc, -np.log2(chance), len(own.sizes)) / np.maximum(own.sizes, 1)
         out[name] = pa.array(bits, pa.float64(), mask=own.sizes == 0)
     out["score"] = pa.compute.subtract(out["target_loss"], out["background_loss"])
-    docs = docs.drop_columns(["_block", "_text", "_target", "_counted"])
+    docs = docs.drop_columns(["_block", "_target", "_counted"])
     for name in NAMES:
         docs = docs.append_column(name, out[name])
     return docs
 
 
-def sizes_of(rows: DataFrame) -> tuple[int, int, int, int]:
-    """Of rows (_text, _target, _counted): counted words, those of the target, distinct words of all rows, and bytes in words.
+def sizes_of(rows: DataFrame, text: str = "text") -> tuple[int, int, int, int]:
+    """Of rows (text, _target, _counted): counted words, those of the target, distinct words of all rows, and bytes in words.
 
     Distinct words are counted by a sketch, to a hundredth: the number only scales the smoothing, of both models alike.
     """
-    words = F.split(F.translate(F.coalesce("_text", F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+")
+    words = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), r"[\x20\x09-\x0D]+")
     words = rows.select("_target", "_counted", F.explode(words).alias("word")).filter("word <> ''")
     n = [F.count_if(F.col("_counted")), F.count_if(F.col("_counted") & F.col("_target")), F.approx_count_distinct("word", 0.01), F.sum(F.octet_length("word") + 1)]
     return tuple(x or 0 for x in words.agg(*n).first())
@@ -185,15 +185,15 @@ def scored(docs: DataFrame, target: str = "target", text: str = "text", counted:
     """
     kept = docs.drop(*NAMES)
     flag = F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))
-    rows = kept.withColumns({"_text": F.col(text), "_target": F.coalesce(F.col(target), F.lit(False)), "_counted": flag})
-    *sizes, size = sizes_of(rows)
+    rows = kept.withColumns({"_target": F.coalesce(F.col(target), F.lit(False)), "_counted": flag})
+    *sizes, size = sizes_of(rows, text)
     blocks = max(1, size // BLOCK)
-    spread = [c for c, kind in kept.dtypes if kind in ("string", "bigint", "int")]
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("_text", *spread), F.lit(blocks)))
-    asked = rows.groupBy("_block").applyInArrow(_ask(max(1, blocks // BLOCKS_A_BUCKET)), "block long, bucket long, keys binary, n_background binary, n_target binary")
+    spread = [c for c, kind in kept.dtypes if kind in ("string", "bigint", "int") and c != text]
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64(text, *spread), F.lit(blocks)))
+    asked = rows.groupBy("_block").applyInArrow(_ask(max(1, blocks // BLOCKS_A_BUCKET), text), "block long, bucket long, keys binary, n_background binary, n_target binary")
     told = asked.groupBy("bucket").applyInArrow(_tell, "of long, bucket long, n_background binary, n_target binary")
     schema = T.StructType([*kept.schema, *[T.StructField(name, T.LongType() if name == "n_tokens" else T.DoubleType()) for name in NAMES]])
-    return rows.groupBy("_block").cogroup(told.groupBy("of")).applyInArrow(lambda left, right: _score(left, right, tuple(sizes)), schema)
+    return rows.groupBy("_block").cogroup(told.groupBy("of")).applyInArrow(lambda left, right: _score(left, right, text, tuple(sizes)), schema)
 
 
 def with_target(docs: DataFrame, labels: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -62,7 +62,8 @@ def retry_after(value: Column, now: Column) -> Column:
     raw = F.trim(value)
     number = F.when(raw.rlike(r"^[-+]?\d+(\.\d+)?$"), raw.try_cast("double"))
     date = F.try_to_timestamp(F.regexp_replace(raw, r"^[A-Za-z]{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.greatest(F.lit(0.0), F.coalesce(number, (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double")))
+    wait = F.coalesce(number, (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double"))
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait))
 
 
 def retry_sleep(attempt: Column, wait: Column, most_wait: float = 120.0, base: float = 1.5, most: float = 45.0) -> Column:

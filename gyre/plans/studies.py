@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gyre.functions import answers, hashing
+from gyre.functions import answers, hashing, judge_json, text_rules
 from gyre.operators import dbr, metrics, policies
 from gyre.plans import exports
 from gyre.plans import queries as q
@@ -352,6 +352,74 @@ def i14_pair_summary(spark, sf_dir):
     return exports.csr_report(bindings.evaluated(spark, sf_dir), q._csr(spark, sf_dir), ["branch", "generation"])["pair_summary"]
 
 
+def a05_split_metadata(spark, sf_dir):
+    """What is kept beside splits: rows of each, and a digest of their ids in order, which tells one split from another."""
+    rows = q.g02_splits(spark, sf_dir)  # at most a thousand ids
+    return rows.groupBy("split").agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.sort_array(F.collect_list("example_id")), "\n"), 256).alias("ids_sha256"))
+
+
+def b25_judge_input_key(spark, sf_dir):
+    """The key under which equal judge inputs meet: a digest of the trimmed parts, each with its length."""
+    rows = bindings.responses(spark, sf_dir)
+    parts = [F.concat(F.length(F.trim(c)).cast("string"), F.lit(":"), F.trim(c)) for c in ("question", "answer_gold", "raw_response")]
+    return rows.groupBy(F.sha2(F.concat_ws("|", *parts), 256).alias("input_key")).agg(F.count("*").alias("n"))
+
+
+def b34_pair_payload(spark, sf_dir):
+    """Replies of a judge of pairs: good, with a winner in other letters, without a reason, with a bad winner, or no JSON."""
+    n = F.col("c_custkey") % 5
+    winner = F.when(n == 1, "tie").when(n == 3, "C").otherwise("A")
+    reply = F.when(n == 4, F.lit("none")).otherwise(F.to_json(F.struct(winner.alias("winner"), (F.col("c_custkey") % 3).cast("string").alias("confidence"), F.when(n == 2, " ").otherwise("clear").alias("reason"))))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", judge_json.json_object(reply).alias("_o"))
+    return rows.select("c_custkey", judge_json.pair_payload(F.col("_o.body")).alias("_p")).select("c_custkey", "_p.error", "_p.winner", "_p.confidence")
+
+
+def b40_retry_after(spark, sf_dir):
+    """Waits that servers ask for: seconds, seconds below 0, a date a minute ahead, or nothing that can be read."""
+    n = F.col("p_partkey") % 4
+    asked = F.when(n == 0, F.lit(" 7 ")).when(n == 1, F.lit("-3")).when(n == 2, F.lit("Wed, 21 Oct 2015 07:28:00 GMT")).otherwise(F.lit("soon"))
+    return table(spark, sf_dir, "part").select("p_partkey", text_rules.retry_after(asked, F.to_timestamp(F.lit("2015-10-21 07:27:00"))).alias("wait"))
+
+
+#: What calls fail with, one of each kind.
+FAILURES = ("Read timed out", "HTTP 429 slow down", "status 503", "401 denied", "error 404", "connection refused", "invalid JSON", "odd")
+
+
+def b41_error_class(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(text_rules.error_class(bindings._pick(FAILURES, F.col("p_partkey") % len(FAILURES))).alias("e"))
+    return rows.groupBy("e.category", "e.retryable").agg(F.count("*").alias("n"))
+
+
+def d01_outputs_with_gold(spark, sf_dir):
+    """Outputs joined one to one with the gold answers of their orders; what matches nothing is counted, not dropped."""
+    rows = bindings.responses(spark, sf_dir)
+    gold = rows.filter("order_id % 13 <> 0").select("order_id", F.col("answer_gold").alias("gold"))
+    both = rows.select("order_id", "branch").join(gold, "order_id", "left")
+    return both.groupBy("branch").agg(F.count("*").alias("n_rows"), F.count("gold").alias("n_matched"), F.count(F.when(F.col("gold").isNull(), 1)).alias("n_unmatched"))
+
+
+def d26_kept_ids(spark, sf_dir):
+    """Rows whose id a selection has kept: a semi-join, so repeated ids in the selection repeat no row."""
+    rows = bindings.responses(spark, sf_dir).select("order_id", "branch", "customer")
+    kept = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.concat(F.lit("cust_"), "c_custkey").alias("customer"))
+    return rows.join(kept.union(kept), "customer", "left_semi").groupBy("branch").agg(F.count("*").alias("n"))
+
+
+def g01_shuffle(spark, sf_dir):
+    """The first ten rows of each branch in a reproducible order, pruned in each task before the shuffle."""
+    rows = bindings.responses(spark, sf_dir).select("branch", "example_id")
+    place = F.row_number().over(Window.partitionBy("branch").orderBy(hashing.hash_order("shuffle-7", F.col("branch"), F.col("example_id")), "example_id"))
+    return rows.withColumn("place", place).filter("place <= 10")
+
+
+def h01_concat(spark, sf_dir):
+    """Tables of two branches under each other by name; a column that one lacks is null there."""
+    rows = bindings.responses(spark, sf_dir)
+    left = rows.filter(F.col("branch") == PURE).select("branch", "seed", F.length("question").alias("size"))
+    right = rows.filter(F.col("branch") == DBR).select("seed", "branch")
+    return left.unionByName(right, allowMissingColumns=True).groupBy("branch").agg(F.count("*").alias("n"), F.count("size").alias("n_sizes"))
+
+
 def _written_summaries(spark, sf_dir):
     """A tree of three runs: one with a corrected summary beside the plain one, one with a plain one, one with Parquet only."""
     root = runs.new_tree(spark)
@@ -482,6 +550,15 @@ SQL = {
     "i10_decision_reasons": f"SELECT {_C}, count(*) FILTER (NOT defect_parse_failure) AS n_selected, count(*) AS n FROM sev GROUP BY ALL",
     "i12_decision_reasons": f"SELECT {_C}, CASE state WHEN 'weak' THEN 'pedagogical_repair_needed' ELSE state END AS decision_reason, count(*) AS n FROM rep GROUP BY ALL",
     "i13_pair_lite_success": f"SELECT {_C}, count(*) FILTER (state = 'weak') AS n_attempted, count(*) FILTER (state = 'weak' AND length(rewritten) <= 40) AS n_success, coalesce(count(*) FILTER (state = 'weak' AND length(rewritten) <= 40) / nullif(count(*) FILTER (state = 'weak'), 0), 0) AS success_rate FROM rep GROUP BY {_C}",
+    "a05_split_metadata": "SELECT split, count(*) AS n_rows, sha256(string_agg(example_id, chr(10) ORDER BY example_id)) AS ids_sha256 FROM (SELECT example_id, CASE WHEN k <= 500 THEN 'base_train' WHEN k <= 800 THEN 'anchor_pool' ELSE 'heldout_test' END AS split FROM (SELECT example_id, row_number() OVER (ORDER BY sha256('split-42|' || example_id), example_id) AS k FROM resp) WHERE k <= 1000) GROUP BY split",
+    "b25_judge_input_key": "SELECT sha256(concat_ws('|', length(trim(question)) || ':' || trim(question), length(trim(answer_gold)) || ':' || trim(answer_gold), length(trim(raw_response)) || ':' || trim(raw_response))) AS input_key, count(*) AS n FROM resp GROUP BY 1",
+    "b34_pair_payload": "SELECT c_custkey, CASE c_custkey % 5 WHEN 2 THEN 'blank_reason' WHEN 3 THEN 'bad_winner' WHEN 4 THEN 'no_json_object' END AS error, CASE c_custkey % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'Tie' END AS winner, CASE WHEN c_custkey % 5 < 2 THEN (c_custkey % 3)::INT END AS confidence FROM customer",
+    "b40_retry_after": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 7.0 WHEN 1 THEN 0.0 WHEN 2 THEN 60.0 END::DOUBLE AS wait FROM part",
+    "b41_error_class": "SELECT category, category IN ('network_timeout', 'network_transport', 'quota_or_rate_limit', 'server_error') AS retryable, count(*) AS n FROM (SELECT ['network_timeout', 'quota_or_rate_limit', 'server_error', 'auth', 'request', 'network_transport', 'bad_payload', 'unknown'][(p_partkey % 8 + 1)::INT] AS category FROM part) GROUP BY 1",
+    "d01_outputs_with_gold": "SELECT branch, count(*) AS n_rows, count(*) FILTER (order_id % 13 <> 0) AS n_matched, count(*) FILTER (order_id % 13 = 0) AS n_unmatched FROM resp GROUP BY 1",
+    "d26_kept_ids": "SELECT branch, count(*) AS n FROM resp WHERE customer IN (SELECT 'cust_' || c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1",
+    "g01_shuffle": "SELECT branch, example_id, place FROM (SELECT branch, example_id, row_number() OVER (PARTITION BY branch ORDER BY sha256('shuffle-7|' || branch || '|' || example_id), example_id) AS place FROM resp) WHERE place <= 10",
+    "h01_concat": "SELECT branch, count(*) AS n, CASE branch WHEN 'pure_recycling' THEN count(*) ELSE 0 END AS n_sizes FROM resp WHERE branch IN ('pure_recycling', 'dbr_medium') GROUP BY 1",
     "a13_summaries": "SELECT 'run_seed' || seed AS run, model_name, branch, generation, sample_count, round(accuracy_mean + CASE WHEN seed = 211 THEN 0.25 ELSE 0 END, 9) AS accuracy_mean_effective, CASE WHEN seed = 211 THEN 'corrected' ELSE 'raw_summary' END AS accuracy_source FROM lvl",
     "m03_snapshots": "SELECT 'run_x_seed' || s AS run, s::INT AS seed, CASE WHEN s = 212 THEN 'training' ELSE 'inference' END AS mode, 'm' || s % 2 AS base_model FROM range(211, 214) AS t(s)",
     "m17_branch_specs": "SELECT s::INT AS seed, unnest(['pure_recycling', 'anchor_20_append']) AS name, unnest([0.0::DOUBLE, 0.2::DOUBLE]) AS anchor_ratio, unnest(['none', 'append']) AS mixing_mode FROM range(211, 214) AS t(s)",

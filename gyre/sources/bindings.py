@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gyre.functions import answers, hashing
-from gyre.sources.tables import table
+from gyre.sources.tables import spread, table
 
 CONTEXT = ["model_name", "branch", "generation", "seed"]
 
@@ -35,7 +35,7 @@ def _pick(values: tuple[str, ...], at: F.Column) -> F.Column:
 
 def responses(spark: SparkSession, sf_dir: str, shared_ids: bool = False) -> DataFrame:
     """One row a response.  With shared_ids, example_id is the customer's, the same in all contexts: the first order counts."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
     key = F.col("o_orderkey")
     rows = orders.select(
         key.alias("order_id"),

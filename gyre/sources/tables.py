@@ -8,3 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; paths go to Spark's readers only, so any store that Spark reads will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in as many partitions as the session runs tasks, by a hash of key, if it has fewer; else as it is.
+
+    For short tables before work that is heavy for each row: a small file is one task else.  A table of many files is not
+    shuffled.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df

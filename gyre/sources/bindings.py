@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gyre.functions import answers, hashing
+from gyre.functions.binding import bound
 from gyre.sources.tables import spread, table
 
 CONTEXT = ["model_name", "branch", "generation", "seed"]
@@ -57,16 +58,16 @@ def responses(spark: SparkSession, sf_dir: str, shared_ids: bool = False) -> Dat
 
 def accuracy(rows: DataFrame) -> DataFrame:
     """rows with the extracted and the gold answer and their comparison."""
-    rows = rows.withColumn("_e", answers.extract(F.col("raw_response")))
-    rows = rows.select("*", F.col("_e.answer").alias("extracted_answer"), F.col("_e.token").alias("normalized_predicted"), F.col("_e.ok").alias("pred_parse_success"), F.col("_e.strategy").alias("pred_parse_strategy"), F.col("_e.failure").alias("pred_parse_failure_reason"), answers.gold_token(F.col("answer_gold")).alias("normalized_gold")).drop("_e")
-    said = answers.label(F.col("normalized_predicted"), F.col("normalized_gold"))
-    return rows.withColumn("accuracy_label", said).withColumn("is_correct", F.col("accuracy_label") == "correct")
+    rows = bound(rows, _e=answers.extract(F.col("raw_response")), normalized_gold=answers.gold_token(F.col("answer_gold")))
+    rows = rows.select("*", F.col("_e.answer").alias("extracted_answer"), F.col("_e.token").alias("normalized_predicted"), F.col("_e.ok").alias("pred_parse_success"), F.col("_e.strategy").alias("pred_parse_strategy"), F.col("_e.failure").alias("pred_parse_failure_reason")).drop("_e")
+    rows = bound(rows, accuracy_label=answers.label(F.col("normalized_predicted"), F.col("normalized_gold")))
+    return rows.withColumn("is_correct", F.col("accuracy_label") == "correct")
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """(order_id and rubric columns); every 37th order has no judgement."""
     verdict = hashing.mock_judgement(F.col("question"), F.col("answer_gold"), F.col("raw_response"))
-    return rows.filter("order_id % 37 <> 0").select("order_id", verdict.alias("_j")).select("order_id", "_j.*")
+    return bound(rows.filter("order_id % 37 <> 0"), _j=verdict).select("order_id", "_j.*")
 
 
 def evaluated(spark: SparkSession, sf_dir: str, shared_ids: bool = False, keep_missing: bool = False) -> DataFrame:
@@ -77,5 +78,5 @@ def evaluated(spark: SparkSession, sf_dir: str, shared_ids: bool = False, keep_m
     rows = accuracy(responses(spark, sf_dir, shared_ids))
     has = F.col("order_id") % 37 != 0
     verdict = F.when(has, hashing.mock_judgement(F.col("question"), F.col("answer_gold"), F.col("raw_response")))
-    rows = rows.withColumn("_j", verdict).select("*", "_j.*").drop("_j").withColumn("has_judge", has)
+    rows = bound(rows, _j=verdict).select("*", "_j.*").drop("_j").withColumn("has_judge", has)
     return rows if keep_missing else rows.filter("has_judge")

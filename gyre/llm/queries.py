@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyre.llm import bpe, chat, fingerprint, langid, lmscore, mixing, neardup, quality, repair, tokenbin, urlfilter
+from gyre.llm import bpe, chat, fingerprint, langid, lmscore, mixing, neardup, quality, repair, simhash, tokenbin, urlfilter
 from gyre.llm.common import new_folder
 from gyre.sources.tables import table
 
@@ -81,6 +81,10 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.written_and_read(docs, new_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.reports(repair.damaged(table(spark, sf_dir, "conversations")))
 
@@ -177,6 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_perspectives": op8_chat_perspectives,
         "op9_language_id": op9_language_id,
         "op10_token_binary": op10_token_binary,
+        "op12_simhash": op12_simhash,
         "op13_repair": op13_repair,
     }
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyre.llm import bpe, chat, fingerprint, langid, lmscore, mixing, neardup, quality, repair, simhash, tokenbin, urlfilter
+from gyre.llm import bpe, chat, fingerprint, langid, lmscore, mixing, neardup, phrases, quality, repair, simhash, tokenbin, urlfilter
 from gyre.llm.common import new_folder
 from gyre.sources.tables import table
 
@@ -81,6 +81,10 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.written_and_read(docs, new_folder(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -168,6 +172,35 @@ SELECT conv_id, chunk, perspective, string_agg(head || body, '' ORDER BY k) AS t
 FROM o GROUP BY conv_id, chunk, perspective
 """
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase
+  FROM w, range(1, 6) AS t(k) WHERE len(words) >= k),
+every AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM every WHERE k = 1 GROUP BY lang),
+f AS (SELECT * FROM every WHERE f >= 100),
+inside AS (
+  SELECT lang, array_to_string(words[i:i + size - 1], ' ') AS phrase, max(f) AS within
+  FROM (SELECT lang, k, f, string_split(phrase, ' ') AS words FROM f WHERE k > 2), range(2, 5) AS s(size), range(1, 5) AS a(i)
+  WHERE size < k AND i + size - 1 <= k GROUP BY ALL),
+c AS (
+  SELECT f.lang, f.phrase, f.f AS a, k, string_split(f.phrase, ' ') AS words FROM f LEFT JOIN inside USING (lang, phrase)
+  WHERE k > 1 AND (within IS NULL OR 100 * within < 100 * f.f)),
+cut AS (
+  SELECT c.lang, c.phrase, a, i, x.f AS l, y.f AS r, n.n, ((1000::HUGEINT * a * n.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM c JOIN range(1, 5) AS t(i) ON i < k JOIN n USING (lang)
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(words[1:i], ' ')
+  JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(words[i + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -181,10 +214,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_perspectives": op8_chat_perspectives,
         "op9_language_id": op9_language_id,
         "op10_token_binary": op10_token_binary,
+        "op11_phrases": op11_phrases,
         "op12_simhash": op12_simhash,
         "op13_repair": op13_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL, "op7_minhash": OP7_SQL, "op8_chat_perspectives": OP8_SQL}
+    return {"op6_quality_rules": OP6_SQL, "op7_minhash": OP7_SQL, "op8_chat_perspectives": OP8_SQL, "op11_phrases": OP11_SQL}

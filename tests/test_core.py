@@ -127,17 +127,49 @@ def slow_dbr(bins, flags, budgets):
     return chosen
 
 
-def test_greedy_selection_matches_a_rescan():
-    rng = np.random.default_rng(2)
-    for _ in range(60):
+def by_blocks(bins, flags, budgets, size, known):
+    """Rank and phase of rows by closing steps over blocks of `size` rows; known: whether their flags are there from the beginning."""
+    number = flags @ (1 << np.arange(5))
+    own = [np.flatnonzero(bins == b) for b in range(3)]
+    blocks = [[number[rows[at : at + size]] for at in range(0, len(rows), size)] for rows in own]
+    have, asked = {(b, at) for b in range(3) for at in range(len(blocks[b])) if known}, 0
+    while True:
+        try:
+            parts = [dbr.Bin(b, np.array([np.bincount(f, minlength=32) for f in blocks[b]]), {at: f for at, f in enumerate(blocks[b]) if (b, at) in have}) for b in range(3)]
+            steps, met = dbr.chosen(parts, budgets)
+            break
+        except dbr.Wanted as wanted:
+            assert set(wanted.blocks) - have
+            have, asked = have | set(wanted.blocks), asked + 1
+    rank, phase = np.zeros(len(bins), int), np.zeros(len(bins), int)
+    for b in range(3):
+        for at, f in enumerate(blocks[b]):
+            mine = own[b][at * size : (at + 1) * size]
+            rank[mine], phase[mine] = dbr.places_of(f, b, [s for s in steps if (s["bin"], s["block"]) == (b, at)])
+    return rank, phase, met, asked, len(have)
+
+
+@pytest.mark.parametrize(("size", "known"), [(1, True), (3, False), (4, True), (50, False)])
+def test_closing_steps_match_a_rescan(size, known):
+    rng = np.random.default_rng(size)
+    for _ in range(40):
         n = int(rng.integers(1, 25))
         bins, flags = rng.integers(0, 3, n), (rng.random((n, 5)) < 0.3).astype(int)
         for ratio in (1.0, 0.5, 0.2):
             budgets = dbr.Budgets(ratio=ratio)
-            rank, _, _ = dbr.greedy(bins, flags, budgets)
+            rank = by_blocks(bins, flags, budgets, size, known)[0]
             assert [int(i) for i in np.argsort(np.where(rank > 0, rank, 999), kind="stable")[: (rank > 0).sum()]] == slow_dbr(bins, flags, budgets)
 
 
+def test_closing_steps_ask_for_few_blocks():
+    """A context of a million rows is solved from counts and a few blocks of flags, in as many askings as there are steps."""
+    rng = np.random.default_rng(9)
+    bins, flags = rng.integers(0, 3, 1_000_000), (rng.random((1_000_000, 5)) < [0.05, 0.2, 0.4, 0.3, 0.2]).astype(int)
+    rank, phase, met, asked, have = by_blocks(bins, flags, dbr.Budgets(ratio=0.6), 1_000, False)
+    assert met and 600_000 <= (n := (rank > 0).sum()) < 600_003 and sorted(rank[rank > 0]) == list(range(1, n + 1))
+    assert not flags[rank > 0, 0].any() and asked < 60 and have < 200
+
+
 def test_dbr_does_not_depend_on_row_order(spark, sf_dir):
     from gyre.plans import queries as q
 
@@ -145,6 +177,17 @@ def test_dbr_does_not_depend_on_row_order(spark, sf_dir):
     budgets = dbr.Budgets(ratio=0.5)
     one, two = (sorted(dbr.dbr(r, q.CTX, budgets).collect(), key=str) for r in (rows, rows.orderBy(F.rand(3)).repartition(7)))
     assert one == two and {r["decision_reason"] for r in one} > {"selected_within_budget"}
+    small = sorted(dbr.dbr(rows, q.CTX, budgets, block=2, whole=1).collect(), key=str)
+    assert one == small and dbr.dbr(rows.limit(0), q.CTX).count() == 0
+    by = {}
+    for r in rows.collect():
+        by.setdefault(tuple(r[c] for c in q.CTX), []).append(r)
+    down = lambda v: (v is None, -v if v is not None else 0)
+    for context, members in by.items():
+        members.sort(key=lambda r: (dbr.BINS.index(r["length_bin"]), r["severity"], down(r["reasoning_soundness"]), down(r["structure"]), down(r["clarity"]), r["sampling_value"], r["example_id"]))
+        chosen = slow_dbr([dbr.BINS.index(r["length_bin"]) for r in members], np.array([[int(r[f"defect_{n}"]) for n in quality.DEFECTS] for r in members]), budgets)
+        got = sorted((r["selection_rank"], r["example_id"]) for r in one if tuple(r[c] for c in q.CTX) == context and r["selected"])
+        assert got == [(k, members[i]["example_id"]) for k, i in enumerate(chosen, 1)]
 
 
 def test_contracts(spark):

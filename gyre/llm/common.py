@@ -2,45 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gyre.sources.shared import shared_dir
+from gyre.sources.shared import BROADCAST_ROWS, cleared, few, new_folder, null_safe_join, run_folder, running, small, written
+
+__all__ = ["BROADCAST_ROWS", "WORD", "cleared", "few", "new_folder", "null_safe_join", "partitions", "run_folder", "running", "sliced", "small", "store", "text_or_empty", "written"]
 
 #: A word: a run of anything but the ASCII space and the control characters tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows that may be broadcast at most: of some numbers each, under 100 MB.  Larger sides are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def run_folder(spark: SparkSession) -> str:
-    """The folder of this application's intermediate tables; cleared() removes it."""
-    return f"{shared_dir(spark)}/gyre/{spark.sparkContext.applicationId}"
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cleared(spark: SparkSession) -> bool:
-    """Removes this application's intermediate tables, when no result that reads them is needed any more."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read from there: lineage ends, and lost executors lose nothing."""
-    place = new_folder(df.sparkSession, name)
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
-
 
 @cache
 def store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -55,41 +31,6 @@ def sliced(batches: Iterator[pa.Array] | Iterator[pa.RecordBatch], rows: int = 1
             yield batch.slice(at, rows)
 
 
-def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `rows` rows; they are counted, so df should be written or cheap."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows (they are counted), else df as it is.
-
-    The caller keeps df to a few fixed-width columns, so that the bound on rows bounds the bytes.
-    """
-    return F.broadcast(df) if few(df, rows) else df
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """left joined to right on equal keys, where null equals null; the keys and columns of left, then those of right."""
-    right = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})
-    same = reduce(lambda x, y: x & y, (F.col(key).eqNullSafe(F.col(f"_r_{key}")) for key in keys))
-    return left.join(right, same, how).drop(*(f"_r_{key}" for key in keys))
-
-
-def running(df: DataFrame, by: list[str], at: str, value: str, width: int = 4_096) -> DataFrame:
-    """df with `before`: the sum of value over rows of the same `by` with a smaller `at`, a whole number and unique in `by`.
-
-    Sums are taken in ranges of `width` values of `at`, then over ranges, so that a large `by` is spread over tasks.
-    """
-    rows = df.withColumn("_range", F.expr(f"`{at}` div {width}"))
-    inside = Window.partitionBy(*by, "_range").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    over = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = rows.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
-    sums = sums.select(*by, "_range", (F.sum("_sum").over(over) - F.col("_sum")).alias("_earlier"))
-    rows = rows.withColumn("_inside", F.sum(value).over(inside) - F.col(value))
-    out = null_safe_join(rows, sums, [*by, "_range"])
-    return out.withColumn("before", F.col("_earlier") + F.col("_inside")).drop("_range", "_inside", "_earlier")
-
-
 def partitions(df: DataFrame) -> int:
     """The number of partitions that the session gives a shuffle."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))

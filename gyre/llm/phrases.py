@@ -26,9 +26,9 @@ MAX_WORDS = 5
 LEAST = 100
 TOP = 2_000
 #: Bytes of text that a task turns into suffixes at a time, about.
-SLICE = 8_000_000
+SLICE = 4_000_000
 #: Suffixes of a bucket, about.
-BUCKET = 1_500_000
+BUCKET = 1_000_000
 #: A prefix is reported where it fills 1 / SHARE of a slice, and is hot where such reports fill 1 / (5 * SHARE) of all words.
 SHARE = 200
 #: Parts of a language's phrases in which the first are sought before they are among all.
@@ -174,7 +174,10 @@ def sizes_and_hot(docs: DataFrame) -> tuple[DataFrame, int, list[int]]:
 
 
 def _packed(lang: str, distinct: list[bytes], rows: np.ndarray, counts: np.ndarray, bucket: np.ndarray, depth: np.ndarray) -> Iterator[dict]:
-    """The suffixes of a slice for each bucket, with the words they use: numbers are of the row's own words."""
+    """The suffixes of a slice for each bucket, with the words they use: numbers are of the row's own words.
+
+    Suffixes stay in order and go column by column, in the narrowest kind of number, so that what is shuffled compresses well.
+    """
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     names = np.array([b"", *distinct], object)
@@ -184,7 +187,8 @@ def _packed(lang: str, distinct: list[bytes], rows: np.ndarray, counts: np.ndarr
         lead = int(used[0] != 0)  # number 0 is no word
         numbers = numbers.reshape(-1, MAX_WORDS) + lead
         kind = np.uint16 if len(used) < 1 << 16 else np.uint32
-        yield {"bucket": int(bucket[mine[0]]), "lang": lang, "words": names[used[1 - lead :]].tolist(), "suffixes": numbers.astype(kind).tobytes(), "counts": counts[mine].astype(np.int64).tobytes(), "depths": depth[mine].astype(np.uint8).tobytes()}
+        most = np.uint8 if counts[mine].max() < 256 else np.int64
+        yield {"bucket": int(bucket[mine[0]]), "lang": lang, "words": names[used[1 - lead :]].tolist(), "suffixes": numbers.T.astype(kind).tobytes(), "counts": counts[mine].astype(most).tobytes(), "depths": depth[mine].astype(np.uint8).tobytes()}
 
 
 PACKED = "bucket long, lang string, words array<binary>, suffixes binary, counts binary, depths binary"
@@ -227,10 +231,11 @@ def _bucket_counts(least: int):
         of = rank[words.indices.to_numpy()] if len(sorted_words) else rank
         rows, counts, depth = [], [], []
         for begin, end, s, c, d in zip([0, *firsts[:-1]], firsts, table["suffixes"], table["counts"], table["depths"]):
-            c, d = np.frombuffer(c.as_buffer(), np.int64), np.frombuffer(d.as_buffer(), np.uint8)
-            numbers = np.frombuffer(s.as_buffer(), np.uint16 if s.as_buffer().size == 2 * MAX_WORDS * len(c) else np.uint32).reshape(-1, MAX_WORDS)
+            d = np.frombuffer(d.as_buffer(), np.uint8)
+            c = np.frombuffer(c.as_buffer(), np.uint8 if c.as_buffer().size == len(d) else np.int64)
+            numbers = np.frombuffer(s.as_buffer(), np.uint16 if s.as_buffer().size == 2 * MAX_WORDS * len(d) else np.uint32).reshape(MAX_WORDS, -1).T
             rows.append(np.concatenate([[0], of[begin:end]]).astype(np.int32)[numbers])
-            counts.append(c)
+            counts.append(c.astype(np.int64))
             depth.append(d)
         rows, counts = np.concatenate(rows), np.concatenate(counts)
         # Depths ride along as a last column: equal suffixes have equal depths, so they split no run of the words.

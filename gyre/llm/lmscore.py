@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gyre.llm.common import small
+from gyre.llm.common import lowered, small, words_of
 
 #: The weight of the unigram in a bigram's probability, in observations, and of each word in a unigram's: for the target model.
 PRIOR, WORD_PRIOR = 8.0, 0.5
@@ -47,8 +47,7 @@ _ids = WordIds()
 
 def tokens(text: str | None) -> np.ndarray:
     """Keys of a text's words, A-Z lower-cased; a null text has none."""
-    words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_ids.__getitem__, words_of(lowered(text))), np.uint64)
 
 
 def _stirred(x: np.ndarray) -> np.ndarray:

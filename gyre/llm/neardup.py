@@ -4,9 +4,11 @@
 2. Texts with equal words are one node; nodes with an equal band of signature rows share a bucket.
 3. Each node is compared with the smallest node of each of its buckets, on full sets.  A bucket whose nodes are
    then linked with each other is settled, and its other pairs need no look.
-4. In a bucket that is not settled, the nodes outside its largest group of linked nodes are compared with a sample of
-   that group and with each other, and where that does not settle it, with all of the group.
-5. Components of the links are the groups of near-duplicates.
+4. In a bucket of a block or less that is not settled, all nodes outside its largest group of linked nodes are compared with all nodes.  In a
+   larger one they are compared with a sample of that group.
+5. What is then not settled in larger buckets is compared by a second key: the shingles of a set, the commonest last, of which two linked sets
+   share one among the first few (prefix filter), at places and in sets of sizes that leave room for the rest (positional filter).
+6. Components of the links are the groups of near-duplicates.
 
 Comparisons count through an inverted index.  Large buckets are cut into blocks, and blocks meet in a task, so no task holds a
 whole bucket; a task returns a spanning forest of the links that it found, not the links.  Sets hold 64-bit hashes of shingles.
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyre.llm.common import few, sliced, small, written
+from gyre.llm.common import few, sliced, small, spaced, words_of, written
 from gyre.llm.components import UnionFind, components
 
 
@@ -81,20 +83,16 @@ def _word_hash(word: bytes) -> int:
     return value
 
 
-def word_list(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, with A-Z lower-cased."""
-    return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingles(words: list[bytes], size: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of `size` words; fewer words are one shingle."""
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_word_hash, words), np.uint64, len(words))
-    take = min(size, len(words))
-    total = np.full(len(words) - take + 1, take, np.uint64)
+def shingles(line: bytes, size: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of `size` words; fewer words are one shingle.  line: words between spaces."""
+    hashes = np.fromiter(map(_word_hash, words_of(line)), np.uint64)
+    n = len(hashes)
+    if not n:
+        return hashes
+    take = min(size, n)
+    total = np.full(n - take + 1, take, np.uint64)
     for k in range(take):
-        total = mixed(total + STEP) + hashes[k : len(words) - take + 1 + k] if k else mixed(total) + hashes[: len(words) - take + 1]
+        total = mixed(total + STEP) + hashes[k : n - take + 1 + k] if k else mixed(total) + hashes[: n - take + 1]
     return np.unique(mixed(total))
 
 
@@ -150,12 +148,12 @@ def sketches(docs: DataFrame, settings: Settings, doc: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, SLICE):
-            words = [word_list(t) for t in part["text"].to_pylist()]
-            sets = [shingles(w, settings.words) for w in words]
+            lines = [spaced(t.as_py()) for t in part["text"]]
+            sets = [shingles(line, settings.words) for line in lines]
             keys = band_keys(super_minhash(sets, settings.bands * settings.rows), settings)
             yield pa.record_batch({
                 "doc_id": part["doc_id"],
-                "digest": pa.array([hashlib.sha256(b" ".join(w)).digest() if w else None for w in words], pa.binary()),
+                "digest": pa.array([hashlib.sha256(line).digest() if line else None for line in lines], pa.binary()),
                 "n_shingles": pa.array(map(len, sets), pa.int64()),
                 "bands": pa.array([k if len(s) else None for k, s in zip(keys, sets)], pa.list_(pa.int64())),
             })
@@ -175,25 +173,152 @@ def stars(members: DataFrame) -> DataFrame:
     """Comparisons (see verified_edges) of each node with the leads of its buckets: one group for each lead."""
     leads = members.filter("node = lead").groupBy(F.col("lead").alias("group"), "node").agg(F.max("n_shingles").alias("n_shingles"))
     others = members.filter("node > lead").groupBy(F.col("lead").alias("group"), "node").agg(F.max("n_shingles").alias("n_shingles"))
-    return leads.withColumn("minor", F.lit(True)).union(others.withColumn("minor", F.lit(False)))
+    return leads.withColumn("minor", F.lit(True)).union(others.withColumn("minor", F.lit(False))).withColumn("apart", F.lit(False))
 
 
-def unsettled(members: DataFrame, found: DataFrame, sample: int | None, more_than: int = 0) -> DataFrame:
-    """Comparisons (see verified_edges) in buckets whose nodes are in several components of found (node, component).
+def unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, n_shingles, minor, n, shingles, most) of buckets whose nodes are in several components of found (node, component).
 
-    minor: nodes outside the largest component of the bucket.  sample: about so many nodes of that component are taken, by
-    a hash, or all for None; more_than: buckets with no more of them are left out.  Of buckets with equal nodes, one is taken.
+    minor: nodes outside the largest component of the bucket, which has `most` nodes.  n, shingles: of all its nodes.  Of buckets with equal nodes,
+    one is taken.
     """
     placed = members.join(small(found), "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(seed), "node").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)])
-    largest = F.max(F.struct("n", (-F.col("component")).alias("c")))
-    keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"), largest.alias("top"))
-    keys = keys.filter((F.col("parts") > 1) & (F.col("top.n") > more_than)).groupBy("n", "h1", "h2").agg(F.min(F.struct("key", F.col("top.n").alias("most"), (-F.col("top.c")).alias("main"))).alias("one")).select("one.*")
-    keys = written(keys, "unsettled")
-    rows = placed.join(small(keys), "key").withColumn("minor", F.col("component") != F.col("main"))
-    if sample is not None:
-        rows = rows.filter(F.col("minor") | (F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("most") / sample)) == 0))
-    return rows.groupBy(F.col("key").alias("group"), "node", "minor").agg(F.max("n_shingles").alias("n_shingles")).select("group", "node", "n_shingles", "minor")
+    sums = [F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), *[F.sum(F.xxhash64(F.lit(seed), "node").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]]
+    parts = placed.groupBy("key", "component").agg(*sums)
+    largest = F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("top")
+    keys = parts.groupBy("key").agg(F.count("*").alias("parts"), largest, *[F.sum(c).alias(f"all_{c}") for c in ("n", "shingles", "h1", "h2")]).filter("parts > 1")
+    one = F.min(F.struct("key", F.col("top.n").alias("most"), (-F.col("top.c")).alias("main"))).alias("one")
+    keys = keys.groupBy(F.col("all_n").alias("n"), F.col("all_shingles").alias("shingles"), "all_h1", "all_h2").agg(one).select("one.*", "n", "shingles")
+    return placed.join(small(written(keys, "unsettled")), "key").withColumn("minor", F.col("component") != F.col("main")).drop("component", "main")
+
+
+def _block_or_less(settings: Settings):
+    return (F.col("n") <= settings.block_nodes) & (F.col("shingles") <= settings.block_shingles)
+
+
+def sampled(rows: DataFrame, settings: Settings) -> DataFrame:
+    """Comparisons (see verified_edges) of unsettled() buckets: whole ones of a block or less; of others, minor nodes and about `sample` others, by a hash."""
+    some = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("most") / settings.sample)) == 0
+    rows = rows.filter(_block_or_less(settings) | F.col("minor") | some)
+    return rows.select(F.col("key").alias("group"), "node", "n_shingles", "minor", (~_block_or_less(settings)).alias("apart"))
+
+
+#: Slots in which shingles are counted to be ordered by; the order need only be the same for all sets, so slots may be shared.
+SLOTS = 1 << 21
+#: Entries of a list that are all looked at in pairs; of longer lists only those outside its largest component look at others.
+LIST = 4_096
+#: Entries that a task takes, about.
+ENTRIES = 500_000
+
+
+def ordered_first(found: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set, the commonest last, and for each the largest size of a set that it may be the first shared one with.
+
+    A set of n shingles shares at least percent % of n with any set it links with, so one of its first n - that + 1 is shared.  Where a shared
+    shingle is the first, at place i, no more than n - i are; that bounds the size of the other set.
+    """
+    n = len(found)
+    place = np.arange(n - -(-percent * n // 100) + 1 if n else 0)
+    order = np.lexsort((found, counts[found % np.uint64(len(counts))]))
+    return found[order[: len(place)]], (n - place) * (100 + percent) // percent - n
+
+
+def pairs_of_lists(lists: np.ndarray, size: np.ndarray, most: np.ndarray, component: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of two entries of one list, of several components, each of a size within the other's bound, the larger one at home.
+
+    Entries are sorted by list, then by size: an entry looks at those after it until they are too large.
+    """
+
+    def kept(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit = (most[y] >= size[x]) & (component[x] != component[y]) & home[y]
+        return x[hit], y[hit]
+
+    begins = np.flatnonzero(np.diff(lists, prepend=-1))
+    ends = np.append(begins[1:], len(lists))
+    short = np.repeat(ends - begins <= LIST, ends - begins)
+    at, step = np.flatnonzero(short), 1
+    while len(at):
+        at = at[at + step < len(lists)]
+        at = at[(lists[at] == lists[at + step]) & (size[at + step] <= most[at])]
+        yield kept(at, at + step)
+        step += 1
+    for begin, end in zip(begins, ends):
+        if end - begin > LIST:
+            names, which = np.unique(component[begin:end], return_inverse=True)
+            for x in begin + np.flatnonzero(which != np.bincount(which, minlength=len(names)).argmax()):
+                y = np.arange(begin, begin + np.searchsorted(size[begin:end], most[x], "right"))
+                later = y > x
+                yield kept(np.full(later.sum(), x), y[later])
+                yield kept(y[~later], np.full((~later).sum(), x))
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Candidate pairs in the lists of a task, each once."""
+    keys = ("shingle", "cell", "size", "node")
+    shingle, cell, size, node, most, component, home = (table[c].to_numpy() for c in (*keys, "most", "component", "home"))
+    order = np.lexsort((node, size, cell, shingle))
+    shingle, cell, size, node, most, component, home = (x[order] for x in (shingle, cell, size, node, most, component, home))
+    lists = np.concatenate([[0], np.cumsum((shingle[1:] != shingle[:-1]) | (cell[1:] != cell[:-1]))])
+    found = {(a, b, m, n) if a < b else (b, a, n, m) for x, y in pairs_of_lists(lists, size, most, component, home) for a, b, m, n in zip(node[x].tolist(), node[y].tolist(), size[x].tolist(), size[y].tolist())}
+    columns = list(zip(*found)) or [[]] * 4
+    return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("a", "b", "a_size", "b_size"), columns)})
+
+
+def prefix_candidates(texts: DataFrame, settings: Settings) -> DataFrame:
+    """Candidate pairs (a, b, a_size, b_size) among texts (node, component, text): all linked pairs of different components, and few others.
+
+    Shingles are counted in SLOTS slots, an array of fixed size that goes to every task.  An entry is a shingle of a set's first ones; entries of
+    one shingle and of sizes within a factor of the threshold meet.
+    """
+    percent, size = settings.percent, settings.words
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for part in sliced(batches, SLICE):
+            for text in part["text"]:
+                np.add.at(total, shingles(spaced(text.as_py()), size) % np.uint64(SLOTS), 1)
+        used = np.flatnonzero(total)
+        yield pa.record_batch({"slot": pa.array(used), "n": pa.array(total[used])})
+
+    slots = written(texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")), "slots").toPandas()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[slots["slot"]] = slots["n"]
+    known = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, SLICE):
+            sets = [shingles(spaced(t.as_py()), size) for t in part["text"]]
+            firsts = [ordered_first(s, known.value, percent) for s in sets]
+            n = [len(first) for first, _ in firsts]
+            owner = np.repeat(np.arange(len(sets)), n)
+            shingle = np.concatenate([first for first, _ in firsts])
+            # A shingle that is alone in its slot is in no other set.
+            shared = known.value[shingle % np.uint64(SLOTS)] > 1
+            owner, rows = owner[shared], pa.array(owner[shared])
+            yield pa.record_batch({"shingle": pa.array(shingle[shared].view(np.int64)), "node": part["node"].take(rows), "component": part["component"].take(rows), "size": pa.array(np.array([len(s) for s in sets], np.int64)[owner]), "most": pa.array(np.concatenate([most for _, most in firsts])[shared])})
+
+    rows = written(texts.mapInArrow(entries, "shingle long, node long, component long, size long, most long"), "entries")
+    # A list is cut by sizes, a step a twentieth: an entry is at home in the cell of its own size and looks into those up to its bound.
+    cell = lambda c: F.floor(F.log(c) / F.log(F.lit(1.05))).cast("int")
+    rows = rows.withColumn("cell", F.explode(F.sequence(cell("size"), F.greatest(cell("size"), cell("most"))))).withColumn("home", F.col("cell") == cell("size"))
+    lists = rows.groupBy("shingle", "cell").agg(F.count("*").alias("n"), F.max("home").alias("home"), F.min("component").alias("x"), F.max("component").alias("y"))
+    lists = written(lists.filter("home AND x < y").select("shingle", "cell", "n"), "lists")
+    total = lists.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(-(-total // ENTRIES), texts.sparkSession.sparkContext.defaultParallelism)
+    met = rows.join(small(lists.select("shingle", "cell")), ["shingle", "cell"])
+    found = met.groupBy(F.pmod(F.xxhash64("shingle", "cell"), F.lit(tasks)).alias("task")).applyInArrow(_candidates, "a long, b long, a_size long, b_size long")
+    return found.distinct()
+
+
+def remaining(docs: DataFrame, rows: DataFrame, found: DataFrame, settings: Settings, doc: str, text: str) -> DataFrame:
+    """Comparisons (see verified_edges) of what is not settled in buckets of more than a block: each candidate pair, by its smaller node."""
+    crowd = rows.filter(~_block_or_less(settings)).select("node").distinct()
+    crowd = written(crowd.join(small(found), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "crowd")
+    texts = docs.select(F.col(doc).cast("long").alias("node"), F.col(text).alias("text")).join(small(crowd), "node")
+    pairs = written(prefix_candidates(texts, settings), "candidates")
+    centre = pairs.groupBy(F.col("a").alias("group")).agg(F.max("a_size").alias("n_shingles")).select("group", F.col("group").alias("node"), "n_shingles", F.lit(True).alias("minor"))
+    others = pairs.groupBy(F.col("a").alias("group"), F.col("b").alias("node")).agg(F.max("b_size").alias("n_shingles"))
+    return centre.union(others.withColumn("minor", F.lit(False))).withColumn("apart", F.lit(False))
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int, probes: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -238,13 +363,14 @@ def comparisons(groups: DataFrame, settings: Settings) -> DataFrame:
     """(node, tasks): where each node of groups is compared; a task is (group, minor, kind, left, right).
 
     A group of a block or less is one task, and such groups are packed by their shingles.  In a larger one, each block of
-    minor nodes meets each block of the others (kind 1) and, if there are several minor nodes, each block of these (kind 0).
+    minor nodes meets each block of the others (kind 1) and, if there are several minor nodes and they are not held apart, each block of
+    these (kind 0).
     """
     of = lambda minor, column: F.coalesce(F.sum(F.when(F.col("minor") == minor, column)), F.lit(0))
-    sizes = groups.groupBy("group").agg(*[of(minor, column).alias(name) for minor, column, name in ((True, F.lit(1), "n1"), (True, F.col("n_shingles"), "s1"), (False, F.lit(1), "n0"), (False, F.col("n_shingles"), "s0"))])
+    sizes = groups.groupBy("group").agg(F.max("apart").alias("apart"), *[of(minor, column).alias(name) for minor, column, name in ((True, F.lit(1), "n1"), (True, F.col("n_shingles"), "s1"), (False, F.lit(1), "n0"), (False, F.col("n_shingles"), "s0"))])
     blocks = [F.greatest(F.ceil(F.col(f"n{k}") / settings.block_nodes), F.ceil(F.col(f"s{k}") / settings.block_shingles)).alias(f"b{k}") for k in (1, 0)]
     alone = (F.col("n1") + F.col("n0") <= settings.block_nodes) & (F.col("s1") + F.col("s0") <= settings.block_shingles)
-    sizes = written(sizes.select("group", "n1", (F.col("n1") + F.col("n0")).alias("n"), (F.col("s1") + F.col("s0")).alias("s"), *blocks, alone.alias("alone")), "sizes")
+    sizes = written(sizes.select("group", F.when(F.col("apart"), 0).otherwise(F.col("n1")).alias("n1"), (F.col("n1") + F.col("n0")).alias("n"), (F.col("s1") + F.col("s0")).alias("s"), *blocks, alone.alias("alone")), "sizes")
     n, s = sizes.filter("alone").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0))).first()
     bins = max(1, -(-n // settings.block_nodes), -(-s // settings.block_shingles))
     own = F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("minor"), F.col("b1")).otherwise(F.col("b0")), F.lit(1)))
@@ -265,17 +391,17 @@ def comparisons(groups: DataFrame, settings: Settings) -> DataFrame:
 
 
 def verified_edges(docs: DataFrame, groups: DataFrame, settings: Settings, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """A spanning forest (a, b) of the links within groups (group, node, n_shingles, minor), confirmed on full sets.
+    """A spanning forest (a, b) of the links within groups (group, node, n_shingles, minor, apart), confirmed on full sets.
 
-    Minor nodes are compared with all nodes of their group; the others are not compared with each other.  A node is
-    in one group for each of its bands at most, and its set is found once.
+    Minor nodes are compared with all nodes of their group, or in groups of more than a block that are held apart with those that are not minor; the
+    others are not compared with each other.  A node's set is found once.
     """
     tasks = written(comparisons(groups, settings), "tasks")
     size = settings.words
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, SLICE):
-            found = [shingles(word_list(t), size).view(np.int64) for t in part["text"].to_pylist()]
+            found = [shingles(spaced(t.as_py()), size).view(np.int64) for t in part["text"]]
             yield pa.record_batch({"node": part["node"], "tasks": part["tasks"], "shingles": pa.array(found, pa.list_(pa.int64()))})
 
     known = F.broadcast(tasks) if few(tasks.select(F.explode("tasks"))) else tasks
@@ -302,11 +428,14 @@ def near_duplicates(docs: DataFrame, settings: Settings = NEAR_85, doc: str = "d
     copies = written(copies, "copies")
     members = written(bucket_members(copies.filter("node IS NOT NULL")), "members")
     links = written(verified_edges(docs, stars(members), settings, doc, text), "confirmed")  # in a stage of its own, or a task would hold two workers
-    for sample, more_than in ((settings.sample, 0), (None, settings.sample)):
-        groups = written(unsettled(members, written(components(links, "links"), "components"), sample, more_than), "groups")
-        if groups.isEmpty():
-            break
-        links = links.union(written(verified_edges(docs, groups, settings, doc, text), "confirmed"))
+    found = written(components(links, "links"), "components")
+    rows = written(unsettled(members, found), "groups")
+    if not rows.isEmpty():
+        links = links.union(written(verified_edges(docs, sampled(rows, settings), settings, doc, text), "confirmed"))
+        if not rows.filter(~_block_or_less(settings)).isEmpty():
+            found = written(components(links, "links"), "components")
+            rows = written(unsettled(members, found), "groups")
+            links = links.union(written(verified_edges(docs, remaining(docs, rows, found, settings, doc, text), settings, doc, text), "confirmed"))
     same_id = sketch.filter("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     by_id = sketch.join(small(same_id.select("doc_id")), "doc_id").join(copies.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = written(components(links.union(by_id), "links"), "components")

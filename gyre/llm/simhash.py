@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gyre.llm.common import few, sliced, small, written
+from gyre.llm.common import few, sliced, small, spaced, written
 from gyre.llm.components import components
 
 BITS = 3
@@ -43,15 +43,6 @@ SHINGLES = 100_000
 SALTS = 16
 
 
-def spaced(text: str | None) -> bytes:
-    """The words of a text, with A-Z lower-cased, between single spaces.  Words end at ASCII white space only."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    keep = ~blank
-    keep[1:] |= blank[1:] & ~blank[:-1]
-    return np.where(blank, np.uint8(32), raw)[keep].tobytes().strip(b" ")
-
-
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     """SimHash of a text's shingles, repeats included: a bit is set if more than half of the shingles' XXH64 have it.
 

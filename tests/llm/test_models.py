@@ -204,10 +204,62 @@ def test_comparisons_in_a_chain_grow_with_its_length(spark):
         nodes = sketch.select(F.col("doc_id").alias("node"), "bands", "n_shingles")
         members = neardup.written(neardup.bucket_members(nodes), "members")
         alone = nodes.select("node", F.col("node").alias("component")).limit(0)
-        rows[n] = [neardup.comparisons(groups, neardup.NEAR_80).select(F.explode("tasks")).count() for groups in (neardup.stars(members), neardup.unsettled(members, alone, 256))]
+        rows[n] = [neardup.comparisons(groups, neardup.NEAR_80).select(F.explode("tasks")).count() for groups in (neardup.stars(members), neardup.sampled(neardup.unsettled(members, alone), neardup.NEAR_80))]
     assert all(0 < small_one and large < 2.2 * small_one for small_one, large in zip(rows[2_000], rows[4_000]))
 
 
+def forms(n, shared=400, own=85):
+    """Texts that share most of their words and link with none: about 0.70 alike with these numbers."""
+    common = " ".join(f"c{i}" for i in range(shared))
+    return [(i, common + " " + " ".join(f"x{i}y{k}" for k in range(own))) for i in range(n)]
+
+
+def test_work_in_a_bucket_of_unlinked_forms_grows_with_its_size(spark):
+    """Buckets of very many texts that share much and do not link: each set goes to a few tasks, however many there are."""
+    settings, rows = neardup.NEAR_85, {}
+    for n in (1_200, 2_400):
+        docs = spark.createDataFrame(forms(n), "doc_id long, text string")
+        sketch = neardup.written(neardup.sketches(docs, settings), "sketches")
+        nodes = sketch.select(F.col("doc_id").alias("node"), "bands", "n_shingles")
+        members = neardup.written(neardup.bucket_members(nodes), "members")
+        assert members.groupBy("key").count().agg(F.max("count")).first()[0] > 512
+        alone = nodes.select("node", F.col("node").alias("component")).limit(0)
+        groups = neardup.unsettled(members, alone)
+        tasks = neardup.comparisons(neardup.sampled(groups, settings), settings).select(F.explode("tasks")).count()
+        pairs = neardup.remaining(docs, groups, alone, settings, "doc_id", "text").count()
+        rows[n] = (neardup.comparisons(neardup.stars(members), settings).select(F.explode("tasks")).count(), tasks, pairs)
+    assert rows[2_400][2] == 0 and all(large <= 2.3 * small_one for small_one, large in zip(rows[1_200], rows[2_400])), rows
+
+
+def test_candidates_hold_all_links(spark):
+    """The prefix and positional filters against all pairs, over sets of many sizes and likenesses."""
+    rng = np.random.default_rng(8)
+    texts = forms(6, 60, 3) + forms(6, 40, 12) + [(0, " ".join(f"c{i}" for i in range(k))) for k in (1, 2, 5, 6, 30, 34, 40, 47, 55, 60)]
+    for _ in range(60):
+        words = texts[rng.integers(0, len(texts))][1].split()
+        for at in rng.integers(0, len(words), rng.integers(0, 3)):
+            words[at] = f"e{rng.integers(0, 5)}"
+        texts.append((0, " ".join(words[: rng.integers(len(words) * 4 // 5, len(words) + 1)])))
+    distinct = sorted({t for _, t in texts if t})
+    sets = [set(neardup.shingles(t.encode(), 5).tolist()) for t in distinct]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
+    for longest in (4_096, 1):
+        limit, neardup.LIST = neardup.LIST, longest
+        try:
+            df = spark.createDataFrame([(i, i, t) for i, t in enumerate(distinct)], "node long, component long, text string")
+            got = {(r["a"], r["b"]) for r in neardup.prefix_candidates(df, neardup.NEAR_85).collect()}
+            names = np.arange(len(distinct))
+            tables = [neardup.ordered_first(np.array(sorted(s), np.uint64), np.ones(64, np.int64), 85) for s in sets]
+            flat = [(int(h), len(sets[i]), int(m), i) for i, (first, most) in enumerate(tables) for h, m in zip(first, most)]
+            flat.sort()
+            lists, size, most, of = (np.array(x) for x in zip(*flat))
+            found = neardup.pairs_of_lists(np.unique(lists, return_inverse=True)[1], size, most, names[of], np.ones(len(of), bool))
+            assert want <= {(min(of[i], of[j]), max(of[i], of[j])) for x, y in found for i, j in zip(x, y)}
+        finally:
+            neardup.LIST = limit
+        assert want and want <= got and len(got) < 3 * len(want) + 50
+
+
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_components_of_stars_chains_and_loops(spark, limit, monkeypatch):
     monkeypatch.setattr(components, "few", lambda df: limit > 0)

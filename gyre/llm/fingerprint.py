@@ -7,6 +7,8 @@ holds different canonical texts gives each its number, which is part of the fing
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,33 +103,48 @@ def id_range(key: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.aggregate(steps, F.lit(0), lambda acc, s: F.when((acc + s <= n) & (F.get(values, F.least(acc + s, n) - 1) < key), acc + s).otherwise(acc)), F.lit(0))
 
 
+def parted(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) with `tie` and `part`: falling (doc_id, tie, text) is their order, and parts follow each other in it.
+
+    The ids are cut into ranges of about RANGE_ROWS rows by approximate quantiles.  An id on which several quantiles fall has rows for several
+    ranges; these, and rows without an id, are ordered by a hash of their texts first, and cut by it.
+    """
+    n, known = rows.agg(F.count("*"), F.count("doc_id")).first()
+    ranges = max(1, min(RANGES, n // RANGE_ROWS))
+    points: list[int] = []
+    if ranges > 1 and known:
+        points = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10_000, 4 * ranges))).first()[0] or []
+    often = [(None, (n - known) * ranges // n)] if n else []
+    often += list(Counter(points).items())
+    hot = rows.sparkSession.createDataFrame([(key, k) for key, k in often if k > 1], "_id long, _parts long")  # a row for two ranges at most
+    rows = rows.join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    tie = F.when(F.col("_parts").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    share = F.shiftright((F.shiftright("tie", 32) + (1 << 31)) * F.col("_parts"), 32)
+    at = F.when(F.col("doc_id").isNull(), -1).otherwise(id_range(F.col("doc_id"), sorted(set(points))))
+    part = F.struct(at.alias("range"), F.coalesce(F.when(F.col("_parts").isNotNull(), share), F.lit(-1)).alias("share"))
+    return rows.withColumn("tie", tie).withColumn("part", part).select("doc_id", "text", "tie", "part")
+
+
 def with_next(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, next_text): each text (null: empty) and that of the next row by falling doc_id; after the last, the first.
 
-    Rows go by (doc_id, text), falling, nulls last.  The ids are cut into ranges of about RANGE_ROWS rows by
-    approximate quantiles; each range is sorted by itself, and the first row of each range, one short row a
-    range, is found beforehand, so the texts are shuffled once and no task holds more than a range.
+    Rows without an id come last, and rows that share one follow each other: by their texts, or where they are very many by a hash of these.
+    Each part (see parted) is sorted by itself, and the first row of each, one short row a part, is found beforehand, so the texts are
+    shuffled once and no task holds more than a part.
     """
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = rows.count()
-    ranges = max(1, min(RANGES, n // RANGE_ROWS))
-    bounds: list[int] = []
-    if ranges > 1:
-        found = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], max(10_000, 4 * ranges))).first()[0]
-        bounds = sorted(set(found or []))
-    rows = rows.withColumn("part", id_range(F.col("doc_id"), bounds))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc()]
-    # The first row of each range, for the row before it: the last of the next higher range, or of the lowest range for the highest.
-    first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text")
-    heads = written(rows.groupBy("part").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("head")).select("part", "head"), "heads")
+    rows = parted(docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie").desc(), F.col("text").desc()]
+    # The first row of each part, for the row before it: the last of the next higher part, or of the lowest part for the highest.
+    lead = [F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.col("tie")]
+    heads = written(rows.groupBy("part").agg(F.max(F.struct(*lead)).alias("head")).select("part", "head"), "heads")
     places = heads.select("part", "head", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("to"))
     places = written(places.select("part", "head", "to"), "places")
-    marks = F.broadcast(places.withColumnRenamed("part", "_part"))  # at most RANGES rows
-    sent = rows.join(marks, (F.col("part") == F.col("_part")) & F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id").eqNullSafe(F.col("head")))
-    sent = sent.groupBy("to").agg(F.max(first).alias("_head")).select(F.col("to").alias("_to"), F.col("_head.text").alias("_after"))
+    marks = F.broadcast(places.withColumnRenamed("part", "_part"))  # some RANGES rows at most
+    sent = rows.join(marks, (F.col("part") == F.col("_part")) & F.struct(*lead).eqNullSafe(F.col("head")))
+    sent = sent.groupBy("to").agg(F.max(F.struct(*lead, "text")).alias("_head")).select(F.col("to").alias("_to"), F.col("_head.text").alias("_after"))
     follow = F.lead("text").over(Window.partitionBy("part").orderBy(*order))
     out = rows.withColumn("_next", follow).withColumn("_end", F.col("_next").isNull())
-    ends = written(sent, "heads")  # a row for each range; the other side is dealt by range already
+    ends = written(sent, "heads")  # a row for each part; the other side is dealt by part already
     return out.join(ends, (F.col("part") == F.col("_to")) & F.col("_end"), "left").select("doc_id", "text", F.coalesce("_next", "_after").alias("next_text"))
 
 
@@ -138,8 +155,8 @@ def probed(docs: DataFrame, doc: str = "doc_id", text: str = "text", bits: int =
     exact, so a likeness is 1 where canonical texts are equal, byte by byte, and else 0.  An edited text that shares a
     bucket with texts of docs bears the number of that which it equals.
 
-    One row for each row of docs: a null text counts as empty, rows that share a doc_id follow each other by their
-    texts, rows without one come last.  Other columns are left out, so that none can clash; an empty table gives no rows.
+    One row for each row of docs: a null text counts as empty, rows that share a doc_id follow each other, rows without one
+    come last (see with_next).  Other columns are left out, so that none can clash; an empty table gives no rows.
     """
     clashes = written(collisions(docs, text, bits), "clashes")
     rows = with_next(docs, doc, text).withColumn("edited", edited(F.col("text"), F.col("next_text")))

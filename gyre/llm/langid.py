@@ -23,6 +23,8 @@ ORDER = 3
 DOCS_PER_LANGUAGE = 1_500
 #: Characters of these documents, about: where texts are long, fewer are taken.
 CHARS_PER_LANGUAGE = 30_000_000
+#: Characters that all languages together learn from, and distinct byte sequences of all of them, at most.
+CHARS_IN_ALL, MAX_GRAMS = 120_000_000, 20_000_000
 #: Languages at most.  Each is a model that every worker holds.
 MAX_LANGUAGES = 512
 #: Grams whose code lengths a worker remembers.
@@ -135,11 +137,12 @@ class Model:
         return np.add.reduceat(costs, first, axis=0)
 
 
-def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text", per_language: int = DOCS_PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE) -> Model | None:
+def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text", per_language: int = DOCS_PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE, in_all: int = CHARS_IN_ALL) -> Model | None:
     """A model of the languages in the rows where `learn` holds; None if they name no language.
 
     About `per_language` distinct texts of each language are learnt, of `chars` characters in all or four texts, chosen by
-    their hash: this bounds the statistics, which the driver gathers.  A text with many copies is one text, so a language
+    their hash.  `in_all` bounds the characters of all languages together, each having an equal part of it: this bounds the statistics, which the
+    driver gathers and every worker holds.  They are counted first, and more than MAX_GRAMS are refused.  A text with many copies is one text, so a language
     that consists of copies is learnt too.  More than MAX_LANGUAGES values of lang are refused: each is a model that
     every worker holds, so such a column wants cleaning first.
     """
@@ -148,10 +151,14 @@ def fit(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text",
     sizes = written(kinds.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("chars")), "sizes")
     if not few(sizes, MAX_LANGUAGES):
         raise ValueError(f"more than {MAX_LANGUAGES} languages; pass a cleaner column")
+    chars = min(chars, in_all // max(1, sizes.count()))
     unit = (F.shiftrightunsigned(F.xxhash64("text"), 11).cast("double")) / float(1 << 53)
     drawn = (unit * F.col("docs") < per_language) & ((unit * F.col("chars") < chars) | (unit * F.col("docs") < 4))
     chosen = rows.join(F.broadcast(sizes), "lang").filter(drawn).dropDuplicates(["lang", "text"])
-    counts = gram_counts(chosen).toPandas()
+    counts = written(gram_counts(chosen), "grams")
+    if not few(counts, MAX_GRAMS):
+        raise ValueError(f"more than {MAX_GRAMS} distinct byte sequences to learn; pass fewer characters")
+    counts = counts.toPandas()
     return Model(counts) if len(counts) else None
 
 

@@ -71,6 +71,25 @@ def test_fingerprints_of_odd_texts_and_of_colliding_hashes(spark, bits, monkeypa
     assert fingerprint.probed(docs.limit(0)).count() == 0
 
 
+def test_parts_of_rows_without_an_id_and_of_one_id(spark, monkeypatch):
+    """Half of the ids are missing and one stands a thousand times: no part is large, and the parts follow each other."""
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 64)
+    rows = [(None, f"null {i}") for i in range(3_000)] + [(1_500, f"same {i}") for i in range(1_000)] + [(i, f"own {i}") for i in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sizes = [r["count"] for r in fingerprint.parted(docs).groupBy("part").count().collect()]
+    assert sum(sizes) == 6_000 and max(sizes) < 64 * 4
+    after = {(r["doc_id"], r["text"]): r["next_text"] for r in fingerprint.with_next(docs).collect()}
+    assert len(after) == 6_000 and sorted(after.values()) == sorted(t for _, t in rows)
+    of = {t: i for i, t in rows}
+    order, text = [], rows[-1][1]  # the largest id comes first
+    for _ in range(6_000):
+        order.append(text)
+        text = after[of[text], text]
+    assert text == order[0] and len(set(order)) == 6_000
+    ids = [of[t] for t in order]
+    assert ids == sorted(ids, key=lambda i: -1 if i is None else i, reverse=True)
+
+
 def test_bpe_round_trip(spark):
     path = queries.BPE_RANKS
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}

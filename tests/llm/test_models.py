@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -66,6 +67,53 @@ def test_mix_of_odd_texts(spark):
     assert mixing.resampled(docs).columns == docs.columns
 
 
+def plain_place(at, size, key):
+    """The place of `at` in the permutation, with Python's whole numbers."""
+    half = max(1, (math.ceil(math.log2(max(size, 2))) + 1) // 2)
+    low, full = (1 << half) - 1, (1 << 64) - 1
+    while True:
+        left, right = at >> half, at & low
+        for step in range(1, 5):
+            f = (right + key + step * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & full
+            f = (f ^ (f >> 29)) * 0x94D049BB133111EB & full
+            left, right = right, left ^ (f >> 32 & low)
+        at = left << half | right
+        if at < size:
+            return at
+
+
+def plain_taken(spark, docs, mix):
+    """How often the mix takes the words of each document: every word of a source is listed, and slots are taken one by one."""
+    size = Counter()
+    for r in docs:
+        size[r["source"]] += len(WORD.findall(r["text"] or ""))
+    want = water_fill(size)
+    hashes = {r[0]: r[1] for r in spark.createDataFrame([(r["doc_id"],) for r in docs], "i long").distinct().select("i", F.xxhash64("i")).collect()}
+    taken = Counter()
+    for sid, name in enumerate(sorted(size, key=lambda s: (s is None, s or ""))):
+        mine = [(r["doc_id"], len(WORD.findall(r["text"] or "")), k) for k, r in enumerate(docs) if r["source"] == name]
+        buckets = math.ceil(len(mine) / mixing.BUCKET_ROWS)
+        words = [k for _, n, k in sorted(mine, key=lambda m: (hashes[m[0]] % buckets, m[0] is not None, m[0] or 0, m[1])) for _ in range(n)]
+        left, full, each = round(want[name]), len(words) // mix.block, -(-len(words) // mix.block)
+        passes = spark.range(3).select(F.xxhash64(F.lit(mix.seed), F.lit(sid).cast("long"), F.col("id"))).collect()
+        for slot in range(mix.passes * each):
+            number, at = divmod(slot, each)
+            block = plain_place(at, full, passes[number][0] % (1 << 64)) if at < full else full
+            part = words[block * mix.block : (block + 1) * mix.block][:left]
+            taken.update(part)
+            left -= len(part)
+    return [taken[k] for k in range(len(docs))]
+
+
+@pytest.mark.parametrize("mix", [mixing.Mix(), mixing.Mix(block=16, shard=1_000)])
+def test_mix_takes_what_a_plain_listing_takes(spark, sf_dir, mix):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = docs.withColumn("target", F.lit("clash")).withColumn("taken", F.lit(-1))
+    rows = docs.collect()
+    want = Counter(zip((r["doc_id"] for r in rows), plain_taken(spark, rows, mix)))
+    assert Counter((r["doc_id"], r["taken"]) for r in mixing.mixed(docs, mix).collect()) == want
+
+
 def test_mix_draws_from_every_shard_and_permutes(spark):
     n = 1_000
     for size in (1, 2, 3, 17, n):
@@ -97,6 +145,68 @@ def test_url_model_learns_its_labels(spark, sf_dir):
     assert len(rows) > 20 and sum(r["truth"] == r["verdict"] for r in rows) > 0.9 * len(rows)
 
 
+def murmur(data, seed=42):
+    """Murmur3 of 32 bits, as a signed number."""
+    full, h = 0xFFFFFFFF, seed
+
+    def stirred(k):
+        k = k * 0xCC9E2D51 & full
+        return (k << 15 | k >> 17) * 0x1B873593 & full
+
+    for at in range(0, len(data) - 3, 4):
+        h ^= stirred(int.from_bytes(data[at : at + 4], "little"))
+        h = ((h << 13 | h >> 19) & full) * 5 + 0xE6546B64 & full
+    tail = data[len(data) & ~3 :]
+    if tail:
+        h ^= stirred(int.from_bytes(tail, "little"))
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & full
+    h = (h ^ h >> 13) * 0xC2B2AE35 & full
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def plain_logistic(texts, blocked, penalty=0.001, rounds=4_000):
+    """Coefficients of a logistic regression on hashed grams: of scaled features, whose squares are penalised, by plain descent."""
+
+    def row(text):
+        marked = f"^{text}$"
+        return {murmur(f"{n}{marked[i : i + n]}".encode()) % urlfilter.FEATURES for n in urlfilter.SIZES for i in range(len(marked) - n + 1)}
+
+    rows = [row(t) for t in texts]
+    used = {f: k for k, f in enumerate(sorted(set().union(*rows)))}
+    x = np.zeros((len(rows), len(used)))
+    for r, features in enumerate(rows):
+        x[r, [used[f] for f in features]] = 1
+    scale = x.std(axis=0, ddof=1)
+    x, y = x / np.where(scale > 0, scale, np.inf), np.asarray(blocked, float)
+    w, b = np.zeros(x.shape[1]), 0.0
+    rate = 4 / (np.linalg.norm(np.column_stack([x, np.ones(len(x))]), 2) ** 2 / len(x) + penalty)
+    for _ in range(rounds):
+        off = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - rate * (x.T @ off / len(x) + penalty * w), b - rate * off.mean()
+    weights = w / np.where(scale > 0, scale, np.inf)
+    return lambda text: 1 / (1 + math.exp(-b - sum(weights[used[f]] for f in row(text) if f in used)))
+
+
+def test_url_verdicts_match_a_plain_logistic_regression(spark):
+    """The model's verdict on every page that no rule decides, of a table, against the same regression in plain numpy."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    known = urlfilter.labelled(pages).collect()
+    chance = plain_logistic([r["host"] + r["path"] for r in known], [r["verdict"] == "block" for r in known])
+    rows = [(chance(r["host"] + r["path"]), r["verdict"]) for r in queries.op3_url_filter(spark, "/root/testdata/sf0.01").filter("rule IS NULL").collect()]
+    clear = [(p, said) for p, said in rows if abs(p - 0.5) > 0.1]  # the library stops after a number of rounds
+    assert len(clear) > 0.8 * len(rows) > 20
+    assert all(said == ("block" if p > 0.5 else "allow") for p, said in clear)
+
+
+def test_a_model_of_less_than_two_classes_says_what_it_has_seen(spark):
+    urls = spark.createDataFrame([("http://a.test/x",), (None,)], "url string")
+    for seen, said in (([], "allow"), ([("h", "/", "block")], "block"), ([("h", "/", "allow")], "allow")):
+        labels = spark.createDataFrame(seen, "host string, path string, verdict string")
+        assert [r["verdict"] for r in urlfilter.url_verdicts(urls, labels).collect()] == [said, said]
+
+
 def test_grams_are_all_runs_of_characters(spark):
     texts = ["abcdef", "", "a", "ab", "blog.example.net/en/1", "日本語/テ"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", urlfilter.grams(F.col("t")).alias("g")).collect()
@@ -305,15 +415,14 @@ def test_language_of_odd_texts(spark):
     assert langid.predicted(docs.limit(0), langid.fit(docs, F.lit(True))).count() == 0
 
 
-def test_ppm_code_lengths_are_exact():
-    text = "abracadabra abracadabra"
-    found, n = np.unique(langid.grams(text), return_counts=True)
-    tree = langid.Tree(found, n.astype(float))
+def plain_ppm(texts):
+    """bits(context of three bytes, byte) after some texts: prediction by partial matching with escapes by method C, counted one by one."""
     seen = defaultdict(Counter)
-    raw = b"\n\n\n" + text.encode()
-    for i in range(3, len(raw)):
-        for order in range(4):
-            seen[raw[i - order : i]][raw[i]] += 1
+    for text in texts:
+        raw = b"\n\n\n" + text.encode()
+        for i in range(3, len(raw)):
+            for order in range(4):
+                seen[raw[i - order : i]][raw[i]] += 1
 
     def bits(context, byte):
         total = 0.0
@@ -327,6 +436,51 @@ def test_ppm_code_lengths_are_exact():
             total -= math.log2(d / (n + d))
         return total + 8
 
+    return bits
+
+
+def test_languages_and_scores_match_a_plain_ppm(spark, sf_dir):
+    """lang_pred and score of whole documents, against counts of the same learnt texts."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").filter("length(text) < 3000").collect()
+    learnt = defaultdict(set)
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None:
+            learnt[r["lang"]].add(r["text"])
+    names = sorted(learnt)
+    models = [plain_ppm(learnt[name]) for name in names]
+    docs = spark.createDataFrame(rows).withColumn("held_out", F.expr(queries.HELD_OUT))
+    said = {r["doc_id"]: r for r in langid.predicted(docs, langid.fit(docs, ~F.col("held_out"))).collect()}
+    assert len(said) == len(rows) > 100
+    for r in rows[::5]:
+        raw = b"\n\n\n" + (r["text"] or "").encode()
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert (said[r["doc_id"]]["lang_pred"], said[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        bits = [sum(m(raw[i - 3 : i], raw[i]) for i in range(3, len(raw))) for m in models]
+        share = 1 / sum(2 ** ((min(bits) - x) / (len(raw) - 3) * min(len(raw) - 3, 64)) for x in bits)
+        assert said[r["doc_id"]]["lang_pred"] == names[bits.index(min(bits))]
+        assert said[r["doc_id"]]["score"] == pytest.approx(share, rel=1e-3)
+
+
+def test_what_all_languages_learn_from_is_bounded(spark):
+    """Many languages share one bound on characters; too many distinct grams are an error, not a heap that fills."""
+    docs = spark.range(4_000).selectExpr("concat('l', id % 40) AS lang", "concat_ws(' ', id, repeat('some words of text ', 20)) AS text")
+    few_chars = langid.fit(docs, F.lit(True), in_all=40 * 2_000)
+    learnt = {name: n[np.isin(found & 0xFF, [ord("s")])].sum() for name, (found, n) in few_chars.counts.items()}
+    assert len(learnt) == 40 and max(learnt.values()) < 40 * 15
+    langid.MAX_GRAMS, limit = 10, langid.MAX_GRAMS
+    try:
+        with pytest.raises(ValueError):
+            langid.fit(docs, F.lit(True))
+    finally:
+        langid.MAX_GRAMS = limit
+
+
+def test_ppm_code_lengths_are_exact():
+    text = "abracadabra abracadabra"
+    found, n = np.unique(langid.grams(text), return_counts=True)
+    tree = langid.Tree(found, n.astype(float))
+    bits = plain_ppm([text])
     for size in (1, 2, 3, 4, 100):
         assert np.concatenate(list(langid.gram_slices(text, size))).tolist() == langid.grams(text).tolist()
     assert langid.grams("").tolist() == []

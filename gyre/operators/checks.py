@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,19 +22,33 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
 
 
+def _holds(condition: Column, message: Column) -> Column:
+    """True, or an error with the message.  No cast stands around the error: the optimiser takes a cast of it for a null, and the row would go unsaid."""
+    return F.assert_true(condition, message).isNull()
+
+
 def require_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
-    found = duplicate_keys(df, keys).limit(5).collect()
-    if found:
-        raise ContractError(f"{what} repeats keys, such as {[tuple(r)[:-1] for r in found]}")
-    return df
+    """df, whose rows are checked as they are read: a key that stands twice ends the job with an error that names it.
+
+    The count is a window over the keys, whose shuffle a join or an aggregate on the same keys shares: no second scan, no job of its own.
+    """
+    n = F.count("*").over(Window.partitionBy(*keys))
+    message = F.concat(F.lit(f"{what} repeats keys, such as "), F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    return df.withColumn("_n", n).filter(_holds(F.col("_n") <= 1, message)).drop("_n")
+
+
+def require_match(df: DataFrame, column: str, keys: list[str], what: str) -> DataFrame:
+    """df, whose rows are checked as they are read: a null in `column`, as a left join leaves it, ends the job."""
+    message = F.concat(F.lit(f"{what} misses keys, such as "), F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    return df.filter(_holds(F.col(column).isNotNull(), message))
 
 
 def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", kind: str = "1:1", what: str = "join") -> DataFrame:
-    """A join whose key sides are checked first: 1:1, m:1 or 1:m.  A broken one raises instead of repeating rows."""
+    """A join whose key sides are checked in its own pass: 1:1, m:1 or 1:m.  A broken one ends with an error instead of repeating rows."""
     if kind[0] == "1":
-        require_unique(left, on, f"left side of {what}")
+        left = require_unique(left, on, f"left side of {what}")
     if kind[-1] == "1":
-        require_unique(right, on, f"right side of {what}")
+        right = require_unique(right, on, f"right side of {what}")
     return left.join(right, on, how)
 
 

@@ -21,12 +21,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gyre.functions import quality
 from gyre.functions.hashing import unit_score
-from gyre.sources.shared import few, small, written
+from gyre.sources.shared import few, null_safe_join, running, small, written
 
 BLOCK = 4_096
 #: Blocks of a context whose flags go to its task at once.
@@ -326,6 +326,38 @@ def dbr(rows: DataFrame, by: list[str], budgets: Budgets = Budgets(), block: int
     return out.select("context.*", "example_id", (F.col("rank") > 0).alias("selected"), F.nullif("rank", F.lit(0)).alias("selection_rank"), reason.alias("decision_reason"))
 
 
+def budget_checks(decided: DataFrame, by: list[str], budgets: Budgets = Budgets(), rank: str = "selection_rank", phase: str = "phase") -> DataFrame:
+    """A selection replayed: for each context, phase and defect its limit, the most of it reached, and the rows chosen beyond the limit.
+
+    decided: all rows of the contexts with their defect flags, their rank (null: not chosen) and the phase that chose them (0: the first budgets; k: with
+    the first k of RELAX relaxed, each to all that a context has of it).  Rows are replayed in the order of their ranks by running sums over
+    ranges of ranks, so a context of any size is spread.  Contexts without chosen rows give no rows.
+    """
+    flags = [f"defect_{n}" for n in quality.DEFECTS]
+    n = F.count("*")
+    target = F.least(F.greatest(F.rint(n * F.lit(budgets.ratio)).cast("long"), F.lit(1)), n)
+    totals = decided.groupBy(*by).agg(target.alias("_target"), *[F.sum(F.col(f).cast("long")).alias(f"_all_{f}") for f in flags])
+    rows = decided.filter(F.col(rank).isNotNull()).select(*by, F.col(rank).cast("long").alias("_rank"), F.col(phase).alias("phase"), *[F.col(f).cast("long").alias(f) for f in flags])
+    for f in flags:
+        rows = running(rows, by, "_rank", f).withColumn(f"_reached_{f}", F.col("before") + F.col(f)).drop("before")
+    rows = null_safe_join(rows, small(totals, 100_000), by)
+    parts = []
+    for name, f in zip(quality.DEFECTS, flags):
+        first = F.floor(F.lit(budgets.rates[name]) * F.col("_target")).cast("long")
+        relaxed = F.col("phase") > RELAX.index(name) if name != "parse_failure" or budgets.parse_fallback else F.lit(False)
+        limit = F.when(relaxed, F.greatest(first, F.col(f"_all_{f}"))).otherwise(first)
+        parts.append(F.struct(F.lit(name).alias("defect"), limit.alias("limit"), F.col(f"_reached_{f}").alias("reached"), ((F.col(f) == 1) & (F.col(f"_reached_{f}") > limit)).cast("long").alias("beyond")))
+    out = rows.select(*by, "phase", F.inline(F.array(*parts)))
+    out = out.groupBy(*by, "phase", "defect").agg(F.max("limit").alias("limit"), F.max("reached").alias("reached"), F.sum("beyond").alias("n_beyond"))
+    return out.withColumn("status", F.when(F.col("n_beyond") > 0, "violation").otherwise("ok"))
+
+
+def phase_of(reason: Column) -> Column:
+    """The phase that a decision's reason names."""
+    names = ["selected_within_budget", *[f"selected_relaxed_{n}" for n in RELAX]]
+    return (F.array_position(F.array(*map(F.lit, names)), reason) - 1).cast("int")
+
+
 def defect_rates(rows: DataFrame, by: list[str], selected: str = "selected") -> DataFrame:
     """Rates of each defect before and after the selection, one row a context and defect; 0 where none is selected."""
     sums = [F.avg(F.col(f"defect_{n}").cast("int")).alias(f"before_{n}") for n in quality.DEFECTS] + [F.coalesce(F.avg(F.when(F.col(selected), F.col(f"defect_{n}").cast("int"))), F.lit(0.0)).alias(f"after_{n}") for n in quality.DEFECTS]

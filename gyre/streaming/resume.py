@@ -64,6 +64,48 @@ def upsert_stream(source: DataFrame, work: Callable[[DataFrame], DataFrame], pla
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def judged_batch(rows: DataFrame, number: int, score: Callable[[DataFrame], DataFrame], place: str, keys: list[str], inputs: list[str], outputs: list[str], failed: Column, budget: int) -> None:
+    """One batch of rows to judge, with what earlier batches under place have done; a batch that runs again replaces its own folders.
+
+    Rows whose key has succeeded are skipped.  Equal inputs are scored once over all batches: what is known is joined, the rest goes to
+    `score`, which adds `outputs` to distinct inputs.  Failed scores are kept as failures, and tried again when their input comes back.
+    The batch ends with TooManyFailures if more than `budget` rows of all batches so far have failed and not succeeded since.
+    """
+    spark = rows.sparkSession
+    key = F.sha2(F.to_json(F.struct(*inputs), {"ignoreNullFields": "false"}), 256)
+    rows = rows.dropDuplicates(keys).withColumn("input_key", key)
+    done = finished(spark, f"{place}/results", before=number)
+    rows = rows if done is None else pending(rows, done, keys)
+    scores = finished(spark, f"{place}/scores", before=number)
+    new = rows.select("input_key", *inputs).dropDuplicates(["input_key"])
+    new = new if scores is None else pending(new, scores, ["input_key"])
+    score(new).select("input_key", *outputs, failed.alias("failed")).write.mode("overwrite").parquet(f"{place}/tried/batch={number}")
+    tried = spark.read.parquet(f"{place}/tried/batch={number}")
+    tried.filter("NOT failed").select("input_key", *outputs).write.mode("overwrite").parquet(f"{place}/scores/batch={number}")
+    known = tried if scores is None else tried.unionByName(scores.select("input_key", *outputs, F.lit(False).alias("failed")))
+    out = rows.join(known, "input_key").withColumn("sequence", F.lit(number))
+    out.filter("NOT failed").drop("failed").write.mode("overwrite").parquet(f"{place}/results/batch={number}")
+    out.filter("failed").drop("failed").write.mode("overwrite").parquet(f"{place}/failures/batch={number}")
+    if open_failures(spark, place, keys, number).limit(budget + 1).count() > budget:
+        raise TooManyFailures(f"more than {budget} failed rows up to batch {number}")
+
+
+def open_failures(spark: SparkSession, place: str, keys: list[str], up_to: int | None = None) -> DataFrame:
+    """The last failure of each key that has not succeeded, over all batches or those up to one."""
+    before = None if up_to is None else up_to + 1
+    failures, done = finished(spark, f"{place}/failures", before), finished(spark, f"{place}/results", before)
+    return unresolved(failures, done, keys, ["sequence"])
+
+
+def judged_stream(source: DataFrame, place: str, checkpoint: str, score: Callable[[DataFrame], DataFrame], keys: list[str], inputs: list[str], outputs: list[str], failed: Column, budget: int) -> StreamingQuery:
+    """Streams source through judged_batch(): a stream that stops, by a fault or its budget, goes on with the batch it stopped at."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        judged_batch(df, number, score, place, keys, inputs, outputs, failed, budget)
+
+    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def finished(spark: SparkSession, place: str, before: int | None = None) -> DataFrame | None:
     """What the batches under place have written so far; None before the first."""
     path = spark._jvm.org.apache.hadoop.fs.Path(place)

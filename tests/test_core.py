@@ -190,16 +190,58 @@ def test_dbr_does_not_depend_on_row_order(spark, sf_dir):
         assert got == [(k, members[i]["example_id"]) for k, i in enumerate(chosen, 1)]
 
 
+def jobs_of(spark, work):
+    """What work() returns, and the number of jobs it runs."""
+    group = f"count-{id(work)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = work()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_contracts(spark):
-    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
-    twice = a.unionByName(a.limit(1))
-    with pytest.raises(checks.ContractError):
-        checks.checked_join(a, twice.withColumnRenamed("v", "w"), ["k"])
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k int, v string")
+    twice = a.unionByName(a.filter("k = 2"))
+    broken = checks.checked_join(a, twice.withColumnRenamed("v", "w"), ["k"], what="outputs and gold")
+    with pytest.raises(Exception, match=r'right side of outputs and gold repeats keys, such as \{"k":2\}'):
+        broken.collect()
+    with pytest.raises(Exception, match="left side of join repeats keys"):
+        checks.checked_join(twice, a.withColumnRenamed("v", "w"), ["k"]).collect()
     assert checks.checked_join(twice, a.withColumnRenamed("v", "w"), ["k"], kind="m:1").count() == 3
+    with pytest.raises(Exception, match="held-out split misses keys, such as"):
+        checks.require_match(a.join(a.filter("k = 1").select("k", F.lit(1).alias("found")), "k", "left"), "found", ["k"], "held-out split").collect()
     with pytest.raises(checks.ContractError):
         checks.require_columns(a, ["k", "z"], "a")
 
 
+def test_a_contract_costs_no_job_and_no_scan_of_its_own(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        left, right = orders.select("o_orderkey", "o_custkey"), orders.select("o_orderkey", "o_orderstatus")
+        plain, checked = left.join(right, ["o_orderkey"]), checks.checked_join(left, right, ["o_orderkey"])
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (plain, checked)]
+        assert [p.count("Exchange hash") for p in plans] == [2, 2] and [p.count("FileScan") for p in plans] == [2, 2]
+        (one, n_plain), (two, n_checked) = (jobs_of(spark, lambda df=df: df.collect()) for df in (plain, checked))
+        assert sorted(one) == sorted(two) and n_plain == n_checked == 1, (n_plain, n_checked)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+#: What is written within one plan, as generators of several kinds or many branches: over the bound for a reason.
+LARGE_PLANS = 150_000
+
+
+def test_no_plan_spells_its_inputs_out_again_and_again(spark, sf_dir):
+    """The size of every registered plan: a filter on derived columns that is pushed down copies them, which no result shows."""
+    found = {name: len(query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()) for name, query in catalog.queries().items()}
+    assert {name: n for name, n in found.items() if n > LARGE_PLANS} == {}
+
+
 def test_metrics_edge_cases(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, None), ("b", 1, 1.0), ("b", 2, 3.0)], "g string, seed int, value double")
     rows = {r["g"]: r for r in metrics.spread(df, ["g"]).collect()}

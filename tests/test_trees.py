@@ -8,7 +8,7 @@ import random
 import pytest
 from gyre.functions import quality
 from gyre.operators import dbr, numbering
-from gyre.plans import exports, trees
+from gyre.plans import exports, trees, whole
 from gyre.plans import queries as q
 from gyre.sources import bindings, commits, runs, sinks
 from gyre.sources.shared import cleared, new_folder, run_folder
@@ -190,6 +190,18 @@ def test_sinks_and_scans(spark, tmp_path):
     assert sinks.latest_file(spark, str(tmp_path / "*.bin")).first()["path"].endswith("/new.bin")
 
 
+def test_a_report_derives_its_inputs_once(spark, sf_dir, tmp_path):
+    """No table of a whole report scans the orders again, and all of them are written as CSV and Parquet under their names."""
+    rows = whole.inputs(spark, sf_dir)
+    tables = exports.pvf_report(*rows)
+    assert len(tables) == 7 and not [f for df in [*rows, *tables.values()] for f in df.inputFiles() if "orders" in f]
+    exports.export(tables, str(tmp_path / "report"))
+    for name, df in tables.items():
+        kept = spark.read.parquet(str(tmp_path / "report" / name / "parquet"))
+        lines = spark.read.option("header", True).csv(str(tmp_path / "report" / name / "csv"))
+        assert kept.count() == lines.count() == df.count() > 0 and kept.columns == lines.columns == df.columns
+
+
 def test_trees_go_with_the_run(spark, sf_dir):
     root = runs.new_tree(spark)
     assert root.startswith(run_folder(spark))

@@ -116,20 +116,36 @@ def i17_margin_summary(spark, sf_dir):
 
 
 def h10_analysis_sources(spark, sf_dir):
-    """Whether the runs of each branch bear the token that its analysis expects."""
-    runs = bindings.responses(spark, sf_dir).select("branch", "seed", F.concat_ws("_", F.lit("run"), "branch", F.concat(F.lit("seed"), "seed")).alias("run")).distinct()
-    token = F.when(F.col("branch") == PURE, "pure").when(F.col("branch") == DBR, "dbr").otherwise("pvf")
+    """Whether the runs behind each branch's rows bear the token that its analysis expects.
+
+    A run is a customer's orders, named after the branch of the first of them; an analysis that reads rows of other branches in it is off.
+    """
+    rows = bindings.responses(spark, sf_dir)
+    first = F.concat(F.lit("run_"), F.min_by("branch", "order_id"))
+    runs = rows.groupBy("customer").agg(first.alias("run"), F.collect_set("branch").alias("branches")).select("run", F.explode("branches").alias("branch"))
+    token = F.when(F.col("branch") == PURE, "pure").when(F.col("branch") == DBR, "dbr").otherwise("anchor")
     rows = runs.groupBy("branch").agg(F.count("*").alias("n_runs"), F.count(F.when(F.contains("run", token), 1)).alias("n_expected"))
     return rows.withColumn("status", F.when(F.col("n_runs") == F.col("n_expected"), "ok").otherwise("mismatch"))
 
 
 def h11_pairwise_checks(spark, sf_dir):
-    """Equal sets of pair ids in the tables of a pairwise study, and its rates against the rows."""
+    """Equal sets of pair ids in the tables of a pairwise study, and its summary's rates against those of its rows.
+
+    The summary is that of all pairs; the rows are those that the second judge has answered, so a rate is off where failures are not left out.
+    """
     first, second = _decoded_twice(spark, sf_dir)
-    flags = first.select("pair_id", F.lit(1).alias("selected"), F.lit(0).alias("judged")).union(second.select("pair_id", F.lit(0), F.lit(1)))
-    ids = flags.groupBy("pair_id").agg(F.max("selected").alias("l"), F.max("judged").alias("r"))
-    ids = ids.agg(F.sum("l").alias("left_count"), F.sum("r").alias("right_count"), F.sum((F.col("l") != F.col("r")).cast("int")).alias("apart"))
-    return ids.select(F.lit("selected_vs_judged_pair_ids").alias("check_name"), F.when(F.col("apart") == 0, "ok").otherwise("mismatch").alias("status"), "left_count", "right_count")
+    rows = first.select("pair_id", "winner_branch", F.lit(1).alias("selected"), F.lit(0).alias("judged")).union(second.select("pair_id", F.lit(None), F.lit(0), F.lit(1)))
+    ids = rows.groupBy("pair_id").agg(F.max("selected").alias("l"), F.max("judged").alias("r"), F.max("winner_branch").alias("winner_branch"))
+    counts = [F.sum("l").alias("left_count"), F.sum("r").alias("right_count"), F.sum((F.col("l") != F.col("r")).cast("int")).alias("apart")]
+    rates = [f(F.when(F.col(side) == 1, (F.col("winner_branch") == b).cast("int"))).alias(f"{b}_{side}") for b in (PURE, DBR) for side, f in (("l", F.avg), ("r", F.avg))]
+    one = ids.agg(*counts, *rates)
+
+    def check(name, left, right, same):
+        return F.struct(F.lit(name).alias("check_name"), F.when(same, "ok").otherwise("mismatch").alias("status"), left.cast("double").alias("left_value"), right.cast("double").alias("right_value"))
+
+    checks_ = [check("selected_vs_judged_pair_ids", F.col("left_count"), F.col("right_count"), F.col("apart") == 0)]
+    checks_ += [check(f"{b}_rate", F.round(f"{b}_l", 9), F.round(f"{b}_r", 9), F.abs(F.col(f"{b}_l") - F.col(f"{b}_r")) <= 1e-9) for b in (PURE, DBR)]
+    return one.select(F.inline(F.array(*checks_)))
 
 
 def i20_findings(spark, sf_dir):
@@ -232,28 +248,40 @@ SQL = {
       v AS (SELECT *, dbr_rate - pure_rate AS margin, CASE WHEN dbr_rate > pure_rate THEN 'dbr_preferred' WHEN dbr_rate < pure_rate THEN 'pure_preferred' ELSE 'mixed_tie' END AS conclusion,
         CASE WHEN delta > 0 THEN 'dbr_preferred' WHEN delta < 0 THEN 'pure_preferred' WHEN delta = 0 THEN 'mixed_tie' ELSE 'unknown' END AS score_conclusion FROM r LEFT JOIN sc USING (seed))
       SELECT *, CASE WHEN delta IS NOT NULL THEN conclusion <> score_conclusion END AS changed FROM v""",
-    "h10_analysis_sources": "SELECT branch, count(DISTINCT seed) AS n_runs, CASE WHEN branch = 'anchor_20_append' THEN 0 ELSE count(DISTINCT seed) END AS n_expected, CASE WHEN branch = 'anchor_20_append' THEN 'mismatch' ELSE 'ok' END AS status FROM resp GROUP BY branch",
-    "h11_pairwise_checks": "{pairs} SELECT 'selected_vs_judged_pair_ids' AS check_name, CASE WHEN a = b THEN 'ok' ELSE 'mismatch' END AS status, a AS left_count, b AS right_count FROM (SELECT (SELECT count(*) FROM won) AS a, (SELECT count(*) FROM pw) AS b)",
-    "i20_findings": """{stages}{pairs} SELECT 'manifest' AS category, severity, count(*) AS n FROM found GROUP BY severity
+    "h10_analysis_sources": "{sources} SELECT * FROM src",
+    "h11_pairwise_checks": "{pairs}{checks} SELECT * FROM chk",
+    "i20_findings": """{stages}{pairs}{checks}{sources} SELECT 'manifest' AS category, severity, count(*) AS n FROM found GROUP BY severity
       UNION ALL SELECT 'row_counts', 'HIGH', count(*) FROM (SELECT 1 FROM resp GROUP BY model_name, branch, generation, seed HAVING count(*) FILTER (order_id % 37 = 0) > 0) HAVING count(*) > 0
       UNION ALL SELECT 'summary', CASE WHEN branch = 'dbr_medium' THEN 'CRITICAL' ELSE 'MEDIUM' END, CASE WHEN branch = 'dbr_medium' THEN count(*) ELSE 3 END FROM (SELECT DISTINCT branch, generation FROM ev) WHERE branch = 'dbr_medium' OR (branch = 'pure_recycling' AND generation = 2) GROUP BY branch
-      UNION ALL SELECT 'sources', 'HIGH', 1 WHERE EXISTS (FROM resp WHERE branch = 'anchor_20_append')
-      UNION ALL SELECT 'pairwise', 'CRITICAL', 1 WHERE (SELECT count(*) FROM won) <> (SELECT count(*) FROM pw)""",
+      UNION ALL SELECT 'sources', 'HIGH', count(*) FROM src WHERE status <> 'ok' HAVING count(*) > 0
+      UNION ALL SELECT 'pairwise', 'CRITICAL', count(*) FROM chk WHERE status <> 'ok' HAVING count(*) > 0""",
     "e14_gen2_metrics": "SELECT seed, branch, count(*) AS sample_count, avg(is_correct::INT) AS accuracy_mean, avg(overall_pedagogical_score) AS pedagogical_score_mean, avg(is_silent_error::INT) AS silent_error_rate FROM ev WHERE generation = 2 AND branch IN ('pure_recycling', 'dbr_medium') GROUP BY ALL",
     "f11_gen2_deltas": """, g AS (SELECT seed, branch, avg(is_correct::INT) AS a, avg(overall_pedagogical_score) AS p, avg(is_silent_error::INT) AS s FROM ev WHERE generation = 2 GROUP BY ALL),
       d AS (SELECT l.seed, r.a - l.a AS a, r.p - l.p AS p, r.s - l.s AS s FROM g AS l JOIN g AS r ON l.seed = r.seed AND l.branch = 'pure_recycling' AND r.branch = 'dbr_medium')
       SELECT 'seed_' || seed AS row, round(a, 9) AS delta_accuracy_mean, round(p, 9) AS delta_pedagogical_score_mean, round(s, 9) AS delta_silent_error_rate FROM d
       UNION ALL SELECT 'mean', round(avg(a), 9), round(avg(p), 9), round(avg(s), 9) FROM d UNION ALL SELECT 'std', round(stddev_samp(a), 9), round(stddev_samp(p), 9), round(stddev_samp(s), 9) FROM d
       UNION ALL SELECT 'n', count(a)::DOUBLE, count(p)::DOUBLE, count(s)::DOUBLE FROM d""",
-    "h14_table_comparison": "SELECT seed, branch, metric, CASE WHEN seed = 211 AND branch = 'dbr_medium' AND metric = 'accuracy_mean' THEN 'mismatch' ELSE 'ok' END AS status FROM (SELECT DISTINCT seed, branch FROM ev WHERE generation = 2 AND branch IN ('pure_recycling', 'dbr_medium')) CROSS JOIN (SELECT unnest(['accuracy_mean', 'pedagogical_score_mean', 'silent_error_rate']) AS metric)",
+    "h14_table_comparison": """, c AS (SELECT seed, branch, avg(is_correct::INT) AS accuracy_mean, avg(overall_pedagogical_score) AS pedagogical_score_mean, avg(is_silent_error::INT) AS silent_error_rate FROM ev WHERE generation = 2 AND branch IN ('pure_recycling', 'dbr_medium') GROUP BY ALL),
+      t AS (SELECT * REPLACE (accuracy_mean + CASE WHEN seed = 211 AND branch = 'dbr_medium' THEN 1e-6 ELSE 0 END AS accuracy_mean) FROM c),
+      cl AS (UNPIVOT c ON accuracy_mean, pedagogical_score_mean, silent_error_rate INTO NAME metric VALUE v), tl AS (UNPIVOT t ON accuracy_mean, pedagogical_score_mean, silent_error_rate INTO NAME metric VALUE v)
+      SELECT seed, branch, metric, CASE WHEN abs(cl.v - tl.v) <= 1e-9 THEN 'ok' ELSE 'mismatch' END AS status FROM cl JOIN tl USING (seed, branch, metric)""",
 }
 
 
+SOURCES_SQL = """, fr AS (SELECT customer, 'run_' || arg_min(branch, order_id) AS run FROM resp GROUP BY 1),
+  rb AS (SELECT DISTINCT customer, branch, run, CASE branch WHEN 'pure_recycling' THEN 'pure' WHEN 'dbr_medium' THEN 'dbr' ELSE 'anchor' END AS token FROM resp JOIN fr USING (customer)),
+  src AS (SELECT branch, count(*) AS n_runs, count(*) FILTER (contains(run, token)) AS n_expected, CASE WHEN count(*) = count(*) FILTER (contains(run, token)) THEN 'ok' ELSE 'mismatch' END AS status FROM rb GROUP BY branch)"""
+CHECKS_SQL = """, chk AS (
+    SELECT 'selected_vs_judged_pair_ids' AS check_name, CASE WHEN EXISTS (FROM won ANTI JOIN pw USING (pair_id)) THEN 'mismatch' ELSE 'ok' END AS status, (SELECT count(*) FROM won)::DOUBLE AS left_value, (SELECT count(*) FROM pw)::DOUBLE AS right_value
+    UNION ALL SELECT b || '_rate', CASE WHEN abs(l - r) <= 1e-9 THEN 'ok' ELSE 'mismatch' END, round(l, 9), round(r, 9)
+    FROM (SELECT b, (SELECT avg((winner_branch = b)::INT) FROM won) AS l, (SELECT avg((winner_branch = b)::INT) FROM pw) AS r FROM (VALUES ('pure_recycling'), ('dbr_medium')) AS t(b)))"""
+
+
 def oracle_sql():
     from gyre.plans import oracles
 
     pairs = PAIR_SQL.replace("{a}", _score_sql("ha")).replace("{b}", _score_sql("hb"))
-    fill = {"second": SECOND_SQL, "pairs": pairs, "stages": reports.STAGES_SQL}
+    fill = {"second": SECOND_SQL, "pairs": pairs, "stages": reports.STAGES_SQL, "sources": SOURCES_SQL, "checks": CHECKS_SQL}
     out = {}
     for name, sql in SQL.items():
         for key, text in fill.items():

@@ -12,6 +12,7 @@ from gyre.operators import dbr, metrics, policies
 from gyre.plans import exports
 from gyre.plans import queries as q
 from gyre.sources import bindings, runs
+from gyre.sources.shared import written
 from gyre.sources.tables import table
 
 CTX = bindings.CONTEXT
@@ -32,10 +33,15 @@ def b26_cache_key(spark, sf_dir):
 
 
 def b35_expected_answer(spark, sf_dir):
-    """The answer that a repair must keep: the parsed one, the normalised one, or what the text says; null is an error."""
+    """The answer that a repair must keep: the parsed one, the normalised one, or what the text says; null is an error.
+
+    Each of the three says something else here: even orders have the gold text as the parsed answer, those of generation 1 a normalised one that
+    is the gold token, and the rest only their text.
+    """
     rows = bindings.accuracy(bindings.responses(spark, sf_dir))
-    parsed = F.when(F.col("order_id") % 2 == 0, F.col("extracted_answer"))
-    return rows.select("order_id", F.coalesce(answers.numeric_token(parsed), answers.numeric_token(F.col("normalized_predicted")), answers.extract(F.col("raw_response"))["token"]).alias("expected"))
+    parsed = F.when(F.col("order_id") % 2 == 0, F.col("answer_gold"))
+    normalised = F.when(F.col("generation") == 1, F.col("normalized_gold"))
+    return rows.select("order_id", F.coalesce(answers.numeric_token(parsed), answers.numeric_token(normalised), answers.extract(F.col("raw_response"))["token"]).alias("expected"))
 
 
 def b44_seed_list(spark, sf_dir):
@@ -439,16 +445,23 @@ def a13_summaries(spark, sf_dir):
 
 
 def _written_snapshots(spark, sf_dir):
-    """Configurations of runs: the seed of one stands in its name only, and one says no mode."""
+    """Configurations of the runs in the table, one a seed: its commonest model, its branches with their shares as ratios.
+
+    The seed of the run with the fewest orders stands in its name only, and only runs with more of one branch than of the other say their mode.
+    """
     root = runs.new_tree(spark)
-    for seed in (211, 212, 213):
-        project = f"named_struct('seed', {seed})" if seed != 213 else "named_struct('name', 'x')"
-        mode = "'mode', 'training', " if seed == 212 else ""
-        config = spark.range(1).selectExpr(
-            f"{project} AS project", f"named_struct('base', 'm{seed % 2}') AS models",
-            f"named_struct({mode}'branches', array(named_struct('name', 'pure_recycling', 'anchor_ratio', 0.0D, 'mixing_mode', 'none'), named_struct('name', 'anchor_20_append', 'anchor_ratio', 0.2D, 'mixing_mode', 'append'))) AS experiment",
-        )
-        config.coalesce(1).write.json(f"{root}/run_x_seed{seed}/config.json")
+    rows = bindings.responses(spark, sf_dir)
+    counts = rows.groupBy("seed", "branch").agg(F.count("*").alias("n")).withColumn("ratio", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("seed")), 6))
+    branch = F.struct(F.col("branch").alias("name"), F.col("ratio").alias("anchor_ratio"), F.when(F.col("branch") == ANCHOR, "append").otherwise("none").alias("mixing_mode"))
+    of = lambda b: F.coalesce(F.sum(F.when(F.col("branch") == b, F.col("n"))), F.lit(0))
+    seeds = counts.groupBy("seed").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(branch)).alias("branches"), F.when(of(PURE) > of(DBR), "training").alias("mode"))
+    models = rows.groupBy("seed", "model_name").agg(F.count("*").alias("m")).groupBy("seed").agg(F.max_by("model_name", F.struct("m", "model_name")).alias("base"))
+    fewest = F.row_number().over(Window.orderBy("n", "seed")) == 1  # a row a seed
+    config = seeds.join(models, "seed").withColumn("known", F.when(~fewest, F.col("seed")))
+    config = config.select("seed", F.struct(F.col("known").alias("seed")).alias("project"), F.struct("base").alias("models"), F.struct("mode", "branches").alias("experiment"))
+    config = written(config, "configurations")
+    for seed in sorted(r["seed"] for r in config.select("seed").collect()):
+        config.filter(F.col("seed") == seed).drop("seed").coalesce(1).write.json(f"{root}/run_x_seed{seed}/config.json")
     return root
 
 
@@ -488,7 +501,7 @@ _MODES = """, mr AS (SELECT seed, branch, generation, customer, order_id % 2 = 0
 SQL = {
     "a02_canonical": "SELECT example_id, max(q) AS question, max(g) AS answer_gold, count(*) = 1 AS is_unique FROM (SELECT trim(question) AS q, trim(answer_gold) AS g, 'q_' || substr(sha256('q' || chr(10) || trim(question) || chr(10) || trim(trim(answer_gold) || ':' || order_id)), 1, 16) AS example_id FROM resp) GROUP BY 1",
     "b26_cache_key": "SELECT order_id, sha256(concat_ws('|', model_name, 'rubric_v1', sha256(question), sha256(answer_gold), sha256(raw_response))) AS cache_key FROM resp",
-    "b35_expected_answer": "SELECT order_id, normalized_predicted AS expected FROM ext",
+    "b35_expected_answer": "SELECT order_id, coalesce(CASE WHEN order_id % 2 = 0 THEN {gold} END, CASE WHEN generation = 1 THEN normalized_gold END, normalized_predicted) AS expected FROM ext",
     "b44_seed_list": "SELECT branch, seed, branch = 'pure_recycling' AND seed = 211 AS repeated FROM (SELECT DISTINCT branch, seed FROM resp)",
     "b47_config_hash": "SELECT DISTINCT model_name, seed, sha256('mode=inference;model=' || model_name || ';seed=' || seed) AS config_hash FROM resp",
     "c08_legacy_train_set": _POOL + """, k AS (SELECT round_even(count(*) * 0.01::DOUBLE, 0)::BIGINT AS need FROM resp),
@@ -496,7 +509,9 @@ SQL = {
       SELECT 'synthetic' AS source, count(*) AS n, min(example_id) AS first_id, max(example_id) AS last_id FROM resp UNION ALL SELECT 'human_anchor', count(*), min(example_id), max(example_id) FROM a, k WHERE n <= need""",
     "c09_anchor_safety": """, p AS (SELECT p_partkey % 500 AS id, count(*) AS n FROM part GROUP BY 1)
       SELECT count(*) FILTER (id IN (SELECT s_suppkey FROM supplier)) AS pool_and_base, count(*) FILTER (id IN (SELECT c_custkey FROM customer WHERE c_custkey > 400)) AS pool_and_heldout, count(*) FILTER (n > 1) AS pool_repeats FROM p""",
-    "c10_branch_type": "SELECT DISTINCT branch, generation, CASE WHEN generation = 2 AND branch = 'pure_recycling' THEN 'csr_medium' WHEN branch = 'dbr_medium' THEN 'dbr_medium' WHEN branch = 'anchor_20_append' THEN 'human_anchoring' ELSE 'pure_recycling' END AS branch_type FROM resp",
+    "c10_branch_type": """, r AS (SELECT * FROM (VALUES (1, 'soft_pvf_', 'soft_pvf_medium'), (2, 'dbr_', 'dbr_medium'), (3, 'pvr_', 'pvr_repair_medium'), (4, 'pair_lite_', 'pair_lite_medium'), (5, 'csr_', 'csr_medium'), (6, 'pvf_', 'pvf_medium')) AS t(n, start, kind)),
+      b AS (SELECT DISTINCT branch, generation, CASE WHEN generation = 2 AND branch = 'pure_recycling' THEN 'csr_medium' END AS declared, regexp_extract(branch, '_(\\d+)_', 1) AS ratio FROM resp)
+      SELECT branch, generation, coalesce(any_value(declared), arg_min(kind, n), CASE WHEN any_value(nullif(ratio, ''))::INT > 0 THEN 'human_anchoring' END, 'pure_recycling') AS branch_type FROM b LEFT JOIN r ON starts_with(branch, start) GROUP BY branch, generation""",
     "c11_csr_candidates": """, n AS (SELECT DISTINCT (order_id // 5) % 10 AS kind, raw_response FROM resp), c AS (SELECT order_id, unnest([0, 1, 2]) AS candidate_id FROM resp)
       SELECT c.order_id, candidate_id, n.raw_response FROM c JOIN n ON n.kind = (c.order_id // 5 + candidate_id * 3) % 10""",
     "c12_scored_candidates": """, f AS (SELECT customer, arg_min(normalized_gold, order_id) AS g, arg_min(order_id, order_id) AS o FROM ext GROUP BY 1),
@@ -504,7 +519,7 @@ SQL = {
       SELECT order_id, CASE WHEN g IS NULL THEN 'gold_parse_failure' WHEN p IS NULL THEN 'prediction_parse_failure' WHEN {same} THEN 'correct' ELSE 'incorrect' END AS label FROM j""",
     "c14_limited_rows": "SELECT example_id, question FROM resp ORDER BY sha256('limit-0|' || example_id), example_id LIMIT 25",
     "d05_strict_join": "SELECT branch, generation, count(*) AS n_rows, count(*) FILTER (is_correct) AS n_correct FROM ev GROUP BY ALL",
-    "d08_summary_with_diagnostics": "SELECT model_name, branch, generation, count(*) FILTER (has_judge) AS sample_count, avg(is_correct::INT) FILTER (has_judge) AS accuracy_mean, count(*) FILTER (NOT pred_parse_success) AS n_failed, count(*) AS n_rows, 0::BIGINT AS n_lost, avg((NOT pred_parse_success)::INT) AS failure_rate FROM part_ev GROUP BY 1, 2, 3",
+    "d08_summary_with_diagnostics": "SELECT model_name, branch, generation, count(*) FILTER (has_judge) AS sample_count, avg(is_correct::INT) FILTER (has_judge) AS accuracy_mean, count(*) FILTER (NOT pred_parse_success) AS n_failed, count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT model_name, branch, generation FROM acc) AS a ANTI JOIN ev USING (model_name, branch, generation)) AS n_lost, avg((NOT pred_parse_success)::INT) AS failure_rate FROM part_ev GROUP BY 1, 2, 3",
     "d14_mode_rows": _MODES + " SELECT branch, generation, count(*) AS n_matched, avg(t.s - i.s) AS mean_score_delta, avg(t.c::INT - i.c::INT) AS mean_correct_delta FROM mm GROUP BY ALL",
     "g11_mode_examples": _MODES + """, k AS (
         SELECT *, 'training_better_than_inference' AS category, -t.s AS o FROM mm WHERE t.s - i.s >= 1 OR (t.c AND NOT i.c) OR (NOT t.e AND i.e)
@@ -560,8 +575,10 @@ SQL = {
     "g01_shuffle": "SELECT branch, example_id, place FROM (SELECT branch, example_id, row_number() OVER (PARTITION BY branch ORDER BY sha256('shuffle-7|' || branch || '|' || example_id), example_id) AS place FROM resp) WHERE place <= 10",
     "h01_concat": "SELECT branch, count(*) AS n, CASE branch WHEN 'pure_recycling' THEN count(*) ELSE 0 END AS n_sizes FROM resp WHERE branch IN ('pure_recycling', 'dbr_medium') GROUP BY 1",
     "a13_summaries": "SELECT 'run_seed' || seed AS run, model_name, branch, generation, sample_count, round(accuracy_mean + CASE WHEN seed = 211 THEN 0.25 ELSE 0 END, 9) AS accuracy_mean_effective, CASE WHEN seed = 211 THEN 'corrected' ELSE 'raw_summary' END AS accuracy_source FROM lvl",
-    "m03_snapshots": "SELECT 'run_x_seed' || s AS run, s::INT AS seed, CASE WHEN s = 212 THEN 'training' ELSE 'inference' END AS mode, 'm' || s % 2 AS base_model FROM range(211, 214) AS t(s)",
-    "m17_branch_specs": "SELECT s::INT AS seed, unnest(['pure_recycling', 'anchor_20_append']) AS name, unnest([0.0::DOUBLE, 0.2::DOUBLE]) AS anchor_ratio, unnest(['none', 'append']) AS mixing_mode FROM range(211, 214) AS t(s)",
+    "m03_snapshots": """, m AS (SELECT seed, model_name, count(*) AS n FROM resp GROUP BY ALL)
+      SELECT 'run_x_seed' || seed AS run, seed, CASE WHEN count(*) FILTER (branch = 'pure_recycling') > count(*) FILTER (branch = 'dbr_medium') THEN 'training' ELSE 'inference' END AS mode,
+        (SELECT model_name FROM m WHERE m.seed = resp.seed ORDER BY n DESC, model_name DESC LIMIT 1) AS base_model FROM resp GROUP BY seed""",
+    "m17_branch_specs": "SELECT seed, branch AS name, round(count(*) / sum(count(*)) OVER (PARTITION BY seed), 6) AS anchor_ratio, CASE branch WHEN 'anchor_20_append' THEN 'append' ELSE 'none' END AS mixing_mode FROM resp GROUP BY seed, branch",
     "m26_contexts": "SELECT 'run_seed211' AS run, model_name AS model_dir, branch, generation, count(*) AS n_rows FROM resp WHERE model_name = 'model_0' AND seed = 211 AND generation IN (0, 2) AND branch IN ('pure_recycling', 'dbr_medium') GROUP BY ALL",
     "i14_pair_summary": "SELECT branch, generation, count(*) AS n_examples, avg((pair_status = 'paired')::INT) AS pair_rate FROM csr GROUP BY ALL",
 }
@@ -570,4 +587,4 @@ SQL = {
 def oracle_sql():
     from gyre.plans import oracles
 
-    return {name: oracles.BASE + sql.replace("{same}", oracles._same("p", "g")) for name, sql in SQL.items()}
+    return {name: oracles.BASE + sql.replace("{same}", oracles._same("p", "g")).replace("{gold}", oracles._token("answer_gold")) for name, sql in SQL.items()}

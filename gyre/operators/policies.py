@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gyre.functions import quality
 from gyre.functions.hashing import hash_order, unit_score
+from gyre.sources.shared import null_safe_join, running
 
 ACCURACY = ["pred_parse_success", "is_correct", "accuracy_label"]
 JUDGEMENT = ["overall_pedagogical_score", "is_silent_error", "reasoning_soundness", "structure", "clarity", "terminology"]
@@ -168,13 +169,23 @@ def anchored(synthetic: DataFrame, pool: DataFrame, by: list[str], ratio: float,
     not taken again.  Columns: by, key, question, answer_for_training, source.
     """
     columns = [*by, key, "question", "answer_for_training", "source"]
-    sizes = synthetic.groupBy(*by).agg(anchor_count(F.count("*"), ratio).alias("_k"))
+    sizes = F.broadcast(synthetic.groupBy(*by).agg(anchor_count(F.count("*"), ratio).alias("_k")))  # a row a context
     free = pool if used is None else pool.join(used.select(*by, key).distinct(), [*by, key], "left_anti")
-    order = Window.partitionBy(*by).orderBy(hash_order("anchor", *[F.col(c) for c in by], F.col(key)), key)
-    chosen = free.withColumn("_n", F.row_number().over(order)).join(sizes, by).filter("_n <= _k")
+    parts = [F.col(c) for c in (*by, key)]
+    chosen = _placed(free, by, hash_order("anchor", *parts), key).join(sizes, by).filter("_n <= _k")
     chosen = chosen.withColumn("source", F.lit("human_anchor")).withColumn("answer_for_training", F.col("answer_gold")).select(*columns)
     kept = synthetic
     if replace:
-        gone = Window.partitionBy(*by).orderBy(hash_order("replace", *[F.col(c) for c in by], F.col(key)), key)
-        kept = synthetic.withColumn("_n", F.row_number().over(gone)).join(sizes, by).filter("_n > _k")
+        kept = _placed(synthetic, by, hash_order("replace", *parts), key).join(sizes, by).filter("_n > _k")
     return kept.select(*columns).unionByName(chosen)
+
+
+def _placed(rows: DataFrame, by: list[str], order: Column, key: str) -> DataFrame:
+    """rows with their place _n, from 1, in the order of a hexadecimal hash and the key, within `by`.
+
+    Places are counted within parts of the hash, of which each context has 4,096, and on from the counts of the parts before: no task sorts a context.
+    """
+    rows = rows.withColumn("_hash", order).withColumn("_part", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("long"))
+    before = running(rows.groupBy(*by, "_part").agg(F.count("*").alias("_rows")), by, "_part", "_rows").select(*by, "_part", "before")
+    inside = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_hash", key))
+    return null_safe_join(rows.withColumn("_n", inside), before, [*by, "_part"]).withColumn("_n", F.col("_n") + F.col("before"))

@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from gyre.functions import hashing, quality
+from gyre.functions import hashing, quality, text_rules
 from gyre.operators import dbr, numbering
-from gyre.plans import oracles
+from gyre.plans import judging, oracles
 from gyre.plans import queries as q
 from gyre.sources import bindings, commits, runs
 from gyre.sources.shared import new_folder, written
@@ -131,6 +131,80 @@ def m19_policy_tables(spark, sf_dir):
     )
 
 
+def e19_budget_summary(spark, sf_dir):
+    """What the reports of all seeds say of a context: means and spread, the union of the relaxations that any took, and of the defects that any exceeded."""
+    good, _ = runs.reports(spark, _report_tree(spark, sf_dir), "dbr_budget_report.json", REPORT)
+
+    def union(lists):
+        return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lists)))), "|")
+
+    exceeded = F.map_keys(F.map_filter("budget_violations", lambda _, v: v["violation_count"] > 0))
+    return good.groupBy("model_name", "branch", "generation").agg(
+        F.count_distinct("seed").alias("n_seeds"), F.round(F.avg("target_size"), 9).alias("target_size_mean"), F.round(F.avg("selected_count"), 9).alias("selected_count_mean"),
+        F.round(F.avg("selection_rate"), 9).alias("selection_rate_mean"), F.round(F.coalesce(F.stddev_samp("selection_rate"), F.lit(0.0)), 9).alias("selection_rate_std"),
+        union(F.col("relaxation_steps_used")).alias("relaxation_steps_any"), union(exceeded).alias("violations_any"),
+    )
+
+
+#: Stages that a run must have completed, and those of a context that may be unfinished.
+RUN_STAGES, OPEN_STAGES = ("data_prep", "aggregate", "plotting"), ("synthetic_build", "anchoring")
+
+
+def _manifest_tree(spark, sf_dir):
+    """Manifests of runs and contexts: judging has failed where a judgement is missing, and the run with the most orders has no manifest of its own."""
+    root = runs.new_tree(spark)
+    rows = bindings.responses(spark, sf_dir)
+    status = lambda ok: F.struct(F.when(ok, "completed").otherwise("failed").alias("status"))
+    judged = F.count_if(F.col("order_id") % 37 == 0) == 0
+    stages = F.map_from_arrays(F.array(*map(F.lit, ("generation", "judging", "synthetic_build"))), F.array(status(F.lit(True)), status(judged), status(F.lit(False))))
+    runs.save_tree(written(rows.groupBy(*CTX).agg(stages.alias("stages")).select(*_tree(), "stages"), "manifests"), root, "stage_manifest.json")
+    seeds = rows.groupBy("seed").agg(F.count("*").alias("n"), F.count_if(F.col("branch") == ANCHORED).alias("a"))
+    most = F.row_number().over(q.Window.orderBy(F.desc("n"), "seed")) == 1  # a row a seed
+    stages = F.map_from_arrays(F.array(*map(F.lit, RUN_STAGES[:2])), F.array(status(F.lit(True)), status(F.col("a") * 4 > F.col("n"))))
+    one = seeds.withColumn("_most", most).filter("NOT _most").select(F.concat(F.lit("run_seed"), "seed").alias("run"), F.lit("run_stage_manifest.json").alias("artifact"), stages.alias("stages"))
+    one.write.mode("append").partitionBy("run", "artifact").json(root)
+    return root
+
+
+def h13_stage_findings(spark, sf_dir):
+    """Findings on the stages of runs and contexts, whatever stages a manifest names; a run without a manifest is the gravest."""
+    root = _manifest_tree(spark, sf_dir)
+    fields = {"stages": ("map<string,struct<status:string>>", {})}
+    contexts, _ = runs.reports(spark, root, "stage_manifest.json", fields)
+    found = contexts.select("run", F.explode("stages").alias("stage", "v")).filter((F.col("v.status") != "completed") & ~F.col("stage").isin(*OPEN_STAGES))
+    found = found.select("run", F.lit("HIGH").alias("severity"), F.concat(F.lit("Context stage "), "stage", F.lit(" status="), "v.status").alias("message"))
+    path = F.regexp_extract(F.col("_metadata.file_path"), r".*/(?:[^/=]+=)?(run_[^/]*)/(?:[^/=]+=)?run_stage_manifest", 1)
+    own = written(spark.read.schema("stages map<string,struct<status:string>>").option("recursiveFileLookup", True).json(f"{root}/*/*run_stage_manifest.json").select(path.alias("run"), "stages"), "manifests")
+    wanted = own.select("run", F.explode(F.array(*map(F.lit, RUN_STAGES))).alias("stage"), "stages")
+    said = F.coalesce(F.element_at("stages", F.col("stage"))["status"], F.lit("missing"))
+    wanted = wanted.select("run", F.lit("HIGH").alias("severity"), F.concat(F.lit("Run stage "), "stage", F.lit(" status="), said).alias("message")).filter("NOT message LIKE '%=completed'")
+    lost = contexts.select("run").distinct().join(own.select("run"), "run", "left_anti").select("run", F.lit("CRITICAL").alias("severity"), F.lit("Missing run_stage_manifest.json").alias("message"))
+    return found.union(wanted).union(lost).groupBy("run", "severity", "message").agg(F.count("*").alias("n"))
+
+
+def i16_hidden_key(spark, sf_dir):
+    """The key of a blinded pair study, which is kept apart from what judges see."""
+    return q._decoded(spark, sf_dir).select("pair_id", "pair_key", "seed", "branch_a", "branch_b")
+
+
+def i16_manual_template(spark, sf_dir):
+    """What a person who judges pairs by hand gets: both texts, no branch, and empty fields to fill in."""
+    blank = F.lit("")
+    rows = q._decoded(spark, sf_dir)
+    return rows.select("pair_id", "response_a", "response_b", *[blank.alias(c) for c in ("manual_winner", "manual_confidence", "manual_comment")])
+
+
+def m28_training_records(spark, sf_dir):
+    """One record for each branch and step from a generation to the next: base, target and trained model, and where its rows are."""
+    steps = bindings.responses(spark, sf_dir).groupBy("model_name", "branch", "generation").agg(F.count("*").alias("n_rows")).filter("generation < 2")
+    target = text_rules.safe_name(F.concat_ws("-", "model_name", "branch", F.concat(F.lit("g"), F.col("generation") + 1)))
+    stub = F.col("n_rows") < 20  # too few rows to train on
+    return steps.select(
+        "branch", F.col("generation").alias("generation_from"), (F.col("generation") + 1).alias("generation_to"), F.col("model_name").alias("base_model_name"), target.alias("target_model_name"),
+        F.when(stub, F.col("model_name")).otherwise(target).alias("trained_model_name"), F.concat_ws("/", F.lit("train"), "model_name", "branch", F.concat(F.lit("gen_"), "generation"), F.lit("rows.parquet")).alias("training_data_path"), stub.alias("is_stub"), F.lit("training_feasibility").alias("evaluation_mode"),
+    )
+
+
 def _row_tree(spark, sf_dir):
     """Outputs of every context; judgements but for the anchored branch's last generation; held-out questions of every run."""
     root = runs.new_tree(spark)
@@ -220,6 +294,19 @@ SQL = {
       SELECT * FROM t""",
     "m10_dbr_reports": f"SELECT {_TREE_RUN} AS run, seed, model_name, branch, generation, count(*) AS target_size, count(*) FILTER (NOT defect_parse_failure) AS selected_count, CASE WHEN generation > 0 THEN round(count(*) FILTER (NOT defect_parse_failure) / count(*), 9) ELSE 0 END AS selection_rate, 0.0::DOUBLE AS min_selection_rate, CASE WHEN generation > 0 THEN 2 ELSE 0 END AS n_budgets, CASE WHEN generation = 2 THEN 'relax_low_structure' ELSE '' END AS relaxation_steps_used FROM sev GROUP BY {_C}",
     "m10_quarantine": f"SELECT run, count(*) AS n_good, 0::BIGINT AS n_damaged FROM (SELECT DISTINCT {_TREE_RUN} AS run, {_C} FROM resp) GROUP BY run UNION ALL SELECT 'run_seed9', 0, 1",
+    "e19_budget_summary": f""", g AS (SELECT {_C}, count(*) AS t, count(*) FILTER (NOT defect_parse_failure) AS k, CASE WHEN generation > 0 THEN round(count(*) FILTER (NOT defect_parse_failure) / count(*), 9) ELSE 0 END AS r FROM sev GROUP BY {_C})
+      SELECT model_name, branch, generation, count(DISTINCT seed) AS n_seeds, round(avg(t), 9) AS target_size_mean, round(avg(k), 9) AS selected_count_mean, round(avg(r), 9) AS selection_rate_mean, round(coalesce(stddev_samp(r), 0), 9) AS selection_rate_std,
+        CASE WHEN generation = 2 THEN 'relax_low_structure' ELSE '' END AS relaxation_steps_any, CASE WHEN generation > 0 AND max(k) > 0 THEN 'silent_error' ELSE '' END AS violations_any FROM g GROUP BY 1, 2, 3""",
+    "h13_stage_findings": f""", c AS (SELECT {_C}, count(*) FILTER (order_id % 37 = 0) > 0 AS bad FROM resp GROUP BY ALL),
+      s AS (SELECT seed, count(*) AS n, count(*) FILTER (branch = 'anchor_20_append') AS a, row_number() OVER (ORDER BY count(*) DESC, seed) = 1 AS lost FROM resp GROUP BY seed)
+      SELECT {_TREE_RUN} AS run, 'HIGH' AS severity, 'Context stage judging status=failed' AS message, count(*) AS n FROM c WHERE bad GROUP BY seed
+      UNION ALL SELECT {_TREE_RUN}, 'HIGH', 'Run stage plotting status=missing', 1 FROM s WHERE NOT lost
+      UNION ALL SELECT {_TREE_RUN}, 'HIGH', 'Run stage aggregate status=failed', 1 FROM s WHERE NOT lost AND a * 4 <= n
+      UNION ALL SELECT {_TREE_RUN}, 'CRITICAL', 'Missing run_stage_manifest.json', 1 FROM s WHERE lost""",
+    "i16_hidden_key": "{pairs} SELECT pair_id, pair_key, seed, branch_a, branch_b FROM psc",
+    "i16_manual_template": "{pairs} SELECT pair_id, CASE WHEN coin THEN pure_response ELSE dbr_response END AS response_a, CASE WHEN coin THEN dbr_response ELSE pure_response END AS response_b, '' AS manual_winner, '' AS manual_confidence, '' AS manual_comment FROM psc",
+    "m28_training_records": """, g AS (SELECT model_name, branch, generation, count(*) AS n, regexp_replace(model_name || '-' || branch || '-g' || (generation + 1), '[^A-Za-z0-9._:-]', '_', 'g') AS target FROM resp WHERE generation < 2 GROUP BY ALL)
+      SELECT branch, generation AS generation_from, (generation + 1)::INT AS generation_to, model_name AS base_model_name, target AS target_model_name, CASE WHEN n < 20 THEN model_name ELSE target END AS trained_model_name, 'train/' || model_name || '/' || branch || '/gen_' || generation || '/rows.parquet' AS training_data_path, n < 20 AS is_stub, 'training_feasibility' AS evaluation_mode FROM g""",
     "m19_policy_tables": f""", l AS ({_LONG})
       SELECT seed, model_name, branch, generation, defect_type, rate_before, rate_after, round(rate_after - rate_before, 9) AS delta, CASE WHEN generation > 0 THEN CASE defect_type WHEN 'silent_error' THEN 0.1 WHEN 'incorrect_answer' THEN 0.3 END END::DOUBLE AS budget, rate_after AS actual_after,
         generation > 0 AND defect_type = 'silent_error' AND k > 0 AS violation FROM l""",
@@ -237,4 +324,5 @@ SQL = {
 
 
 def oracle_sql():
-    return {name: oracles.BASE + sql for name, sql in SQL.items()}
+    pairs = judging.PAIR_SQL.replace("{a}", judging._score_sql("ha")).replace("{b}", judging._score_sql("hb"))
+    return {name: oracles.BASE + sql.replace("{pairs}", pairs) for name, sql in SQL.items()}

@@ -77,6 +77,17 @@ def i14_csr_report(spark, sf_dir):
     return long(exports.csr_report(inputs(spark, sf_dir)[0], q._csr(spark, sf_dir), ["branch", "generation"]))
 
 
+def i21_bundle(spark, sf_dir):
+    """What a bundle of all reports holds: the cells of every table, all from one derivation of the inputs."""
+    evaluated, rows = inputs(spark, sf_dir)
+    parts = {"baseline": exports.series(evaluated), "pvf": exports.pvf_report(evaluated, rows), "soft_pvf": exports.soft_report(evaluated, rows), "pvr": exports.repair_report(evaluated, rows), "pair_lite": exports.repair_report(evaluated, rows, max_chars=40)}
+    out = None
+    for report, tables in parts.items():
+        part = long(tables).groupBy(F.lit(report).alias("report"), "tbl").agg(F.count("*").alias("n_cells"), F.count("value").alias("n_values"), F.count_distinct("key").alias("n_keys"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def queries():
     return {name: f for name, f in globals().items() if re.match(r"[a-m]\d\d_", name)}
 
@@ -194,5 +205,10 @@ SQL = {
 }
 
 
+_BUNDLE = {"baseline": "i03_baseline_series", "pvf": "i07_pvf_confirmatory", "soft_pvf": "i09_soft_confirmatory", "pvr": "i12_pvr_report", "pair_lite": "i13_pair_lite_report"}
+_MORE = f", med AS ({_MEDIUM}), sr AS ({_SOFT}) "
+SQL["i21_bundle"] = _MORE + _all(*[f"SELECT '{report}' AS report, tbl, count(*) AS n_cells, count(value) AS n_values, count(DISTINCT key) AS n_keys FROM ({SQL[name].removeprefix(_MORE)}) GROUP BY tbl" for report, name in _BUNDLE.items()])
+
+
 def oracle_sql():
     return {name: oracles.BASE + sql for name, sql in SQL.items()}

@@ -202,6 +202,54 @@ FROM best QUALIFY rank <= 2000
 """
 
 
+def _more(state: str, cost: str, edit: str) -> str:
+    """A state (nine digits of cost, then the audit) after an edit of this cost."""
+    return f"lpad((left({state}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({state}, 10) || '{edit}'"
+
+
+def _any(states: tuple[str, ...], cost: str, edit: str) -> str:
+    return f"least({', '.join(_more(s, cost, edit) for s in states)})" if len(states) > 1 else _more(states[0], cost, edit)
+
+
+_U = ("s0", "s1", "s3")
+OP13_SQL = rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384::BIGINT * (c & 1)))), 4294967295::BIGINT) % 20 AS kind FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, coalesce(nullif(left(role, 1), ''), '-') AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM d),
+r AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM o),
+e AS (SELECT conv_id, i, initial, fault IN ('none', 'truncated') AS stays, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS cut FROM r),
+c AS (SELECT DISTINCT conv_id FROM conversations),
+n AS (
+  SELECT c.conv_id, count(r.i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM c LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+v AS (
+  SELECT conv_id, 0::BIGINT AS i, '000000000' AS s0, NULL::VARCHAR AS s1, '000000005I' AS s2, '000000010II' AS s3 FROM c
+  UNION ALL
+  SELECT conv_id, i, t0, t1, u, least(t3, {_more("u", "5", "I")}) FROM (
+    SELECT *, least(t2, {_more("t0", "5", "I")}, {_more("t1", "5", "I")}, {_more("t3", "5", "I")}) AS u FROM (
+      SELECT v.conv_id, e.i, {_more("s0", "2", "D")} AS t0,
+        least({_more("s1", "2", "D")}, CASE WHEN stays AND initial = 's' THEN {_more("s0", "cut", "K")} END) AS t1,
+        least({_more("s2", "2", "D")}, CASE WHEN stays AND initial = 'u' THEN {_any(_U, "cut", "K")} END, CASE WHEN stays THEN {_any(_U, "cut + 1", "R")} END) AS t2,
+        least({_more("s3", "2", "D")}, CASE WHEN stays AND initial = 'a' THEN {_more("s2", "cut", "K")} END, CASE WHEN stays THEN {_more("s2", "cut + 1", "R")} END) AS t3
+      FROM v JOIN e ON e.conv_id IS NOT DISTINCT FROM v.conv_id AND e.i = v.i + 1))),
+w AS (SELECT n.*, left(least(s0, s3), 9)::BIGINT AS cost, substr(least(s0, s3), 10) AS audit FROM n JOIN v ON v.conv_id IS NOT DISTINCT FROM n.conv_id AND v.i = n.n),
+a AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(1, length(audit) + 1)) AS p FROM w WHERE audit <> ''),
+b AS (SELECT *, sum((edit <> 'I')::INT) OVER z AS row, sum((edit <> 'D')::INT) OVER z AS j FROM a WINDOW z AS (PARTITION BY conv_id ORDER BY p)),
+f AS (SELECT b.*, r.role, r.text, max((j = 1 AND edit = 'K' AND initial = 's')::INT) OVER (PARTITION BY b.conv_id) AS led FROM b LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.row AND edit <> 'I' WHERE edit <> 'D'),
+g AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - coalesce(led, 0)) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS digest FROM f GROUP BY conv_id)
+SELECT w.conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM w LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprint": op1_fingerprint,
@@ -221,4 +269,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL, "op7_minhash": OP7_SQL, "op8_chat_perspectives": OP8_SQL, "op11_phrases": OP11_SQL}
+    return {"op6_quality_rules": OP6_SQL, "op7_minhash": OP7_SQL, "op8_chat_perspectives": OP8_SQL, "op11_phrases": OP11_SQL, "op13_repair": OP13_SQL}

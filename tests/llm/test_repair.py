@@ -7,6 +7,8 @@ import re
 import zlib
 from functools import cache
 
+import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from gyre.llm import queries, repair
@@ -101,6 +103,15 @@ def test_query(spark, sf_dir):
     assert reported(df) == by_conversation(rows)
 
 
+def test_sql_says_the_same(spark, sf_dir):
+    """The query's SQL against the plain recursion, on the table and on odd conversations."""
+    rows = [tuple(r.values()) for r in pq.read_table(f"{sf_dir}/conversations.parquet", columns=["conv_id", "turn", "role", "text"]).to_pylist()]
+    for some in (rows, ODD):
+        conversations = pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*some)))))  # noqa: F841
+        found = duckdb.sql(queries.OP13_SQL).fetchall()
+        assert {r[0]: r[1:] for r in found} == by_conversation(some) and len(found) == len({r[0] for r in some})
+
+
 def test_repaired_turns_and_empty_table(spark):
     turns = spark.createDataFrame([(1, 1, "user", "Hi.", 1), (1, 2, "user", "Ho.", 1), (1, 3, "tool", "", 2)], SCHEMA + ", copies int")
     row = repair.repairs(turns).collect()[0]

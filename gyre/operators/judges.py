@@ -96,6 +96,6 @@ def margin_summary(decoded: DataFrame, scores: DataFrame, control: str, other: s
     rates = [_rate(F.col(f"{branch}_win")).alias(f"{name}_rate") for name, branch in zip(names, (control, other))]
     out = decoded.groupBy(*by).agg(F.count("*").alias("n_pairs"), *rates, _rate(F.col("winner_branch") == "Tie").alias("tie_rate"))
     out = out.withColumn("margin", F.col(f"{names[1]}_rate") - F.col(f"{names[0]}_rate")).withColumn("conclusion", conclusion(F.col("margin"), *names))
-    out = out.join(F.broadcast(scores), by, "left") if by else out.join(F.broadcast(scores))  # one row a seed, or one row
+    out = out.join(scores, by, "left") if by else out.join(F.broadcast(scores))  # one row a seed, or one row
     out = out.withColumn("score_conclusion", conclusion(F.col("delta"), *names))
     return out.withColumn("changed", F.when(F.col("delta").isNotNull(), F.col("conclusion") != F.col("score_conclusion")))

@@ -51,7 +51,7 @@ def balanced(rows: DataFrame, cell: str, total: int, key: str, seed: int = 0) ->
     cells = rows.select(cell).distinct().withColumn("_c", F.row_number().over(Window.orderBy(cell))).withColumn("_all", F.count("*").over(Window.partitionBy()))
     share = F.expr(f"{total} div _all") + (F.col("_c") <= F.lit(total) % F.col("_all")).cast("int")
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(cell).orderBy(hash_order(f"pair-{seed}", F.col(cell), F.col(key)), key))).filter(F.col("_n") <= total)  # in each task, before the shuffle
-    return ranked.join(F.broadcast(cells.withColumn("_q", share).select(cell, "_q")), cell).filter("_n <= _q").drop("_n", "_q")
+    return ranked.join(cells.withColumn("_q", share).select(cell, "_q"), cell).filter("_n <= _q").drop("_n", "_q")
 
 
 def blinded(pairs: DataFrame, left: Column, right: Column, left_name: str, right_name: str, key: str, seed: int = 0) -> DataFrame:

@@ -44,7 +44,7 @@ def mode_comparison(training: DataFrame, inference: DataFrame) -> dict[str, Data
 
 def anchoring_ablation(evaluated: DataFrame, ratios: DataFrame, control: str = "pure_recycling") -> dict[str, DataFrame]:
     """Series by anchor ratio and mixing mode.  ratios: (branch, anchor_ratio decimal, mixing_mode)."""
-    level = run_level(evaluated).join(F.broadcast(ratios), "branch", "left").withColumn("mixing_mode", F.coalesce("mixing_mode", F.lit("none")))
+    level = run_level(evaluated).join(ratios, "branch", "left").withColumn("mixing_mode", F.coalesce("mixing_mode", F.lit("none")))
     anchored = level.filter(F.col("branch") != control)
     return {
         "run_level": level,

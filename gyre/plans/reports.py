@@ -161,7 +161,7 @@ def g06_confirmatory_sample(spark, sf_dir):
     rows = bindings.evaluated(spark, sf_dir).filter("generation = 1 AND branch IN ('pure_recycling', 'anchor_20_append')")
     rows = rows.withColumn("bucket", quality.score_bucket(F.col("is_silent_error"), F.col("overall_pedagogical_score")))
     both = rows.groupBy("seed").agg(F.count_distinct("branch").alias("n")).filter("n = 2").select("seed")
-    out = sampling.round_robin(rows.join(F.broadcast(both), "seed"), ["seed", "branch"], "bucket", ["silent", "low", "high", "ordinary"], 8, "example_id", seed=42)
+    out = sampling.round_robin(rows.join(both, "seed"), ["seed", "branch"], "bucket", ["silent", "low", "high", "ordinary"], 8, "example_id", seed=42)
     return out.select("seed", "branch", "bucket", "example_id", "pick")
 
 

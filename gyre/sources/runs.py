@@ -156,7 +156,7 @@ def judged_rows(spark: SparkSession, root: str, branches: list[str], generations
     score = ["overall_pedagogical_score", "is_silent_error", *needed]
     judged = artifact(spark, root, names[1], ["example_id", *score], {c: k for c, k in JUDGEMENT.items() if c not in needed})
     judged = judged.withColumnsRenamed({c: f"{prefix}{c}" for c in [*score, *JUDGEMENT]})
-    outputs, judged = (df.join(F.broadcast(here), context, "left_semi") for df in (outputs, judged))  # a row a context
+    outputs, judged = (df.join(here, context, "left_semi") for df in (outputs, judged))
     held = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/*/*splits/*heldout_test.parquet")
     held = require_columns(held, ["example_id", "question", "answer_gold"], "heldout_test").select("example_id", "question", "answer_gold", F.regexp_extract(F.col("_metadata.file_path"), r".*/(?:[^/=]+=)?(run_[^/]*)/", 1).alias("run"))
     rows = checked_join(outputs, judged, [*context, "example_id"], "left", what="outputs and judgements")

@@ -7,10 +7,10 @@ import re
 from pyspark.sql import functions as F
 
 from gyre.functions import hashing, quality, text_rules
-from gyre.operators import dbr, numbering
+from gyre.operators import checks, dbr, numbering, policies
 from gyre.plans import judging, oracles
 from gyre.plans import queries as q
-from gyre.sources import bindings, commits, runs
+from gyre.sources import bindings, commits, runs, sinks
 from gyre.sources.shared import new_folder, written
 from gyre.streaming import resume
 from gyre.streaming.cache import JudgeCache
@@ -265,6 +265,66 @@ def h18_targets(spark, sf_dir):
     return found.select("place", "pattern", "path")
 
 
+def a04_processed_splits(spark, sf_dir):
+    """Splits written with questions and gold answers, read again and checked to be disjoint."""
+    place = f"{new_folder(spark, 'splits')}/splits"
+    rows = bindings.responses(spark, sf_dir).select("example_id", "question", "answer_gold")
+    q.g02_splits(spark, sf_dir).join(rows, "example_id").write.partitionBy("split").parquet(place)
+    found = runs.processed_splits(spark, place, ["base_train", "anchor_pool", "heldout_test"], ["example_id", "question", "answer_gold"])
+    return found.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("example_id").alias("n_ids"), F.sum(F.length("question")).alias("n_chars"))
+
+
+def a08_sinks(spark, sf_dir):
+    """A table through every sink and back: CSV, Parquet, JSON lines."""
+    place = new_folder(spark, "sinks")
+    rows = bindings.responses(spark, sf_dir).select("order_id", "branch", "generation", "answer_gold")
+    sinks.save_tabular(rows.withColumn("answer_gold", F.replace("answer_gold", F.lit("\n"), F.lit(" "))), place)
+    sinks.save_jsonl(rows, f"{place}/lines")
+    parts = {"csv": spark.read.schema(rows.schema).option("header", True).csv(f"{place}/csv"), "parquet": spark.read.parquet(f"{place}/parquet"), "jsonl": spark.read.schema(rows.schema).json(f"{place}/lines")}
+    out = None
+    for name, df in parts.items():
+        part = df.groupBy("branch").agg(F.count("*").alias("n_rows"), F.sum("order_id").alias("id_sum"), F.sum(F.length("answer_gold")).alias("n_chars")).select(F.lit(name).alias("format"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def d02_generations_with_questions(spark, sf_dir):
+    """Generations joined one to one with their questions, a contract that the join checks itself."""
+    rows = bindings.responses(spark, sf_dir)
+    both = checks.checked_join(rows.select("order_id", "branch", "raw_response"), rows.select("order_id", "question"), ["order_id"], what="generations and questions")
+    return both.groupBy("branch").agg(F.count("*").alias("n_rows"), F.sum(F.length("question") + F.length("raw_response")).alias("n_chars"))
+
+
+def _soft_tree(spark, sf_dir):
+    """Decisions of a soft policy and a report for each context; reports of generation 0 do not name their policy."""
+    root = runs.new_tree(spark)
+    decided = written(policies.soft_pvf(q._policy_rows(spark, sf_dir), "soft_pvf_medium").select(*CTX, "example_id", "kept", "assigned_weight", "decision_reason"), "decisions")
+    runs.save_tree(decided.select(*_tree(), "example_id", "kept", "assigned_weight", "decision_reason"), root, "soft_pvf_decisions.parquet")
+    reasons = decided.groupBy(*CTX, "decision_reason").agg(F.count("*").alias("n"), F.count_if("kept").alias("k"))
+    entry = F.struct("decision_reason", "n")
+    report = reasons.groupBy(*CTX).agg(F.sum("n").alias("total_candidates"), F.sum("k").alias("kept_count"), F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("decision_reason_counts"))
+    policy = F.when(F.col("generation") > 0, "soft_pvf_medium")
+    report = report.select(*_tree(), "model_name", "branch", "generation", policy.alias("policy_name"), "total_candidates", "kept_count", "decision_reason_counts")
+    runs.save_tree(written(report, "reports"), root, "soft_pvf_report.json")
+    return root
+
+
+def m12_soft_reports(spark, sf_dir):
+    """One row a report and reason; a report that does not name its policy is of the default one, one without a keep rate has rate 0."""
+    fields = {
+        "model_name": ("string", ""), "branch": ("string", ""), "generation": ("int", 0), "policy_name": ("string", "soft_pvf_default"), "keep_rate": ("double", 0.0),
+        "kept_count": ("bigint", 0), "total_candidates": ("bigint", 0), "decision_reason_counts": ("map<string,bigint>", {}),
+    }
+    good, _ = runs.reports(spark, _soft_tree(spark, sf_dir), "soft_pvf_report.json", fields)
+    return good.select("seed", "model_name", "branch", "generation", "policy_name", "keep_rate", "kept_count", "total_candidates", F.explode("decision_reason_counts").alias("reason", "n"))
+
+
+def m13_soft_decisions(spark, sf_dir):
+    """Decisions of all contexts of a tree, by the folders they lie in."""
+    rows = runs.artifact(spark, _soft_tree(spark, sf_dir), "soft_pvf_decisions.parquet", ["example_id", "kept", "assigned_weight", "decision_reason"], {"notes": "string"})
+    return rows.groupBy("run", "model_dir", "branch_dir", "generation_dir").agg(F.count("*").alias("n_rows"), F.count_if("kept").alias("n_kept"), F.round(F.sum("assigned_weight"), 6).alias("weight"), F.count("notes").alias("n_notes"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if re.match(r"[a-m]\d\d_", name)}
 
@@ -319,6 +379,15 @@ SQL = {
       c AS ({_LIMITS})
       SELECT {_C}, phase, defect, max(lim) AS "limit", max(reached)::BIGINT AS reached, count(*) FILTER (f AND reached > lim) AS n_beyond, CASE WHEN count(*) FILTER (f AND reached > lim) > 0 THEN 'violation' ELSE 'ok' END AS status FROM c GROUP BY {_C}, phase, defect""",
     "a21_dry_run": "SELECT example_id, 'dry_run' AS run_id, question AS prompt_text, 'Final answer: ' || k AS raw_response, k::VARCHAR AS parsed_final_answer FROM (SELECT example_id, question, row_number() OVER (ORDER BY order_id) - 1 AS k FROM resp)",
+    "a04_processed_splits": """, s AS (SELECT *, row_number() OVER (ORDER BY sha256('split-42|' || example_id), example_id) AS k FROM resp)
+      SELECT CASE WHEN k <= 500 THEN 'base_train' WHEN k <= 800 THEN 'anchor_pool' ELSE 'heldout_test' END AS split, count(*) AS n_rows, count(DISTINCT example_id) AS n_ids, sum(length(question))::BIGINT AS n_chars FROM s WHERE k <= 1000 GROUP BY 1""",
+    "a08_sinks": "SELECT format, branch, count(*) AS n_rows, sum(order_id)::BIGINT AS id_sum, sum(length(answer_gold))::BIGINT AS n_chars FROM resp CROSS JOIN (VALUES ('csv'), ('parquet'), ('jsonl')) AS f(format) GROUP BY ALL",
+    "d02_generations_with_questions": "SELECT branch, count(*) AS n_rows, sum(length(question) + length(raw_response))::BIGINT AS n_chars FROM resp GROUP BY branch",
+    "m12_soft_reports": f""", s AS (SELECT {', '.join('r.' + c for c in _C.split(', '))}, s.kept, s.decision_reason FROM soft AS s JOIN resp AS r USING (order_id) WHERE policy_name = 'soft_pvf_medium'),
+      t AS (SELECT {_C}, count(*) AS total_candidates, count(*) FILTER (kept) AS kept_count FROM s GROUP BY ALL)
+      SELECT seed, model_name, branch, generation, CASE WHEN generation > 0 THEN 'soft_pvf_medium' ELSE 'soft_pvf_default' END AS policy_name, 0.0::DOUBLE AS keep_rate, kept_count, total_candidates, reason, n
+      FROM t JOIN (SELECT {_C}, decision_reason AS reason, count(*) AS n FROM s GROUP BY ALL) USING ({_C})""",
+    "m13_soft_decisions": f"SELECT 'run_seed' || r.seed AS run, r.model_name AS model_dir, r.branch AS branch_dir, r.generation AS generation_dir, count(*) AS n_rows, count(*) FILTER (kept) AS n_kept, round(sum(assigned_weight), 6) AS weight, 0::BIGINT AS n_notes FROM soft AS s JOIN resp AS r USING (order_id) WHERE policy_name = 'soft_pvf_medium' GROUP BY 1, 2, 3, 4",
     "h18_targets": "SELECT place::INT AS place, 'soft_seed' || seed || '_*' AS pattern, 'soft_seed' || seed || '_new' AS path FROM (SELECT DISTINCT seed FROM resp) JOIN (VALUES (0, 213), (1, 211)) AS w(place, s) ON w.s = seed",
 }
 

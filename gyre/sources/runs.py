@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gyre.operators.checks import checked_join, require_columns, require_match
+from gyre.operators.checks import checked_join, require_columns, require_match, require_unique
 from gyre.sources.shared import new_folder, written
 
 SNAPSHOT = "project struct<seed:int>, experiment struct<mode:string,branches:array<struct<name:string,anchor_ratio:double,mixing_mode:string>>>, models struct<base:string>"
@@ -138,6 +138,15 @@ def artifact(spark: SparkSession, root: str, name: str, needed: list[str], optio
     return rows.select(*needed, *more, *levels(F.col("_metadata.file_path"))[:-1])
 
 
+def processed_splits(spark: SparkSession, place: str, names: list[str], needed: list[str]) -> DataFrame:
+    """The rows of processed splits (place/split=name) with their split.  A split that is missing is an error; an example in two splits, or twice in one, ends the job."""
+    rows = require_columns(spark.read.parquet(place), ["split", *needed], "processed splits")
+    missing = sorted(set(names) - {r["split"] for r in rows.select("split").distinct().limit(1_000).collect()})
+    if missing:
+        raise FileNotFoundError(f"no processed splits {missing} under {place}")
+    return require_unique(rows.filter(F.col("split").isin(names)).select("split", *needed), ["example_id"], "processed splits")
+
+
 JUDGEMENT = {"judge_provider": "string", "judge_model": "string", "clarity": "int", "structure": "int", "terminology": "int", "reasoning_soundness": "int", "comment": "string"}
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyre.plans import exports, oracles
+from gyre.plans import exports, judging, oracles, reports, studies
 from gyre.plans import queries as q
 from gyre.sources import bindings
 from gyre.sources.shared import written
@@ -88,6 +88,27 @@ def i21_bundle(spark, sf_dir):
     return out
 
 
+#: Tables of the article's evidence: the query of each, its keys, and its measures.
+EVIDENCE = {
+    "severity": ("e17_severity_p90", ["branch", "generation"], ["n", "mean_severity", "p90_severity"]),
+    "collapse_summary": ("e18_collapse_summary", ["branch", "generation", "metric"], ["n_seeds", "mean", "std", "ci_low", "ci_high"]),
+    "defect_rates": ("e20_defect_rates", ["branch", "generation", "defect"], ["rate_before", "rate_after", "delta"]),
+    "bucket_coverage": ("e20_bucket_coverage", ["branch", "generation", "length_bin"], ["n_before", "n_after", "share_after"]),
+    "collapse_flags": ("e32_collapse_flags", ["branch", "metric", "step", "flag"], ["n_values", "mean", "ci_low", "ci_high"]),
+    "gen2_summary": ("e33_gen2_summary", ["branch", "metric"], ["n_positive", "n_negative", "mean", "ci_low", "ci_high"]),
+    "mechanism": ("e34_mechanism_summary", ["model_name"], ["parse_failure_delta_mean", "silent_error_delta_mean", "incorrect_answer_delta_mean", "selection_rate_mean"]),
+    "generation_curves": ("e16_collapse_metrics", ["branch", "generation"], ["sample_count", "accuracy_mean", "pedagogical_score_mean", "silent_error_rate", "parse_failure_pred_rate", "low_reasoning_rate", "low_structure_rate", "defect_severity_mean", "missing_judge_rows"]),
+    "matched_gen2": ("d12_matched_gen2", ["seed"], ["n_matched", "delta_is_correct", "delta_overall_pedagogical_score", "delta_is_silent_error"]),
+    "gen2_deltas": ("f11_gen2_deltas", ["row"], ["delta_accuracy_mean", "delta_pedagogical_score_mean", "delta_silent_error_rate"]),
+}
+
+
+def i19_article_evidence(spark, sf_dir):
+    """Every table of the evidence that an article rests on: each is written, and read from there."""
+    every = q.queries() | reports.queries() | judging.queries() | studies.queries()
+    return long({name: written(every[query](spark, sf_dir), name) for name, (query, _, _) in EVIDENCE.items()})
+
+
 def queries():
     return {name: f for name, f in globals().items() if re.match(r"[a-m]\d\d_", name)}
 
@@ -100,7 +121,7 @@ _DELTAS = [f"delta_{m}" for m in _M]
 
 
 def _sql(name: str, keys: list[str], values: list[str], source: str) -> str:
-    key = ", ".join(f"coalesce({k}::VARCHAR, 'null')" for k in sorted(keys))
+    key = ", ".join(f"coalesce(\"{k}\"::VARCHAR, 'null')" for k in sorted(keys))
     cells = ", ".join(f"round({v}::DOUBLE, 9) + 0.0" for v in values)
     return f"SELECT '{name}' AS tbl, concat_ws('|', {key}) AS key, unnest([{', '.join(repr(v) for v in values)}]) AS metric, unnest([{cells}]) AS value FROM ({source})"
 
@@ -210,5 +231,15 @@ _MORE = f", med AS ({_MEDIUM}), sr AS ({_SOFT}) "
 SQL["i21_bundle"] = _MORE + _all(*[f"SELECT '{report}' AS report, tbl, count(*) AS n_cells, count(value) AS n_values, count(DISTINCT key) AS n_keys FROM ({SQL[name].removeprefix(_MORE)}) GROUP BY tbl" for report, name in _BUNDLE.items()])
 
 
+def _evidence() -> str:
+    """The SQL of each table, its own steps within it."""
+    every = oracles.oracle_sql() | reports.oracle_sql() | judging.oracle_sql() | studies.oracle_sql()
+    parts = []
+    for name, (query, keys, values) in EVIDENCE.items():
+        own = every[query].removeprefix(oracles.BASE).strip()
+        parts.append(_sql(name, keys, values, "WITH " + own[1:] if own.startswith(",") else own))
+    return _all(*parts)
+
+
 def oracle_sql():
-    return {name: oracles.BASE + sql for name, sql in SQL.items()}
+    return {name: oracles.BASE + sql for name, sql in (SQL | {"i19_article_evidence": _evidence()}).items()}

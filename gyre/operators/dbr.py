@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gyre.functions import quality
 from gyre.functions.hashing import unit_score
-from gyre.sources.shared import few, null_safe_join, running, small, written
+from gyre.sources.shared import all_running, few, null_safe_join, small, written
 
 BLOCK = 4_096
 #: Blocks of a context whose flags go to its task at once.
@@ -336,11 +336,10 @@ def budget_checks(decided: DataFrame, by: list[str], budgets: Budgets = Budgets(
     flags = [f"defect_{n}" for n in quality.DEFECTS]
     n = F.count("*")
     target = F.least(F.greatest(F.rint(n * F.lit(budgets.ratio)).cast("long"), F.lit(1)), n)
-    totals = decided.groupBy(*by).agg(target.alias("_target"), *[F.sum(F.col(f).cast("long")).alias(f"_all_{f}") for f in flags])
-    rows = decided.filter(F.col(rank).isNotNull()).select(*by, F.col(rank).cast("long").alias("_rank"), F.col(phase).alias("phase"), *[F.col(f).cast("long").alias(f) for f in flags])
-    for f in flags:
-        rows = running(rows, by, "_rank", f).withColumn(f"_reached_{f}", F.col("before") + F.col(f)).drop("before")
-    rows = null_safe_join(rows, small(totals, 100_000), by)
+    decided = written(decided.select(*by, F.col(rank).cast("long").alias("_rank"), F.col(phase).alias("phase"), *[F.col(f).cast("long").alias(f) for f in flags]), "decided")
+    totals = decided.groupBy(*by).agg(target.alias("_target"), *[F.sum(f).alias(f"_all_{f}") for f in flags])
+    rows = all_running(decided.filter("_rank IS NOT NULL"), by, "_rank", {f"_reached_{f}": f for f in flags})
+    rows = null_safe_join(rows.withColumns({f"_reached_{f}": F.col(f"_reached_{f}") + F.col(f) for f in flags}), totals, by)
     parts = []
     for name, f in zip(quality.DEFECTS, flags):
         first = F.floor(F.lit(budgets.rates[name]) * F.col("_target")).cast("long")

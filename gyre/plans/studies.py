@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gyre.functions import answers, hashing, judge_json, text_rules
+from gyre.functions.binding import bound
 from gyre.operators import dbr, metrics, policies
 from gyre.plans import exports
 from gyre.plans import queries as q
@@ -110,8 +111,9 @@ def c12_scored_candidates(spark, sf_dir):
     gold = rows.groupBy("customer").agg(F.min_by("answer_gold", "order_id").alias("gold"))
     joined = rows.select("order_id", "customer", "raw_response").join(gold, "customer", "left")
     kinds = joined.select("raw_response", "gold").distinct()  # as many as there are different texts
-    said = answers.label(answers.extract(F.col("raw_response"))["token"], answers.gold_token(F.col("gold")))
-    return joined.join(kinds.withColumn("label", said), ["raw_response", "gold"]).select("order_id", "label")
+    kinds = bound(kinds, said=answers.extract(F.col("raw_response"))["token"], wanted=answers.gold_token(F.col("gold")))
+    kinds = bound(kinds, label=answers.label(F.col("said"), F.col("wanted")))
+    return joined.join(kinds, ["raw_response", "gold"]).select("order_id", "label")
 
 
 def c14_limited_rows(spark, sf_dir):

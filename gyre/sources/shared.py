@@ -74,11 +74,16 @@ def running(df: DataFrame, by: list[str], at: str, value: str, width: int = 4_09
 
     Sums are taken in ranges of `width` values of `at`, then over ranges, so that a large `by` is spread over tasks.
     """
+    return all_running(df, by, at, {"before": value}, width)
+
+
+def all_running(df: DataFrame, by: list[str], at: str, values: dict[str, str], width: int = 4_096) -> DataFrame:
+    """df with the running sums (see running) of several columns, each under the name given with it, in one pass."""
     rows = df.withColumn("_range", F.expr(f"`{at}` div {width}"))
     inside = Window.partitionBy(*by, "_range").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     over = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = rows.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
-    sums = sums.select(*by, "_range", (F.sum("_sum").over(over) - F.col("_sum")).alias("_earlier"))
-    rows = rows.withColumn("_inside", F.sum(value).over(inside) - F.col(value))
-    out = null_safe_join(rows, sums, [*by, "_range"])
-    return out.withColumn("before", F.col("_earlier") + F.col("_inside")).drop("_range", "_inside", "_earlier")
+    sums = rows.groupBy(*by, "_range").agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in values.items()])
+    sums = sums.select(*by, "_range", *[(F.sum(f"_sum_{name}").over(over) - F.col(f"_sum_{name}")).alias(f"_earlier_{name}") for name in values])
+    rows = rows.select("*", *[(F.sum(value).over(inside) - F.col(value)).alias(f"_inside_{name}") for name, value in values.items()])
+    out = null_safe_join(rows, sums, [*by, "_range"]).withColumns({name: F.col(f"_earlier_{name}") + F.col(f"_inside_{name}") for name in values})
+    return out.drop("_range", *[f"_{part}_{name}" for name in values for part in ("inside", "earlier")])

@@ -121,7 +121,8 @@ def parted(rows: DataFrame) -> DataFrame:
     tie = F.when(F.col("_parts").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
     share = F.shiftright((F.shiftright("tie", 32) + (1 << 31)) * F.col("_parts"), 32)
     at = F.when(F.col("doc_id").isNull(), -1).otherwise(id_range(F.col("doc_id"), sorted(set(points))))
-    part = F.struct(at.alias("range"), F.coalesce(F.when(F.col("_parts").isNotNull(), share), F.lit(-1)).alias("share"))
+    # One number, range first: the join after the window goes by the window's own shuffle.
+    part = F.shiftleft((at + 1).cast("long"), 40) + F.coalesce(F.when(F.col("_parts").isNotNull(), share + 1), F.lit(0))
     return rows.withColumn("tie", tie).withColumn("part", part).select("doc_id", "text", "tie", "part")
 
 

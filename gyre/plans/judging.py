@@ -11,6 +11,7 @@ from gyre.operators import checks, judges, metrics, sampling
 from gyre.plans import queries as q
 from gyre.plans import reports
 from gyre.sources import bindings
+from gyre.sources.shared import written
 
 CTX = bindings.CONTEXT
 PURE, ANCHOR, DBR = "pure_recycling", "anchor_20_append", "dbr_medium"
@@ -157,6 +158,7 @@ def i20_findings(spark, sf_dir):
         h10_analysis_sources(spark, sf_dir).filter("status <> 'ok'").select(F.lit("HIGH").alias("severity"), F.lit("sources").alias("category")),
         h11_pairwise_checks(spark, sf_dir).filter("status <> 'ok'").select(F.lit("CRITICAL").alias("severity"), F.lit("pairwise").alias("category")),
     ]
+    parts = [written(part, "findings") for part in parts]  # each is a report of its own, and small
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -21,14 +21,14 @@ def actions(text: Column) -> Column:
 
 
 class JudgeCache:
-    """Entries in committed parts, by the first two digits of their key: a look-up reads the shards of its keys.
+    """Entries in committed parts, by the first `digits` of their key: a look-up reads the shards of its keys, 16 for each digit.
 
     A put is a new part, so entries are replaced without touching others, and a put that breaks off leaves nothing.  compact() writes the entries
     in force as one part, after which earlier parts count no more.
     """
 
-    def __init__(self, spark: SparkSession, place: str) -> None:
-        self.spark, self.place = spark, place
+    def __init__(self, spark: SparkSession, place: str, digits: int = 1) -> None:
+        self.spark, self.place, self.digits = spark, place, digits
 
     def put(self, entries: DataFrame) -> None:
         """Adds entries (FIELDS; missing ones are null).  Of several for a key the one created last counts, then the greatest response."""
@@ -38,7 +38,7 @@ class JudgeCache:
         self._save(rows.groupBy("cache_key").agg(last.alias("e")).select("e.*"))
 
     def _save(self, rows: DataFrame, compacted: bool = False) -> None:
-        rows = rows.withColumn("shard", F.substring("cache_key", 1, 2))
+        rows = rows.withColumn("shard", F.substring("cache_key", 1, self.digits))
         part = commits.write_part(rows.select(*ENTRY.names), self.place, ["shard"])
         commits.commit(self.spark, self.place, part, ENTRY, ["shard"], compacted)
 
@@ -49,7 +49,7 @@ class JudgeCache:
             return self.spark.createDataFrame([], ENTRY).select(*FIELDS, actions(F.col("repair_actions_json")).alias("repair_actions"))
         rows = commits.parts(self.spark, self.place, ENTRY)
         if keys is not None:
-            wanted = keys.select("cache_key", F.substring("cache_key", 1, 2).alias("shard")).distinct()
+            wanted = keys.select("cache_key", F.substring("cache_key", 1, self.digits).alias("shard")).distinct()
             known = known.join(F.broadcast(wanted.select("shard").distinct()), "shard", "left_semi")  # some hundred shards
             rows = rows.join(wanted, ["shard", "cache_key"], "left_semi")
         rows = rows.join(small(known), ["part", "shard"])

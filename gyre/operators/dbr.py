@@ -284,7 +284,12 @@ def _solved(budgets: Budgets, kind: str, given: DataFrame) -> DataFrame:
 
 
 def dbr(rows: DataFrame, by: list[str], budgets: Budgets = Budgets(), block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
-    """(by, example_id, selected, selection_rank, decision_reason) of rows as flagged() makes them; rank null: not selected.
+    """(by, example_id, selected, selection_rank, decision_reason) of rows as flagged() makes them; rank null: not selected."""
+    return decided(rows, by, budgets, block, whole).select(*by, "example_id", "selected", "selection_rank", "decision_reason")
+
+
+def decided(rows: DataFrame, by: list[str], budgets: Budgets = Budgets(), block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
+    """What dbr() gives, with length_bin and the defect flags of each row, which blocks carry: nothing is joined to the rows again.
 
     Rows of a bin go by severity, then by falling reasoning, structure and clarity (nulls last), sampling value and example_id.  A null in `by`
     is a value of its own; an empty table gives no rows.
@@ -316,14 +321,16 @@ def dbr(rows: DataFrame, by: list[str], budgets: Budgets = Budgets(), block: int
             found = [places_of(np.frombuffer(f, np.uint8), b, s) for f, b, s in zip(*(batch[c].to_pylist() for c in ("flags", "bin", "steps")))]
             rank, phase = ([pa.array(x) for x in part] for part in zip(*found))
             lists = batch["example_ids"]
-            owner = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
-            parse = np.frombuffer(b"".join(batch["flags"].to_pylist()), np.uint8) >> PARSE & 1
-            yield pa.record_batch([batch["context"].take(pa.array(owner)), lists.flatten(), pa.concat_arrays(rank), pa.concat_arrays(phase), pa.array(parse.astype(bool)), batch["met"].take(pa.array(owner))], ["context", "example_id", "rank", "phase", "parse", "met"])
+            owner = pa.array(np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy())))
+            flags = np.frombuffer(b"".join(batch["flags"].to_pylist()), np.uint8).astype(np.int32)
+            yield pa.record_batch([batch["context"].take(owner), lists.flatten(), batch["bin"].take(owner), pa.array(flags), pa.concat_arrays(rank), pa.concat_arrays(phase), batch["met"].take(owner)], ["context", "example_id", "bin", "flags", "rank", "phase", "met"])
 
-    out = both.mapInArrow(run, f"context {kind}, example_id string, rank bigint, phase bigint, parse boolean, met boolean")
+    out = both.mapInArrow(run, f"context {kind}, example_id string, bin int, flags int, rank bigint, phase bigint, met boolean")
+    has = {n: (F.shiftright("flags", k) % 2 == 1).alias(f"defect_{n}") for k, n in enumerate(quality.DEFECTS)}
     taken = F.get(F.array(*[F.lit(r) for r in ("selected_within_budget", *[f"selected_relaxed_{n}" for n in RELAX])]), F.col("phase").cast("int"))
-    reason = F.when(F.col("rank") > 0, taken).when(F.col("met"), "rejected_target_reached").when(F.col("parse"), "rejected_parse_forbidden").otherwise("rejected_budget_constraints")
-    return out.select("context.*", "example_id", (F.col("rank") > 0).alias("selected"), F.nullif("rank", F.lit(0)).alias("selection_rank"), reason.alias("decision_reason"))
+    reason = F.when(F.col("rank") > 0, taken).when(F.col("met"), "rejected_target_reached").when(has["parse_failure"], "rejected_parse_forbidden").otherwise("rejected_budget_constraints")
+    length = F.get(F.array(*map(F.lit, BINS)), F.col("bin")).alias("length_bin")
+    return out.select("context.*", "example_id", (F.col("rank") > 0).alias("selected"), F.nullif("rank", F.lit(0)).alias("selection_rank"), reason.alias("decision_reason"), length, *has.values())
 
 
 def budget_checks(decided: DataFrame, by: list[str], budgets: Budgets = Budgets(), rank: str = "selection_rank", phase: str = "phase") -> DataFrame:

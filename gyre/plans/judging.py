@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyre.functions import hashing, quality
@@ -79,7 +80,7 @@ def d11_pair_candidates(spark, sf_dir):
 
 def _decoded_twice(spark, sf_dir):
     """The sampled pairs' winners by both judges, told apart by the side that each saw as A; the second fails on some pairs."""
-    rows = q._decoded(spark, sf_dir)
+    rows = written(q._decoded(spark, sf_dir), "decoded")  # a sample, which both judges read
     two = [hashing.mock_judgement(F.concat(F.lit("again: "), F.col("pair_key")), F.lit(side), F.col(f"response_{side}"))["overall_pedagogical_score"] for side in "ab"]
     second = rows.select("pair_id", "pair_key", "seed", "branch_a", "branch_b", *[s.alias(f"score_{side}") for s, side in zip(two, "ab")])
     second = second.withColumn("winner", F.when(F.col("score_a") > F.col("score_b"), "A").when(F.col("score_b") > F.col("score_a"), "B").otherwise("Tie"))
@@ -151,10 +152,11 @@ def h11_pairwise_checks(spark, sf_dir):
 
 def i20_findings(spark, sf_dir):
     """Findings of all checks by severity and category: stages, row counts, stored summaries, sources, pairs."""
+    rows = written(bindings.evaluated(spark, sf_dir, keep_missing=True).select("example_id", *CTX, "raw_response", "accuracy_label", "is_correct", "pred_parse_success", "overall_pedagogical_score", "is_silent_error", "has_judge"), "evaluated")
     parts = [
         reports.h07_manifest_findings(spark, sf_dir).select("severity", F.lit("manifest").alias("category")),
-        reports.h08_row_counts(spark, sf_dir).filter("accuracy_mismatch OR judged_mismatch").select(F.lit("HIGH").alias("severity"), F.lit("row_counts").alias("category")),
-        q.h09_summary_recompute(spark, sf_dir).filter("status <> 'ok'").select(F.when(F.col("status") == "mismatch", "CRITICAL").otherwise("MEDIUM").alias("severity"), F.lit("summary").alias("category")),
+        reports.row_counts(rows).filter("accuracy_mismatch OR judged_mismatch").select(F.lit("HIGH").alias("severity"), F.lit("row_counts").alias("category")),
+        q.summary_recomputed(rows.filter("has_judge")).filter("status <> 'ok'").select(F.when(F.col("status") == "mismatch", "CRITICAL").otherwise("MEDIUM").alias("severity"), F.lit("summary").alias("category")),
         h10_analysis_sources(spark, sf_dir).filter("status <> 'ok'").select(F.lit("HIGH").alias("severity"), F.lit("sources").alias("category")),
         h11_pairwise_checks(spark, sf_dir).filter("status <> 'ok'").select(F.lit("CRITICAL").alias("severity"), F.lit("pairwise").alias("category")),
     ]
@@ -166,13 +168,21 @@ def i20_findings(spark, sf_dir):
 
 
 def e14_gen2_metrics(spark, sf_dir):
-    rows = bindings.evaluated(spark, sf_dir).filter(F.col("branch").isin(PURE, DBR) & (F.col("generation") == 2))
+    return gen2_metrics(bindings.evaluated(spark, sf_dir))
+
+
+def gen2_metrics(evaluated: DataFrame) -> DataFrame:
+    rows = evaluated.filter(F.col("branch").isin(PURE, DBR) & (F.col("generation") == 2))
     return metrics.metrics(rows, ["seed", "branch"]).select("seed", "branch", "sample_count", *metrics.METRICS)
 
 
 def f11_gen2_deltas(spark, sf_dir):
     """Differences of two branches by seed, and below them their mean, deviation and number over seeds."""
-    wide = e14_gen2_metrics(spark, sf_dir).groupBy("seed").agg(*[F.max(F.when(F.col("branch") == b, F.col(m))).alias(f"{m}_{k}") for m in metrics.METRICS for k, b in (("pure", PURE), ("dbr", DBR))], F.count("*").alias("n"))
+    return gen2_deltas(bindings.evaluated(spark, sf_dir))
+
+
+def gen2_deltas(evaluated: DataFrame) -> DataFrame:
+    wide = gen2_metrics(evaluated).groupBy("seed").agg(*[F.max(F.when(F.col("branch") == b, F.col(m))).alias(f"{m}_{k}") for m in metrics.METRICS for k, b in (("pure", PURE), ("dbr", DBR))], F.count("*").alias("n"))
     deltas = wide.filter("n = 2").select("seed", *[(F.col(f"{m}_dbr") - F.col(f"{m}_pure")).alias(f"delta_{m}") for m in metrics.METRICS])
     names = [f"delta_{m}" for m in metrics.METRICS]
     sums = deltas.agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("mean", F.avg), ("std", F.stddev_samp), ("n", F.count))])

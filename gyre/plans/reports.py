@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyre.functions import answers, hashing, quality, text_rules
@@ -12,6 +12,7 @@ from gyre.operators import dbr, metrics, policies, sampling
 from gyre.plans import exports
 from gyre.plans import queries as q
 from gyre.sources import bindings
+from gyre.sources.shared import written
 from gyre.sources.tables import table
 
 CTX = bindings.CONTEXT
@@ -75,7 +76,11 @@ def b48_line_kinds(spark, sf_dir):
 
 
 def e18_collapse_summary(spark, sf_dir):
-    rows = dbr.flagged(q._policy_rows(spark, sf_dir))
+    return collapse_summary(q._policy_rows(spark, sf_dir))
+
+
+def collapse_summary(rows: DataFrame) -> DataFrame:
+    rows = dbr.flagged(rows)
     names = [f"rate_{n}" for n in quality.DEFECTS] + ["mean_severity"]
     by_seed = rows.groupBy("seed", "branch", "generation").agg(*[F.avg(F.col(f"defect_{n}").cast("int")).alias(f"rate_{n}") for n in quality.DEFECTS], F.avg("severity").alias("mean_severity"))
     out = metrics.spread(metrics.long_form(by_seed, ["seed", "branch", "generation"], names), ["branch", "generation", "metric"])
@@ -127,7 +132,10 @@ def e29_severity_counts(spark, sf_dir):
 
 def h08_row_counts(spark, sf_dir):
     """Rows of each artifact of each context, and whether they agree: one pass."""
-    rows = bindings.evaluated(spark, sf_dir, keep_missing=True)
+    return row_counts(bindings.evaluated(spark, sf_dir, keep_missing=True))
+
+
+def row_counts(rows: DataFrame) -> DataFrame:
     out = rows.groupBy(*CTX).agg(F.count("raw_response").alias("n_outputs"), F.count("accuracy_label").alias("n_accuracy"), F.count(F.when(F.col("has_judge"), 1)).alias("n_judged"))
     return out.withColumn("accuracy_mismatch", F.col("n_outputs") != F.col("n_accuracy")).withColumn("judged_mismatch", F.col("n_judged") != F.col("n_accuracy"))
 
@@ -167,11 +175,11 @@ def g06_confirmatory_sample(spark, sf_dir):
 
 def g10_qualitative(spark, sf_dir):
     """The worst silent errors, the steepest declines, and pure rows behind their anchored twins, four or three of each."""
-    rows = bindings.evaluated(spark, sf_dir, shared_ids=True)
     keys = ["model_name", "seed", "example_id"]
+    rows = written(bindings.evaluated(spark, sf_dir, shared_ids=True).select(*keys, "branch", "generation", "is_correct", "is_silent_error", "overall_pedagogical_score"), "evaluated")
     silent = rows.filter("is_correct AND is_silent_error AND generation >= 1").orderBy(F.desc("generation"), "overall_pedagogical_score", "branch", *keys).limit(4)
     silent = silent.select(F.lit("silent_error_candidate").alias("category"), *keys, "branch", "generation", F.col("overall_pedagogical_score").cast("int").alias("score"))
-    decline = q.d15_decline_trajectory(spark, sf_dir).orderBy(F.desc("decline"), *keys, "branch").limit(3)
+    decline = q.declines(rows).orderBy(F.desc("decline"), *keys, "branch").limit(3)
     decline = decline.select(F.lit("monotone_decline").alias("category"), *keys, "branch", F.lit(2).alias("generation"), F.col("score_2").alias("score"))
 
     def of(branch):
@@ -210,20 +218,20 @@ def m24_progress(spark, sf_dir):
 
 
 def i06_pvf_stress(spark, sf_dir):
-    return exports.pvf_report(bindings.evaluated(spark, sf_dir), q._policy_rows(spark, sf_dir))["stress_summary"].select(*CTX, "sample_count", "accuracy_mean", "n_rows", "n_kept", "keep_rate")
+    return exports.pvf_report(*q.inputs(spark, sf_dir))["stress_summary"].select(*CTX, "sample_count", "accuracy_mean", "n_rows", "n_kept", "keep_rate")
 
 
 def i08_soft_stress(spark, sf_dir):
-    out = exports.soft_report(bindings.evaluated(spark, sf_dir), q._policy_rows(spark, sf_dir))["stress_summary"]
+    out = exports.soft_report(*q.inputs(spark, sf_dir))["stress_summary"]
     return out.select(*CTX, "sample_count", "keep_rate", F.round("mean_weight", 9).alias("mean_weight"))
 
 
 def i10_dbr_stress(spark, sf_dir):
-    return exports.dbr_report(bindings.evaluated(spark, sf_dir), q._policy_rows(spark, sf_dir))["stress_summary"].select(*CTX, "sample_count", "n_rows", "n_selected", "selection_rate")
+    return exports.dbr_report(*q.inputs(spark, sf_dir))["stress_summary"].select(*CTX, "sample_count", "n_rows", "n_selected", "selection_rate")
 
 
 def i12_pvr_stress(spark, sf_dir):
-    return exports.repair_report(bindings.evaluated(spark, sf_dir), q._policy_rows(spark, sf_dir))["stress_summary"].select(*CTX, "sample_count", "n_attempted", "n_success", "success_rate")
+    return exports.repair_report(*q.inputs(spark, sf_dir))["stress_summary"].select(*CTX, "sample_count", "n_attempted", "n_success", "success_rate")
 
 
 def i14_csr_reasons(spark, sf_dir):

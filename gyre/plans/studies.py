@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyre.functions import answers, hashing, judge_json, text_rules
+from gyre.functions import answers, hashing, judge_json, quality, text_rules
 from gyre.functions.binding import bound
 from gyre.operators import dbr, metrics, policies
 from gyre.plans import exports
@@ -229,7 +229,11 @@ def e02_first_summary(spark, sf_dir):
 
 def e16_collapse_metrics(spark, sf_dir):
     """Eight measures of collapse, and the rows that no judge has seen, which count as silent and low."""
-    rows = dbr.flagged(q._policy_rows(spark, sf_dir))
+    return collapse_metrics(q._policy_rows(spark, sf_dir))
+
+
+def collapse_metrics(rows: DataFrame) -> DataFrame:
+    rows = dbr.flagged(rows)
     rate = lambda c: F.avg(F.col(c).cast("int"))
     return rows.groupBy("branch", "generation").agg(
         F.count("*").alias("sample_count"), rate("correct").alias("accuracy_mean"), F.avg("overall_pedagogical_score").alias("pedagogical_score_mean"), rate("silent").alias("silent_error_rate"),
@@ -240,8 +244,12 @@ def e16_collapse_metrics(spark, sf_dir):
 
 def e34_mechanism_summary(spark, sf_dir):
     """Means over seeds and generations of what a selection does to the defects, for each model."""
-    decided = policies.pvf(dbr.flagged(q._policy_rows(spark, sf_dir)))
+    return mechanism_summary(q._policy_rows(spark, sf_dir))
+
+
+def mechanism_summary(rows: DataFrame) -> DataFrame:
     by = ["model_name", "seed", "generation"]
+    decided = written(policies.pvf(dbr.flagged(rows)).select(*by, "kept", *[f"defect_{n}" for n in quality.DEFECTS]), "decided")  # read twice
     deltas = dbr.defect_rates(decided, by, "kept").groupBy("model_name").pivot("defect", ["parse_failure", "silent_error", "incorrect_answer"]).agg(F.round(F.avg("delta"), 9))
     kept = decided.groupBy(*by).agg(F.avg(F.col("kept").cast("int")).alias("rate")).groupBy("model_name").agg(F.round(F.avg("rate"), 9).alias("selection_rate_mean"))
     return deltas.withColumnsRenamed({n: f"{n}_delta_mean" for n in ("parse_failure", "silent_error", "incorrect_answer")}).join(kept, "model_name")
@@ -313,7 +321,7 @@ def m27_plan_upsert(spark, sf_dir):
 
 
 def _evaluated_and_rows(spark, sf_dir):
-    return bindings.evaluated(spark, sf_dir), q._policy_rows(spark, sf_dir)
+    return q.inputs(spark, sf_dir)
 
 
 def i04_mode_deltas(spark, sf_dir):

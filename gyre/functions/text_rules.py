@@ -32,7 +32,11 @@ def repair_error(repaired: Column, expected: Column, gold: Column | None = None,
     It must end with a line that states the expected token; against a gold answer it must also score as correct.
     """
     state = F.struct(answers.strip(F.coalesce(repaired, F.lit(""))).alias("text"), expected.alias("expected"))
-    return answers.let(state, lambda s: answers.let(_final_line(s["text"]), lambda line: _repair_error(s["text"], line, answers.numeric_token(line), s["expected"], gold, max_chars)))
+
+    def read(s: Column, line: Column) -> Column:
+        return answers.let(answers.numeric_token(line), lambda token: _repair_error(s["text"], line, token, s["expected"], gold, max_chars))
+
+    return answers.let(state, lambda s: answers.let(_final_line(s["text"]), lambda line: read(s, line)))
 
 
 def _repair_error(text: Column, line: Column, token: Column, expected: Column, gold: Column | None, max_chars: int | None) -> Column:
@@ -41,7 +45,7 @@ def _repair_error(text: Column, line: Column, token: Column, expected: Column, g
         out = out.when(F.length(text) > max_chars, "too_long")
     out = out.when(line == "", "no_final_line").when(expected.isNull(), "expected_not_numeric").when(token.isNull(), "final_not_numeric").when(token != expected, "final_changed")
     if gold is not None:
-        wrong = answers.let(answers.extract(text), lambda said: F.when(~said["ok"], "parse_failure").when(answers.label(said["token"], answers.gold_token(gold)) != "correct", "incorrect"))
+        wrong = answers.let(answers.extract(text), lambda said: F.when(~said["ok"], "parse_failure").when(answers.let(answers.gold_token(gold), lambda right: answers.label(said["token"], right)) != "correct", "incorrect"))
         out = out.otherwise(wrong)
     return out
 

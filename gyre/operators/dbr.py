@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from gyre.functions import quality
 from gyre.functions.hashing import unit_score
 from gyre.sources.shared import all_running, few, null_safe_join, small, written
+from gyre.sources.tables import tasks
 
 BLOCK = 4_096
 #: Blocks of a context whose flags go to its task at once.
@@ -217,7 +218,8 @@ def places_of(flags: np.ndarray, bin_number: int, steps: list[dict]) -> tuple[np
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
     """(context, bin, place, at, flags, counts, example_ids): rows in order, `block` of a context and bin at most; blocks go by (place, at)."""
     order = ["context", "bin", "severity", F.desc_nulls_last("reasoning_soundness"), F.desc_nulls_last("structure"), F.desc_nulls_last("clarity"), "sampling_value", "example_id"]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.to_json("context", {"ignoreNullFields": "false"}).alias("key"), "context", "bin", "flags", "example_id")
+    parts = max(tasks(rows), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.to_json("context", {"ignoreNullFields": "false"}).alias("key"), "context", "bin", "flags", "example_id")
     kind = rows.schema["context"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,10 +91,11 @@ LEVELS = ("run", "model_dir", "branch_dir", "generation_dir", "artifact")
 def save_tree(rows: DataFrame, root: str, artifact: str) -> None:
     """rows (LEVELS without the artifact, and their own columns) as files of the tree, one folder a context; its kind is the name's ending.
 
-    Folders bear the level's name before their own, as Spark writes them; readers take them with it and without.
+    Folders bear the level's name before their own, as Spark writes them; readers take them with it and without.  Rows are dealt by context, and a
+    large one split by its size, so that the files grow with the rows and not with the tasks that made them.
     """
     kind = {"parquet": "parquet", "json": "json"}[artifact.rpartition(".")[2]]
-    rows.withColumn("artifact", F.lit(artifact)).write.mode("append").partitionBy(*LEVELS).format(kind).save(root)
+    rows.withColumn("artifact", F.lit(artifact)).hint("rebalance", *LEVELS[:-1]).write.mode("append").partitionBy(*LEVELS).format(kind).save(root)
 
 
 def levels(path: Column) -> list[Column]:
@@ -131,11 +132,16 @@ def presence(spark: SparkSession, root: str, artifacts: list[str]) -> DataFrame:
 
 
 def artifact(spark: SparkSession, root: str, name: str, needed: list[str], optional: dict[str, str] | None = None) -> DataFrame:
-    """The rows of an artifact of all contexts, with the levels of their files.  A needed column that is missing is an error, an optional one null."""
+    """The rows of an artifact of all contexts, with the levels of their files.  A needed column that is missing is an error, an optional one null.
+
+    Levels are read from each file's path once, and joined to its rows; there are as few of them as files.
+    """
     rows = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(f"{root}/*/*/*/*gen_*/*{name}")
     require_columns(rows, needed, name)
     more = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (optional or {}).items()]
-    return rows.select(*needed, *more, *levels(F.col("_metadata.file_path"))[:-1])
+    path = F.col("_metadata.file_path").alias("_path")
+    places = rows.select(path).distinct().select("_path", *levels(F.col("_path"))[:-1])
+    return rows.select(*needed, *more, path).join(F.broadcast(places), "_path").drop("_path")
 
 
 def processed_splits(spark: SparkSession, place: str, names: list[str], needed: list[str]) -> DataFrame:

@@ -1,8 +1,11 @@
 """Tasks, files and passes do not grow with the table, and distinct inputs are derived once."""
 
+import glob
+
 from gyre.operators import dbr
 from gyre.plans import queries as q
-from gyre.sources import bindings, tables
+from gyre.sources import bindings, runs, tables
+from pyspark.sql import functions as F
 
 
 def same(a, b) -> bool:
@@ -43,3 +46,13 @@ def test_null_inputs_are_derived_too(spark):
     assert got.count() == 4 and same(got, want)
     empty = rows.filter("order_id > 9")
     assert bindings.derived_once(empty, empty, bindings.INPUTS, bindings.values).isEmpty()
+
+
+def test_files_of_a_tree_do_not_grow_with_the_tasks(spark):
+    root = runs.new_tree(spark)
+    rows = spark.range(0, 4_000, 1, 16).select(F.concat(F.lit("run_seed"), F.col("id") % 2).alias("run"), F.lit("m").alias("model_dir"), F.lit("b").alias("branch_dir"), F.concat(F.lit("gen_"), F.col("id") % 3).alias("generation_dir"), F.col("id").alias("example_id"))
+    runs.save_tree(rows, root, "x.parquet")
+    assert len(glob.glob(f"{root.removeprefix('file://')}/**/*.parquet", recursive=True)) == 6 + 6  # a folder's name ends so too
+    found = runs.artifact(spark, root, "x.parquet", ["example_id"])
+    assert same(found, rows.withColumn("generation_dir", F.substring("generation_dir", 5, 9).cast("int")))
+    assert "regexp_extract" not in found._jdf.queryExecution().optimizedPlan().toString().partition("Aggregate")[0]

@@ -2,6 +2,7 @@
 
 import glob
 
+from gyre import catalog
 from gyre.operators import dbr
 from gyre.plans import queries as q
 from gyre.sources import bindings, runs, tables
@@ -56,3 +57,9 @@ def test_files_of_a_tree_do_not_grow_with_the_tasks(spark):
     found = runs.artifact(spark, root, "x.parquet", ["example_id"])
     assert same(found, rows.withColumn("generation_dir", F.substring("generation_dir", 5, 9).cast("int")))
     assert "regexp_extract" not in found._jdf.queryExecution().optimizedPlan().toString().partition("Aggregate")[0]
+
+
+def test_levels_are_measured_once(spark, sf_dir):
+    """Every table of a series reads the written levels."""
+    plan = catalog.queries()["i03_baseline_series"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "is_correct" not in plan and "place" not in plan

@@ -4,6 +4,7 @@ import glob
 
 from gyre import catalog
 from gyre.operators import dbr
+from gyre.plans import exports
 from gyre.plans import queries as q
 from gyre.sources import bindings, runs, tables
 from pyspark.sql import functions as F
@@ -59,7 +60,12 @@ def test_files_of_a_tree_do_not_grow_with_the_tasks(spark):
     assert "regexp_extract" not in found._jdf.queryExecution().optimizedPlan().toString().partition("Aggregate")[0]
 
 
-def test_levels_are_measured_once(spark, sf_dir):
-    """Every table of a series reads the written levels."""
+def test_levels_are_measured_once(spark, sf_dir, monkeypatch):
+    """Every table of a series reads the written levels, and a bundle has one series."""
+    calls, level = [], exports.run_level
+    monkeypatch.setattr(exports, "run_level", lambda rows: calls.append(1) or level(rows))
     plan = catalog.queries()["i03_baseline_series"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "is_correct" not in plan and "place" not in plan
+    calls.clear()
+    catalog.queries()["i21_bundle"](spark, sf_dir)
+    assert len(calls) == 1

@@ -66,6 +66,8 @@ def test_levels_are_measured_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(exports, "run_level", lambda rows: calls.append(1) or level(rows))
     plan = catalog.queries()["i03_baseline_series"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "is_correct" not in plan and "place" not in plan
+    plan = catalog.queries()["i04_mode_comparison"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "is_correct" not in plan
     calls.clear()
     catalog.queries()["i21_bundle"](spark, sf_dir)
     assert len(calls) == 1

@@ -56,6 +56,25 @@ def _stirred(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of some arrays, sorted, and the place of each value in them.
+
+    What np.unique gives of the arrays in a row, in a third of the memory: places are of 32 bits, and `parts` is emptied.
+    """
+    values = np.concatenate(parts)
+    parts.clear()
+    order = np.argsort(values)
+    values = values[order]
+    first = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=first[1:])
+    values = values[first]
+    at = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
+    number = np.cumsum(first, dtype=at.dtype)
+    number -= 1
+    at[order] = number
+    return values, at
+
+
 class Keyed:
     """The words of some texts: of each, its text and its place in the sorted keys, and those of its pair and of the word before it."""
 
@@ -63,43 +82,50 @@ class Keyed:
         found = [tokens(text.as_py()) for text in texts]
         self.sizes = np.array([len(x) for x in found], np.int64)
         words = np.concatenate([np.empty(0, np.uint64), *found])
-        self.doc = np.repeat(np.arange(len(found)), self.sizes)
-        first = np.flatnonzero(np.diff(self.doc, prepend=-1))
+        self.doc = np.repeat(np.arange(len(found), dtype=np.int32), self.sizes)
+        del found
+        self.first = np.flatnonzero(np.diff(self.doc, prepend=-1))
         before = np.roll(words, 1)
-        before[first] = MARK
-        pairs = _stirred(_stirred(before + np.uint64(1)) ^ words)
+        before[self.first] = MARK
+        parts = [words, _stirred(_stirred(before + np.uint64(1)) ^ words), np.full(len(self.first), MARK)]
         n = len(words)
-        self.keys, at = np.unique(np.concatenate([words, pairs, np.full(len(first), MARK)]), return_inverse=True)
+        del words, before
+        self.keys, at = _distinct(parts)
         self.word, self.pair, mark = at[:n], at[n : 2 * n], at[2 * n :]
         self.last = np.roll(self.word, 1)
-        self.last[first] = mark
+        self.last[self.first] = mark
 
     def counts(self, rows: np.ndarray) -> np.ndarray:
         """How often the chosen rows hold each key; the mark counts once a text."""
         chosen = rows[self.doc].astype(np.float64)
         out = np.bincount(self.word, chosen, len(self.keys)) + np.bincount(self.pair, chosen, len(self.keys))
-        first = np.flatnonzero(np.diff(self.doc, prepend=-1))
-        return (out + np.bincount(self.last[first], chosen[first], len(self.keys))).astype(np.int64)
+        return (out + np.bincount(self.last[self.first], chosen[self.first], len(self.keys))).astype(np.int64)
 
     def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """How often the text of each word holds that word, its pair and the word before it (the mark: once)."""
-        kinds = len(self.keys)
-        tagged = [self.doc * kinds + at for at in (self.word, self.pair)]
-        words, at, n = np.unique(tagged[0], return_inverse=True, return_counts=True)
-        _, pair_at, pair_n = np.unique(tagged[1], return_inverse=True, return_counts=True)
-        own = n[at]
+        own, own_pair = (self._within(at) for at in (self.word, self.pair))
         last = np.roll(own, 1)
-        last[np.flatnonzero(np.diff(self.doc, prepend=-1))] = 1
-        return own, pair_n[pair_at], last
+        last[self.first] = 1
+        return own, own_pair, last
+
+    def _within(self, at: np.ndarray) -> np.ndarray:
+        """How often the text of each word holds the key at its place."""
+        _, same = _distinct([self.doc.astype(np.int64) * len(self.keys) + at])
+        return np.bincount(same)[same].astype(np.int32)
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Whole numbers, all first bytes, then all second bytes and so on: what is equal stands together for the codecs of Spark."""
-    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Whole numbers: how many bytes the largest takes, then all first bytes, all second bytes and so on, which puts what is equal together for the codecs of Spark."""
+    x = x.astype(np.uint64)
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view(np.uint64).reshape(-1)
 
 
 def _cuts(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -131,13 +157,15 @@ def _ask(buckets: int, text: str):
 
 def _tell(asked: pa.Table) -> pa.Table:
     """A bucket's totals, for each block those of the keys that it sent."""
-    keys = [np.cumsum(_unpacked(raw), dtype=np.uint64) for raw in asked["keys"].to_pylist()]
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    ends = np.cumsum([len(k) for k in keys])[:-1]
+    keys = [np.cumsum(_unpacked(raw.as_py()), dtype=np.uint64) for raw in asked["keys"]]
+    ends = np.cumsum([0, *map(len, keys)])
+    every, at = _distinct(keys)
     out = {"of": asked["block"], "bucket": asked["bucket"]}
     for name in ("n_background", "n_target"):
-        total = np.bincount(at, np.concatenate([_unpacked(raw) for raw in asked[name].to_pylist()]), len(every))
-        out[name] = pa.array([_packed(part) for part in np.split(total[at], ends)], pa.binary())
+        total = np.zeros(len(every), np.int64)
+        for i, j, raw in zip(ends, ends[1:], asked[name]):
+            total[at[i:j]] += _unpacked(raw.as_py()).astype(np.int64)  # a block's keys are distinct
+        out[name] = pa.array([_packed(total[at[i:j]]) for i, j in zip(ends, ends[1:])], pa.binary())
     return pa.table(out).cast(TOLD)
 
 

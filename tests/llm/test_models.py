@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from gyre.llm import chat, common, components, langid, lmscore, mixing, neardup, quality, queries, urlfilter
 from pyspark.sql import functions as F
@@ -590,3 +593,35 @@ def test_very_many_sources_are_drawn_by_groups(spark):
     rows = drawn.collect()
     slots, words = plan.selectExpr("sum(slots)", "sum(take)").first()
     assert shards == -(-words // 5_000) and sum(r["n"] for r in rows) == shards * -(-slots // shards) and all(r["n"] > 0 for r in rows) and len({(r["shard"], r["sid"]) for r in rows}) == len(rows)
+
+
+def test_lm_numbers_take_the_bytes_that_the_largest_needs():
+    for values, width in (([], 1), ([0], 1), ([7, 255], 1), ([3, 256, 65_535], 2), ([1, 1 << 32], 5), ([0, (1 << 64) - 1], 8)):
+        raw = lmscore._packed(np.array(values, np.uint64))
+        assert len(raw) == 1 + width * len(values) and lmscore._unpacked(raw).tolist() == values
+
+
+def test_lm_blocks_are_held_in_bounded_memory():
+    """Bytes for each word of a block, at most, of asking, telling and scoring: an executor's workers hold a block each."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 500) % 100_000) for _ in range(400)]
+    docs = pa.table({"text": pa.array(texts), "_block": [0] * 400, "_target": [i % 3 == 0 for i in range(400)], "_counted": [True] * 400})
+    n = 500 * 400
+
+    def most(call):
+        tracemalloc.start()
+        out = call()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak / n
+
+    lmscore._ask(1, "text")(docs)  # words are remembered now
+    asked, asking = most(lambda: lmscore._ask(1, "text")(docs))
+    two = pa.concat_tables([asked, asked.set_column(0, "block", pa.array([1]))])
+    told, telling = most(lambda: lmscore._tell(two))
+    scored, scoring = most(lambda: lmscore._score(docs, told.filter(pa.compute.equal(told["of"], 0)), "text", (n, n // 3, 50_000)))
+    assert scored["n_tokens"].to_pylist() == [500] * 400
+    own = lmscore.Keyed(docs["text"])
+    keys, at = np.unique(np.concatenate([own.word, own.pair]), return_counts=True)
+    assert (2 * at == lmscore._unpacked(told["n_background"][0].as_py())[keys]).all()
+    assert asking < 110 and telling < 35 and scoring < 110, (asking, telling, scoring)

@@ -1,12 +1,15 @@
 """Tasks, files and passes do not grow with the table, and distinct inputs are derived once."""
 
 import glob
+import os
 
+import pyarrow.parquet as pq
+import pytest
 from gyre import catalog
 from gyre.operators import dbr
 from gyre.plans import exports
 from gyre.plans import queries as q
-from gyre.sources import bindings, runs, tables
+from gyre.sources import bindings, runs, shared, tables
 from pyspark.sql import functions as F
 
 
@@ -71,3 +74,25 @@ def test_levels_are_measured_once(spark, sf_dir, monkeypatch):
     calls.clear()
     catalog.queries()["i21_bundle"](spark, sf_dir)
     assert len(calls) == 1
+
+
+def longest_tables(spark, monkeypatch, name: str, sf_dir: str) -> int:
+    """Rows of the largest file that the query writes before its result: a task writes a file."""
+    places, new_folder = [], shared.new_folder
+    monkeypatch.setattr(shared, "new_folder", lambda *a: places.append(out := new_folder(*a)) or out)
+    catalog.queries()[name](spark, sf_dir)
+    files = [f for place in places for f in glob.glob(f"{place.removeprefix('file://')}/**/*.parquet", recursive=True) if os.path.isfile(f)]
+    return max(pq.read_metadata(f).num_rows for f in files)
+
+
+@pytest.mark.parametrize("name", ["c03_dbr_ranked", "i07_pvf_confirmatory"])
+def test_no_task_of_a_report_grows_with_the_table(spark, tmp_path, monkeypatch, name):
+    """Rows are dealt by a hash, and ranges are sampled, so tasks are even only about."""
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    n = orders.count()
+    for times in (4, 16):
+        more = orders.crossJoin(spark.range(times)).withColumns({"o_orderkey": F.col("o_orderkey") + F.col("id") * 150_000, "o_custkey": F.col("o_custkey") + F.col("id") * 15_000})
+        more.drop("id").coalesce(1).write.parquet(str(tmp_path / f"x{times}" / "orders.parquet"))
+    monkeypatch.setattr(tables, "ROWS_A_TASK", n // 2, raising=False)
+    small, large = (longest_tables(spark, monkeypatch, name, str(tmp_path / f"x{times}")) for times in (4, 16))
+    assert large < 1.5 * small and large < 2 * n, (small, large, n)

@@ -96,3 +96,11 @@ def test_no_task_of_a_report_grows_with_the_table(spark, tmp_path, monkeypatch,
     monkeypatch.setattr(tables, "ROWS_A_TASK", n // 2, raising=False)
     small, large = (longest_tables(spark, monkeypatch, name, str(tmp_path / f"x{times}")) for times in (4, 16))
     assert large < 1.5 * small and large < 2 * n, (small, large, n)
+
+
+@pytest.mark.parametrize("name", ["c03_dbr_ranked", "i07_pvf_confirmatory"])
+def test_no_task_of_a_report_is_large_where_rows_derive_their_own(spark, sf_dir, monkeypatch, name):
+    """Where distinct inputs might not fit, the heavy work is done in each row, in tasks of about ROWS_A_TASK rows."""
+    monkeypatch.setattr(bindings, "INPUT_BYTES", 0, raising=False)
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100, raising=False)
+    assert longest_tables(spark, monkeypatch, name, sf_dir) < 200
